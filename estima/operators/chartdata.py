@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estima.operators.profile import order_statistics, unpivot
@@ -33,7 +33,8 @@ def _ranges(long: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def bin_index(value, lo, hi, bins) -> "F.Column":
     """0-based equal-width bin of ``value`` in [lo, hi] with the last bin closed."""
-    return F.least(F.floor((value - lo) * (bins / (hi - lo))), bins - 1).cast("int")
+    nb = bins if isinstance(bins, Column) else F.lit(bins)
+    return F.least(F.floor((value - lo) * (nb / (hi - lo))), nb - 1).cast("int")
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int | str = 30) -> DataFrame:

@@ -63,8 +63,10 @@ class PopulationScaler(Estimator, HasInputCols, HasOutputCols, DefaultParamsRead
 
 def preprocess(numeric: Sequence[str], categorical: Sequence[str],
                features_col: str = FEATURES_COL) -> list:
-    """Stages: text form of categoricals, index (alphabetical, unseen kept),
-    one-hot (unseen -> zeros), population scaling of numerics, assembly."""
+    """Stages: text form of categoricals, index (alphabetical; unseen and null get
+    the extra last index), one-hot with that last slot dropped (unseen -> zeros,
+    and no always-zero slot that would make the normal equations singular),
+    population scaling of numerics, assembly."""
     numeric, categorical = list(numeric), list(categorical)
     stages: list = []
     if categorical:
@@ -75,7 +77,7 @@ def preprocess(numeric: Sequence[str], categorical: Sequence[str],
                                     stringOrderType="alphabetAsc", handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCols=[I_PREFIX + c for c in categorical],
                                     outputCols=[O_PREFIX + c for c in categorical],
-                                    dropLast=True, handleInvalid="keep"))
+                                    dropLast=True))
     if numeric:
         stages.append(PopulationScaler(inputCols=numeric, outputCols=[Z_PREFIX + c for c in numeric]))
     stages.append(VectorAssembler(inputCols=[Z_PREFIX + c for c in numeric] + [O_PREFIX + c for c in categorical],

@@ -131,7 +131,10 @@ def check_readable(spark: SparkSession, path: str, schema: T.StructType | None =
     full = T.StructType(list(schema.fields) + [T.StructField(bad, T.StringType())])
     df = (spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", bad).schema(full).csv(path))
-    out = (df.select(F.col("_metadata.file_path").alias("file_path"), F.col(bad).isNotNull().alias("bad"))
+    # a field besides the corrupt-record column must be referenced for Spark to parse
+    first = schema.fields[0].name
+    out = (df.select(F.col("_metadata.file_path").alias("file_path"),
+                     (F.col(bad).isNotNull() & (F.col(first).isNull() | F.col(first).isNotNull())).alias("bad"))
            .groupBy("file_path").agg(F.count(F.lit(1)).alias("n_rows"),
                                      F.count(F.when(F.col("bad"), 1)).alias("n_malformed")))
     if strict and out.where("n_malformed > 0").limit(1).count():

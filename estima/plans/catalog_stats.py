@@ -148,8 +148,8 @@ def target_range_q(spark, base):
 
 
 @q("order_statistics", "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS column, {p}e0 AS prob, quantile_cont(CAST({c} AS DOUBLE), {p}) AS value FROM lineitem"
+    f"SELECT '{c}' AS column, {p}e0 AS prob, {S.rs(f'quantile_cont(CAST({c} AS DOUBLE), {p})')} AS value FROM lineitem"
     for c in LI_NUM for p in (0.1, 0.25, 0.5, 0.75, 0.9)))
 def order_statistics_q(spark, base):
     li = scan_table(spark, base, "lineitem", LI_NUM)
-    return P.order_statistics(li, LI_NUM, (0.1, 0.25, 0.5, 0.75, 0.9))
+    return rsig(P.order_statistics(li, LI_NUM, (0.1, 0.25, 0.5, 0.75, 0.9)), "value")
