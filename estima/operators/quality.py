@@ -131,10 +131,12 @@ def check_readable(spark: SparkSession, path: str, schema: T.StructType | None =
     full = T.StructType(list(schema.fields) + [T.StructField(bad, T.StringType())])
     df = (spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", bad).schema(full).csv(path))
-    # a field besides the corrupt-record column must be referenced for Spark to parse
-    first = schema.fields[0].name
+    # every field is referenced: with CSV column pruning a row is only checked
+    # against the columns a query reads (and the corrupt column alone is refused)
+    # (an always-false test over all fields that the optimizer cannot fold away)
+    touch_all = F.size(F.array_compact(F.array(*[F.col(f"`{c}`").cast("string") for c in schema.names]))) < 0
     out = (df.select(F.col("_metadata.file_path").alias("file_path"),
-                     (F.col(bad).isNotNull() & (F.col(first).isNull() | F.col(first).isNotNull())).alias("bad"))
+                     (F.col(bad).isNotNull() | touch_all).alias("bad"))
            .groupBy("file_path").agg(F.count(F.lit(1)).alias("n_rows"),
                                      F.count(F.when(F.col("bad"), 1)).alias("n_malformed")))
     if strict and out.where("n_malformed > 0").limit(1).count():
