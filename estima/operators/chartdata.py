@@ -122,7 +122,7 @@ def residual_density(df: DataFrame, label: str, prediction: str = "prediction",
                      prebins: int = 1024, count_bins: int = 20) -> DataFrame:
     """Gaussian KDE of the residuals on a ``grid``-point support [min, max]
     (Scott bandwidth: std (n-1) x n^(-1/5)), evaluated over ``prebins`` pre-binned
-    counts so the cost is grid x bins, not grid x rows. ``count`` scales the
+    (count, mean) pairs so the cost is grid x bins, not grid x rows. ``count`` scales the
     density to the ``count_bins`` histogram (density x n x bin width).
     Result ``(point, x, density, count)``."""
     r = residuals(df, label, prediction).select(F.col("residual").alias("value")).where(F.col("value").isNotNull())
@@ -130,13 +130,13 @@ def residual_density(df: DataFrame, label: str, prediction: str = "prediction",
                F.stddev_samp("value").alias("sd"))
     st = st.select("n", "mn", "mx", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
     st = F.broadcast(st)  # one row
+    # each pre-bin carries its count and mean value (mean, not centre: no first-order error)
     pb = (r.crossJoin(st)
-          .select(bin_index(F.col("value"), F.col("mn"), F.col("mx"), prebins).alias("b"))
-          .groupBy("b").agg(F.count(F.lit(1)).alias("nb")))
+          .select(bin_index(F.col("value"), F.col("mn"), F.col("mx"), prebins).alias("b"), "value")
+          .groupBy("b").agg(F.count(F.lit(1)).alias("nb"), F.avg("value").alias("c")))
     step = (F.col("mx") - F.col("mn")) / (grid - 1)
-    centre = F.col("mn") + (F.col("b") + 0.5) * ((F.col("mx") - F.col("mn")) / prebins)
     pts = (pb.crossJoin(st)
-           .select("nb", "n", "bw", "mn", "mx", centre.alias("c"),
+           .select("nb", "n", "bw", "mn", "mx", "c",
                    F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
            .withColumn("x", F.col("mn") + F.col("point") * step))
     z = (F.col("x") - F.col("c")) / F.col("bw")

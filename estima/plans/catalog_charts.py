@@ -61,8 +61,8 @@ def residual_hist_auto_q(spark, base):
 _KDE = "WITH " + S.RIDGE_LI + f""",
 v AS (SELECT charge - prediction AS v FROM te),
 ks AS (SELECT count(*) AS n, min(v) AS mn, max(v) AS mx, stddev_samp(v) * pow(CAST(count(*) AS DOUBLE), -0.2e0) AS bw FROM v),
-pb AS (SELECT CAST(least(floor((v - mn) * (1024 / (mx - mn))), 1023) AS INTEGER) AS b, count(*) AS nb FROM v, ks GROUP BY 1),
-pts AS (SELECT pb.nb, ks.n, ks.bw, ks.mn, ks.mx, ks.mn + (pb.b + 0.5e0) * ((ks.mx - ks.mn) / 1024) AS c, CAST(p AS INTEGER) AS point
+pb AS (SELECT CAST(least(floor((v - mn) * (1024 / (mx - mn))), 1023) AS INTEGER) AS b, count(*) AS nb, avg(v) AS c FROM v, ks GROUP BY 1),
+pts AS (SELECT pb.nb, ks.n, ks.bw, ks.mn, ks.mx, pb.c, CAST(p AS INTEGER) AS point
         FROM pb, ks, range(200) t(p)),
 d AS (SELECT point, mn + point * ((mx - mn) / 199) AS x, n, mn, mx,
              sum(nb * exp(-0.5e0 * ((mn + point * ((mx - mn) / 199) - c) / bw) * ((mn + point * ((mx - mn) / 199) - c) / bw)))
