@@ -143,6 +143,9 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     base = complete_rows(df.select(*key_cols, *features, target), [*features, target])
     base = hash_rank(base.withColumn("__ha", hash_hex(key_cols)), "__ha", tie_cols=key_cols,
                      rank_col="__ra", digits=digits).drop("__ha")
+    # read three times below (receivers, donors, baseline): persist the ranked rows
+    from pyspark import StorageLevel
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     # (feature, repeat) pairs: a fixed, small replication factor applied by explode
     fr = F.explode(F.array(*[F.struct(F.lit(f).alias("__f"), F.lit(r).alias("__r"))
                              for f in features for r in range(repeats)])).alias("__fr")

@@ -125,12 +125,24 @@ def model_pipeline(numeric: Sequence[str], categorical: Sequence[str], target: s
 
 
 def pipeline_fit(df: DataFrame, features: Sequence[str], target: str, algorithm: str = "ridge",
-                 **params) -> PipelineModel:
-    """Fit preprocessing and model as one unit on the complete rows of ``df``."""
+                 persist: bool = True, **params) -> PipelineModel:
+    """Fit preprocessing and model as one unit on the complete rows of ``df``.
+
+    The stages read their input several times (indexer, scaler, label statistics,
+    solver), so the narrow projection of features and target is persisted
+    (memory, spilling to disk; lost blocks are recomputed from lineage) for the
+    duration of the fit."""
+    from pyspark import StorageLevel
     validate_columns(df, [*features, target])
     num, cat = split_roles(df, features)
     data = complete_rows(df.select(*features, target), [*features, target])
-    return model_pipeline(num, cat, target, algorithm, **params).fit(data)
+    if persist and not df.isStreaming:
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return model_pipeline(num, cat, target, algorithm, **params).fit(data)
+    finally:
+        if persist:
+            data.unpersist()
 
 
 def regressor_stage(model: PipelineModel):

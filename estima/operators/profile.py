@@ -62,89 +62,125 @@ def _nan_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # --------------------------------------------------------------------------- quantiles
 
+def approx_brackets(probs: Sequence[float], accuracy: int) -> list[float]:
+    """Sketch quantiles that bracket each wanted probability (rank error of the
+    sketch is at most n/accuracy, so a margin of 3/accuracy is safe)."""
+    eps = 3.0 / accuracy
+    out = []
+    for p in probs:
+        out += [max(0.0, p - eps), min(1.0, p + eps)]
+    return out
+
+
 def order_statistics(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.5,),
-                     groups: Sequence[str] = (), buckets: int = 1024,
-                     max_passes: int = 64, collect_limit: int = 50_000) -> DataFrame:
+                     groups: Sequence[str] = (), buckets: int = 1024, max_passes: int = 64,
+                     collect_limit: int = 50_000, sketch: bool = False, accuracy: int = 10_000,
+                     base: list | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy/pandas default,
     ``quantile_cont``) per ``(groups, column, prob)``.
 
-    Each pass buckets the values inside every unresolved target's current value
-    bracket into ``buckets`` equal-width bins and keeps the bin holding the wanted
-    rank; a bin whose min equals its max resolves the target. Brackets shrink by
-    about ``buckets``x per pass (2-3 passes on real data). When a bracket holds at
-    most ``collect_limit`` values they are fetched and selected exactly. Driver
-    traffic per pass: at most targets x buckets small rows.
+    Pass 1 (or the caller's ``base`` rows with ``n``, ``lo``, ``hi``): count, min,
+    max, and with ``sketch=True`` a ``percentile_approx`` sketch that brackets each
+    wanted rank (one pass more expensive, but it bounds the number of refinement
+    passes on heavy-tailed data; without it brackets start at [min, max] and
+    shrink about ``buckets``-fold per pass). Each refinement pass is one grouped aggregate over the values: values
+    below the bracket are counted exactly (bucket -1), values inside are put in
+    ``buckets`` equal-width bins; the bin holding the rank becomes the new bracket,
+    and a bin whose min equals its max resolves it. A bracket the sketch got wrong
+    is detected by the exact count and widened to [min, max]. A bracket holding at
+    most ``collect_limit`` values is fetched and selected directly. Driver traffic
+    per pass: at most targets x buckets small rows; no group is ever gathered into
+    one task.
     """
     spark = df.sparkSession
     keys = [*groups, "column"]
     long = unpivot(df, columns, groups)
-    base = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"),
-                                   F.max("value").alias("hi")).collect()
-    # target = (key tuple, rank); state = bracket shared by targets
-    targets = {}
+    brackets = approx_brackets(probs, accuracy)
+    if base is None:
+        aggs = [F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")]
+        if sketch:
+            aggs.append(F.percentile_approx("value", brackets, accuracy).alias("approx"))
+        base = long.groupBy(*keys).agg(*aggs).collect()
+    targets: dict = {}
     out_rows = []
     for r in base:
         key = tuple(r[k] for k in keys)
         n = r["n"]
-        for p in probs:
+        if not n:
+            for p in probs:
+                out_rows.append((key, p, None, None, None))
+            continue
+        approx = r["approx"] if "approx" in r.__fields__ else None  # sketch bracket, if any
+        for pi, p in enumerate(probs):
             h = (n - 1) * p
             r0 = int(math.floor(h))
             r1 = min(r0 + 1, n - 1)
+            lo, hi = r["lo"], r["hi"]
+            if approx is not None and approx[2 * pi] is not None:
+                lo, hi = max(lo, approx[2 * pi]), min(hi, approx[2 * pi + 1])
             for rank in (r0, r1):
-                targets.setdefault((key, rank), {"lo": r["lo"], "hi": r["hi"], "below": 0, "value": None})
+                t = targets.setdefault((key, rank), {"lo": lo, "hi": hi, "min": r["lo"], "max": r["hi"],
+                                                     "value": None, "below": None})
+                t["lo"], t["hi"] = min(t["lo"], lo), max(t["hi"], hi)
             out_rows.append((key, p, h, r0, r1))
     for t in targets.values():
-        if t["lo"] == t["hi"]:
-            t["value"] = t["lo"]
+        if t["min"] == t["max"]:
+            t["value"] = t["min"]
 
     key_schema = [df.schema[g] for g in groups] + [T.StructField("column", T.StringType())]
     for _ in range(max_passes):
         open_t = {k: v for k, v in targets.items() if v["value"] is None}
         if not open_t:
             break
-        states = {}
-        for (key, rank), st in open_t.items():
-            sid = states.setdefault((key, st["lo"], st["hi"], st["below"]), len(states))
-            st["sid"] = sid
-        rows = [(*key, lo, hi, sid) for (key, lo, hi, _b), sid in states.items()]
+        states: dict = {}
+        for (key, _rank), st in open_t.items():
+            st["sid"] = states.setdefault((key, st["lo"], st["hi"]), len(states))
+        rows = [(*key, lo, hi, sid) for (key, lo, hi), sid in states.items()]
         schema = T.StructType(key_schema + [T.StructField("__lo", T.DoubleType()),
                                             T.StructField("__hi", T.DoubleType()),
                                             T.StructField("__sid", T.IntegerType())])
         sdf = spark.createDataFrame(rows, schema)
-        if len(rows) <= _MAX_BROADCAST_STATES:
+        if len(rows) <= _MAX_BROADCAST_STATES:  # one row per open bracket: size known
             sdf = F.broadcast(sdf)
-        inb = long.join(sdf, on=keys, how="inner").where(
-            (F.col("value") >= F.col("__lo")) & (F.col("value") <= F.col("__hi")))
-        bucket = F.least(F.floor((F.col("value") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * buckets),
-                         F.lit(buckets - 1)).cast("int")
-        hist = (inb.groupBy("__sid", bucket.alias("__b"))
+        v, lo, hi = F.col("value"), F.col("__lo"), F.col("__hi")
+        width = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
+        bucket = (F.when(v < lo, F.lit(-1))
+                  .otherwise(F.least(F.floor((v - lo) / width * buckets), F.lit(buckets - 1)).cast("int")))
+        hist = (long.join(sdf, on=keys, how="inner").where(v <= hi)
+                .groupBy("__sid", bucket.alias("__b"))
                 .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"))
                 .collect())
         by_sid: dict[int, list] = {}
-        for h in hist:
-            by_sid.setdefault(h["__sid"], []).append(h)
+        for hrow in hist:
+            by_sid.setdefault(hrow["__sid"], []).append(hrow)
         small = []
         for (key, rank), st in open_t.items():
             bins = sorted(by_sid.get(st["sid"], []), key=lambda x: x["__b"])
-            local = rank - st["below"]
+            below = sum(b["n"] for b in bins if b["__b"] < 0)
+            inside = [b for b in bins if b["__b"] >= 0]
+            local = rank - below
+            if local < 0 or local >= sum(b["n"] for b in inside):
+                st["lo"], st["hi"] = st["min"], st["max"]  # sketch bracket missed: widen
+                continue
             cum = 0
-            for bn in bins:
+            for bn in inside:
                 if local < cum + bn["n"]:
                     if bn["mn"] == bn["mx"]:
                         st["value"] = bn["mn"]
                     else:
-                        st["lo"], st["hi"], st["below"] = bn["mn"], bn["mx"], st["below"] + cum
+                        st["lo"], st["hi"], st["below"] = bn["mn"], bn["mx"], below + cum
                         if bn["n"] <= collect_limit:
                             small.append((key, rank, st))
                     break
                 cum += bn["n"]
-            else:  # should not happen; keep the bracket and retry
-                pass
         if small:
             _resolve_small(long, keys, small)
     resolved = {k: v["value"] for k, v in targets.items()}
     res = []
     for key, p, h, r0, r1 in out_rows:
+        if h is None:
+            res.append((*key, float(p), None))
+            continue
         a, b = resolved[(key, r0)], resolved[(key, r1)]
         val = None if a is None or b is None else a + (b - a) * (h - r0)
         res.append((*key, float(p), val))
@@ -156,7 +192,7 @@ def order_statistics(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
 def _resolve_small(long: DataFrame, keys: list[str], small: list) -> None:
     """Fetch the (few) values of small brackets and select ranks on the driver."""
     spark = long.sparkSession
-    uniq = {}
+    uniq: dict = {}
     for key, rank, st in small:
         uniq.setdefault((key, st["lo"], st["hi"]), []).append((rank, st))
     rows = [(*key, lo, hi, i) for i, (key, lo, hi) in enumerate(uniq)]
@@ -190,17 +226,22 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None,
         columns = [c for c in split_roles(df)[0] if c not in groups]
     keys = [*groups, "column"]
     long = unpivot(df, columns, groups)
+    from estima.functions.stats import sample_kurtosis, sample_skewness
+    # one pass for the moments; its count/min/max also start the exact median search
     mom = long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.var_pop("value").alias("__vp"), F.skewness("value").alias("__g1"),
         F.kurtosis("value").alias("__g2"))
-    from estima.functions.stats import sample_kurtosis, sample_skewness
     mom = mom.select(*keys, "n", "min", "max", "mean", "std",
                      sample_skewness("n", "__g1", "__vp").alias("skewness"),
                      sample_kurtosis("n", "__g2", "__vp").alias("kurtosis"))
-    med = order_statistics(df, columns, (0.5,), groups).select(*keys, F.col("value").alias("median"))
-    out = mom.join(med, on=keys, how="left")
+    rows = mom.collect()  # one row per (group, column)
+    base = [T.Row(**{**{k: r[k] for k in keys}, "n": r["n"], "lo": r["min"], "hi": r["max"]}) for r in rows]
+    med = order_statistics(df, columns, (0.5,), groups, base=base) \
+        .select(*keys, F.col("value").alias("median"))
+    mom_df = df.sparkSession.createDataFrame(rows, mom.schema)
+    out = mom_df.join(med, on=keys, how="left")
 
     def rnd(c):
         return F.round(F.col(c), decimals).alias(c) if decimals is not None else F.col(c)

@@ -57,6 +57,13 @@ def test_order_statistics_grouped_matches_numpy(parts, probs):
         assert r["value"] == pytest.approx(np.percentile(s, r["prob"] * 100), rel=1e-12)
 
 
+def test_order_statistics_with_sketch(parts):
+    pdf, df = parts
+    got = {r["column"]: r["value"] for r in P.order_statistics(df, ["price", "weight"], (0.5,), sketch=True).collect()}
+    for c in ["price", "weight"]:
+        assert got[c] == pytest.approx(float(pdf[c].median()), rel=1e-12)
+
+
 def test_order_statistics_heavy_ties_and_tiny_buckets(spark):
     vals = [0.0] * 500 + [1e-300, 2e-300] + [1.0] * 300 + list(np.linspace(1, 2, 99))
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
