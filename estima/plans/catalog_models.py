@@ -86,7 +86,8 @@ def known_categories_q(spark, base):
     return E.known_categories(ridge_orders(spark, base), spark)
 
 
-@q("model_features")
+@q("model_features", "SELECT 'l_extendedprice' AS feature, 'Numerical' AS kind UNION ALL "
+   "SELECT 'l_returnflag', 'Categorical' UNION ALL SELECT 'charge', 'Target'")
 def model_features_q(spark, base):
     tr = lineitem_frame(spark, base).where(~F.col("is_test"))
     model = pipeline_fit(tr, ["l_extendedprice", "l_returnflag"], "charge", "ridge")

@@ -162,17 +162,31 @@ def rename_columns_q(spark, base):
     return C.rename_columns(p, {"p_partkey": "part", "p_brand": "brand", "p_retailprice": "price"})
 
 
-@q("column_roles")
+_SPARK_TYPE = ("CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
+               "WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BOOLEAN' THEN 'boolean' "
+               "ELSE lower(data_type) END")
+_ROLE = ("CASE WHEN data_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') "
+         "OR data_type LIKE 'DECIMAL%' THEN 'numeric' WHEN data_type IN ('VARCHAR', 'BOOLEAN') THEN 'categorical' "
+         "ELSE 'ignored' END")
+_LABEL = ("CASE WHEN data_type = 'VARCHAR' THEN 'text' WHEN data_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT') "
+          "THEN 'numerical: integer' WHEN data_type IN ('FLOAT', 'DOUBLE') OR data_type LIKE 'DECIMAL%' "
+          "THEN 'numerical: float' WHEN data_type = 'BOOLEAN' THEN 'boolean' ELSE " + _SPARK_TYPE + " END")
+_COLS = "FROM information_schema.columns WHERE table_name = 'lineitem'"
+
+
+@q("column_roles", f"SELECT column_name AS column, CAST(ordinal_position AS INTEGER) AS position, "
+   f"{_SPARK_TYPE} AS data_type, {_ROLE} AS role {_COLS}")
 def column_roles_q(spark, base):
     return C.column_roles(scan_table(spark, base, "lineitem"))
 
 
-@q("schema_report")
+@q("schema_report", f"SELECT column_name AS column, CAST(ordinal_position AS INTEGER) AS position, "
+   f"{_LABEL} AS type {_COLS}")
 def schema_report_q(spark, base):
     return C.schema_report(scan_table(spark, base, "lineitem"))
 
 
-@q("union_lists")
+@q("union_lists", f"SELECT column_name AS column, {_ROLE} AS role {_COLS} AND {_ROLE} IN ('numeric', 'categorical')")
 def union_lists_q(spark, base):
     roles = C.column_roles(scan_table(spark, base, "lineitem"))
     return roles.where("role = 'numeric'").select("column", "role").unionByName(
