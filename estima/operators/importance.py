@@ -128,7 +128,7 @@ def select_rfe(df: DataFrame, target: str, n_features: int = 10, features: Seque
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], target: str,
                            key_cols: Sequence[str], repeats: int = 10, seed: int = 0,
-                           digits: int = 4) -> DataFrame:
+                           digits: int | None = None) -> DataFrame:
     """Mean R^2 drop when one feature is shuffled, over ``repeats`` shuffles,
     divided by the sum of those means: ``(feature, importance_mean, importance)``.
 
@@ -138,9 +138,11 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     by one grouped R^2 aggregate. Work is rows x features x repeats, as in any
     permutation importance."""
     from estima.functions.hashing import hash_hex
-    from estima.operators.split import hash_rank
+    from estima.operators.split import hash_rank, prefix_digits
     spark = df.sparkSession
     base = complete_rows(df.select(*key_cols, *features, target), [*features, target])
+    if digits is None:
+        digits = prefix_digits(base.count())
     base = hash_rank(base.withColumn("__ha", hash_hex(key_cols)), "__ha", tie_cols=key_cols,
                      rank_col="__ra", digits=digits).drop("__ha")
     # read three times below (receivers, donors, baseline): persist the ranked rows

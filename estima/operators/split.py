@@ -8,6 +8,7 @@ bucket only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -37,15 +38,27 @@ def kfold(df: DataFrame, key_cols: Sequence[str], k: int = 3, fold_col: str = "f
     return df.withColumn(fold_col, hash_bucket(key_cols, k, salt).cast("int"))
 
 
+ROWS_PER_BUCKET = 1_000_000
+
+
+def prefix_digits(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Hex digits of hash prefix so that buckets hold about ``rows_per_bucket`` rows."""
+    return int(min(8, max(1, math.ceil(math.log(max(n_rows, 1) / rows_per_bucket, 16)))))
+
+
 def hash_rank(df: DataFrame, hash_col: str, partition_cols: Sequence[str] = (),
               tie_cols: Sequence[str] = (), rank_col: str = "rank",
-              digits: int = 4) -> DataFrame:
+              digits: int | None = None) -> DataFrame:
     """1-based rank of each row by ``(hash_col, *tie_cols)`` within ``partition_cols``.
 
     Equivalent to ``row_number() over (partition by p order by h, ties)`` but the
     sort is split over ``16**digits`` hash-prefix buckets per partition, so no task
-    sees more than about rows / 16**digits rows (4 digits: 65,536 buckets).
+    sees more than about rows / 16**digits rows. ``digits=None`` sizes the prefix
+    from a row count (about a million rows per bucket). The hash must come from a
+    unique key: rows with equal hashes share a bucket.
     """
+    if digits is None:
+        digits = prefix_digits(df.count())
     p = list(partition_cols)
     b = "__bucket"
     with_b = df.withColumn(b, F.substring(F.col(hash_col), 1, digits))
@@ -60,7 +73,7 @@ def hash_rank(df: DataFrame, hash_col: str, partition_cols: Sequence[str] = (),
 
 
 def permute_column(df: DataFrame, key_cols: Sequence[str], column: str, repeat: int = 0,
-                   seed: int = 0, out_col: str | None = None, digits: int = 4) -> DataFrame:
+                   seed: int = 0, out_col: str | None = None, digits: int | None = None) -> DataFrame:
     """Shuffle one column across rows, all other columns fixed.
 
     Row at rank r of ordering A (md5 of the key) receives the value of the row at
@@ -70,6 +83,8 @@ def permute_column(df: DataFrame, key_cols: Sequence[str], column: str, repeat:
     """
     out_col = out_col or column
     ha, hb = "__ha", "__hb"
+    if digits is None:
+        digits = prefix_digits(df.count())
     a = hash_rank(df.withColumn(ha, hash_hex(key_cols)), ha, tie_cols=key_cols,
                   rank_col="__ra", digits=digits)
     salt = f"{column}|{seed}|{repeat}"
