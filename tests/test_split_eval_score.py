@@ -140,3 +140,15 @@ def test_plans_train_and_score(spark, model_and_rows, tmp_dir):
     auto = train(df, "Price", ["id"], rank_trees=5, rank_depth=4, n_estimators=5, max_depth=4)
     assert auto.algorithm == "random_forest" and len(auto.features) == 2
     assert {row.column for row in auto.flags.collect()} >= set()
+
+
+def test_prefix_digits_scale():
+    assert L.prefix_digits(1000) == 1
+    assert L.prefix_digits(10**12) == 5  # ~1M buckets of ~1M rows
+    assert L.prefix_digits(10**20) == 8
+
+
+def test_hash_rank_auto_digits(spark):
+    df = spark.range(500).withColumn("h", hash_hex(["id"]))
+    r = sorted(x["rank"] for x in L.hash_rank(df, "h", tie_cols=["id"]).collect())
+    assert r == list(range(1, 501))
