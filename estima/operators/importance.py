@@ -172,5 +172,9 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     mean_drop = (drops.crossJoin(F.broadcast(baseline))  # baseline: one row
                  .groupBy("__f").agg(F.avg(F.col("__r2base") - F.col("r2")).alias("importance_mean")))
     total = F.sum("importance_mean").over(Window.partitionBy())
-    return mean_drop.select(F.col("__f").alias("feature"), "importance_mean",
-                            (F.col("importance_mean") / total).alias("importance"))
+    result = mean_drop.select(F.col("__f").alias("feature"), "importance_mean",
+                              (F.col("importance_mean") / total).alias("importance"))
+    # one row per feature: materialise it, then release the persisted rows
+    rows = result.collect()
+    base.unpersist()
+    return spark.createDataFrame(rows, "feature string, importance_mean double, importance double")
