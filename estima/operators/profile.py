@@ -75,32 +75,69 @@ def approx_brackets(probs: Sequence[float], accuracy: int) -> list[float]:
 def order_statistics(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.5,),
                      groups: Sequence[str] = (), buckets: int = 1024, max_passes: int = 64,
                      collect_limit: int = 50_000, sketch: bool = False, accuracy: int = 10_000,
-                     base: list | None = None) -> DataFrame:
+                     base: DataFrame | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy/pandas default,
     ``quantile_cont``) per ``(groups, column, prob)``.
 
-    Pass 1 (or the caller's ``base`` rows with ``n``, ``lo``, ``hi``): count, min,
-    max, and with ``sketch=True`` a ``percentile_approx`` sketch that brackets each
-    wanted rank (one pass more expensive, but it bounds the number of refinement
-    passes on heavy-tailed data; without it brackets start at [min, max] and
-    shrink about ``buckets``-fold per pass). Each refinement pass is one grouped aggregate over the values: values
-    below the bracket are counted exactly (bucket -1), values inside are put in
-    ``buckets`` equal-width bins; the bin holding the rank becomes the new bracket,
-    and a bin whose min equals its max resolves it. A bracket the sketch got wrong
-    is detected by the exact count and widened to [min, max]. A bracket holding at
-    most ``collect_limit`` values is fetched and selected directly. Driver traffic
-    per pass: at most targets x buckets small rows; no group is ever gathered into
-    one task.
+    Pass 1 (or the caller's ``base`` with ``(groups, column, n, lo, hi)``, one row
+    per group and column): count, min and max per group. The base table is
+    checkpointed to the shared checkpoint folder (read twice, small).
+
+    * Groups with at most ``collect_limit`` values (any number of them) are done
+      in one distributed aggregate: Spark's exact ``percentile``, which buffers the
+      values of one group, here bounded by ``collect_limit``.
+    * Larger groups (at most rows / ``collect_limit`` of them) go through histogram
+      refinement driven from the driver. Each pass is one grouped aggregate over
+      their values: values below the bracket are counted exactly (bucket -1),
+      values inside are put in ``buckets`` equal-width bins; the bin holding the
+      rank becomes the new bracket, and a bin whose min equals its max resolves
+      it. A bracket holding at most ``collect_limit`` values is fetched and
+      selected directly. With ``sketch=True`` a ``percentile_approx`` sketch
+      brackets the ranks first (a bracket it gets wrong is detected by the exact
+      count and widened to [min, max]); without it brackets start at [min, max]
+      and shrink about ``buckets``-fold per pass.
+
+    No group is ever gathered into one task beyond ``collect_limit`` values.
     """
     spark = df.sparkSession
     keys = [*groups, "column"]
     long = unpivot(df, columns, groups)
     brackets = approx_brackets(probs, accuracy)
     if base is None:
-        aggs = [F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")]
-        if sketch:
-            aggs.append(F.percentile_approx("value", brackets, accuracy).alias("approx"))
-        base = long.groupBy(*keys).agg(*aggs).collect()
+        base = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"),
+                                       F.max("value").alias("hi"))
+    from estima.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    base = base.select(*keys, "n", "lo", "hi").checkpoint(eager=True)
+    key_schema = [df.schema[g] for g in groups] + [T.StructField("column", T.StringType())]
+    out_schema = T.StructType(key_schema + [T.StructField("prob", T.DoubleType()),
+                                            T.StructField("value", T.DoubleType())])
+
+    # small groups: one exact grouped percentile, fully distributed
+    small_keys = base.where(F.col("n") <= collect_limit).select(*keys)
+    pct = F.percentile(F.col("value"), F.array(*[F.lit(float(p)) for p in probs]))
+    small = (long.join(small_keys, on=keys, how="inner").groupBy(*keys).agg(pct.alias("__q"))
+             .select(*keys, F.posexplode("__q").alias("__i", "value"))
+             .select(*keys, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1).alias("prob"),
+                     "value"))
+
+    # large groups: bounded in number by rows / collect_limit
+    large = base.where(F.col("n") > collect_limit)
+    if sketch:
+        sk = long.join(large.select(*keys), on=keys).groupBy(*keys).agg(
+            F.percentile_approx("value", brackets, accuracy).alias("approx"))
+        large = large.join(sk, on=keys, how="left")
+    large_rows = large.collect()
+    if not large_rows:
+        return small
+    return small.unionByName(_refine(spark, long, keys, key_schema, out_schema, large_rows, probs,
+                                     buckets, max_passes, collect_limit))
+
+
+def _refine(spark, long, keys, key_schema, out_schema, base_rows, probs, buckets, max_passes,
+            collect_limit) -> DataFrame:
+    """Histogram refinement for the large groups (see ``order_statistics``)."""
+    base = base_rows
     targets: dict = {}
     out_rows = []
     for r in base:
@@ -127,7 +164,6 @@ def order_statistics(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
         if t["min"] == t["max"]:
             t["value"] = t["min"]
 
-    key_schema = [df.schema[g] for g in groups] + [T.StructField("column", T.StringType())]
     for _ in range(max_passes):
         open_t = {k: v for k, v in targets.items() if v["value"] is None}
         if not open_t:
@@ -184,9 +220,7 @@ def order_statistics(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
         a, b = resolved[(key, r0)], resolved[(key, r1)]
         val = None if a is None or b is None else a + (b - a) * (h - r0)
         res.append((*key, float(p), val))
-    schema = T.StructType(key_schema + [T.StructField("prob", T.DoubleType()),
-                                        T.StructField("value", T.DoubleType())])
-    return spark.createDataFrame(res, schema)
+    return spark.createDataFrame(res, out_schema)
 
 
 def _resolve_small(long: DataFrame, keys: list[str], small: list) -> None:
@@ -236,12 +270,14 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None,
     mom = mom.select(*keys, "n", "min", "max", "mean", "std",
                      sample_skewness("n", "__g1", "__vp").alias("skewness"),
                      sample_kurtosis("n", "__g2", "__vp").alias("kurtosis"))
-    rows = mom.collect()  # one row per (group, column)
-    base = [T.Row(**{**{k: r[k] for k in keys}, "n": r["n"], "lo": r["min"], "hi": r["max"]}) for r in rows]
+    # one row per (group, column); read twice, so written once to the checkpoint folder
+    from estima.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    mom = mom.checkpoint(eager=True)
+    base = mom.select(*keys, "n", F.col("min").alias("lo"), F.col("max").alias("hi"))
     med = order_statistics(df, columns, (0.5,), groups, base=base) \
         .select(*keys, F.col("value").alias("median"))
-    mom_df = df.sparkSession.createDataFrame(rows, mom.schema)
-    out = mom_df.join(med, on=keys, how="left")
+    out = mom.join(med, on=keys, how="left")
 
     def rnd(c):
         return F.round(F.col(c), decimals).alias(c) if decimals is not None else F.col(c)

@@ -47,10 +47,12 @@ def test_profile_small_and_constant_columns(spark):
     assert got["one"]["median"] == 1.0 and got["one"]["std"] is None
 
 
-@pytest.mark.parametrize("probs", [(0.5,), (0.1, 0.25, 0.75, 0.9)])
-def test_order_statistics_grouped_matches_numpy(parts, probs):
+@pytest.mark.parametrize("probs,limit", [((0.5,), 50_000), ((0.1, 0.25, 0.75, 0.9), 50_000),
+                                         ((0.5,), 10), ((0.1, 0.25, 0.75, 0.9), 90)])
+def test_order_statistics_grouped_matches_numpy(parts, probs, limit):
     pdf, df = parts
-    got = P.order_statistics(df, ["price", "weight"], probs, groups=["region"]).collect()
+    # limit 10: every group takes the refinement path; 90: a mix of both paths
+    got = P.order_statistics(df, ["price", "weight"], probs, groups=["region"], collect_limit=limit).collect()
     assert len(got) == 4 * 2 * len(probs)
     for r in got:
         s = pdf.loc[pdf.region == r["region"], r["column"]].astype(float).values
@@ -59,7 +61,8 @@ def test_order_statistics_grouped_matches_numpy(parts, probs):
 
 def test_order_statistics_with_sketch(parts):
     pdf, df = parts
-    got = {r["column"]: r["value"] for r in P.order_statistics(df, ["price", "weight"], (0.5,), sketch=True).collect()}
+    got = {r["column"]: r["value"] for r in P.order_statistics(df, ["price", "weight"], (0.5,), sketch=True,
+                                                                 collect_limit=10, accuracy=100).collect()}
     for c in ["price", "weight"]:
         assert got[c] == pytest.approx(float(pdf[c].median()), rel=1e-12)
 
