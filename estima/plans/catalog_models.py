@@ -145,8 +145,30 @@ def lasso_q(spark, base):
     return spark.createDataFrame(_terms(m), "term string, value double")
 
 
-@q("train_expert")
+@q("train_expert", "WITH " + S.RIDGE_LI + f"""
+SELECT 0 AS slot, 'l_extendedprice' AS slot_name, 'l_extendedprice' AS feature, CAST(NULL AS VARCHAR) AS category,
+       {S.rs('b1')} AS weight FROM cf""")
 def train_expert_q(spark, base):
+    from estima.operators.training import train_expert
+    tr = lineitem_frame(spark, base).where(~F.col("is_test"))
+    _, weights = train_expert(tr, ["l_extendedprice"], "charge", "ridge")
+    return rsig(weights, "weight")
+
+
+@q("train_auto")
+def train_auto_q(spark, base):
+    from estima.operators.training import train_auto
+    lf = lineitem_frame(spark, base)
+    tr = lf.where(~F.col("is_test")).select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "charge").repartition(8)
+    model, chosen, _ = train_auto(tr, "charge", 2, rank_params={"n_estimators": 10, "max_depth": 6},
+                                  n_estimators=20, max_depth=8)
+    preds = R.predict(model, lf.where(F.col("is_test")))
+    return V.quality_grade(V.metrics(preds, "charge")).select(
+        "n", "mae", "r2", "p_value", "score", "grade", F.lit(",".join(chosen)).alias("features"))
+
+
+@q("train_plan")
+def train_plan_q(spark, base):
     from estima.plans.train import train
     lf = lineitem_frame(spark, base).drop("is_test")
     res = train(lf, "charge", LI_KEY, features=["l_extendedprice", "l_discount", "l_returnflag"],
@@ -154,13 +176,17 @@ def train_expert_q(spark, base):
     return res.metrics.select("n", "mae", "r2", "p_value", "score", "grade")
 
 
-@q("train_auto")
-def train_auto_q(spark, base):
-    from estima.plans.train import train
-    lf = lineitem_frame(spark, base).drop("is_test")
-    res = train(lf.select(*LI_KEY, "l_quantity", "l_extendedprice", "l_discount", "l_tax", "charge"), "charge", LI_KEY,
-                rank_trees=10, rank_depth=6, n_estimators=20, max_depth=8)
-    return res.metrics.select("n", "mae", "r2", "p_value", "score", "grade", F.lit(",".join(res.features)).alias("features"))
+_LASSO1 = "WITH " + S.RIDGE_LI + f""",
+lc AS (SELECT cf.b0, st.cxy / st.sx AS c FROM st, cf)
+SELECT 'intercept' AS term, {S.rs('b0', 4)} AS value FROM lc
+UNION ALL SELECT 'l_extendedprice', {S.rs('sign(c) * greatest(abs(c) - 100e0, 0e0)', 4)} FROM lc"""
+
+
+@q("lasso_single", _LASSO1)
+def lasso_single_q(spark, base):
+    tr = lineitem_frame(spark, base).where(~F.col("is_test"))
+    m = pipeline_fit(tr, ["l_extendedprice"], "charge", "lasso", alpha=100.0)
+    return rsig(spark.createDataFrame(_terms(m), "term string, value double"), "value", digits=4)
 
 
 # ----------------------------------------------------------------- weights & importance

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from estima.operators import evaluate as ev
 from estima.operators.columns import split_roles, validate_columns
-from estima.operators.importance import named_weights, rank_features
-from estima.operators.models import ALIASES, complete_rows, pipeline_fit
+from estima.operators.importance import rank_features
+from estima.operators.models import ALIASES, complete_rows
 from estima.operators.profile import high_variation, no_variation
 from estima.operators.quality import check_empty
 from estima.operators.score import predict
 from estima.operators.split import split_train_test
+from estima.operators.training import train_expert
 from estima.sources.registry import default_model_dir, model_metadata, model_save
 
 
@@ -84,11 +85,10 @@ def train(df: DataFrame, target: str, key_cols: Sequence[str], features: Sequenc
             features = [r["feature"] for r in ranking.limit(min(k, len(candidates))).collect()]
     features = validate_columns(data, list(features))
     model_params = {p: v for p, v in params.items() if p not in ("rank_depth", "rank_trees")}
-    model = pipeline_fit(train_df, features, target, algorithm, **model_params)
+    model, weights = train_expert(train_df, features, target, algorithm, **model_params)
     test_df = complete_rows(data.where(F.col("is_test")), [*features, target])
     preds = predict(model, test_df.select(*key_cols, *features, target))
     metrics = ev.significance_notes(ev.metrics(preds, target))
-    weights = named_weights(model, df.sparkSession)
     return TrainResult(model=model, algorithm=algorithm, features=list(features), target=target,
                        metrics=metrics, flags=flags, weights=weights, ranking=ranking, predictions=preds,
                        extra={"data": data})
