@@ -104,13 +104,13 @@ def one_hot(df: DataFrame, column: str, key_cols: Sequence[str], fit_on: DataFra
 
     The category table is one row per category; it is broadcast only when its
     size is within ``max_categories`` (checked), else joined by shuffle."""
-    from pyspark.sql import Window
+    from estima.operators.split import sorted_rank
     src = fit_on or df
     cats = (src.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("__cat"))
             .distinct())
     n_cats = cats.count()
-    # a single-partition window is fine here: one row per category
-    cats = cats.withColumn("slot", (F.row_number().over(Window.orderBy("__cat")) - 1).cast("int"))
+    # slot = alphabetical rank of the category, ranked without a single-task sort
+    cats = sorted_rank(cats, "__cat", "slot", n_rows=n_cats)
     if n_cats <= max_categories:
         cats = F.broadcast(cats)
     vals = df.select(*key_cols, F.col(column).cast("string").alias("value"))

@@ -152,3 +152,20 @@ def test_hash_rank_auto_digits(spark):
     df = spark.range(500).withColumn("h", hash_hex(["id"]))
     r = sorted(x["rank"] for x in L.hash_rank(df, "h", tie_cols=["id"]).collect())
     assert r == list(range(1, 501))
+
+
+def test_sorted_rank_distributed(spark):
+    df = spark.range(5000).select(F.format_string("c%05d", (F.col("id") * 7919) % 5000).alias("c"))
+    got = L.sorted_rank(df, "c", "r", rows_per_partition=700).collect()
+    assert sorted((r.r, r.c) for r in got) == [(i, f"c{i:05d}") for i in range(5000)]
+
+
+def test_repartitioning_does_not_change_results(spark):
+    from estima.operators import profile as P
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"k": np.arange(3000), "x": rng.normal(size=3000), "g": rng.choice(list("abc"), 3000)})
+    df = spark.createDataFrame(pdf)
+    a = sorted(P.profile_numeric(df, ["x"], ["g"], decimals=None).collect())
+    b = sorted(P.profile_numeric(df.repartition(11, "k"), ["x"], ["g"], decimals=None).collect())
+    assert [r.median for r in a] == [r.median for r in b] and [r.n for r in a] == [r.n for r in b]
+    assert all(abs(x.mean - y.mean) < 1e-12 and abs(x.std - y.std) < 1e-12 for x, y in zip(a, b))
