@@ -18,6 +18,12 @@ from pyspark.sql import functions as F
 from estima.operators.profile import order_statistics, unpivot
 
 
+def scalars(one_row: DataFrame) -> dict:
+    """Columns of a one-row aggregate as scalar subqueries (no join; Catalyst
+    merges subqueries over the same aggregate into one)."""
+    return {c: one_row.select(c).scalar() for c in one_row.columns}
+
+
 def residuals(df: DataFrame, label: str, prediction: str = "prediction", out_col: str = "residual") -> DataFrame:
     """residual = actual - predicted, row by row (actual and predicted always from
     the same row)."""
@@ -70,17 +76,17 @@ def binned_2d(df: DataFrame, x: str, y: str, bins_x: int = 50, bins_y: int = 50)
                  F.when(sx, F.col("xmx") + 0.5).otherwise(F.col("xmx")).alias("xhi"),
                  F.when(sy, F.col("ymn") - 0.5).otherwise(F.col("ymn")).alias("ylo"),
                  F.when(sy, F.col("ymx") + 0.5).otherwise(F.col("ymx")).alias("yhi"))
-    cells = (pts.crossJoin(F.broadcast(r))  # r: the one-row range aggregate
-             .select(bin_index(F.col("__x"), F.col("xlo"), F.col("xhi"), bins_x).alias("x_bin"),
-                     bin_index(F.col("__y"), F.col("ylo"), F.col("yhi"), bins_y).alias("y_bin"))
+    v = scalars(r)
+    cells = (pts.select(bin_index(F.col("__x"), v["xlo"], v["xhi"], bins_x).alias("x_bin"),
+                        bin_index(F.col("__y"), v["ylo"], v["yhi"], bins_y).alias("y_bin"))
              .groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("count")))
-    wx = (F.col("xhi") - F.col("xlo")) / bins_x
-    wy = (F.col("yhi") - F.col("ylo")) / bins_y
-    return cells.crossJoin(F.broadcast(r)).select(
-        "x_bin", "y_bin", (F.col("xlo") + F.col("x_bin") * wx).alias("x_lo"),
-        (F.col("xlo") + (F.col("x_bin") + 1) * wx).alias("x_hi"),
-        (F.col("ylo") + F.col("y_bin") * wy).alias("y_lo"),
-        (F.col("ylo") + (F.col("y_bin") + 1) * wy).alias("y_hi"), "count")
+    wx = (v["xhi"] - v["xlo"]) / bins_x
+    wy = (v["yhi"] - v["ylo"]) / bins_y
+    return cells.select(
+        "x_bin", "y_bin", (v["xlo"] + F.col("x_bin") * wx).alias("x_lo"),
+        (v["xlo"] + (F.col("x_bin") + 1) * wx).alias("x_hi"),
+        (v["ylo"] + F.col("y_bin") * wy).alias("y_lo"),
+        (v["ylo"] + (F.col("y_bin") + 1) * wy).alias("y_hi"), "count")
 
 
 def actual_vs_predicted(df: DataFrame, label: str, prediction: str = "prediction", bins: int = 50) -> DataFrame:
@@ -129,24 +135,21 @@ def residual_density(df: DataFrame, label: str, prediction: str = "prediction",
     st = r.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"),
                F.stddev_samp("value").alias("sd"))
     st = st.select("n", "mn", "mx", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
-    st = F.broadcast(st)  # one row
+    # four numbers used in two stages: fetched once (one small job), then literals
+    one = st.first()
+    n, mn, mx, bw = (F.lit(one[c]) for c in ("n", "mn", "mx", "bw"))
     # each pre-bin carries its count and mean value (mean, not centre: no first-order error)
-    pb = (r.crossJoin(st)
-          .select(bin_index(F.col("value"), F.col("mn"), F.col("mx"), prebins).alias("b"), "value")
+    pb = (r.select(bin_index(F.col("value"), mn, mx, prebins).alias("b"), "value")
           .groupBy("b").agg(F.count(F.lit(1)).alias("nb"), F.avg("value").alias("c")))
-    step = (F.col("mx") - F.col("mn")) / (grid - 1)
-    pts = (pb.crossJoin(st)
-           .select("nb", "n", "bw", "mn", "mx", "c",
-                   F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
-           .withColumn("x", F.col("mn") + F.col("point") * step))
-    z = (F.col("x") - F.col("c")) / F.col("bw")
+    step = (mx - mn) / (grid - 1)
+    pts = (pb.select("nb", "c", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
+           .withColumn("x", mn + F.col("point") * step))
+    z = (F.col("x") - F.col("c")) / bw
     k = F.col("nb") * F.exp(-0.5 * z * z)
-    dens = (pts.groupBy("point", "x", "n", "bw", "mn", "mx")
-            .agg(F.sum(k).alias("__s"))
-            .select("point", "x", (F.col("__s") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))).alias("density"),
-                    "n", "mn", "mx"))
-    return dens.select("point", "x", "density",
-                       (F.col("density") * F.col("n") * ((F.col("mx") - F.col("mn")) / count_bins)).alias("count"))
+    # the kernel is projected first: aggregates may not take subquery-dependent arguments
+    dens = (pts.withColumn("__k", k).groupBy("point", "x").agg(F.sum("__k").alias("__s"))
+            .select("point", "x", (F.col("__s") / (n * bw * math.sqrt(2 * math.pi))).alias("density")))
+    return dens.select("point", "x", "density", (F.col("density") * n * ((mx - mn) / count_bins)).alias("count"))
 
 
 def residual_vs_predicted(df: DataFrame, label: str, key_cols: Sequence[str],
@@ -154,12 +157,11 @@ def residual_vs_predicted(df: DataFrame, label: str, key_cols: Sequence[str],
     """Residuals against predictions with the least-squares line of residual on
     prediction removed: ``(key..., prediction, residual, fitted, detrended)``."""
     r = residuals(df, label, prediction)
-    line = r.agg(F.regr_slope("residual", prediction).alias("__b"),
-                 F.regr_intercept("residual", prediction).alias("__a"))
-    fitted = F.col("__a") + F.col("__b") * F.col(prediction)
-    return (r.crossJoin(F.broadcast(line))  # line: one row
-            .select(*key_cols, F.col(prediction).alias("prediction"), "residual", fitted.alias("fitted"),
-                    (F.col("residual") - fitted).alias("detrended")))
+    line = scalars(r.agg(F.regr_slope("residual", prediction).alias("b"),
+                         F.regr_intercept("residual", prediction).alias("a")))
+    fitted = line["a"] + line["b"] * F.col(prediction)
+    return r.select(*key_cols, F.col(prediction).alias("prediction"), "residual", fitted.alias("fitted"),
+                    (F.col("residual") - fitted).alias("detrended"))
 
 
 def lowess_trend(df: DataFrame, x: str, y: str, points: int = 100, frac: float = 2.0 / 3.0,
@@ -170,20 +172,19 @@ def lowess_trend(df: DataFrame, x: str, y: str, points: int = 100, frac: float =
     One pass without robustness iterations. Result ``(point, x, trend)``."""
     pts = df.select(F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")) \
         .where(F.col("__x").isNotNull() & F.col("__y").isNotNull())
-    st = F.broadcast(pts.agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("mn"), F.max("__x").alias("mx")))
-    bins = (pts.crossJoin(st)
-            .select(bin_index(F.col("__x"), F.col("mn"), F.col("mx"), prebins).alias("b"), "__x", "__y")
+    v = scalars(pts.agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("mn"), F.max("__x").alias("mx")))
+    n, mn, mx = v["n"], v["mn"], v["mx"]
+    bins = (pts.select(bin_index(F.col("__x"), mn, mx, prebins).alias("b"), "__x", "__y")
             .groupBy("b").agg(F.count(F.lit(1)).alias("nb"), F.sum("__x").alias("sx"), F.sum("__y").alias("sy"),
                               F.sum(F.col("__x") * F.col("__x")).alias("sxx"),
                               F.sum(F.col("__x") * F.col("__y")).alias("sxy")))
-    step = (F.col("mx") - F.col("mn")) / max(points - 1, 1)
-    pairs = (bins.crossJoin(st)
-             .select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-             .withColumn("g", F.col("mn") + F.col("point") * step)
+    step = (mx - mn) / max(points - 1, 1)
+    pairs = (bins.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+             .withColumn("g", mn + F.col("point") * step)
              .withColumn("d", F.abs(F.col("sx") / F.col("nb") - F.col("g"))))
     w_cum = Window.partitionBy("point").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     pairs = pairs.withColumn("cum", F.sum("nb").over(w_cum))
-    radius = (pairs.where(F.col("cum") >= F.ceil(F.col("n") * frac))
+    radius = (pairs.where(F.col("cum") >= F.ceil(n * frac))
               .groupBy("point").agg(F.min("d").alias("h")))
     j = pairs.join(radius, "point")
     u = F.when(F.col("h") > 0, F.col("d") / F.col("h")).otherwise(F.lit(0.0))

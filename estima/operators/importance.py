@@ -168,9 +168,9 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     from estima.operators.evaluate import metrics
     scored = model.transform(permuted)
     drops = metrics(scored, target, "prediction", ["__f", "__r"]).select("__f", "__r", "r2")
-    baseline = metrics(model.transform(base), target).select(F.col("r2").alias("__r2base"))
-    mean_drop = (drops.crossJoin(F.broadcast(baseline))  # baseline: one row
-                 .groupBy("__f").agg(F.avg(F.col("__r2base") - F.col("r2")).alias("importance_mean")))
+    baseline = metrics(model.transform(base), target).select("r2").scalar()
+    mean_drop = (drops.withColumn("__drop", baseline - F.col("r2"))
+                 .groupBy("__f").agg(F.avg("__drop").alias("importance_mean")))
     total = F.sum("importance_mean").over(Window.partitionBy())
     result = mean_drop.select(F.col("__f").alias("feature"), "importance_mean",
                               (F.col("importance_mean") / total).alias("importance"))

@@ -382,10 +382,10 @@ def unique_ratio(df: DataFrame, columns: Sequence[str] | None = None, threshold:
     long = unpivot(df, columns, value_type="string")
     n_distinct = (long.select("column", F.md5("value").alias("h")).distinct()
                   .groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct")))
-    total = df.agg(n_rows.alias("n_rows"))
+    total = df.agg(n_rows).scalar()
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    out = (names.join(n_distinct, "column", "left").crossJoin(F.broadcast(total))
-           .select("column", "n_rows", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct")))
+    out = (names.join(n_distinct, "column", "left")
+           .select("column", total.alias("n_rows"), F.coalesce("n_distinct", F.lit(0)).alias("n_distinct")))
     return out.select("column", "n_rows", "n_distinct",
                       F.when(F.col("n_rows") > 0, F.col("n_distinct") / F.col("n_rows")).alias("ratio")) \
               .withColumn("flagged", F.col("ratio") > F.lit(threshold))
@@ -429,9 +429,8 @@ def value_frequencies(df: DataFrame, column: str) -> DataFrame:
     """``(value, count, frequency)``: relative frequency among non-missing values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")) \
         .agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.col(column)).alias("__total"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        "value", "count", (F.col("count") / F.col("__total")).alias("frequency"))
+    total = df.agg(F.count(F.col(column))).scalar()
+    return counts.select("value", "count", (F.col("count") / total).alias("frequency"))
 
 
 def target_range(df: DataFrame, column: str) -> DataFrame:
