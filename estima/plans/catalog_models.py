@@ -467,3 +467,23 @@ def score_sink_q(spark, base):
     path = scratch(spark, "scored")
     score_sink(R.predict(ridge_lineitem(spark, base), te), path)
     return rsig(spark.read.parquet(path), "prediction")
+
+
+# ----------------------------------------------------------------- streaming
+
+@q("score_stream", _PRED.replace(", l_returnflag, l_linestatus", "").replace(", charge,", ","))
+def score_stream_q(spark, base):
+    """Score lineitem as a file stream (every file the folder holds, then stop)
+    with the fitted ridge; the sink is read back as a table."""
+    from estima.functions.hashing import hash_bucket
+    from estima.streaming import start_scoring
+    schema = scan_table(spark, base, "lineitem").schema
+    # a glob path: the table may be a single file, and a file source wants a folder or a pattern
+    stream = (spark.readStream.schema(schema).parquet(f"{base.rstrip('/')}/lineitem.parque[t]")
+              .where(hash_bucket(LI_KEY, 100) < 20).select(*LI_KEY, "l_extendedprice"))
+    out = scratch(spark, "stream-out")
+    q_ = start_scoring(ridge_lineitem(spark, base), stream, out, available_now=True)
+    q_.awaitTermination()
+    if q_.exception() is not None:
+        raise RuntimeError(str(q_.exception()))
+    return rsig(spark.read.parquet(out), "prediction")

@@ -42,6 +42,12 @@ class TrainResult:
         r2 = self.metrics.first()["r2"]
         return model_metadata(self.metrics.sparkSession, self.algorithm, self.features, self.target, r2)
 
+    def release(self) -> None:
+        """Unpersist the split input kept for the lazy tables of this result."""
+        data = self.extra.get("data")
+        if data is not None:
+            data.unpersist()
+
     def save(self, base_dir: str, path: str | None = None) -> str:
         path = path or default_model_dir(base_dir, self.algorithm, self.target)
         return model_save(self.model, self.metadata(), path)
