@@ -128,3 +128,15 @@ def test_permutation_importance_ranks_signal(table):
     imp = {r["feature"]: r for r in I.permutation_importance(m, df, ["Weight", "weight_g"], "Price", ["id"],
                                                              repeats=3).collect()}
     assert imp["Weight"]["importance"] > 0.9 and imp["Weight"]["importance_mean"] > 0.3
+
+
+def test_grid_search_all_models(table):
+    from estima.operators.tuning import grid_search
+    pdf, df = table
+    grids = {"ridge": {"alpha": [0.5, 2.0]}, "xgboost": {"n_estimators": [3, 5]}, "random_forest": {"n_estimators": [3, 6]}}
+    tab, best = grid_search(df, ["Weight", "Size"], "Price", ["id"], grids=grids,
+                            base_params={"xgboost": {"max_depth": 3}, "random_forest": {"max_depth": 4}})
+    rows = tab.collect()
+    assert len(rows) == 6 and sum(r.is_best for r in rows) == 3
+    assert all(r.mean_r2 > 0.5 for r in rows if r.model == "ridge")
+    assert best is not None and "prediction" in best.transform(df).columns
