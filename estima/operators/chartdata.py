@@ -165,38 +165,84 @@ def residual_vs_predicted(df: DataFrame, label: str, key_cols: Sequence[str],
 
 
 def lowess_trend(df: DataFrame, x: str, y: str, points: int = 100, frac: float = 2.0 / 3.0,
-                 prebins: int = 1024) -> DataFrame:
-    """Locally weighted linear trend of ``y`` on ``x`` at ``points`` grid points:
-    tricube weights over the nearest ``frac`` of the rows, computed on pre-binned
-    sums (n, sum x, sum y, sum xx, sum xy per bin), so cost is points x bins.
-    One pass without robustness iterations. Result ``(point, x, trend)``."""
+                 iterations: int = 3, prebins: int = 1024) -> DataFrame:
+    """Robust locally weighted linear trend of ``y`` on ``x`` (the LOWESS of a
+    residual plot: tricube weights over the nearest ``frac`` of the rows,
+    ``iterations`` bisquare robustness passes) at ``points`` grid points.
+
+    Work is on pre-binned sums (count, and robustness-weighted sum w, wx, wy, wxx,
+    wxy per x-bin), so each local fit costs points x bins, not points x rows.
+    Each robustness pass reads the rows once for their residuals against the
+    current trend (interpolated from the grid, shipped as a literal array), takes
+    the exact median |residual| (distributed), and re-bins with the new weights.
+    Result ``(point, x, trend)``."""
     pts = df.select(F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")) \
         .where(F.col("__x").isNotNull() & F.col("__y").isNotNull())
-    v = scalars(pts.agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("mn"), F.max("__x").alias("mx")))
-    n, mn, mx = v["n"], v["mn"], v["mx"]
-    bins = (pts.select(bin_index(F.col("__x"), mn, mx, prebins).alias("b"), "__x", "__y")
-            .groupBy("b").agg(F.count(F.lit(1)).alias("nb"), F.sum("__x").alias("sx"), F.sum("__y").alias("sy"),
-                              F.sum(F.col("__x") * F.col("__x")).alias("sxx"),
-                              F.sum(F.col("__x") * F.col("__y")).alias("sxy")))
-    step = (mx - mn) / max(points - 1, 1)
-    pairs = (bins.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-             .withColumn("g", mn + F.col("point") * step)
-             .withColumn("d", F.abs(F.col("sx") / F.col("nb") - F.col("g"))))
+    one = pts.agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("mn"), F.max("__x").alias("mx")).first()
+    n, mn, mx = one["n"], one["mn"], one["mx"]
+    spark = df.sparkSession
+    if not n:
+        return spark.createDataFrame([], "point int, x double, trend double")
+    step = (mx - mn) / max(points - 1, 1) if mx > mn else 0.0
+    grid = [mn + i * step for i in range(points)]
+    span = (mx - mn) if mx > mn else 1.0
+    xb = F.least(F.floor((F.col("__x") - F.lit(mn)) * (prebins / span)), F.lit(prebins - 1)).cast("int")
+    robust = F.lit(1.0)
+    trend = None
+    for it in range(iterations + 1):
+        if trend is not None:
+            arr = F.array(*[F.lit(float(t)) for t in trend])
+            if step > 0:
+                j = F.least(F.greatest(F.floor((F.col("__x") - F.lit(mn)) / F.lit(step)), F.lit(0)),
+                            F.lit(points - 2)).cast("int")
+                t0, t1 = F.element_at(arr, j + 1), F.element_at(arr, j + 2)
+                yhat = t0 + (t1 - t0) * ((F.col("__x") - (F.lit(mn) + j * F.lit(step))) / F.lit(step))
+            else:
+                yhat = F.element_at(arr, 1)
+            e = F.col("__y") - yhat
+            mad = order_statistics(pts.select(F.abs(e).alias("a")), ["a"], (0.5,)).first()["value"]
+            if not mad:
+                break  # residuals (almost all) zero: the fit is already exact
+            u = e / F.lit(6.0 * mad)
+            robust = F.when(F.abs(u) < 1, F.pow(1 - u * u, 2)).otherwise(F.lit(0.0))
+        binned = (pts.select(xb.alias("b"), "__x", "__y", robust.alias("__r"))
+                  .groupBy("b").agg(F.count(F.lit(1)).alias("nb"), F.avg("__x").alias("cx"),
+                                    F.sum("__r").alias("w"), F.sum(F.col("__r") * F.col("__x")).alias("wx"),
+                                    F.sum(F.col("__r") * F.col("__y")).alias("wy"),
+                                    F.sum(F.col("__r") * F.col("__x") * F.col("__x")).alias("wxx"),
+                                    F.sum(F.col("__r") * F.col("__x") * F.col("__y")).alias("wxy")))
+        trend = _local_fits(binned, grid, n, frac)
+    return spark.createDataFrame([(i, float(g), float(t) if t is not None else None)
+                                  for i, (g, t) in enumerate(zip(grid, trend))],
+                                 "point int, x double, trend double")
+
+
+def _local_fits(binned: DataFrame, grid: list, n: int, frac: float) -> list:
+    """Weighted local linear fits at the grid points over binned sums: the
+    neighbourhood radius is the distance covering ceil(frac n) rows (by count);
+    weights are tricube(distance / radius) times the bins' robustness sums. The
+    grid has a fixed, small size, so the fits come back as a list."""
+    # every bin meets every grid point: the grid is a fixed literal array, exploded per bin
+    gp = F.explode(F.array(*[F.struct(F.lit(i).alias("point"), F.lit(float(v)).alias("g"))
+                             for i, v in enumerate(grid)])).alias("__gp")
+    pairs = (binned.select("*", gp).select("*", "__gp.*").drop("__gp")
+             .withColumn("d", F.abs(F.col("cx") - F.col("g"))))
     w_cum = Window.partitionBy("point").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     pairs = pairs.withColumn("cum", F.sum("nb").over(w_cum))
-    radius = (pairs.where(F.col("cum") >= F.ceil(n * frac))
-              .groupBy("point").agg(F.min("d").alias("h")))
+    k = math.ceil(n * frac)
+    radius = pairs.where(F.col("cum") >= k).groupBy("point").agg(F.min("d").alias("h"))
     j = pairs.join(radius, "point")
     u = F.when(F.col("h") > 0, F.col("d") / F.col("h")).otherwise(F.lit(0.0))
-    w = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
-    s = (j.withColumn("w", w).groupBy("point", "g").agg(
-        F.sum(F.col("w") * F.col("nb")).alias("W"), F.sum(F.col("w") * F.col("sx")).alias("WX"),
-        F.sum(F.col("w") * F.col("sy")).alias("WY"), F.sum(F.col("w") * F.col("sxx")).alias("WXX"),
-        F.sum(F.col("w") * F.col("sxy")).alias("WXY")))
+    t = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
+    s = (j.withColumn("t", t).groupBy("point", "g").agg(
+        F.sum(F.col("t") * F.col("w")).alias("W"), F.sum(F.col("t") * F.col("wx")).alias("WX"),
+        F.sum(F.col("t") * F.col("wy")).alias("WY"), F.sum(F.col("t") * F.col("wxx")).alias("WXX"),
+        F.sum(F.col("t") * F.col("wxy")).alias("WXY")))
     den = F.col("W") * F.col("WXX") - F.col("WX") * F.col("WX")
     slope = F.when(den != 0, (F.col("W") * F.col("WXY") - F.col("WX") * F.col("WY")) / den).otherwise(F.lit(0.0))
-    icpt = (F.col("WY") - slope * F.col("WX")) / F.col("W")
-    return s.select("point", F.col("g").alias("x"), (icpt + slope * F.col("g")).alias("trend"))
+    icpt = F.when(F.col("W") > 0, (F.col("WY") - slope * F.col("WX")) / F.col("W"))
+    fits = {r["point"]: r["trend"] for r in s.select("point", (icpt + slope * F.col("g")).alias("trend")).collect()}
+    return [fits.get(i) for i in range(len(grid))]
 
 
 def performance_report(df: DataFrame, label: str, key_cols: Sequence[str], prediction: str = "prediction",

@@ -82,3 +82,45 @@ def test_entry_and_registry(spark):
     assert df.count() > 0 and "grade" in df.columns
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 80
+
+
+def _np_lowess_grid(x, y, grid, frac=2 / 3, iterations=3):
+    """Brute force of the same robust LOWESS on raw rows (no binning)."""
+    n = len(x)
+    k = int(np.ceil(frac * n))
+    rob = np.ones(n)
+    trend = None
+    for it in range(iterations + 1):
+        if trend is not None:
+            e = y - np.interp(x, grid, trend)
+            mad = np.median(np.abs(e))
+            u = e / (6 * mad)
+            rob = np.where(np.abs(u) < 1, (1 - u ** 2) ** 2, 0.0)
+        out = []
+        for g in grid:
+            d = np.abs(x - g)
+            h = np.sort(d)[k - 1]
+            t = np.where(d / h < 1, (1 - (d / h) ** 3) ** 3, 0.0) * rob
+            W, WX, WY = t.sum(), (t * x).sum(), (t * y).sum()
+            WXX, WXY = (t * x * x).sum(), (t * x * y).sum()
+            den = W * WXX - WX * WX
+            b = (W * WXY - WX * WY) / den if den else 0.0
+            out.append((WY - b * WX) / W + b * g)
+        trend = np.array(out)
+    return trend
+
+
+def test_lowess_close_to_brute_force_and_robust(spark):
+    rng = np.random.default_rng(11)
+    x = rng.uniform(0, 10, 3000)
+    clean = np.sin(x) + rng.normal(0, 0.2, 3000)
+    y = clean.copy()
+    y[::50] += 25.0  # outliers the robustness passes must discount
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    got = D.lowess_trend(df, "x", "y", points=40).orderBy("point").toPandas()
+    grid = got.x.values
+    assert np.allclose(got.trend.values, _np_lowess_grid(x, y, grid), atol=0.03)  # binning error only
+    ref_clean = _np_lowess_grid(x, clean, grid)
+    assert np.abs(got.trend.values - ref_clean).max() < 0.1  # outliers discounted
+    plain = D.lowess_trend(df, "x", "y", points=40, iterations=0).orderBy("point").toPandas()
+    assert np.abs(plain.trend.values - ref_clean).max() > 0.3  # a single pass is pulled up
