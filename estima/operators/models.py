@@ -157,5 +157,10 @@ def regressor_stage(model: PipelineModel):
 
 
 def scoring_model(model: PipelineModel) -> PipelineModel:
-    """The fitted pipeline without the label stage (rows to score have no target)."""
-    return PipelineModel(stages=model.stages[1:])
+    """The fitted pipeline without its label stage, if it has one (rows to score
+    have no target)."""
+    from pyspark.ml.feature import SQLTransformer
+    first = model.stages[0] if model.stages else None
+    if isinstance(first, SQLTransformer) and f"AS `{LABEL_COL}`" in first.getStatement():
+        return PipelineModel(stages=model.stages[1:])
+    return model

@@ -10,14 +10,20 @@ def inline_source(df: DataFrame, request_col: str, feature_types: dict[str, str]
                   keep: list[str] | None = None) -> DataFrame:
     """Parse a column of request strings into one typed column per feature.
 
-    Pairs split on ``,``, name and value on the *first* ``:`` (``str_to_map``);
-    values are ``try_cast`` to the trained Spark types, so a bad number becomes
-    null (and is then reported by ``score_guard``) instead of failing the job.
-    A single request is simply a one-row frame.
+    Pairs split on ``,``; name and value on the *first* ``:``; a name given twice
+    keeps its first value; a pair without ``:`` is ignored. Values are
+    ``try_cast`` to the trained Spark types, so a bad number becomes null (and is
+    then reported by ``score_guard``) instead of failing the job. A single request
+    is simply a one-row frame.
     """
-    m = F.str_to_map(F.col(request_col), F.lit(","), F.lit(":"))
+    pairs = F.transform(
+        F.split(F.col(request_col), ","),
+        lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"),
+                           F.substring(x, F.instr(x, ":") + 1, F.length(x)).alias("v"),
+                           (F.instr(x, ":") > 0).alias("ok")))
     cols = [F.col(k) for k in (keep or [])]
     for name, typ in feature_types.items():
-        v = F.try_element_at(m, F.lit(name))
+        hit = F.filter(pairs, lambda p: p["ok"] & (p["k"] == F.lit(name)))
+        v = F.when(F.size(hit) > 0, hit.getItem(0)["v"])
         cols.append(v.try_cast(typ).alias(name) if typ != "string" else v.alias(name))
     return df.select(*cols)

@@ -98,7 +98,6 @@ def test_inline_scoring_and_guard(spark, model_and_rows):
     direct = R.predict(m, spark.createDataFrame([(3.0, "Large")], "Weight double, Size string")).first().prediction
     assert out[1].prediction == pytest.approx(direct)
     assert out[3].Weight is None
-    parsed = R.inline_source(req, "request", R.feature_types(m), keep=["id"]) if hasattr(R, "inline_source") else None
     from estima.sources.inline import inline_source
     parsed = inline_source(req, "request", R.feature_types(m), keep=["id"])
     probs = sorted((r.id, r.feature, r.problem) for r in R.score_guard(m, parsed, ["id"]).collect())
@@ -169,3 +168,11 @@ def test_repartitioning_does_not_change_results(spark):
     b = sorted(P.profile_numeric(df.repartition(11, "k"), ["x"], ["g"], decimals=None).collect())
     assert [r.median for r in a] == [r.median for r in b] and [r.n for r in a] == [r.n for r in b]
     assert all(abs(x.mean - y.mean) < 1e-12 and abs(x.std - y.std) < 1e-12 for x, y in zip(a, b))
+
+
+
+def test_inline_parsing_edge_cases(spark):
+    from estima.sources.inline import inline_source
+    req = spark.createDataFrame([(1, "a:1,a:2,b:x:y"), (2, "junk,b:,a:3.5"), (3, "")], "id int, r string")
+    got = {r.id: (r.a, r.b) for r in inline_source(req, "r", {"a": "double", "b": "string"}, keep=["id"]).collect()}
+    assert got == {1: (1.0, "x:y"), 2: (3.5, ""), 3: (None, None)}
