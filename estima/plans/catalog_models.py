@@ -113,6 +113,26 @@ def ridge_q(spark, base):
     return rsig(spark.createDataFrame(_terms(m), "term string, value double"), "value")
 
 
+_RIDGE2 = "WITH " + S.LM + f""",
+tr AS (SELECT * FROM lm WHERE NOT is_test),
+st AS (SELECT count(*) AS n, avg(charge) AS my,
+              stddev_pop(l_extendedprice) AS s1, stddev_pop(l_quantity) AS s2,
+              covar_pop(l_extendedprice, l_quantity) AS c12,
+              covar_pop(l_extendedprice, charge) AS c1y, covar_pop(l_quantity, charge) AS c2y FROM tr),
+ne AS (SELECT my, n + 1e0 AS a, n * c12 / (s1 * s2) AS r, n * c1y / s1 AS b1, n * c2y / s2 AS b2 FROM st)
+SELECT 'intercept' AS term, {S.rs('my')} AS value FROM ne
+UNION ALL SELECT 'l_extendedprice', {S.rs('(a * b1 - r * b2) / (a * a - r * r)')} FROM ne
+UNION ALL SELECT 'l_quantity', {S.rs('(a * b2 - r * b1) / (a * a - r * r)')} FROM ne"""
+
+
+@q("ridge_two_features", _RIDGE2)
+def ridge_two_features_q(spark, base):
+    """Ridge on two standardised numeric features: the 2x2 normal equations."""
+    tr = lineitem_frame(spark, base).where(~F.col("is_test"))
+    m = pipeline_fit(tr, ["l_extendedprice", "l_quantity"], "charge", "ridge")
+    return rsig(spark.createDataFrame(_terms(m), "term string, value double"), "value")
+
+
 @q("pipeline_fit")
 def pipeline_fit_q(spark, base):
     tr = lineitem_frame(spark, base).where(~F.col("is_test"))
