@@ -415,11 +415,14 @@ def filter_threshold(stats: DataFrame, stat_col: str, op: str, threshold: float)
 
 def entropy(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Shannon entropy in bits of each column's value frequencies (nulls excluded):
-    H = log2 N - (1/N) sum n log2 n, from one grouped count per (column, value)."""
+    H = log2 N - (1/N) sum n log2 n, from one grouped count per (column, value),
+    partially aggregated map-side (a hot value costs one row per partition)."""
     if columns is None:
         columns = split_roles(df)[1]
     long = unpivot(df, columns, value_type="string")
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    # only counts per distinct value matter: group by the value's md5, a narrow
+    # fixed-size key even for long text
+    counts = long.groupBy("column", F.md5("value").alias("h")).agg(F.count(F.lit(1)).alias("n"))
     agg = counts.groupBy("column").agg(F.sum("n").alias("N"),
                                        F.sum(F.col("n") * F.log2(F.col("n"))).alias("S"))
     return agg.select("column", (F.log2(F.col("N")) - F.col("S") / F.col("N")).alias("entropy"))
