@@ -279,6 +279,11 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None,
         .select(*keys, F.col("value").alias("median"))
     out = mom.join(med, on=keys, how="left")
 
+    if not groups:
+        # every requested column appears, a column without values with n = 0
+        names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+        out = names.join(out, "column", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+
     def rnd(c):
         return F.round(F.col(c), decimals).alias(c) if decimals is not None else F.col(c)
 

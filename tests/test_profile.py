@@ -128,3 +128,9 @@ def test_high_variation_union(spark):
     df = spark.createDataFrame(rows, "i long, spiky double, name string, two string")
     got = {(r["column"], r["rule"]) for r in P.high_variation(df).collect()}
     assert got == {("spiky", "coeff_variation"), ("name", "unique_ratio")}
+
+
+def test_profile_keeps_all_missing_column(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, e double")
+    got = {r["column"]: r for r in P.profile_numeric(df).collect()}
+    assert got["e"]["n"] == 0 and got["e"]["mean"] is None and got["a"]["n"] == 2
