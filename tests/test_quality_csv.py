@@ -83,3 +83,11 @@ def test_infer_types_boolean_and_all_missing(spark):
     df = spark.createDataFrame([("true", None, "1"), ("False", None, "-2"), (None, None, "+3")], "b string, e string, i string")
     got = {r["column"]: r["inferred_type"] for r in CSV.infer_types(df).collect()}
     assert got == {"b": "boolean", "e": "float", "i": "integer"}
+
+
+def test_check_header_folder_and_quotes(spark, tmp_dir):
+    _write(f"{tmp_dir}/many/p1.csv", "a,b,c\n1,2,3\n")
+    _write(f"{tmp_dir}/many/p2.csv", '"a","",c,""\n1,2,3,4\n')
+    got = sorted((r["file_path"].rsplit("/", 1)[-1], r["position"], r["n_columns"])
+                 for r in Q.check_header(spark, f"{tmp_dir}/many", ",").collect())
+    assert got == [("p2.csv", 2, 4), ("p2.csv", 4, 4)]
