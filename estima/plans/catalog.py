@@ -15,10 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estima.functions.stats import round_sig
-from estima.plans import sqltext as S
-from estima.plans.frames import (LI_KEY, doc_labels, lineitem_frame, lineitem_test_predictions, orders_frame,
-                                 ridge_lineitem, ridge_orders)
-from estima.sources.tables import scan_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

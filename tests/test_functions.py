@@ -2,7 +2,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from estima.functions import round_sig, t_test_p_value
 from estima.functions.hashing import hash_bucket

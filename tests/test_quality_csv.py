@@ -1,7 +1,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from estima.operators import quality as Q
 from estima.sources import csv as CSV
