@@ -94,3 +94,14 @@ def append_prediction(scored: DataFrame, original_columns: Sequence[str],
     cols = [c for c in original_columns if not (replace and c == target)]
     out_name = target if (replace and target) else prediction_col
     return scored.select(*cols, F.col(prediction_col).alias(out_name))
+
+
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null matches null (a null group is a group)."""
+    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
+                     *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"__r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from estima.operators.columns import split_roles
+from estima.operators.columns import join_on_keys, split_roles
 
 _MAX_BROADCAST_STATES = 100_000
 
@@ -116,7 +116,7 @@ def order_statistics(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     # small groups: one exact grouped percentile, fully distributed
     small_keys = base.where(F.col("n") <= collect_limit).select(*keys)
     pct = F.percentile(F.col("value"), F.array(*[F.lit(float(p)) for p in probs]))
-    small = (long.join(small_keys, on=keys, how="inner").groupBy(*keys).agg(pct.alias("__q"))
+    small = (join_on_keys(long, small_keys, keys).groupBy(*keys).agg(pct.alias("__q"))
              .select(*keys, F.posexplode("__q").alias("__i", "value"))
              .select(*keys, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1).alias("prob"),
                      "value"))
@@ -124,9 +124,9 @@ def order_statistics(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     # large groups: bounded in number by rows / collect_limit
     large = base.where(F.col("n") > collect_limit)
     if sketch:
-        sk = long.join(large.select(*keys), on=keys).groupBy(*keys).agg(
+        sk = join_on_keys(long, large.select(*keys), keys).groupBy(*keys).agg(
             F.percentile_approx("value", brackets, accuracy).alias("approx"))
-        large = large.join(sk, on=keys, how="left")
+        large = join_on_keys(large, sk, keys, "left")
     large_rows = large.collect()
     if not large_rows:
         return small
@@ -182,7 +182,7 @@ def _refine(spark, long, keys, key_schema, out_schema, base_rows, probs, buckets
         width = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
         bucket = (F.when(v < lo, F.lit(-1))
                   .otherwise(F.least(F.floor((v - lo) / width * buckets), F.lit(buckets - 1)).cast("int")))
-        hist = (long.join(sdf, on=keys, how="inner").where(v <= hi)
+        hist = (join_on_keys(long, sdf, keys).where(v <= hi)
                 .groupBy("__sid", bucket.alias("__b"))
                 .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"))
                 .collect())
@@ -235,7 +235,7 @@ def _resolve_small(long: DataFrame, keys: list[str], small: list) -> None:
                                         T.StructField("__hi", T.DoubleType()),
                                         T.StructField("__sid", T.IntegerType())])
     sdf = F.broadcast(spark.createDataFrame(rows, schema))
-    vals = (long.join(sdf, on=keys).where((F.col("value") >= F.col("__lo")) & (F.col("value") <= F.col("__hi")))
+    vals = (join_on_keys(long, sdf, keys).where((F.col("value") >= F.col("__lo")) & (F.col("value") <= F.col("__hi")))
             .groupBy("__sid").agg(F.sort_array(F.collect_list("value")).alias("vs")).collect())
     by = {r["__sid"]: r["vs"] for r in vals}
     for i, (_k, lst) in enumerate(uniq.items()):
@@ -277,7 +277,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None,
     base = mom.select(*keys, "n", F.col("min").alias("lo"), F.col("max").alias("hi"))
     med = order_statistics(df, columns, (0.5,), groups, base=base) \
         .select(*keys, F.col("value").alias("median"))
-    out = mom.join(med, on=keys, how="left")
+    out = join_on_keys(mom, med, keys, "left")
 
     if not groups:
         # every requested column appears, a column without values with n = 0

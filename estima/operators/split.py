@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from estima.functions.hashing import hash_bucket, hash_hex
+from estima.operators.columns import join_on_keys
 
 
 def split_train_test(df: DataFrame, key_cols: Sequence[str], test_pct: int = 20,
@@ -67,7 +68,7 @@ def hash_rank(df: DataFrame, hash_col: str, partition_cols: Sequence[str] = (),
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*p, b, F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
     w_rn = Window.partitionBy(*p, b).orderBy(F.col(hash_col), *[F.col(c) for c in tie_cols])
-    ranked = with_b.join(offsets, on=[*p, b], how="inner")
+    ranked = join_on_keys(with_b, offsets, [*p, b])  # null partition values form a partition
     return ranked.withColumn(rank_col, (F.col("__off") + F.row_number().over(w_rn)).cast("bigint")) \
                  .drop(b, "__off")
 

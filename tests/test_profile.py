@@ -134,3 +134,13 @@ def test_profile_keeps_all_missing_column(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, e double")
     got = {r["column"]: r for r in P.profile_numeric(df).collect()}
     assert got["e"]["n"] == 0 and got["e"]["mean"] is None and got["a"]["n"] == 2
+
+
+@pytest.mark.parametrize("limit", [50_000, 3])
+def test_null_group_is_a_group(spark, limit):
+    rows = [(None, 1.0), (None, 3.0), (None, 10.0), ("a", 2.0), ("a", 4.0), ("a", 5.0), ("a", 9.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r["value"] for r in P.order_statistics(df, ["x"], (0.5,), groups=["g"], collect_limit=limit).collect()}
+    assert got == {None: 3.0, "a": 4.5}
+    prof = {r["g"]: r["median"] for r in P.profile_numeric(df, ["x"], groups=["g"]).collect()}
+    assert prof == {None: 3.0, "a": 4.5}
