@@ -76,7 +76,9 @@ def binned_2d(df: DataFrame, x: str, y: str, bins_x: int = 50, bins_y: int = 50)
                  F.when(sx, F.col("xmx") + 0.5).otherwise(F.col("xmx")).alias("xhi"),
                  F.when(sy, F.col("ymn") - 0.5).otherwise(F.col("ymn")).alias("ylo"),
                  F.when(sy, F.col("ymx") + 0.5).otherwise(F.col("ymx")).alias("yhi"))
-    v = scalars(r)
+    # four numbers referenced in several expressions: fetched once (one small job)
+    one = r.first()
+    v = {c: F.lit(one[c]) for c in ("xlo", "xhi", "ylo", "yhi")}
     cells = (pts.select(bin_index(F.col("__x"), v["xlo"], v["xhi"], bins_x).alias("x_bin"),
                         bin_index(F.col("__y"), v["ylo"], v["yhi"], bins_y).alias("y_bin"))
              .groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("count")))
