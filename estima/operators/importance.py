@@ -20,9 +20,14 @@ from estima.operators.models import complete_rows, pipeline_fit, regressor_stage
 
 def model_weights(model: PipelineModel, spark) -> DataFrame:
     """``(slot, weight)``: linear coefficients, or tree importances (sum to 1)."""
+    from estima.operators.encode import slot_rows
+    from estima.operators.models import linear_terms
     reg = regressor_stage(model)
-    vec = reg.coefficients if hasattr(reg, "coefficients") else reg.featureImportances
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(vec.toArray())], "slot int, weight double")
+    if hasattr(reg, "featureImportances"):
+        vals = [float(v) for v in reg.featureImportances.toArray()]
+    else:
+        vals = linear_terms(model, len(slot_rows(model)))[1]
+    return spark.createDataFrame(list(enumerate(vals)), "slot int, weight double")
 
 
 def named_weights(model: PipelineModel, spark) -> DataFrame:

@@ -53,16 +53,29 @@ class RidgeRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
         return self.getOrDefault(self.alpha)
 
     def _fit(self, df: DataFrame):
+        from pyspark.ml.feature import VectorSlicer
+        from pyspark.ml.stat import Summarizer
         y = F.col(self.getLabelCol())
-        st = df.agg(F.count(y).alias("n"), F.stddev_pop(y).alias("sy")).first()
+        # one pass: label count and spread, and which slots vary at all
+        st = df.agg(F.count(y).alias("n"), F.stddev_pop(y).alias("sy"),
+                    Summarizer.variance(F.col(self.getFeaturesCol())).alias("var")).first()
         n, sy = st["n"], st["sy"] or 0.0
         reg = self.getAlpha() * sy / n if n else 0.0
         k = _vector_width(df, self.getFeaturesCol())
-        lr = LinearRegression(featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol(),
+        keep = [i for i, v in enumerate(st["var"].toArray()) if v > 0] if st["var"] is not None else []
+        feats = self.getFeaturesCol()
+        slicer = None
+        if 0 < len(keep) < k:
+            # a constant slot gets no penalty in Spark's solver and makes the system
+            # singular; its least-squares weight is 0, so fit on the varying slots only
+            slicer = VectorSlicer(inputCol=feats, outputCol="__varying", indices=keep)
+            df, feats = slicer.transform(df), "__varying"
+        lr = LinearRegression(featuresCol=feats, labelCol=self.getLabelCol(),
                               predictionCol=self.getPredictionCol(), regParam=reg,
                               elasticNetParam=0.0, standardization=False, fitIntercept=True,
-                              solver="normal" if k <= NORMAL_SOLVER_MAX_SLOTS else "l-bfgs")
-        return lr.fit(df)
+                              solver="normal" if len(keep or range(k)) <= NORMAL_SOLVER_MAX_SLOTS else "l-bfgs")
+        model = lr.fit(df)
+        return PipelineModel(stages=[slicer, model]) if slicer is not None else model
 
 
 def _vector_width(df: DataFrame, col: str) -> int:
@@ -156,6 +169,19 @@ def regressor_stage(model: PipelineModel):
     return model.stages[-1]
 
 
+def linear_terms(model: PipelineModel, width: int) -> tuple[float, list[float]]:
+    """Intercept and per-slot coefficients of a fitted linear pipeline (slots
+    dropped as constant in training carry 0)."""
+    reg = regressor_stage(model)
+    if isinstance(reg, PipelineModel):
+        slicer, lr = reg.stages
+        coef = [0.0] * width
+        for i, w in zip(slicer.getIndices(), lr.coefficients.toArray()):
+            coef[i] = float(w)
+        return float(lr.intercept), coef
+    return float(reg.intercept), [float(w) for w in reg.coefficients.toArray()]
+
+
 def scoring_model(model: PipelineModel) -> PipelineModel:
     """The fitted pipeline without its label stage, if it has one (rows to score
     have no target)."""

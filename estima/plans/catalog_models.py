@@ -102,9 +102,10 @@ UNION ALL SELECT 'l_extendedprice', {S.rs('b1')} FROM cf"""
 
 
 def _terms(model):
-    reg = model.stages[-1]
-    return [("intercept", float(reg.intercept))] + [(n, float(w)) for (_, n, _, _), w in
-                                                   zip(E.slot_rows(model), reg.coefficients.toArray())]
+    from estima.operators.models import linear_terms
+    slots = E.slot_rows(model)
+    b0, coef = linear_terms(model, len(slots))
+    return [("intercept", b0)] + [(n, w) for (_, n, _, _), w in zip(slots, coef)]
 
 
 @q("ridge", _RIDGE_TERMS)

@@ -140,3 +140,17 @@ def test_grid_search_all_models(table):
     assert len(rows) == 6 and sum(r.is_best for r in rows) == 3
     assert all(r.mean_r2 > 0.5 for r in rows if r.model == "ridge")
     assert best is not None and "prediction" in best.transform(df).columns
+
+
+def test_ridge_with_constant_slots_is_exact(table, spark):
+    pdf, df = table
+    df2 = df.withColumn("flat", F.lit(3.0)).withColumn("one_cat", F.lit("only"))
+    m = pipeline_fit(df2, ["Weight", "flat", "Size", "one_cat"], "Price", "ridge")
+    X, _ = _design(pdf, ["Weight"], ["Size"])
+    b0, w = _sk_ridge(X, pdf["Price"].values, 1.0)
+    ws = {r.slot_name: r.weight for r in I.named_weights(m, spark).collect()}
+    assert ws["flat"] == 0.0 and ws["one_cat_only"] == 0.0
+    assert ws["Weight"] == pytest.approx(w[0], rel=1e-9)
+    assert [ws[f"Size_{c}"] for c in sorted(pdf["Size"].unique())] == pytest.approx(list(w[1:]), rel=1e-8)
+    p = predict(m, df2).select("prediction").first()[0]
+    assert p == pytest.approx(predict(pipeline_fit(df, ["Weight", "Size"], "Price", "ridge"), df).select("prediction").first()[0], rel=1e-9)
