@@ -154,3 +154,18 @@ def test_ridge_with_constant_slots_is_exact(table, spark):
     assert [ws[f"Size_{c}"] for c in sorted(pdf["Size"].unique())] == pytest.approx(list(w[1:]), rel=1e-8)
     p = predict(m, df2).select("prediction").first()[0]
     assert p == pytest.approx(predict(pipeline_fit(df, ["Weight", "Size"], "Price", "ridge"), df).select("prediction").first()[0], rel=1e-9)
+
+
+def test_boolean_feature_and_lookalike_names(spark):
+    from estima.operators.columns import column_roles
+    rows = [(i, i % 2 == 0, ["S", "M_L"][i % 2], ["x", "y", "z"][i % 3], 1.0 + (i % 2) + 0.1 * (i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, flag boolean, Size string, Size2 string, Price double")
+    roles = {r.column: r.role for r in column_roles(df).collect()}
+    assert roles["flag"] == "categorical" and roles["Size2"] == "categorical"
+    m = pipeline_fit(df, ["flag", "Size", "Size2"], "Price", "ridge")
+    slots = [(r[2], r[3]) for r in E.slot_rows(m)]
+    assert slots == [("flag", "false"), ("flag", "true"), ("Size", "M_L"), ("Size", "S"),
+                     ("Size2", "x"), ("Size2", "y"), ("Size2", "z")]
+    imp = {r.feature: r.importance for r in I.importance_by_feature(
+        I.named_weights(m, spark).withColumn("weight", F.abs("weight"))).collect()}
+    assert set(imp) == {"flag", "Size", "Size2"}

@@ -90,3 +90,9 @@ def test_check_header_folder_and_quotes(spark, tmp_dir):
     got = sorted((r["file_path"].rsplit("/", 1)[-1], r["position"], r["n_columns"])
                  for r in Q.check_header(spark, f"{tmp_dir}/many", ",").collect())
     assert got == [("p2.csv", 2, 4), ("p2.csv", 4, 4)]
+
+
+def test_check_readable_unterminated_quote(spark, tmp_dir):
+    p = _write(f"{tmp_dir}/q.csv", 'a,b,c\n1,"x,3\n4,5,6\n')
+    r = Q.check_readable(spark, p, sep=",").first()
+    assert r["n_malformed"] >= 1
