@@ -2,9 +2,10 @@
 
 A scatter of millions of points is not drawable; every chart here is a grouped
 count or a curve on a fixed grid, computed by Spark, so its size is bounded by
-the number of bins, not rows. Bin edges come from one min/max aggregate that is
-joined back (one row per column), keeping the arithmetic identical wherever it is
-evaluated.
+the number of bins, not rows. Bin edges come from one min/max aggregate: joined
+back by column for stacked histograms (one row per column), or fetched once as
+literals (a one-row result) where a chart uses them in several places; scalar
+subqueries where they are used once.
 """
 
 from __future__ import annotations

@@ -6,9 +6,10 @@ Everything here is a handful of aggregates over the data:
   aggregation map-side, one tiny shuffle);
 * distinct counts use an unpivot to ``(column, value-hash)`` pairs and one
   grouped distinct, instead of k ``countDistinct`` (which plans an ``Expand`` by k);
-* exact quantiles (median, quartiles) use histogram refinement: a few grouped
-  passes over the values, each collecting at most ``buckets`` counts per target,
-  never a whole group in one task.
+* exact quantiles (median, quartiles): groups of at most 50,000 values in one
+  grouped ``percentile``; larger groups by histogram refinement (a few grouped
+  passes, each bringing at most ``buckets`` counts per target to the driver);
+  never a whole large group in one task.
 """
 
 from __future__ import annotations
