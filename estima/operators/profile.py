@@ -250,7 +250,7 @@ def _resolve_small(long: DataFrame, keys: list[str], small: list) -> None:
 # --------------------------------------------------------------------------- profile
 
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None,
-                    groups: Sequence[str] = (), decimals: int | None = 4) -> DataFrame:
+                    groups: Sequence[str] = (), decimals: int | None = 4, sketch: bool = False) -> DataFrame:
     """min, max, mean, median, std (n-1), skewness (G1), excess kurtosis (G2) per
     numeric column (and group); nulls/NaN skipped; mean..kurtosis rounded to
     ``decimals`` places as in the reference's report (``None``: unrounded).
@@ -276,7 +276,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None,
     ensure_checkpoint_dir(df.sparkSession)
     mom = mom.checkpoint(eager=True)
     base = mom.select(*keys, "n", F.col("min").alias("lo"), F.col("max").alias("hi"))
-    med = order_statistics(df, columns, (0.5,), groups, base=base) \
+    med = order_statistics(df, columns, (0.5,), groups, base=base, sketch=sketch) \
         .select(*keys, F.col("value").alias("median"))
     out = join_on_keys(mom, med, keys, "left")
 
@@ -303,9 +303,9 @@ def skew_kurt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def grouped_profile(df: DataFrame, groups: Sequence[str], columns: Sequence[str] | None = None,
-                    decimals: int | None = 4) -> DataFrame:
+                    decimals: int | None = 4, sketch: bool = False) -> DataFrame:
     """``profile_numeric`` per group of categorical columns."""
-    return profile_numeric(df, columns, groups, decimals)
+    return profile_numeric(df, columns, groups, decimals, sketch)
 
 
 # --------------------------------------------------------------------------- screening

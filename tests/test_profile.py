@@ -144,3 +144,10 @@ def test_null_group_is_a_group(spark, limit):
     assert got == {None: 3.0, "a": 4.5}
     prof = {r["g"]: r["median"] for r in P.profile_numeric(df, ["x"], groups=["g"]).collect()}
     assert prof == {None: 3.0, "a": 4.5}
+
+
+def test_profile_with_sketch_same_medians(parts):
+    pdf, df = parts
+    a = {r["column"]: r["median"] for r in P.profile_numeric(df, ["price", "weight"], decimals=None).collect()}
+    b = {r["column"]: r["median"] for r in P.profile_numeric(df, ["price", "weight"], decimals=None, sketch=True).collect()}
+    assert a == b
