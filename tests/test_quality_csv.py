@@ -96,3 +96,12 @@ def test_check_readable_unterminated_quote(spark, tmp_dir):
     p = _write(f"{tmp_dir}/q.csv", 'a,b,c\n1,"x,3\n4,5,6\n')
     r = Q.check_readable(spark, p, sep=",").first()
     assert r["n_malformed"] >= 1
+
+
+def test_check_header_gzip(spark, tmp_dir):
+    import gzip
+    os.makedirs(f"{tmp_dir}/gz", exist_ok=True)
+    with gzip.open(f"{tmp_dir}/gz/a.csv.gz", "wt") as f:
+        f.write("x,,z\n1,2,3\n")
+    got = [(r["position"], r["n_columns"]) for r in Q.check_header(spark, f"{tmp_dir}/gz", ",").collect()]
+    assert got == [(2, 3)]
