@@ -41,12 +41,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by the operator and must be on shared storage;
-    it is only invented here (under a fresh temp folder) when nothing is set,
-    which is the local-test case.
+    it is only invented here (under a fresh temp folder) for a ``local`` master,
+    which is the test case. Off ``local`` a missing setting raises: a temp folder of
+    the driver would not be seen by the executors.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="estima-ckpt-")
         sc.setCheckpointDir(d)
     elif not sc.getCheckpointDir():
