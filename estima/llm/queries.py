@@ -24,3 +24,21 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes, equal texts together."""
     from estima.llm.sharding import shard_documents
     return shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
+ORACLE["op3_warc"] = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, url, octet_length(encode(body)) AS n, sha1(body) AS digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS top FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to, url AS target_uri
+FROM m
+"""
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, equal payloads as revisits, read back by byte ranges."""
+    from estima.llm.warc import round_trip
+    return round_trip(table(spark, sf_dir, "pages"))
