@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from estima.session import ensure_checkpoint_dir
@@ -63,27 +63,28 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, rows: int, count: s
     return there.unionByName(cold.select(*left.columns, *extra))
 
 
-def numbered(df: DataFrame, groups: list[str], name: str) -> DataFrame:
-    """Adds ``name``: 0, 1, 2, ... gapless within each combination of ``groups``.
+def numbered(df: DataFrame, groups: list[str], name: str, weight: str | None = None) -> DataFrame:
+    """Adds ``name``: 0, 1, 2, ... gapless within each combination of ``groups``; with
+    ``weight`` (a column of whole numbers), the sum of the weights before the row.
 
     ``df`` must be a written table with a column ``__row`` that ``monotonically_increasing_id``
     gave at the write: its upper bits are the number of the task that wrote the row. Rows are
     numbered per task and group, then shifted by what earlier tasks hold of the group, so no
     window is larger than one task's rows even when one group holds most of the table.
     """
-    from pyspark.sql import Window
-
-    part = df.withColumn("__part", F.shiftright("__row", 33))
-    counts = part.groupBy("__part", *groups).agg(F.count("*").alias("__n"))
+    one = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    part = df.withColumn("__part", F.shiftright("__row", 33)).withColumn("__w", one)
+    counts = part.groupBy("__part", *groups).agg(F.sum("__w").alias("__n"))
     # chunks of tasks bound the window over tasks as well: first within a chunk, then over chunks
     counts = counts.withColumn("__chunk", F.floor(F.col("__part") / 256))
-    inner = Window.partitionBy(*groups, "__chunk").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = (Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*groups, "__chunk").orderBy("__part").rowsBetween(*before)
     chunks = counts.groupBy(*groups, "__chunk").agg(F.sum("__n").alias("__m"))
-    outer = Window.partitionBy(*groups).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*groups, F.lit(0)).orderBy("__chunk").rowsBetween(*before)
     chunks = chunks.withColumn("__before", F.coalesce(F.sum("__m").over(outer), F.lit(0))).drop("__m")
     offsets = counts.withColumn("__in", F.coalesce(F.sum("__n").over(inner), F.lit(0))).join(
         chunks, [*groups, "__chunk"]).select("__part", *groups, (F.col("__in") + F.col("__before")).alias("__first"))
-    own = Window.partitionBy("__part", *groups).orderBy("__row")
-    ranked = part.withColumn("__k", F.row_number().over(own) - 1)
+    own = Window.partitionBy("__part", *groups).orderBy("__row").rowsBetween(*before)
+    ranked = part.withColumn("__k", F.coalesce(F.sum("__w").over(own), F.lit(0)))
     return ranked.join(offsets, ["__part", *groups]).withColumn(
-        name, (F.col("__k") + F.col("__first")).cast("long")).drop("__part", "__k", "__first")
+        name, (F.col("__k") + F.col("__first")).cast("long")).drop("__part", "__k", "__first", "__w")

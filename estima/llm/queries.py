@@ -42,3 +42,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records, equal payloads as revisits, read back by byte ranges."""
     from estima.llm.warc import round_trip
     return round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 1024 ids."""
+    from estima.llm.packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"))
