@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,3 +50,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 1024 ids."""
     from estima.llm.packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def held_out(modulus: int, held: int):
+    from estima.llm.common import crc32_text
+    return crc32_text(F.col("doc_id")) % modulus == held
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of being toxic; labels of crc32 mod 5 = 0 are held out."""
+    from estima.llm.toxicity import score_documents, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = train(docs, table(spark, sf_dir, "labels"), modulus=5, held=0)
+    return score_documents(docs, machine).select(
+        "doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
