@@ -65,3 +65,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = train(docs, table(spark, sf_dir, "labels"), modulus=5, held=0)
     return score_documents(docs, machine).select(
         "doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of being good; labels of crc32 mod 3 = 1 are held out."""
+    from estima.llm.quality import score_documents, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors, net = train(docs, table(spark, sf_dir, "labels"), modulus=3, held=1)
+    return score_documents(docs, vectors, net).select(
+        "doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
