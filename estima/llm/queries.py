@@ -75,3 +75,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, net = train(docs, table(spark, sf_dir, "labels"), modulus=3, held=1)
     return score_documents(docs, vectors, net).select(
         "doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate class (weighted Jaccard of five-word shingles >= 0.8)."""
+    from estima.llm.minhash import duplicate_classes
+    found = duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
