@@ -83,3 +83,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estima.llm.minhash import duplicate_classes
     found = duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+@query
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every 50th vector, by an inverted multi-index."""
+    from estima.llm.neighbours import nearest_neighbours
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), every=50, k=5)
