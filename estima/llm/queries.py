@@ -90,3 +90,10 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors of every 50th vector, by an inverted multi-index."""
     from estima.llm.neighbours import nearest_neighbours
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@query
+def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links (cosine >= 0.93 within its label) and component."""
+    from estima.llm.embed_dedup import duplicate_vectors
+    return duplicate_vectors(table(spark, sf_dir, "embeddings"))
