@@ -27,7 +27,6 @@ are scored each; an empty table gives no rows. Extra columns are kept by :func:`
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -123,6 +122,8 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     lw, lh, lv = np.concatenate(lw), np.concatenate(lh), np.concatenate(lv)
     order = np.argsort(lh, kind="stable")
     lw, lh, lv = lw[order], lh[order], lv[order]
+    if len(words) > 4000:  # a bounded table of products at a time
+        return np.concatenate([kernel(words[a:a + 4000], landmarks) for a in range(0, len(words), 4000)])
     m, out = len(landmarks), np.zeros(len(words) * len(landmarks))
     for w, h, v in subsequences(words):
         lo, n = np.searchsorted(lh, h), np.searchsorted(lh, h, side="right")
@@ -131,21 +132,26 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
         n, lo = n[hit], lo[hit]
         j = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         out += np.bincount(np.repeat(w[hit].astype(np.int64), n) * m + lw[j], weights=v * lv[j], minlength=len(out))
-    return out.reshape(len(words), m) / _norms(words)[:, None] / _norms(landmarks)[None, :]
+    return (out.reshape(len(words), m) / _norms(words)[:, None] / _norms(landmarks)[None, :]).astype(np.float32)
 
 
 # ---- training ------------------------------------------------------------------------
 
 def squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4.0, rounds: int = 30) -> np.ndarray:
     """Weights and bias (last) of a linear squared-hinge SVM by Newton's method."""
-    x = np.hstack([z, np.ones((len(z), 1))])
+    x = np.hstack([z, np.ones((len(z), 1), z.dtype)])
     keep = np.eye(x.shape[1])
     keep[-1, -1] = 1e-3
     w = np.zeros(x.shape[1])
     active = np.ones(len(y), bool)
     for _ in range(rounds):
-        xa, ca = x[active], c * weight[active]
-        w = np.linalg.solve(keep + (xa * ca[:, None]).T @ xa, xa.T @ (ca * y[active]))
+        h, g = keep.copy(), np.zeros(x.shape[1])
+        for a in range(0, len(x), 4096):  # in double precision, a bounded number of rows at a time
+            i = np.flatnonzero(active[a:a + 4096]) + a
+            xa, ca = x[i].astype(float), c * weight[i]
+            h += (xa * ca[:, None]).T @ xa
+            g += xa.T @ (ca * y[i])
+        w = np.linalg.solve(h, g)
         now = y * (x @ w) < 1
         if (now == active).all():
             break
@@ -225,16 +231,21 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Machine(np.zeros(1 << TABLE_BITS, np.float32), FLOOR, 0.0, 0.0, float(y.mean()) if len(y) else 0.0)
-    every = [sentences_of(t) for t in texts]
+    # documents as sentences of word numbers: each word is kept once, whatever the sample's size
+    number: dict[str, int] = {}
+    every = [[np.fromiter((number.setdefault(w, len(number)) for w in sorted(s)), np.int32, len(s)) for s in sentences_of(t)] for t in texts]
+    vocabulary = list(number)
     # every fourth document only calibrates: its words are new to the machine
     fold = np.arange(len(texts)) % 4 == 3
     if any(len(set(y[f])) < 2 for f in (fold, ~fold)):
         fold = np.zeros(len(texts), bool)
     bags, labels = [b for b, f in zip(every, fold, strict=True) if not f], y[~fold].astype(int).tolist()
-    toxic: list[set[str]] = [set().union(*b) if b else set() for b, v in zip(bags, labels, strict=True) if v]
-    clean: list[set[str]] = [set().union(*b) if b else set() for b, v in zip(bags, labels, strict=True) if not v]
-    df1, df0 = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
+    whole = lambda b: np.unique(np.concatenate(b)) if b else np.zeros(0, np.int32)
+    toxic = [whole(b) for b, v in zip(bags, labels, strict=True) if v]
+    clean = [whole(b) for b, v in zip(bags, labels, strict=True) if not v]
     n1, n0 = max(1, len(toxic)), max(1, len(clean))
+    df1, df0 = ({vocabulary[i]: int(c) for i, c in zip(*np.unique(np.concatenate([np.zeros(0, np.int32), *d]), return_counts=True), strict=True)}
+                for d in (toxic, clean))
     only = [w for w in _by_hash(list(df1)) if w not in df0]
     # words that many toxic documents and no clean one hold come first, ties by hash
     only.sort(key=lambda w: -df1[w])
@@ -243,42 +254,41 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
     negatives = list(dict.fromkeys(common[: FIT_WORDS // 4] + _by_hash(list(df0))[:FIT_WORDS]))[:FIT_WORDS]
     half = landmarks // 2
     marks = list(dict.fromkeys(positives[:half] + negatives[: half // 2] + _by_hash(negatives)[: landmarks - half]))[:landmarks]
-    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    values, vectors = np.linalg.eigh(kernel(marks, marks).astype(float))
     use = values > 1e-6 * values.max()
-    whiten = vectors[:, use] / np.sqrt(values[use])
+    whiten = (vectors[:, use] / np.sqrt(values[use])).astype(np.float32)
     every1, every0 = list(df1), list(df0)
     machine, spelt = None, {}
     for _ in range(rounds):
         words = positives + negatives
         t = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
         # a word weighs as the share of documents that hold it, each class half in all
-        weight = np.array([(df1[w] or spelt.get(w, 0)) / n1 for w in positives] + [1 / max(1, len(negatives))] * len(negatives))
+        weight = np.array([(df1.get(w) or spelt.get(w, 0)) / n1 for w in positives] + [1 / max(1, len(negatives))] * len(negatives))
         weight[t > 0] /= max(weight[t > 0].sum(), 1e-9)
         weight[t < 0] /= max(weight[t < 0].sum(), 1e-9)
         z = kernel(words, marks) @ whiten
         w = squared_hinge(z, t, weight * len(words) / 2)
         machine = Machine(_table(marks, whiten @ w[:-1]), float(w[-1]), 1.0, 0.0)
-        score1 = dict(zip(every1, machine.margins(every1).tolist(), strict=True))
+        score1 = np.full(len(vocabulary), -np.inf)
+        score1[[number[w] for w in every1]] = machine.margins(every1)
         score0 = machine.margins(every0)
-        # witnesses: in each toxic document the words that score as insults, the best one at least
-        limit = max(0.0, float(np.quantile(score0, 0.999)))
+        # witnesses: in each toxic sentence the words that score as insults, in a document the best one at least
+        limit = max(0.0, float(np.quantile(score0, 0.999))) if len(score0) else 0.0
         chosen: set[str] = set()
         for d in toxic:
-            ranked = sorted(d, key=lambda x: -score1[x])
-            chosen.update(x for i, x in enumerate(ranked[:20]) if x not in df0 and (i == 0 or score1[x] > limit))
-        positives = sorted(chosen, key=lambda x: (-df1[x], x))[:FIT_WORDS]
+            if len(d):
+                chosen.update(w for i in {int(d[np.argmax(score1[d])]), *d[score1[d] > limit].tolist()} if (w := vocabulary[i]) not in df0)
+        positives = sorted(chosen, key=lambda x: (-df1.get(x, 0), x))[:FIT_WORDS]
         # the most frequent insults also in disguise, so that a gap costs less than a clean word's likeness
-        spelt = {v: df1[x] / len(vs) for x in positives[:DISGUISED] for vs in [disguised(x)] for v in vs if v not in df0}
+        spelt = {v: df1.get(x, 0) / len(vs) for x in positives[:DISGUISED] for vs in [disguised(x)] for v in vs if v not in df0}
         positives = list(dict.fromkeys([*positives, *spelt]))
         hard = [every0[i] for i in np.argsort(-score0, kind="stable")[: FIT_WORDS // 2]]
         negatives = list(dict.fromkeys(hard + negatives))[:FIT_WORDS]
         if not positives:
             break
     use = fold if fold.any() else ~fold
-    held = [set().union(*b) if b else set() for b, f in zip(every, use, strict=True) if f]
-    words = list(set().union(*held))
-    of = dict(zip(words, machine.margins(words).tolist(), strict=True))
-    margin = np.array([max(map(of.__getitem__, b), default=FLOOR) for b in held])
+    of = np.append(machine.margins(vocabulary), FLOOR)
+    margin = np.array([max((float(of[x].max()) for x in b), default=FLOOR) for b, f in zip(every, use, strict=True) if f])
     machine.slope, machine.intercept = logistic(np.maximum(margin, FLOOR), y[use])
     return machine
 
