@@ -97,3 +97,10 @@ def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's links (cosine >= 0.93 within its label) and component."""
     from estima.llm.embed_dedup import duplicate_vectors
     return duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base identifiers and those that learned contexts add."""
+    from estima.llm.pii import find_pii
+    return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
