@@ -45,25 +45,38 @@ SHAPES = {
 ROUNDS, CONFIDENCE, SUPPORT, SHRINK = 3, 0.9, 8, 0.5
 
 
-def _positions(text: Column, pattern: str, needs: Column, valid) -> Column:
-    """Valid matches as an array of structs (start, end), end exclusive."""
-    kind = "array<struct<start:int,end:int,hit:string>>"
-    pieces = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(pieces.alias("gap"), matches.alias("hit"))  # one piece more than matches: its hit is null
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["hit"])
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(
-            x["hit"].isNotNull(), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))))
-        ).otherwise(acc["found"]).alias("found"))
-
-    found = F.aggregate(F.when(F.size(matches) > 0, pairs).otherwise(F.slice(pairs, 1, 0)), first, step, lambda acc: acc["found"])
-    found = F.filter(found, lambda x: valid(x["hit"]))
-    return F.when(needs, F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).otherwise(
-        F.array().cast("array<struct<start:int,end:int>>"))
+#: Running sums are taken in blocks of so many matches: an array grows by copying.
+BLOCK = 64
+
+
+def _running(values: Column, start: Column) -> Column:
+    """``start``, start + v1, start + v1 + v2, ...: the sum before each value."""
+    first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, first, lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+                       lambda acc: acc["out"])
+
+
+def _located(docs: DataFrame, text: str, searches: dict[str, tuple[str, Column]]) -> DataFrame:
+    """For each search (name: pattern, condition) a column ``name``: the matches in the column
+    ``text`` as an array of structs (start, hit). Each step is a projection of its own, as its
+    result is used more than once."""
+    none, numbers = F.array().cast("array<string>"), "array<int>"
+    names = list(searches)
+    c = lambda kind, n: F.col(f"__{kind}_{n}")
+    step = lambda df, kind, of: df.select("*", *[of(n).alias(f"__{kind}_{n}") for n in names])
+    out = step(docs, "hit", lambda n: F.when(searches[n][1], F.regexp_extract_all(text, F.lit(searches[n][0]), F.lit(0))).otherwise(none))
+    out = step(out, "gap", lambda n: F.when(F.size(c("hit", n)) > 0, F.transform(F.split(text, searches[n][0], -1), lambda x: F.length(x))).otherwise(
+        F.array().cast(numbers)))
+    out = step(out, "step", lambda n: F.zip_with(c("gap", n), c("hit", n), lambda g, h: g + F.coalesce(F.length(h), F.lit(0))))
+    blocks = lambda n: F.when(F.size(c("hit", n)) > 0, F.transform(
+        F.sequence(F.lit(1), F.size(c("step", n)), F.lit(BLOCK)), lambda i: F.slice(c("step", n), i, BLOCK))).otherwise(F.array().cast("array<array<int>>"))
+    out = step(out, "block", blocks)
+    out = step(out, "from", lambda n: _running(F.transform(c("block", n), lambda b: F.aggregate(b, F.lit(0), lambda x, y: x + y)), F.lit(0)))
+    out = step(out, "at", lambda n: F.flatten(F.zip_with(c("block", n), c("from", n), _running)))
+    found = lambda n: F.zip_with(F.zip_with(c("at", n), c("gap", n), lambda a, g: a + g), c("hit", n),
+                                 lambda a, h: F.struct(a.alias("start"), h.alias("hit")))
+    out = out.select("*", *[F.filter(found(n), lambda x: x["hit"].isNotNull()).alias(n) for n in names])
+    return out.drop(*[f"__{k}_{n}" for k in ("hit", "gap", "step", "block", "from", "at") for n in names])
 
 
 def _digits(c: Column) -> Column:
@@ -84,37 +97,36 @@ def _phone_ok(c: Column) -> Column:
     return F.length(_digits(c)).between(9, 15)
 
 
-def base_spans(text: Column) -> Column:
-    """Array of structs (start, kind, end) in order; kind: its place in KINDS."""
-    has_digit = text.rlike("[0-9]")
-    checks = ((EMAIL, text.contains("@"), lambda c: F.lit(True)), (IP, has_digit, _ip_ok), (CARD, has_digit, _card_ok), (PHONE, text.contains("+"), _phone_ok))
+def _searched(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with ``spans`` (structs start, kind, end of the base identifiers, in order; kind: the
+    place in KINDS) and ``candidates`` (structs before, after, token, start, end)."""
+    t = F.col(text)
+    has_digit = t.rlike("[0-9]")
+    checks = ((EMAIL, t.contains("@"), lambda c: F.lit(True)), (IP, has_digit, _ip_ok), (CARD, has_digit, _card_ok), (PHONE, t.contains("+"), _phone_ok))
+    searches = {f"__k{k}": (pattern, needs) for k, (pattern, needs, _) in enumerate(checks)}
+    got = _located(docs, text, searches | {"__context": (CONTEXT, has_digit | t.contains("@"))})
 
-    def of_kind(k: int):
-        return lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))
+    def spans_of(k: int) -> Column:
+        valid = F.filter(f"__k{k}", lambda x: checks[k][2](x["hit"]))
+        return F.transform(valid, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), (x["start"] + F.length(x["hit"])).alias("end")))
 
-    parts = [F.transform(_positions(text, p, needs, ok), of_kind(k)) for k, (p, needs, ok) in enumerate(checks)]
-    return F.array_sort(F.concat(*parts))
+    def group(i: int) -> Column:
+        return F.when(F.size("__context") > 0, F.regexp_extract_all(t, F.lit(CONTEXT), F.lit(i))).otherwise(F.array().cast("array<string>"))
 
+    got = got.select("*", group(1).alias("__before"), group(2).alias("__token"), group(3).alias("__after"))
+    rows = F.arrays_zip("__context", "__before", "__token", "__after")
 
-def _candidates(text: Column) -> Column:
-    """Array of structs (before, after, token, start, end) of tokens with a digit or an @ that follow a word."""
-    get = lambda i: F.regexp_extract_all(text, F.lit(CONTEXT), F.lit(i))
-    gaps = F.transform(F.split(text, CONTEXT, -1), lambda x: F.length(x))
-    rows = F.arrays_zip(gaps.alias("gap"), get(0).alias("hit"), get(1).alias("before"), get(2).alias("token"), get(3).alias("after"))
-    kind = "array<struct<before:string,after:string,token:string,start:int,end:int>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + x["gap"] + F.length(x["hit"])  # here the token starts
-        core = F.regexp_replace(x["token"], r"^[\"'<\[{]+", "")
-        start = end + F.length(x["token"]) - F.length(core)
+    def candidate(x: Column) -> Column:
+        # the token without opening marks and what ends it
+        core = F.regexp_replace(x["__token"], r"^[\"'<\[{]+", "")
+        start = x["__context"]["start"] + F.length(x["__context"]["hit"]) + F.length(x["__token"]) - F.length(core)
         core = F.regexp_replace(core, r"[^A-Za-z0-9]+$", "")
-        one = F.struct(F.lower(x["before"]).alias("before"), F.lower(x["after"]).alias("after"), core.alias("token"), start.alias("start"),
-                       (start + F.length(core)).alias("end"))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"),
-                        F.when(x["hit"].isNotNull(), F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
+        return F.struct(F.lower(x["__before"]).alias("before"), F.lower(x["__after"]).alias("after"), core.alias("token"), start.alias("start"),
+                        (start + F.length(core)).alias("end"))
 
-    return F.when(text.rlike("[0-9@]"), F.aggregate(rows, first, step, lambda acc: acc["found"])).otherwise(F.array().cast(kind))
+    spans = F.array_sort(F.concat(*[spans_of(k) for k in range(len(KINDS))]))
+    got = got.withColumns({"spans": spans, "candidates": F.transform(rows, candidate)})
+    return got.drop(*searches, "__context", "__before", "__token", "__after")
 
 
 def _edges(found: DataFrame) -> DataFrame:
@@ -173,13 +185,14 @@ def discovered(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFI
     return hit.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", F.col("of").alias("kind"), "end"))).alias("extra"))
 
 
-def _spans(docs: DataFrame, columns: list[Column]) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return written(docs.select(F.monotonically_increasing_id().alias("row"), *columns, base_spans(text).alias("spans"), _candidates(text).alias("candidates")), "pii-spans")
+def _spans(docs: DataFrame, columns: list[Column], keep_text: bool) -> DataFrame:
+    text = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("__text"), *columns)
+    found = _searched(text, "__text")
+    return written(found if keep_text else found.drop("__text"), "pii-spans")
 
 
-def _with_extra(docs: DataFrame, columns: list[Column], rounds: int, confidence: float, support: int) -> DataFrame:
-    found = _spans(docs, columns)
+def _with_extra(docs: DataFrame, columns: list[Column], keep_text: bool, rounds: int, confidence: float, support: int) -> DataFrame:
+    found = _spans(docs, columns, keep_text)
     extra = discovered(found.select("row", "spans", "candidates"), rounds, confidence, support).withColumnRenamed("row", "__row")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     got = found.drop("candidates").join(extra, F.col("row") == F.col("__row"), "left").drop("__row")
@@ -193,7 +206,7 @@ def _written_out(spans: Column) -> Column:
 
 def find_pii(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, counts of base identifiers, base_sha256, spans, n_discovered."""
-    got = _with_extra(docs, [F.col("doc_id")], rounds, confidence, support)
+    got = _with_extra(docs, [F.col("doc_id")], False, rounds, confidence, support)
     every = F.array_sort(F.array_union("spans", "extra"))
     counts = [F.size(F.array_remove(F.transform("spans", lambda s: s["kind"] == F.lit(k)), F.lit(False))).cast("long").alias(f"n_{kind}")
               for k, kind in enumerate(KINDS)]
@@ -204,7 +217,7 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDEN
 def redact(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """``docs`` with every span of its texts replaced by its kind in brackets, n_chars (if there) set anew."""
     names = [F.col(c).alias(f"__in{i}") for i, c in enumerate(docs.columns)]
-    got = _with_extra(docs, [F.col("text").alias("__text"), *names], rounds, confidence, support)
+    got = _with_extra(docs, names, True, rounds, confidence, support)
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("__text")
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
