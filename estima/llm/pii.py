@@ -9,7 +9,7 @@ The base identifiers are the seeds. Every token with a digit or an @ is a candid
 before it, and the words around it, are its patterns. Patterns and candidate surfaces form a
 graph whose edges count co-occurrences. Rounds of grouped sums score it per kind: a pattern is
 as good as the average score of what it surrounds (shrunk by its support), a surface that is
-no seed as good as its best pattern. Tokens that no base match covers, surrounded by a pattern
+no seed as good as its other patterns. Tokens that no base match covers, surrounded by a pattern
 of high confidence and wide support and shaped like its kind, become further spans. Joins on
 patterns stay even when one word stands before a third of all candidates.
 
@@ -99,7 +99,8 @@ def _phone_ok(c: Column) -> Column:
 
 def _searched(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with ``spans`` (structs start, kind, end of the base identifiers, in order; kind: the
-    place in KINDS) and ``candidates`` (structs before, after, token, start, end)."""
+    place in KINDS), ``seeds`` (the same with the text) and ``candidates`` (structs before, after,
+    token, start, end)."""
     t = F.col(text)
     has_digit = t.rlike("[0-9]")
     checks = ((EMAIL, t.contains("@"), lambda c: F.lit(True)), (IP, has_digit, _ip_ok), (CARD, has_digit, _card_ok), (PHONE, t.contains("+"), _phone_ok))
@@ -108,7 +109,8 @@ def _searched(docs: DataFrame, text: str) -> DataFrame:
 
     def spans_of(k: int) -> Column:
         valid = F.filter(f"__k{k}", lambda x: checks[k][2](x["hit"]))
-        return F.transform(valid, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), (x["start"] + F.length(x["hit"])).alias("end")))
+        return F.transform(valid, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), (x["start"] + F.length(x["hit"])).alias("end"),
+                                                     x["hit"].alias("hit")))
 
     def group(i: int) -> Column:
         return F.when(F.size("__context") > 0, F.regexp_extract_all(t, F.lit(CONTEXT), F.lit(i))).otherwise(F.array().cast("array<string>"))
@@ -124,20 +126,22 @@ def _searched(docs: DataFrame, text: str) -> DataFrame:
         return F.struct(F.lower(x["__before"]).alias("before"), F.lower(x["__after"]).alias("after"), core.alias("token"), start.alias("start"),
                         (start + F.length(core)).alias("end"))
 
-    spans = F.array_sort(F.concat(*[spans_of(k) for k in range(len(KINDS))]))
-    got = got.withColumns({"spans": spans, "candidates": F.transform(rows, candidate)})
+    got = got.withColumns({"seeds": F.array_sort(F.concat(*[spans_of(k) for k in range(len(KINDS))])), "candidates": F.transform(rows, candidate)})
+    got = got.withColumn("spans", F.transform("seeds", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     return got.drop(*searches, "__context", "__before", "__token", "__after")
 
 
 def _edges(found: DataFrame) -> DataFrame:
     """Occurrences of candidates: row, token, start, end, kind (of the seed that starts in it, else
     null), covered (a base span overlaps it), pattern."""
-    one = found.where(F.size("candidates") > 0).select("row", "spans", F.explode("candidates").alias("c")).select("row", "spans", "c.*").where("token != ''")
-    overlap = F.filter("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    begins = F.filter("spans", lambda s: (s["start"] >= F.col("start")) & (s["start"] < F.col("end")))
+    one = found.where(F.size("candidates") > 0).select("row", "seeds", F.explode("candidates").alias("c")).select("row", "seeds", "c.*").where("token != ''")
+    overlap = F.filter("seeds", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
+    begins = F.try_element_at(F.filter("seeds", lambda s: (s["start"] >= F.col("start")) & (s["start"] < F.col("end"))), F.lit(1))
     # a token inside an identifier of several words is neither a seed nor free
-    one = one.withColumn("covered", F.size(overlap) > 0).withColumn("kind", F.try_element_at(begins, F.lit(1))["kind"])
-    one = one.where(~F.col("covered") | F.col("kind").isNotNull()).drop("spans")
+    one = one.withColumn("covered", F.size(overlap) > 0).withColumn("__seed", begins).withColumn("kind", F.col("__seed.kind"))
+    # a seed's surface is all of it, not only the token that it starts in
+    one = one.withColumn("token", F.coalesce("__seed.hit", "token"))
+    one = one.where(~F.col("covered") | F.col("kind").isNotNull()).drop("seeds", "__seed")
     patterns = F.array(F.concat(F.col("before"), F.lit("\t")), F.concat(F.col("before"), F.lit("\t"), F.coalesce("after", F.lit(""))))
     return one.withColumn("pattern", F.explode(patterns)).drop("before", "after")
 
@@ -157,13 +161,14 @@ def _scored(edges: DataFrame, rounds: int) -> DataFrame:
         patterns = written(patterns, "pii-patterns")
         if r + 1 == rounds:
             break
-        # the best pattern of a surface; without seeds around it a pattern has nothing to give
-        useful = patterns.where(" OR ".join(f"s{k} >= 0.5" for k in ks)).select("pattern", "m", *[f"s{k}" for k in ks])
-        met = join_unique(graph.where("kind is null").select("pattern", "token"), useful, "pattern", total, "m")
-        best = met.groupBy("token").agg(F.count("*").alias("c"), *[F.max(F.coalesce(f"s{k}", F.lit(0.0))).alias(f"b{k}") for k in ks])
-        best = best.where(" OR ".join(f"b{k} > 0" for k in ks))
-        free = join_unique(graph.where("kind is null").select("pattern", "token", "kind"), best, "token", total, "c")
-        free = free.select("pattern", "token", "kind", *[F.coalesce(f"b{k}", F.lit(0.0)).alias(f"i{k}") for k in ks])
+        # a surface that is no seed is, for one pattern, as good as its other patterns on average: no
+        # pattern confirms itself
+        open_ = graph.where("kind is null").select("pattern", "token", "kind")
+        met = join_unique(open_, patterns.select("pattern", "m", *[f"s{k}" for k in ks]), "pattern", total, "m")
+        sums = met.groupBy("token").agg(F.count("*").alias("c"), F.count("*").alias("met"), *[F.sum(f"s{k}").alias(f"b{k}") for k in ks])
+        met = join_unique(met, sums, "token", total, "c")
+        free = met.select("pattern", "token", "kind", *[
+            F.when(F.col("met") > 1, (F.col(f"b{k}") - F.col(f"s{k}")) / (F.col("met") - 1)).otherwise(0.0).alias(f"i{k}") for k in ks])
         seeded = graph.where("kind is not null").select("pattern", "token", "kind", *[s.alias(f"i{k}") for k, s in zip(ks, seeds, strict=True)])
         own = seeded.unionByName(free)
     return patterns
@@ -171,7 +176,7 @@ def _scored(edges: DataFrame, rounds: int) -> DataFrame:
 
 def discovered(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """Spans that patterns of high confidence add: row, extra (array of structs start, kind, end).
-    ``found``: row, spans, candidates, a written table."""
+    ``found``: row, seeds, candidates, a written table."""
     edges = written(_edges(found), "pii-edges")
     patterns = _scored(edges, rounds)
     good = None
@@ -193,9 +198,9 @@ def _spans(docs: DataFrame, columns: list[Column], keep_text: bool) -> DataFrame
 
 def _with_extra(docs: DataFrame, columns: list[Column], keep_text: bool, rounds: int, confidence: float, support: int) -> DataFrame:
     found = _spans(docs, columns, keep_text)
-    extra = discovered(found.select("row", "spans", "candidates"), rounds, confidence, support).withColumnRenamed("row", "__row")
+    extra = discovered(found.select("row", "seeds", "candidates"), rounds, confidence, support).withColumnRenamed("row", "__row")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    got = found.drop("candidates").join(extra, F.col("row") == F.col("__row"), "left").drop("__row")
+    got = found.drop("candidates", "seeds").join(extra, F.col("row") == F.col("__row"), "left").drop("__row")
     return got.withColumn("extra", F.coalesce("extra", none))
 
 
