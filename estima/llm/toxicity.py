@@ -9,15 +9,15 @@ Training (numpy, on a bounded sample of labelled documents): landmark words give
 map of the kernel; a squared-hinge SVM is fitted on words by multiple-instance rounds over
 labelled sentences. A sentence takes its document's label; words of clean sentences are
 negative, and of a toxic document only the words that the last round scored as insults stay
-positive. A document's margin is its highest sentence's, a sentence's its highest word's.
-A logistic fit turns margins into probabilities.
+positive. Every fourth document is kept out of this; on these a logistic fit turns a document's
+largest word margins and the density of positive ones into a probability.
 
 Scoring: a Nyström SVM is linear in the subsequences of its landmarks, so the fitted machine
 folds into one table from hashed subsequences to weights of fixed size, and a word costs a
 lookup for each of its subsequences, whatever the number of landmarks. Each task scores a
 word once and keeps it in a bounded cache.
 
-Defined cases: a null text scores as the empty text, which has the lowest margin; very long
+Defined cases: a null text scores as the empty text, which has the lowest margins; very long
 words count with all their characters; labels that are null or whose document is missing are
 left out; a document labelled twice is toxic if one label says so; without both classes in
 the sample every score is the share of toxic labels (0 where there is none). Repeated rows
@@ -49,9 +49,13 @@ SAMPLE_BYTES = 32_000
 FIT_WORDS = 12_000
 #: Insults that are also learned with one character put in or replaced.
 DISGUISED = 150
+#: Margin below which even the best word of a toxic document is no witness.
+WITNESS = -0.5
 #: Words in a task's cache.
 CACHE_WORDS = 300_000
-FLOOR = -10.0
+FLOOR = -3.0
+#: Log ratio from which a piece makes its words first positives.
+FAVOUR = 1.2
 
 _SENTENCE = re.compile(r"(?<=[.!?\n])\s+|\n+")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’…–—"
@@ -159,29 +163,38 @@ def squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and intercept of a one-feature logistic fit to softened targets."""
+def summary(margins: np.ndarray) -> np.ndarray:
+    """What a document's word margins say: the largest, the mean of the three largest, and the mean
+    of their positive parts (how dense insults are). Without words: the floor."""
+    if not len(margins):
+        return np.array([FLOOR, FLOOR, 0.0])
+    m = np.clip(margins, FLOOR, -FLOOR)
+    top = np.sort(m)[-3:] if len(m) <= 8 else np.partition(m, len(m) - 3)[-3:]
+    return np.array([m.max(), np.append(top, np.full(3 - len(top), FLOOR / 3)).mean(), 10 * np.maximum(m, 0).sum() / (len(m) + 5)])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Weights and intercept (last) of a logistic fit to softened targets, both classes at equal weight."""
     n1, n0 = y.sum(), (1 - y).sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     weight = np.where(y > 0, 0.5 / max(n1, 1), 0.5 / max(n0, 1)) * len(y)
-    a = np.stack([x, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
+    a = np.hstack([x, np.ones((len(x), 1))])
+    keep = ridge * np.eye(a.shape[1])
+    w = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (weight * (p - t)) + ridge * w
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
-        step = np.linalg.solve(h, g)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + keep, a.T @ (weight * (p - t)) + keep @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 class Machine:
-    """A fitted machine: a table of subsequence weights, a bias and the logistic's numbers."""
+    """A fitted machine: a table of subsequence weights, a bias and the logistic's weights."""
 
-    def __init__(self, table: np.ndarray, bias: float, slope: float, intercept: float, constant: float | None = None):
-        self.table, self.bias, self.slope, self.intercept, self.constant = table, bias, slope, intercept, constant
+    def __init__(self, table: np.ndarray, bias: float, weights: np.ndarray | None = None, constant: float | None = None):
+        self.table, self.bias, self.weights, self.constant = table, bias, weights, constant
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of each word."""
@@ -194,10 +207,11 @@ class Machine:
             out[a:a + 50_000] = total / _norms(part)
         return out + self.bias
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
+    def probability(self, summaries: np.ndarray) -> np.ndarray:
+        """Probability of each document, from its summary."""
         if self.constant is not None:
-            return np.full(len(margin), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.intercept, -500, 500)))
+            return np.full(len(summaries), self.constant)
+        return 1 / (1 + np.exp(-np.clip(summaries @ self.weights[:-1] + self.weights[-1], -500, 500)))
 
 
 def _table(landmarks: list[str], alpha: np.ndarray) -> np.ndarray:
@@ -226,11 +240,33 @@ def disguised(word: str) -> list[str]:
     return out
 
 
+def favoured(words: list[str], toxic: list[np.ndarray], clean: list[np.ndarray]) -> np.ndarray:
+    """For each word the largest log ratio of the shares of toxic and clean documents that hold one
+    of its pieces of four characters; pieces in less than three toxic documents do not count."""
+    marked = ["\x02" + w + "\x03" for w in words]
+    pieces = [[m[i:i + 4] for i in range(max(1, len(m) - 3))] for m in marked]
+    number: dict[str, int] = {}
+    flat = np.fromiter((number.setdefault(p, len(number)) for ps in pieces for p in ps), np.int64)
+    count = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    start = np.cumsum(count) - count
+    df = []
+    for docs in (toxic, clean):
+        total = np.zeros(len(number), np.int64)
+        for d in docs:
+            if len(d):
+                n = count[d]
+                total[np.unique(flat[np.repeat(start[d] - (np.cumsum(n) - n), n) + np.arange(n.sum())])] += 1
+        df.append(total)
+    ratio = np.log((df[0] + 0.5) / (len(toxic) + 1)) - np.log((df[1] + 0.5) / (len(clean) + 1))
+    ratio[df[0] < 3] = 0
+    return np.maximum.reduceat(ratio[flat], start) if len(words) else np.zeros(0)
+
+
 def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 3) -> Machine:
     """Fit on labelled documents (see the module's text)."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
-        return Machine(np.zeros(1 << TABLE_BITS, np.float32), FLOOR, 0.0, 0.0, float(y.mean()) if len(y) else 0.0)
+        return Machine(np.zeros(1 << TABLE_BITS, np.float32), FLOOR, constant=float(y.mean()) if len(y) else 0.0)
     # documents as sentences of word numbers: each word is kept once, whatever the sample's size
     number: dict[str, int] = {}
     every = [[np.fromiter((number.setdefault(w, len(number)) for w in sorted(s)), np.int32, len(s)) for s in sentences_of(t)] for t in texts]
@@ -268,7 +304,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
         weight[t < 0] /= max(weight[t < 0].sum(), 1e-9)
         z = kernel(words, marks) @ whiten
         w = squared_hinge(z, t, weight * len(words) / 2)
-        machine = Machine(_table(marks, whiten @ w[:-1]), float(w[-1]), 1.0, 0.0)
+        machine = Machine(_table(marks, whiten @ w[:-1]), float(w[-1]))
         score1 = np.full(len(vocabulary), -np.inf)
         score1[[number[w] for w in every1]] = machine.margins(every1)
         score0 = machine.margins(every0)
@@ -277,7 +313,8 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
         chosen: set[str] = set()
         for d in toxic:
             if len(d):
-                chosen.update(w for i in {int(d[np.argmax(score1[d])]), *d[score1[d] > limit].tolist()} if (w := vocabulary[i]) not in df0)
+                best = int(d[np.argmax(score1[d])])
+                chosen.update(w for i in {best}.union(d[score1[d] > limit].tolist()) if (w := vocabulary[i]) not in df0)
         positives = sorted(chosen, key=lambda x: (-df1.get(x, 0), x))[:FIT_WORDS]
         # the most frequent insults also in disguise, so that a gap costs less than a clean word's likeness
         spelt = {v: df1.get(x, 0) / len(vs) for x in positives[:DISGUISED] for vs in [disguised(x)] for v in vs if v not in df0}
@@ -287,9 +324,9 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
         if not positives:
             break
     use = fold if fold.any() else ~fold
-    of = np.append(machine.margins(vocabulary), FLOOR)
-    margin = np.array([max((float(of[x].max()) for x in b), default=FLOOR) for b, f in zip(every, use, strict=True) if f])
-    machine.slope, machine.intercept = logistic(np.maximum(margin, FLOOR), y[use])
+    of = machine.margins(vocabulary)
+    rows = np.stack([summary(of[whole(b)]) for b, f in zip(every, use, strict=True) if f])
+    machine.weights = logistic(rows, y[use])
     return machine
 
 
@@ -339,8 +376,8 @@ def scores(machine: Machine):
                 fresh = list(set().union(*bags))
             if fresh:
                 cache.update(zip(fresh, own.margins(fresh).tolist(), strict=True))
-            top = np.array([max(map(cache.__getitem__, b)) if b else FLOOR for b in bags], float)
-            yield pd.Series(own.probability(np.maximum(top, FLOOR)))
+            rows = [summary(np.fromiter(map(cache.__getitem__, b), float, len(b))) for b in bags]
+            yield pd.Series(own.probability(np.stack(rows)) if rows else [], dtype=float)
 
     return score
 
