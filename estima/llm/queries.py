@@ -104,3 +104,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base identifiers and those that learned contexts add."""
     from estima.llm.pii import find_pii
     return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, with inclusion scores."""
+    from estima.llm.segment import sampled_segmentations
+    return sampled_segmentations(table(spark, sf_dir, "documents"), k=2, ids=False)
