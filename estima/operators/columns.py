@@ -98,10 +98,11 @@ def append_prediction(scored: DataFrame, original_columns: Sequence[str],
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where null matches null (a null group is a group)."""
-    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
+    q = ["`" + k.replace("`", "``") + "`" for k in keys]
+    r = right.select(*[F.col(c).alias(f"__key_{i}__") for i, c in enumerate(q)],
+                     *[F.col("`" + c.replace("`", "``") + "`") for c in right.columns if c not in keys])
     cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(r[f"__r_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
+    for i, c in enumerate(q):
+        same = left[c].eqNullSafe(r[f"__key_{i}__"])
+        cond = same if cond is None else cond & same
+    return left.join(r, cond, how).drop(*[f"__key_{i}__" for i in range(len(keys))])

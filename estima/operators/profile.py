@@ -2,22 +2,20 @@
 
 Everything here is a handful of aggregates over the data:
 
-* per-column moments for all numeric columns come from one ``agg`` (partial
-  aggregation map-side, one tiny shuffle);
+* per-column moments of all numeric columns come from one grouped aggregate over the
+  unpivoted ``(column, value)`` form (partial aggregation map-side, one tiny shuffle);
 * distinct counts use an unpivot to ``(column, value-hash)`` pairs and one
   grouped distinct, instead of k ``countDistinct`` (which plans an ``Expand`` by k);
 * exact quantiles (median, quartiles): groups of at most 50,000 values in one
-  grouped ``percentile``; larger groups by histogram refinement (a few grouped
-  passes, each bringing at most ``buckets`` counts per target to the driver);
-  never a whole large group in one task.
+  grouped ``percentile``; larger groups by histogram refinement (at most 7 grouped
+  passes for any data, state kept in DataFrames); never a whole large group in one task.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,194 +61,119 @@ def _nan_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # --------------------------------------------------------------------------- quantiles
 
-def approx_brackets(probs: Sequence[float], accuracy: int) -> list[float]:
-    """Sketch quantiles that bracket each wanted probability (rank error of the
-    sketch is at most n/accuracy, so a margin of 3/accuracy is safe)."""
-    eps = 3.0 / accuracy
-    out = []
-    for p in probs:
-        out += [max(0.0, p - eps), min(1.0, p + eps)]
-    return out
+def _monotone_code(v):
+    """A whole number that rises with the value: sign and binary exponent, with own codes for the
+    infinities and 0. Values of one code (other than 0 and the infinities) are within a factor of
+    two of each other and have one sign."""
+    exponent = F.floor(F.log2(F.abs(v))).cast("int") + 1200
+    return (F.when(v == 0, 0).when(v == float("inf"), 3000).when(v == float("-inf"), -3000)
+            .when(v > 0, exponent).otherwise(-exponent))
+
+
+def _bin_of_rank(hist: DataFrame, targets: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
+    """For each target (keys, rank, below) the bin of ``hist`` (keys, code, n, mn, mx) that holds the
+    rank; a bracket has at most ``buckets`` (or the number of codes) bins."""
+    w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(code).rowsBetween(Window.unboundedPreceding, 0)
+    cum = hist.withColumn("__cum", F.sum("n").over(w))
+    got = join_on_keys(targets, cum, keys)
+    local = F.col("rank") - F.col("below")
+    got = got.where((local >= F.col("__cum") - F.col("n")) & (local < F.col("__cum")))
+    return got.withColumn("below", F.col("below") + F.col("__cum") - F.col("n"))
 
 
 def order_statistics(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.5,),
-                     groups: Sequence[str] = (), buckets: int = 1024, max_passes: int = 64,
-                     collect_limit: int = 50_000, sketch: bool = False, accuracy: int = 10_000,
+                     groups: Sequence[str] = (), buckets: int = 1024, collect_limit: int = 50_000,
                      base: DataFrame | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy/pandas default,
     ``quantile_cont``) per ``(groups, column, prob)``.
 
     Pass 1 (or the caller's ``base`` with ``(groups, column, n, lo, hi)``, one row
-    per group and column): count, min and max per group. The base table is
-    checkpointed to the shared checkpoint folder (read twice, small).
+    per group and column): count, min and max per group.
 
     * Groups with at most ``collect_limit`` values (any number of them) are done
       in one distributed aggregate: Spark's exact ``percentile``, which buffers the
       values of one group, here bounded by ``collect_limit``.
-    * Larger groups (at most rows / ``collect_limit`` of them) go through histogram
-      refinement driven from the driver. Each pass is one grouped aggregate over
-      their values: values below the bracket are counted exactly (bucket -1),
-      values inside are put in ``buckets`` equal-width bins; the bin holding the
-      rank becomes the new bracket, and a bin whose min equals its max resolves
-      it. A bracket holding at most ``collect_limit`` values is fetched and
-      selected directly. With ``sketch=True`` a ``percentile_approx`` sketch
-      brackets the ranks first (a bracket it gets wrong is detected by the exact
-      count and widened to [min, max]); without it brackets start at [min, max]
-      and shrink about ``buckets``-fold per pass.
+    * Larger groups are refined. The first pass bins the values by sign and binary
+      exponent (the infinities have bins of their own); each further pass splits the
+      bracket that holds a wanted rank into ``buckets`` equal bins, whose count, min
+      and max come from one grouped aggregate over the values inside the bracket. A
+      bracket whose min equals its max is the value. Inside one binade doubles are
+      evenly spaced, 2^52 of them, so 7 passes end it for any data. Brackets and
+      their choice stay in DataFrames; the driver reads one number a pass.
 
     No group is ever gathered into one task beyond ``collect_limit`` values.
     """
-    spark = df.sparkSession
     keys = [*groups, "column"]
     long = unpivot(df, columns, groups)
-    brackets = approx_brackets(probs, accuracy)
     if base is None:
         base = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"),
                                        F.max("value").alias("hi"))
     from estima.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    base = base.select(*keys, "n", "lo", "hi").checkpoint(eager=True)
-    key_schema = [df.schema[g] for g in groups] + [T.StructField("column", T.StringType())]
-    out_schema = T.StructType(key_schema + [T.StructField("prob", T.DoubleType()),
-                                            T.StructField("value", T.DoubleType())])
+    ensure_checkpoint_dir(df.sparkSession)
+    base = base.select(*[F.col(_q(k)) for k in keys], "n", "lo", "hi").checkpoint(eager=True)
+    quoted = [F.col(_q(k)) for k in keys]
 
     # small groups: one exact grouped percentile, fully distributed
-    small_keys = base.where(F.col("n") <= collect_limit).select(*keys)
-    pct = F.percentile(F.col("value"), F.array(*[F.lit(float(p)) for p in probs]))
-    small = (join_on_keys(long, small_keys, keys).groupBy(*keys).agg(pct.alias("__q"))
-             .select(*keys, F.posexplode("__q").alias("__i", "value"))
-             .select(*keys, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1).alias("prob"),
-                     "value"))
-
-    # large groups: bounded in number by rows / collect_limit
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    small_keys = base.where(F.col("n") <= collect_limit).select(*quoted)
+    small = (join_on_keys(long, small_keys, keys).groupBy(*quoted).agg(F.percentile(F.col("value"), wanted).alias("__q"))
+             .select(*quoted, F.posexplode("__q").alias("__i", "value"))
+             .select(*quoted, F.element_at(wanted, F.col("__i") + 1).alias("prob"), "value"))
     large = base.where(F.col("n") > collect_limit)
-    if sketch:
-        sk = join_on_keys(long, large.select(*keys), keys).groupBy(*keys).agg(
-            F.percentile_approx("value", brackets, accuracy).alias("approx"))
-        large = join_on_keys(large, sk, keys, "left")
-    large_rows = large.collect()
-    if not large_rows:
+    if large.isEmpty():
         return small
-    return small.unionByName(_refine(spark, long, keys, key_schema, out_schema, large_rows, probs,
-                                     buckets, max_passes, collect_limit))
-
-
-def _refine(spark, long, keys, key_schema, out_schema, base_rows, probs, buckets, max_passes,
-            collect_limit) -> DataFrame:
-    """Histogram refinement for the large groups (see ``order_statistics``)."""
-    base = base_rows
-    targets: dict = {}
-    out_rows = []
-    for r in base:
-        key = tuple(r[k] for k in keys)
-        n = r["n"]
-        if not n:
-            for p in probs:
-                out_rows.append((key, p, None, None, None))
-            continue
-        approx = r["approx"] if "approx" in r.__fields__ else None  # sketch bracket, if any
-        for pi, p in enumerate(probs):
-            h = (n - 1) * p
-            r0 = int(math.floor(h))
-            r1 = min(r0 + 1, n - 1)
-            lo, hi = r["lo"], r["hi"]
-            if approx is not None and approx[2 * pi] is not None:
-                lo, hi = max(lo, approx[2 * pi]), min(hi, approx[2 * pi + 1])
-            for rank in (r0, r1):
-                t = targets.setdefault((key, rank), {"lo": lo, "hi": hi, "min": r["lo"], "max": r["hi"],
-                                                     "value": None, "below": None})
-                t["lo"], t["hi"] = min(t["lo"], lo), max(t["hi"], hi)
-            out_rows.append((key, p, h, r0, r1))
-    for t in targets.values():
-        if t["min"] == t["max"]:
-            t["value"] = t["min"]
-
-    for _ in range(max_passes):
-        open_t = {k: v for k, v in targets.items() if v["value"] is None}
-        if not open_t:
+
+    # the two ranks around each quantile
+    rank = (F.col("n") - 1) * F.col("prob")
+    asked = large.withColumn("prob", F.explode(wanted)).withColumn("__h", rank)
+    asked = asked.select(*quoted, "prob", "__h", F.floor("__h").cast("long").alias("__r0"),
+                         F.least(F.floor("__h").cast("long") + 1, F.col("n") - 1).alias("__r1"))
+    ranks = asked.select(*quoted, F.explode(F.array("__r0", "__r1")).alias("rank")).distinct()
+    found = _refine(long, large, ranks, keys, buckets)
+    at0 = found.select(*quoted, F.col("rank").alias("__r0"), F.col("value").alias("__v0"))
+    at1 = found.select(*quoted, F.col("rank").alias("__r1"), F.col("value").alias("__v1"))
+    got = join_on_keys(join_on_keys(asked, at0, [*keys, "__r0"]), at1, [*keys, "__r1"])
+    # equal neighbours need no interpolation (inf - inf is no number)
+    value = F.when(F.col("__v0") == F.col("__v1"), F.col("__v0")).otherwise(
+        F.col("__v0") + (F.col("__v1") - F.col("__v0")) * (F.col("__h") - F.col("__r0")))
+    return small.unionByName(got.select(*quoted, "prob", value.alias("value")))
+
+
+def _refine(long: DataFrame, large: DataFrame, ranks: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """``(keys, rank, value)`` of the wanted ranks of the large groups (see ``order_statistics``)."""
+    quoted = [F.col(_q(k)) for k in keys]
+    code = join_on_keys(long, large.select(*quoted), keys).groupBy(*quoted, _monotone_code(F.col("value")).alias("__b")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"))
+    targets = _bin_of_rank(code, ranks.withColumn("below", F.lit(0).cast("long")), keys, "__b")
+    targets = targets.select(*quoted, "rank", "below", F.col("mn").alias("__lo"), F.col("mx").alias("__hi")).checkpoint(eager=True)
+    done = []
+    while True:
+        done.append(targets.where(F.col("__lo") == F.col("__hi")).select(*quoted, "rank", F.col("__lo").alias("value")))
+        targets = targets.where(F.col("__lo") < F.col("__hi"))
+        brackets = targets.select(*quoted, "__lo", "__hi").distinct()
+        held = brackets.count()
+        if not held:
             break
-        states: dict = {}
-        for (key, _rank), st in open_t.items():
-            st["sid"] = states.setdefault((key, st["lo"], st["hi"]), len(states))
-        rows = [(*key, lo, hi, sid) for (key, lo, hi), sid in states.items()]
-        schema = T.StructType(key_schema + [T.StructField("__lo", T.DoubleType()),
-                                            T.StructField("__hi", T.DoubleType()),
-                                            T.StructField("__sid", T.IntegerType())])
-        sdf = spark.createDataFrame(rows, schema)
-        if len(rows) <= _MAX_BROADCAST_STATES:  # one row per open bracket: size known
-            sdf = F.broadcast(sdf)
+        if held <= _MAX_BROADCAST_STATES:  # one row per open bracket: size known
+            brackets = F.broadcast(brackets)
         v, lo, hi = F.col("value"), F.col("__lo"), F.col("__hi")
-        width = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-        bucket = (F.when(v < lo, F.lit(-1))
-                  .otherwise(F.least(F.floor((v - lo) / width * buckets), F.lit(buckets - 1)).cast("int")))
-        hist = (join_on_keys(long, sdf, keys).where(v <= hi)
-                .groupBy("__sid", bucket.alias("__b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"))
-                .collect())
-        by_sid: dict[int, list] = {}
-        for hrow in hist:
-            by_sid.setdefault(hrow["__sid"], []).append(hrow)
-        small = []
-        for (key, rank), st in open_t.items():
-            bins = sorted(by_sid.get(st["sid"], []), key=lambda x: x["__b"])
-            below = sum(b["n"] for b in bins if b["__b"] < 0)
-            inside = [b for b in bins if b["__b"] >= 0]
-            local = rank - below
-            if local < 0 or local >= sum(b["n"] for b in inside):
-                st["lo"], st["hi"] = st["min"], st["max"]  # sketch bracket missed: widen
-                continue
-            cum = 0
-            for bn in inside:
-                if local < cum + bn["n"]:
-                    if bn["mn"] == bn["mx"]:
-                        st["value"] = bn["mn"]
-                    else:
-                        st["lo"], st["hi"], st["below"] = bn["mn"], bn["mx"], below + cum
-                        if bn["n"] <= collect_limit:
-                            small.append((key, rank, st))
-                    break
-                cum += bn["n"]
-        if small:
-            _resolve_small(long, keys, small)
-    resolved = {k: v["value"] for k, v in targets.items()}
-    res = []
-    for key, p, h, r0, r1 in out_rows:
-        if h is None:
-            res.append((*key, float(p), None))
-            continue
-        a, b = resolved[(key, r0)], resolved[(key, r1)]
-        val = None if a is None or b is None else a + (b - a) * (h - r0)
-        res.append((*key, float(p), val))
-    return spark.createDataFrame(res, out_schema)
-
-
-def _resolve_small(long: DataFrame, keys: list[str], small: list) -> None:
-    """Fetch the (few) values of small brackets and select ranks on the driver."""
-    spark = long.sparkSession
-    uniq: dict = {}
-    for key, rank, st in small:
-        uniq.setdefault((key, st["lo"], st["hi"]), []).append((rank, st))
-    rows = [(*key, lo, hi, i) for i, (key, lo, hi) in enumerate(uniq)]
-    key_fields = [f for f in long.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + [T.StructField("__lo", T.DoubleType()),
-                                        T.StructField("__hi", T.DoubleType()),
-                                        T.StructField("__sid", T.IntegerType())])
-    sdf = F.broadcast(spark.createDataFrame(rows, schema))
-    vals = (join_on_keys(long, sdf, keys).where((F.col("value") >= F.col("__lo")) & (F.col("value") <= F.col("__hi")))
-            .groupBy("__sid").agg(F.sort_array(F.collect_list("value")).alias("vs")).collect())
-    by = {r["__sid"]: r["vs"] for r in vals}
-    for i, (_k, lst) in enumerate(uniq.items()):
-        vs = by.get(i, [])
-        for rank, st in lst:
-            local = rank - st["below"]
-            if 0 <= local < len(vs):
-                st["value"] = vs[local]
+        # a bracket is of one sign, so its width neither overflows nor vanishes
+        place = F.least(F.floor((v - lo) / (hi - lo) * buckets), F.lit(buckets - 1)).cast("int")
+        state = [*keys, "__lo", "__hi"]
+        hist = (join_on_keys(long, brackets, keys).where((v >= lo) & (v <= hi)).groupBy(*[F.col(_q(k)) for k in state], place.alias("__b"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx")))
+        targets = _bin_of_rank(hist, targets, state, "__b").select(
+            *quoted, "rank", "below", F.col("mn").alias("__lo"), F.col("mx").alias("__hi")).checkpoint(eager=True)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 # --------------------------------------------------------------------------- profile
 
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None,
-                    groups: Sequence[str] = (), decimals: int | None = 4, sketch: bool = False) -> DataFrame:
+                    groups: Sequence[str] = (), decimals: int | None = 4) -> DataFrame:
     """min, max, mean, median, std (n-1), skewness (G1), excess kurtosis (G2) per
     numeric column (and group); nulls/NaN skipped; mean..kurtosis rounded to
     ``decimals`` places as in the reference's report (``None``: unrounded).
@@ -276,7 +199,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None,
     ensure_checkpoint_dir(df.sparkSession)
     mom = mom.checkpoint(eager=True)
     base = mom.select(*keys, "n", F.col("min").alias("lo"), F.col("max").alias("hi"))
-    med = order_statistics(df, columns, (0.5,), groups, base=base, sketch=sketch) \
+    med = order_statistics(df, columns, (0.5,), groups, base=base) \
         .select(*keys, F.col("value").alias("median"))
     out = join_on_keys(mom, med, keys, "left")
 
@@ -303,9 +226,9 @@ def skew_kurt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def grouped_profile(df: DataFrame, groups: Sequence[str], columns: Sequence[str] | None = None,
-                    decimals: int | None = 4, sketch: bool = False) -> DataFrame:
+                    decimals: int | None = 4) -> DataFrame:
     """``profile_numeric`` per group of categorical columns."""
-    return profile_numeric(df, columns, groups, decimals, sketch)
+    return profile_numeric(df, columns, groups, decimals)
 
 
 # --------------------------------------------------------------------------- screening

@@ -59,12 +59,22 @@ def test_order_statistics_grouped_matches_numpy(parts, probs, limit):
         assert r["value"] == pytest.approx(np.percentile(s, r["prob"] * 100), rel=1e-12)
 
 
-def test_order_statistics_with_sketch(parts):
-    pdf, df = parts
-    got = {r["column"]: r["value"] for r in P.order_statistics(df, ["price", "weight"], (0.5,), sketch=True,
-                                                                 collect_limit=10, accuracy=100).collect()}
-    for c in ["price", "weight"]:
-        assert got[c] == pytest.approx(float(pdf[c].median()), rel=1e-12)
+@pytest.mark.parametrize("limit", [0, 50_000])
+def test_order_statistics_of_any_range(spark, limit):
+    inf = float("inf")
+    rng = np.random.default_rng(2)
+    spread = (rng.choice([-1.0, 1.0], 2001) * 10.0 ** rng.uniform(-300, 300, 2001)).tolist()
+    ends = [-inf] * 3 + rng.normal(size=501).tolist() + [inf] * 4 + [5e-324, -5e-324, 0.0, -0.0, 1.7e308, -1.7e308]
+    df = spark.createDataFrame([("a", v) for v in spread] + [("b", v) for v in ends] + [("c", v) for v in [inf] * 5 + [1.0]], "g string, `x.y` double")
+    got = {(r["g"], r["prob"]): r["value"] for r in P.order_statistics(df, ["x.y"], (0.0, 0.3, 0.5, 1.0), ["g"], buckets=16, collect_limit=limit).collect()}
+    for g, vals in (("a", spread), ("b", ends), ("c", [inf] * 5 + [1.0])):
+        ordered = sorted(vals)
+        for p in (0.0, 0.3, 0.5, 1.0):
+            h = (len(vals) - 1) * p
+            lo, hi = ordered[int(h)], ordered[min(int(h) + 1, len(vals) - 1)]
+            want = lo if lo == hi else lo + (hi - lo) * (h - int(h))
+            if want == want and (limit == 0 or abs(want) != inf):
+                assert got[(g, p)] == pytest.approx(want, rel=1e-9, abs=0), (g, p)
 
 
 def test_order_statistics_heavy_ties_and_tiny_buckets(spark):
@@ -144,10 +154,3 @@ def test_null_group_is_a_group(spark, limit):
     assert got == {None: 3.0, "a": 4.5}
     prof = {r["g"]: r["median"] for r in P.profile_numeric(df, ["x"], groups=["g"]).collect()}
     assert prof == {None: 3.0, "a": 4.5}
-
-
-def test_profile_with_sketch_same_medians(parts):
-    pdf, df = parts
-    a = {r["column"]: r["median"] for r in P.profile_numeric(df, ["price", "weight"], decimals=None).collect()}
-    b = {r["column"]: r["median"] for r in P.profile_numeric(df, ["price", "weight"], decimals=None, sketch=True).collect()}
-    assert a == b
