@@ -40,7 +40,7 @@ def metrics(df: DataFrame, label: str, prediction: str = "prediction",
     r2 = 1 - SSE / (n var_pop(y)), not clipped, null for a constant target;
     t: pooled two-sample t of actual vs predicted, dof = 2n - 2."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
-    rows = df.where(y.isNotNull() & p.isNotNull())
+    rows = df.where(y.isNotNull() & p.isNotNull() & ~F.isnan(y) & ~F.isnan(p))
     agg = rows.groupBy(*segments).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(y - p)).alias("mae"),
         F.sum((y - p) * (y - p)).alias("__sse"), F.var_pop(y).alias("__vy"),
@@ -91,7 +91,7 @@ def significance_notes(m: DataFrame) -> DataFrame:
     """Append ``significant`` and the report's notes as an array of text."""
     g = m if "grade" in m.columns else quality_grade(m)
     p = F.col("p_value")
-    sig = p < SIGNIFICANCE
+    sig = F.coalesce(p < SIGNIFICANCE, F.lit(False))  # no p-value: not significant
     notes = F.array_compact(F.array(
         F.when(sig, F.lit(MSG_SIGNIFICANT)),
         *[F.when(~sig, F.lit(t)) for t in MSG_NOT_SIGNIFICANT],

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from estima.functions.tokens import NA_TOKENS
-from estima.sources.csv import sniff_delimiter
+from estima.sources.csv import _lit_name, _number, _q, _reader, headers, sniff_delimiter
 
 
 class QualityError(ValueError):
@@ -28,45 +28,18 @@ def check_empty(df: DataFrame, strict: bool = False) -> DataFrame:
     return out
 
 
-def _header_blanks(sep: str):
-    """mapInPandas body: first line of each listed file, blank cells reported."""
-    def run(batches):
-        import csv
-        import io
-
-        import pandas as pd
-        import pyarrow.fs as pafs
-        for pdf in batches:
-            out = []
-            for path in pdf["path"]:
-                fs, inner = pafs.FileSystem.from_uri(path)
-                head = b""
-                with fs.open_input_stream(inner) as f:  # compression detected from the name
-                    while b"\n" not in head:
-                        chunk = f.read(1 << 16)
-                        if not chunk:
-                            break
-                        head += chunk
-                line = head.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", "replace").lstrip("\ufeff")
-                cells = next(csv.reader(io.StringIO(line), delimiter=sep), []) if line else []
-                out += [(path, i + 1, len(cells)) for i, c in enumerate(cells) if c.strip() == ""]
-            yield pd.DataFrame(out, columns=["file_path", "position", "n_columns"])
-    return run
-
-
 def check_header(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """Blank header cells per file: ``(file_path, position, n_columns)``, 1-based.
 
-    Files are listed by the ``binaryFile`` source without reading their content;
-    each task then reads only the first line of its files (a few KB each), parsed
-    as CSV (quotes respected). Work is spread over files, never the data."""
+    Only the first line of each file is read, parsed as CSV (quotes respected). Work is
+    spread over files, never the data."""
     sep = sep or sniff_delimiter(spark, path)
-    files = spark.read.format("binaryFile").load(path).select("path")
-    return files.mapInPandas(_header_blanks(sep), "file_path string, position int, n_columns int")
+    cells = headers(spark, path, sep).select("file_path", F.size("cells").alias("n_columns"), F.posexplode("cells").alias("position", "cell"))
+    return cells.where(F.trim("cell") == "").select("file_path", (F.col("position") + 1).alias("position"), "n_columns")
 
 
 def _cell_kind(c: str, dt: T.DataType, tokens: Sequence[str]):
-    v = F.col(c)
+    v = F.col(_q(c))
     if isinstance(dt, T.StringType):
         return (F.when(v.isNull(), F.lit("null")).when(v == "", F.lit("blank"))
                 .when(v.isin(list(tokens)), F.lit("na")))
@@ -102,7 +75,7 @@ def missing_by_column(df: DataFrame, columns: Sequence[str] | None = None,
         aggs += [F.count(F.when(k == "blank", 1)).alias(f"b{i}"), F.count(F.when(k == "na", 1)).alias(f"a{i}"),
                  F.count(F.when(k == "null", 1)).alias(f"n{i}")]
     wide = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', {df.columns.index(c) + 1}, b{i}, a{i}, n{i}" for i, c in enumerate(columns))
+    stack = ", ".join(f"{_lit_name(c)}, {df.columns.index(c) + 1}, b{i}, a{i}, n{i}" for i, c in enumerate(columns))
     long = wide.selectExpr(f"stack({len(columns)}, {stack}) AS (column, position, n_blank, n_na, n_null)")
     return long.select("column", F.col("position").cast("int"), "n_blank", "n_na", "n_null",
                        (F.col("n_blank") + F.col("n_na") + F.col("n_null")).alias("n_missing"))
@@ -118,10 +91,10 @@ def check_mixed_types(df: DataFrame, columns: Sequence[str] | None = None,
         return df.sparkSession.createDataFrame([], "column string, n_values bigint, n_numeric bigint, mixed boolean")
     aggs = []
     for i, c in enumerate(columns):
-        v = F.when(F.col(c) != "", F.col(c))
-        aggs += [F.count(v).alias(f"v{i}"), F.count(v.try_cast("double")).alias(f"d{i}")]
+        v = F.when(F.col(_q(c)) != "", F.col(_q(c)))
+        aggs += [F.count(v).alias(f"v{i}"), F.count(_number(v)).alias(f"d{i}")]
     wide = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', v{i}, d{i}" for i, c in enumerate(columns))
+    stack = ", ".join(f"{_lit_name(c)}, v{i}, d{i}" for i, c in enumerate(columns))
     out = wide.selectExpr(f"stack({len(columns)}, {stack}) AS (column, n_values, n_numeric)")
     out = out.withColumn("mixed", (F.col("n_numeric") > 0) & (F.col("n_numeric") < F.col("n_values")))
     if strict:
@@ -132,7 +105,8 @@ def check_mixed_types(df: DataFrame, columns: Sequence[str] | None = None,
 
 
 def check_readable(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                   sep: str | None = None, strict: bool = False) -> DataFrame:
+                   sep: str | None = None, strict: bool = False,
+                   multi_line: bool = False) -> DataFrame:
     """Malformed rows per file: ``(file_path, n_rows, n_malformed)``.
 
     A missing path raises ``FileNotFoundError``. Rows are parsed PERMISSIVE against
@@ -142,18 +116,17 @@ def check_readable(spark: SparkSession, path: str, schema: T.StructType | None =
     try:
         sep = sep or sniff_delimiter(spark, path)
         if schema is None:
-            header = (spark.read.option("header", True).option("sep", sep).csv(path)).columns
+            header = _reader(spark, sep, multi_line).csv(path).columns
             schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     except AnalysisException as exc:
         raise FileNotFoundError(str(exc)) from exc
     bad = "__corrupt"
     full = T.StructType(list(schema.fields) + [T.StructField(bad, T.StringType())])
-    df = (spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", bad).schema(full).csv(path))
+    df = _reader(spark, sep, multi_line).option("columnNameOfCorruptRecord", bad).schema(full).csv(path)
     # every field is referenced: with CSV column pruning a row is only checked
     # against the columns a query reads (and the corrupt column alone is refused)
     # (an always-false test over all fields that the optimizer cannot fold away)
-    touch_all = F.size(F.array_compact(F.array(*[F.col(f"`{c}`").cast("string") for c in schema.names]))) < 0
+    touch_all = F.size(F.array_compact(F.array(*[F.col(_q(c)).cast("string") for c in schema.names]))) < 0
     out = (df.select(F.col("_metadata.file_path").alias("file_path"),
                      (F.col(bad).isNotNull() | touch_all).alias("bad"))
            .groupBy("file_path").agg(F.count(F.lit(1)).alias("n_rows"),

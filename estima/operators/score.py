@@ -79,7 +79,8 @@ def score_guard(model: PipelineModel, df: DataFrame, key_cols: Sequence[str]) ->
         cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"),
                                              F.lit(c in cat).alias("is_cat")) for c in present]))
         long = df.select(*key_cols, cells.alias("__c")).select(*key_cols, "__c.*")
-        nulls = long.where(F.col("value").isNull()).select(
+        # a NaN predicts NaN, so it is as good as missing
+        nulls = long.where(F.col("value").isNull() | (~F.col("is_cat") & (F.col("value") == "NaN"))).select(
             *key_cols, "feature", F.lit("null_value").alias("problem"), "value")
         parts.append(nulls)
         if cat:

@@ -104,15 +104,20 @@ def sorted_rank(df: DataFrame, col: str, rank_col: str = "rank", rows_per_partit
     """0-based rank of each row by ``col`` over the whole frame (distinct values
     expected), without a single-partition window: range-partition by ``col``
     (partitions are ordered), count rows per partition (one row per partition),
-    turn the counts into offsets and number rows within each partition."""
+    turn the counts into offsets and number rows within each partition. The ranged frame is
+    checkpointed: range bounds are sampled, and both readers must see the same partitions."""
     from pyspark.sql import Window
+
+    from estima.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     n = n_rows if n_rows is not None else df.count()
     parts = max(1, math.ceil(n / rows_per_partition))
     ranged = df.repartitionByRange(parts, F.col(col)).withColumn("__pid", F.spark_partition_id())
+    ranged = ranged.checkpoint(eager=True)
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w_off = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
     w = Window.partitionBy("__pid").orderBy(F.col(col))
     return (ranged.join(F.broadcast(offsets), "__pid")
-            .withColumn(rank_col, (F.col("__off") + F.row_number().over(w) - 1).cast("int"))
+            .withColumn(rank_col, (F.col("__off") + F.row_number().over(w) - 1).cast("bigint"))
             .drop("__pid", "__off"))

@@ -9,6 +9,7 @@ whole thing stays lazy and distributed.
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
 
@@ -18,38 +19,110 @@ from pyspark.sql import types as T
 
 from estima.functions.tokens import NA_TOKENS
 
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _lit_name(name: str) -> str:
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 # Delimiters tried by the sniffer, in order of preference.
 DELIMITERS = (",", ";", "\t", "|")
 
 _INT_PATTERN = r"^[+-]?[0-9]+$"
+#: How a number is written: digits with a point and an exponent, or an infinity.
+NUMBER_PATTERN = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[iI]nf(?:inity)?)$"
+#: Bytes in which a header must end, and different headers that are looked at in one folder.
+_MAX_HEADER_BYTES, _MAX_HEADERS = 1 << 24, 100
 
 
 def sniff_delimiter(spark: SparkSession, path: str, n_lines: int = 20,
                     candidates: Sequence[str] = DELIMITERS) -> str:
-    """Pick the delimiter that splits the leading lines into the same number (> 1)
-    of fields. Reads only ``n_lines`` lines (a ``limit`` on the text scan)."""
-    lines = (spark.read.text(path).limit(n_lines)
-             .where(F.length("value") > 0))
-    exprs = []
-    for i, d in enumerate(candidates):
-        cnt = F.size(F.split(F.col("value"), re.escape(d)))
-        exprs += [F.min(cnt).alias(f"mn{i}"), F.max(cnt).alias(f"mx{i}")]
-    r = lines.agg(*exprs).first()
-    for i, d in enumerate(candidates):
-        if r[f"mn{i}"] is not None and r[f"mn{i}"] == r[f"mx{i}"] and r[f"mn{i}"] > 1:
-            return d
-    return ","
+    """The delimiter that splits the leading lines into the header's number (> 1) of
+    fields most often; quoted cells are respected. Reads only ``n_lines`` lines (a
+    ``limit`` on the text scan). A header that no candidate splits is one column (``,``);
+    lines that no candidate splits alike raise ``ValueError``."""
+    lines = [r["value"].lstrip("\ufeff") for r in spark.read.text(path).limit(n_lines).collect() if r["value"]]
+    best, share, split = ",", 0.0, False
+    for d in candidates:
+        counts = [len(cells) for cells in csv.reader(lines, delimiter=d)]
+        if counts and counts[0] > 1:
+            split = True
+            same = sum(c == counts[0] for c in counts) / len(counts)
+            if same > share:
+                best, share = d, same
+    if split and share < 0.5:
+        raise ValueError(f"no delimiter of {list(candidates)} splits the lines of {path} alike")
+    return best
+
+
+def _reader(spark: SparkSession, sep: str, multi_line: bool):
+    """Quotes inside quoted cells are doubled; ``multi_line``: cells may hold line breaks
+    (such files are read whole by one task each)."""
+    return (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line).option("mode", "PERMISSIVE"))
+
+
+def header_cells(sep: str):
+    """mapInPandas body: the header cells of each listed file, in order."""
+    def run(batches):
+        import csv
+        import io
+
+        import pandas as pd
+        import pyarrow.fs as pafs
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                # the library knows the object store under one scheme
+                fs, inner = pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+                head = b""
+                with fs.open_input_stream(inner) as f:  # compression detected from the name
+                    while b"\n" not in head and len(head) < _MAX_HEADER_BYTES:
+                        chunk = f.read(1 << 16)
+                        if not chunk:
+                            break
+                        head += chunk
+                line = head.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", "replace").lstrip("\ufeff")
+                out.append((path, next(csv.reader(io.StringIO(line), delimiter=sep), []) if line else []))
+            yield pd.DataFrame(out, columns=["file_path", "cells"])
+    return run
+
+
+def headers(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """``(file_path, cells)``: the header of each file. Files are listed without reading
+    them; each task then reads the first line of its files."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.mapInPandas(header_cells(sep), "file_path string, cells array<string>")
 
 
 def read_csv_text(spark: SparkSession, path: str, sep: str | None = None,
-                  corrupt_col: str | None = None) -> DataFrame:
-    """All columns as text, header row taken as names; no inference pass."""
+                  multi_line: bool = False) -> DataFrame:
+    """All columns as text, header row taken as names; no inference pass.
+
+    In a folder, files with the same names in another order are read by name; files with
+    other names raise ``ValueError``."""
     sep = sep or sniff_delimiter(spark, path)
-    r = (spark.read.option("header", True).option("sep", sep)
-         .option("inferSchema", False).option("mode", "PERMISSIVE"))
-    if corrupt_col:
-        r = r.option("columnNameOfCorruptRecord", corrupt_col)
-    return r.csv(path)
+    plain = _reader(spark, sep, multi_line).option("inferSchema", False)
+    if spark.read.format("binaryFile").load(path).select("path").limit(2).count() < 2:
+        return plain.csv(path)
+    kinds = (headers(spark, path, sep).where(F.size("cells") > 0).groupBy("cells")
+             .agg(F.min("file_path").alias("example"), F.count("*").alias("n"))
+             .orderBy(F.col("n").desc(), "example").limit(_MAX_HEADERS).collect())
+    if len(kinds) <= 1:
+        return plain.csv(path)
+    names = kinds[0]["cells"]
+    for k in kinds[1:]:
+        if sorted(k["cells"]) != sorted(names) or len(set(k["cells"])) < len(k["cells"]):
+            raise ValueError(f"{k['example']} has other columns than {kinds[0]['example']}: {k['cells']}, {names}")
+    listed = headers(spark, path, sep)
+    out = None
+    for k in kinds:
+        paths = [r["file_path"] for r in listed.where(F.col("cells") == F.lit(k["cells"])).select("file_path").collect()]
+        one = _reader(spark, sep, multi_line).option("inferSchema", False).csv(paths).select(*[F.col(_q(c)) for c in names])
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def na_normalise(df: DataFrame, columns: Sequence[str] | None = None,
@@ -60,14 +133,19 @@ def na_normalise(df: DataFrame, columns: Sequence[str] | None = None,
     out = []
     for c in df.columns:
         if c in targets and c in string_cols:
-            col = F.col(c)
+            col = F.col(_q(c))
             out.append(F.when(col.isin(list(tokens)) | (col == ""), F.lit(None))
                        .otherwise(col).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(F.col(_q(c)))
     return df.select(*out)
 
 
+def _number(v):
+    """A text as a number; null unless it is written as one (``10d`` is a code, not a number)."""
+    return F.when(v.rlike(NUMBER_PATTERN), v.try_cast("double"))
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """One aggregate over text columns deciding ``integer``, ``float``, ``boolean``
     or ``text`` per column (pandas' choices). Result ``(column, position, n_values,
@@ -75,18 +153,18 @@ def infer_types(df: DataFrame) -> DataFrame:
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     aggs = []
     for i, c in enumerate(cols):
-        v = F.col(c)
+        v = F.col(_q(c))
         aggs += [
             F.count(v).alias(f"n{i}"),
             F.count(F.when(v.rlike(_INT_PATTERN) & v.try_cast("bigint").isNotNull(), 1)).alias(f"i{i}"),
-            F.count(v.try_cast("double")).alias(f"d{i}"),
+            F.count(_number(v)).alias(f"d{i}"),
             F.count(F.when(F.lower(v).isin("true", "false"), 1)).alias(f"b{i}"),
         ]
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column string, position int, n_values bigint, inferred_type string")
     wide = df.agg(*aggs)
-    stack = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', {df.columns.index(c) + 1}, "
+    stack = ", ".join(f"{_lit_name(c)}, {df.columns.index(c) + 1}, "
                       f"n{i}, i{i}, d{i}, b{i}" for i, c in enumerate(cols))
     long = wide.selectExpr(
         f"stack({len(cols)}, {stack}) as (column, position, n_values, n_int, n_dbl, n_bool)")
@@ -100,34 +178,40 @@ def infer_types(df: DataFrame) -> DataFrame:
                        kind.alias("inferred_type"))
 
 
-_SPARK_TYPE = {"integer": "bigint", "float": "double", "boolean": "boolean", "text": "string"}
-
-
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Cast text columns to the inferred types (``try_cast``: never raises)."""
     out = []
     for c in df.columns:
-        t = types.get(c)
-        if t and t != "text":
-            expr = F.lower(F.col(c)) if t == "boolean" else F.col(c)
-            out.append(expr.try_cast(_SPARK_TYPE[t]).alias(c))
-        else:
-            out.append(F.col(c))
+        t, v = types.get(c), F.col(_q(c))
+        if t == "boolean":
+            v = F.lower(v).try_cast("boolean")
+        elif t == "float":
+            v = _number(v)
+        elif t == "integer":
+            v = v.try_cast("bigint")
+        out.append(v.alias(c))
     return df.select(*out)
 
 
 def scan_csv(spark: SparkSession, path: str, sep: str | None = None,
-             tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
+             tokens: Sequence[str] = NA_TOKENS, multi_line: bool = False) -> DataFrame:
     """Typed read of a CSV file or folder: text read, NA tokens to null, inferred
     types applied. The inference is one aggregate; its result (one row per column)
     is the only thing brought to the driver."""
-    text = na_normalise(read_csv_text(spark, path, sep), tokens=tokens)
+    text = na_normalise(read_csv_text(spark, path, sep, multi_line), tokens=tokens)
     types = {r["column"]: r["inferred_type"] for r in infer_types(text).collect()}
     return apply_types(text, types)
 
 
-def score_csv_source(spark: SparkSession, path: str, schema: T.StructType,
-                     sep: str = ",") -> DataFrame:
-    """Rows to score, read with the trained feature schema (no inference)."""
-    return (spark.read.option("header", True).option("sep", sep)
-            .schema(schema).csv(path))
+def score_csv_source(spark: SparkSession, path: str, schema: T.StructType, sep: str | None = None,
+                     tokens: Sequence[str] = NA_TOKENS, multi_line: bool = False) -> DataFrame:
+    """Rows to score: the trained columns, found by name in the file's header (in any order,
+    among any others), NA tokens null, cast without raising. A missing column raises."""
+    text = read_csv_text(spark, path, sep, multi_line)
+    missing = [f.name for f in schema.fields if f.name not in text.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {missing}; it has {text.columns}")
+    text = na_normalise(text.select(*[F.col(_q(f.name)) for f in schema.fields]), tokens=tokens)
+    return text.select(*[(_number(F.col(_q(f.name))).cast(f.dataType) if isinstance(f.dataType, T.FractionalType)
+                          and not isinstance(f.dataType, T.DecimalType)
+                          else F.col(_q(f.name)).try_cast(f.dataType)).alias(f.name) for f in schema.fields])

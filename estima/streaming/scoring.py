@@ -2,20 +2,17 @@
 
 Every fitted stage of a model pipeline is a per-row projection, so a model
 scores a streaming DataFrame exactly as it scores a batch one; no state, no
-watermark. The sink's progress lives in a checkpoint folder under the session's
-shared ``spark.checkpoint.dir`` so a restarted query resumes where it stopped.
+watermark. The sink's progress lives in a folder that follows from the output path, so a
+restarted query resumes where it stopped.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from estima.operators.score import predict
-from estima.session import ensure_checkpoint_dir
 
 
 def score_stream(model: PipelineModel, stream: DataFrame) -> DataFrame:
@@ -27,9 +24,10 @@ def score_stream(model: PipelineModel, stream: DataFrame) -> DataFrame:
 
 def start_scoring(model: PipelineModel, stream: DataFrame, out_path: str, fmt: str = "parquet",
                   checkpoint: str | None = None, available_now: bool = False) -> StreamingQuery:
-    """Start writing scored rows to ``out_path`` (append)."""
-    spark = stream.sparkSession
-    checkpoint = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    """Start writing scored rows to ``out_path`` (append). Progress is kept beside the rows
+    (readers skip names that start with ``_``) unless ``checkpoint`` names a folder, so the
+    same call after a stop goes on with the rows that came since."""
+    checkpoint = checkpoint or f"{out_path.rstrip('/')}/_progress"
     w = (score_stream(model, stream).writeStream.format(fmt).outputMode("append")
          .option("checkpointLocation", checkpoint).option("path", out_path))
     if available_now:
