@@ -252,17 +252,23 @@ def performance_report(df: DataFrame, label: str, key_cols: Sequence[str], predi
                        path: str | None = None) -> dict[str, DataFrame]:
     """All chart tables of the model report; written as parquet under
     ``path/<chart>`` when a path is given (the reference writes a two-page PDF)."""
-    r = residuals(df, label, prediction)
+    from pyspark import StorageLevel
+    if path:  # every chart reads it, so it is kept until all are written
+        df = df.select(*dict.fromkeys([*key_cols, label, prediction])).persist(StorageLevel.MEMORY_AND_DISK)
+    detrended = residual_vs_predicted(df, label, key_cols, prediction)
     charts = {
         "actual_vs_predicted": actual_vs_predicted(df, label, prediction),
         "target_range": df.agg(F.min(label).cast("double").alias("min"), F.max(label).cast("double").alias("max")),
         "residual_hist_20": residual_hist(df, label, prediction, 20),
         "residual_density": residual_density(df, label, prediction),
-        "residual_vs_predicted": residual_vs_predicted(df, label, key_cols, prediction),
-        "residual_trend": lowess_trend(r, prediction, "residual"),
+        "residual_vs_predicted": detrended,
+        "residual_trend": lowess_trend(detrended, "prediction", "detrended"),
         "error_vs_predicted": error_vs_predicted(df, label, prediction),
     }
     if path:
-        for name, t in charts.items():
-            t.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+        try:
+            for name, t in charts.items():
+                t.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+        finally:
+            df.unpersist()
     return charts

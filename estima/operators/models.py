@@ -121,12 +121,12 @@ def make_regressor(algorithm: str, **params):
         return GBTRegressor(featuresCol=FEATURES_COL, labelCol=LABEL_COL, lossType="squared",
                             maxIter=int(params.get("n_estimators", 100)), maxDepth=int(params.get("max_depth", 6)),
                             stepSize=float(params.get("learning_rate", 0.3)), seed=0,
-                            maxBins=int(params.get("max_bins", 32)), **_TREE_EXEC)
+                            maxBins=int(params.get("max_bins", 64)), **_TREE_EXEC)
     if name == "random_forest":
         return RandomForestRegressor(featuresCol=FEATURES_COL, labelCol=LABEL_COL,
                                      numTrees=int(params.get("n_estimators", 100)), seed=0,
                                      featureSubsetStrategy="all", maxDepth=int(params.get("max_depth", 8)),
-                                     maxBins=int(params.get("max_bins", 32)),
+                                     maxBins=int(params.get("max_bins", 64)),
                                      subsamplingRate=float(params.get("subsample", 1.0)), **_TREE_EXEC)
     raise ValueError(f"Unknown algorithm: {algorithm}")
 

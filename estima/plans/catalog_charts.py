@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 from estima.operators import chartdata as D
 from estima.plans import sqltext as S
 from estima.plans.catalog import LI_KEY_SQL, LI_NUM, q, rsig
-from estima.plans.frames import LI_KEY, lineitem_test_predictions
+from estima.plans.frames import LI_KEY, lineitem_predictions
 from estima.sources.tables import scan_table
 
 
 def _preds(spark, base):
-    return lineitem_test_predictions(spark, base)
+    return lineitem_predictions(spark, base)
 
 
-@q("residuals", "WITH " + S.RIDGE_LI + f" SELECT {LI_KEY_SQL}, {S.rs('charge - prediction')} AS residual FROM te")
+@q("residuals", "WITH " + S.RIDGE_LI + f" SELECT {LI_KEY_SQL}, round(charge - prediction, 4) AS residual FROM al")
 def residuals_q(spark, base):
-    return rsig(D.residuals(_preds(spark, base), "charge").select(*LI_KEY, "residual"), "residual")
+    # places, not digits: a residual near 0 is what cancellation leaves
+    return D.residuals(_preds(spark, base), "charge").select(*LI_KEY, F.round("residual", 4).alias("residual"))
 
 
 def _hist_sql(src: str, value: str, bins: str, column: str) -> str:
@@ -40,7 +41,7 @@ def histogram_30_q(spark, base):
     return rsig(D.histogram(scan_table(spark, base, "lineitem", LI_NUM), LI_NUM, 30), "lo", "hi")
 
 
-@q("residual_hist_20", "WITH " + S.RIDGE_LI + ", " + _hist_sql("te", "charge - prediction", "20", "residual"))
+@q("residual_hist_20", "WITH " + S.RIDGE_LI + ", " + _hist_sql("al", "charge - prediction", "20", "residual"))
 def residual_hist_20_q(spark, base):
     return rsig(D.residual_hist(_preds(spark, base), "charge", bins=20), "lo", "hi")
 
@@ -50,16 +51,16 @@ _AUTO_BINS = """(SELECT CASE WHEN n = 0 OR hi = lo THEN 1
    FROM (SELECT count(v) AS n, min(v) AS mn, max(v) AS mx, min(v) AS lo, max(v) AS hi,
                 (max(v) - min(v)) / (log2(count(v)) + 1e0) AS sturges,
                 2e0 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) * pow(count(v), -1e0 / 3e0) AS fd
-         FROM (SELECT charge - prediction AS v FROM te)))"""
+         FROM (SELECT charge - prediction AS v FROM al)))"""
 
 
-@q("residual_hist_auto", "WITH " + S.RIDGE_LI + ", " + _hist_sql("te", "charge - prediction", _AUTO_BINS, "residual"))
+@q("residual_hist_auto", "WITH " + S.RIDGE_LI + ", " + _hist_sql("al", "charge - prediction", _AUTO_BINS, "residual"))
 def residual_hist_auto_q(spark, base):
     return rsig(D.residual_hist_auto(_preds(spark, base), "charge"), "lo", "hi")
 
 
 _KDE = "WITH " + S.RIDGE_LI + f""",
-v AS (SELECT charge - prediction AS v FROM te),
+v AS (SELECT charge - prediction AS v FROM al),
 ks AS (SELECT count(*) AS n, min(v) AS mn, max(v) AS mx, stddev_samp(v) * pow(CAST(count(*) AS DOUBLE), -0.2e0) AS bw FROM v),
 pb AS (SELECT CAST(least(floor((v - mn) * (1024 / (mx - mn))), 1023) AS INTEGER) AS b, count(*) AS nb, avg(v) AS c FROM v, ks GROUP BY 1),
 pts AS (SELECT pb.nb, ks.n, ks.bw, ks.mn, ks.mx, pb.c, CAST(p AS INTEGER) AS point
@@ -77,13 +78,13 @@ def residual_density_q(spark, base):
 
 
 @q("residual_vs_predicted", "WITH " + S.RIDGE_LI + f""",
-r AS (SELECT *, charge - prediction AS residual FROM te),
+r AS (SELECT *, charge - prediction AS residual FROM al),
 ln AS (SELECT regr_slope(residual, prediction) AS b, regr_intercept(residual, prediction) AS a FROM r)
-SELECT {LI_KEY_SQL}, {S.rs('prediction')} AS prediction, {S.rs('residual')} AS residual,
-       {S.rs('a + b * prediction')} AS fitted, {S.rs('residual - (a + b * prediction)')} AS detrended FROM r, ln""")
+SELECT {LI_KEY_SQL}, {S.rs('prediction')} AS prediction, round(residual, 4) AS residual,
+       round(a + b * prediction, 4) AS fitted, round(residual - (a + b * prediction), 4) AS detrended FROM r, ln""")
 def residual_vs_predicted_q(spark, base):
     out = D.residual_vs_predicted(_preds(spark, base), "charge", LI_KEY)
-    return rsig(out, "prediction", "residual", "fitted", "detrended")
+    return rsig(out, "prediction").withColumns({c: F.round(c, 4) for c in ("residual", "fitted", "detrended")})
 
 
 def _bin2d_sql(src: str, x: str, y: str, bins: int = 50) -> str:
@@ -103,32 +104,32 @@ FROM cl, rg"""
 _XY = ["x_lo", "x_hi", "y_lo", "y_hi"]
 
 
-@q("actual_vs_predicted", "WITH " + S.RIDGE_LI + ", " + _bin2d_sql("te", "charge", "prediction"))
+@q("actual_vs_predicted", "WITH " + S.RIDGE_LI + ", " + _bin2d_sql("al", "charge", "prediction"))
 def actual_vs_predicted_q(spark, base):
     return rsig(D.actual_vs_predicted(_preds(spark, base), "charge"), *_XY)
 
 
-@q("error_vs_predicted", "WITH " + S.RIDGE_LI + ", " + _bin2d_sql("te", "prediction", "charge - prediction"))
+@q("error_vs_predicted", "WITH " + S.RIDGE_LI + ", " + _bin2d_sql("al", "prediction", "charge - prediction"))
 def error_vs_predicted_q(spark, base):
     return rsig(D.error_vs_predicted(_preds(spark, base), "charge"), *_XY)
 
 
 @q("residual_trend")
 def residual_trend_q(spark, base):
-    r = D.residuals(_preds(spark, base), "charge")
-    return D.lowess_trend(r, "prediction", "residual")
+    r = D.residual_vs_predicted(_preds(spark, base), "charge", LI_KEY)
+    return D.lowess_trend(r, "prediction", "detrended")
 
 
 _REPORT = "\nUNION ALL\n".join([
     "SELECT 'actual_vs_predicted' AS chart, (SELECT count(*) FROM (WITH " + S.RIDGE_LI + ", "
-    + _bin2d_sql("te", "charge", "prediction") + ")) AS n_rows",
+    + _bin2d_sql("al", "charge", "prediction") + ")) AS n_rows",
     "SELECT 'target_range', CAST(1 AS BIGINT)",
     "SELECT 'residual_hist_20', CAST(20 AS BIGINT)",
     "SELECT 'residual_density', CAST(200 AS BIGINT)",
-    "SELECT 'residual_vs_predicted', (SELECT count(*) FROM (WITH " + S.RIDGE_LI + " SELECT * FROM te))",
+    "SELECT 'residual_vs_predicted', (SELECT count(*) FROM (WITH " + S.RIDGE_LI + " SELECT * FROM al))",
     "SELECT 'residual_trend', CAST(100 AS BIGINT)",
     "SELECT 'error_vs_predicted', (SELECT count(*) FROM (WITH " + S.RIDGE_LI + ", "
-    + _bin2d_sql("te", "prediction", "charge - prediction") + "))",
+    + _bin2d_sql("al", "prediction", "charge - prediction") + "))",
 ])
 
 

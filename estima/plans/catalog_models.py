@@ -14,7 +14,7 @@ from estima.operators.models import pipeline_fit
 from estima.operators.tuning import grid_search
 from estima.plans import sqltext as S
 from estima.plans.catalog import LI_KEY_SQL, q, rsig, scratch
-from estima.plans.frames import (LI_KEY, lineitem_frame, lineitem_test_predictions, orders_frame, ridge_lineitem,
+from estima.plans.frames import (LI_KEY, lineitem_frame, lineitem_predictions, lineitem_test_predictions, orders_frame, ridge_lineitem,
                                  ridge_orders)
 from estima.sources.registry import model_load, model_metadata, model_save, score_sink
 from estima.sources.tables import scan_table
@@ -143,26 +143,25 @@ def pipeline_fit_q(spark, base):
 
 def _tree_metrics(spark, base, algorithm, **params):
     lf = lineitem_frame(spark, base)
-    m = pipeline_fit(lf.where(~F.col("is_test")).repartition(8), TREE_FEATURES, "charge", algorithm, **params)
+    m = pipeline_fit(lf.where(~F.col("is_test")), TREE_FEATURES, "charge", algorithm, **params)
     preds = R.predict(m, lf.where(F.col("is_test")))
     return V.metrics(preds, "charge")
 
 
 @q("boosted_trees")
 def boosted_trees_q(spark, base):
-    return _tree_metrics(spark, base, "xgboost", n_estimators=20, max_depth=5)
+    return _tree_metrics(spark, base, "xgboost")
 
 
 @q("random_forest")
 def random_forest_q(spark, base):
-    return _tree_metrics(spark, base, "random_forest", n_estimators=20, max_depth=8)
+    return _tree_metrics(spark, base, "random_forest")
 
 
 @q("lasso")
 def lasso_q(spark, base):
     tr = lineitem_frame(spark, base).where(~F.col("is_test"))
-    m = pipeline_fit(tr, ["l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag"], "charge", "lasso",
-                     alpha=100.0)
+    m = pipeline_fit(tr, ["l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag"], "charge", "lasso")
     return spark.createDataFrame(_terms(m), "term string, value double")
 
 
@@ -180,9 +179,8 @@ def train_expert_q(spark, base):
 def train_auto_q(spark, base):
     from estima.operators.training import train_auto
     lf = lineitem_frame(spark, base)
-    tr = lf.where(~F.col("is_test")).select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "charge").repartition(8)
-    model, chosen, _ = train_auto(tr, "charge", 2, rank_params={"n_estimators": 10, "max_depth": 6},
-                                  n_estimators=20, max_depth=8)
+    tr = lf.where(~F.col("is_test")).select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "charge")
+    model, chosen, _ = train_auto(tr, "charge", 2)
     preds = R.predict(model, lf.where(F.col("is_test")))
     return V.quality_grade(V.metrics(preds, "charge")).select(
         "n", "mae", "r2", "p_value", "score", "grade", F.lit(",".join(chosen)).alias("features"))
@@ -280,23 +278,20 @@ def unique_names_q(spark, base):
 
 @q("rank_features")
 def rank_features_q(spark, base):
-    tr = lineitem_frame(spark, base).where(~F.col("is_test")).repartition(8)
-    return I.rank_features(tr, "charge", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"],
-                           n_estimators=10, max_depth=6)
+    tr = lineitem_frame(spark, base).where(~F.col("is_test"))
+    return I.rank_features(tr, "charge", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"])
 
 
 @q("select_lasso")
 def select_lasso_q(spark, base):
     tr = lineitem_frame(spark, base).where(~F.col("is_test"))
-    return I.select_lasso(tr, "charge", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"],
-                          alpha=100.0)
+    return I.select_lasso(tr, "charge", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"])
 
 
 @q("select_rfe")
 def select_rfe_q(spark, base):
-    tr = lineitem_frame(spark, base).where(~F.col("is_test")).repartition(8)
-    return I.select_rfe(tr, "charge", 2, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
-                        n_estimators=10, max_depth=5)
+    tr = lineitem_frame(spark, base).where(~F.col("is_test"))
+    return I.select_rfe(tr, "charge", 2, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"])
 
 
 _PERM_SQL = "WITH " + S.RIDGE_LI + f""",
@@ -318,7 +313,7 @@ def permutation_importance_q(spark, base):
 
 
 _GRID_SQL = "WITH " + S.LM + f""",
-d AS (SELECT *, CAST({S.bucket("concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, 'fold')", 3)} AS INTEGER) AS fold FROM lm),
+d AS (SELECT *, CAST({S.bucket("concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, 'fold')", 3)} AS INTEGER) AS fold FROM lm WHERE NOT is_test),
 a AS (SELECT * FROM (VALUES (0.5e0, '{{"alpha": 0.5}}'), (1e0, '{{"alpha": 1.0}}'), (2e0, '{{"alpha": 2.0}}')) t(alpha, params)),
 f AS (SELECT * FROM range(3) t(k)),
 st AS (SELECT f.k, avg(l_extendedprice) AS mx, stddev_pop(l_extendedprice) AS sx, count(*) AS n, avg(charge) AS my,
@@ -333,7 +328,7 @@ SELECT 'ridge' AS model, params, {S.rs('mean_r2')} AS mean_r2, mean_r2 = max(mea
 
 @q("grid_search", _GRID_SQL)
 def grid_search_q(spark, base):
-    lf = lineitem_frame(spark, base)
+    lf = lineitem_frame(spark, base).where(~F.col("is_test"))  # the search never sees the test rows
     table, _ = grid_search(lf, ["l_extendedprice"], "charge", LI_KEY, models=("ridge",))
     return rsig(table, "mean_r2")
 
@@ -405,63 +400,68 @@ def evaluate_segments_q(spark, base):
 
 # ----------------------------------------------------------------- scoring
 
-_PRED = "WITH " + S.RIDGE_LI + f" SELECT {LI_KEY_SQL}, l_extendedprice, charge, l_returnflag, l_linestatus, {S.rs('prediction')} AS prediction FROM te"
+_PRED = "WITH " + S.RIDGE_LI + f" SELECT {LI_KEY_SQL}, l_extendedprice, charge, l_returnflag, l_linestatus, {S.rs('prediction')} AS prediction FROM al"
 
 
 @q("predict", _PRED)
 def predict_q(spark, base):
-    return rsig(lineitem_test_predictions(spark, base), "prediction")
+    return rsig(lineitem_predictions(spark, base).drop("is_test"), "prediction")
 
 
-@q("append_prediction", "WITH " + S.RIDGE_LI + f" SELECT {LI_KEY_SQL}, l_extendedprice, charge, {S.rs('prediction')} AS prediction FROM te")
+@q("append_prediction", "WITH " + S.RIDGE_LI + f" SELECT {LI_KEY_SQL}, l_extendedprice, charge, {S.rs('prediction')} AS prediction FROM al")
 def append_prediction_q(spark, base):
-    te = lineitem_frame(spark, base).where(F.col("is_test")).select(*LI_KEY, "l_extendedprice", "charge")
+    te = lineitem_frame(spark, base).select(*LI_KEY, "l_extendedprice", "charge")
     scored = R.scoring_model(ridge_lineitem(spark, base)).transform(te)
     from estima.operators.columns import append_prediction
     return rsig(append_prediction(scored, te.columns), "prediction")
 
 
-@q("score_batch", "WITH " + S.RIDGE_LI + f" SELECT {LI_KEY_SQL}, l_extendedprice, {S.rs('prediction')} AS charge FROM te")
+@q("score_batch", "WITH " + S.RIDGE_LI + f" SELECT {LI_KEY_SQL}, l_extendedprice, {S.rs('prediction')} AS charge FROM al")
 def score_batch_q(spark, base):
-    te = lineitem_frame(spark, base).where(F.col("is_test")).select(*LI_KEY, "l_extendedprice", "charge")
+    te = lineitem_frame(spark, base).select(*LI_KEY, "l_extendedprice", "charge")
     return rsig(R.score_batch(ridge_lineitem(spark, base), te, "charge", replace=True), "charge")
 
 
-@q("score_inline", "WITH " + S.RIDGE_LI + f" SELECT {LI_KEY_SQL}, l_extendedprice, {S.rs('prediction')} AS prediction FROM te")
+@q("score_inline", "WITH " + S.RIDGE_LI + f" SELECT {LI_KEY_SQL}, l_extendedprice, {S.rs('prediction')} AS prediction FROM al")
 def score_inline_q(spark, base):
-    te = lineitem_frame(spark, base).where(F.col("is_test"))
+    te = lineitem_frame(spark, base)
     req = te.select(*LI_KEY, F.concat(F.lit("l_extendedprice:"), F.col("l_extendedprice").cast("string")).alias("request"))
     return rsig(R.score_inline(ridge_lineitem(spark, base), req, "request", keep=LI_KEY), "prediction")
 
 
-@q("format_prediction", "WITH " + S.RIDGE_LI + f" SELECT {LI_KEY_SQL}, printf('%.2f', prediction) AS prediction_text FROM te")
+@q("format_prediction", "WITH " + S.RIDGE_LI + f" SELECT {LI_KEY_SQL}, printf('%.2f', prediction) AS prediction_text FROM al")
 def format_prediction_q(spark, base):
-    return R.format_prediction(lineitem_test_predictions(spark, base)).select(*LI_KEY, "prediction_text")
+    return R.format_prediction(lineitem_predictions(spark, base)).select(*LI_KEY, "prediction_text")
 
 
-_GUARD = """WITH cm AS (SELECT c_custkey, c_name, c_mktsegment, c_acctbal,
-  CAST(('0x' || substr(md5(concat_ws('|', c_custkey)), 1, 8)) AS BIGINT) % 100 < 20 AS is_test FROM customer)
-SELECT c_custkey, 'c_name' AS feature, 'unseen_category' AS problem, c_name AS value FROM cm
-WHERE is_test AND c_name NOT IN (SELECT c_name FROM cm WHERE NOT is_test)
-UNION ALL
-SELECT c_custkey, 'c_mktsegment', 'unseen_category', c_mktsegment FROM cm
-WHERE is_test AND c_mktsegment NOT IN (SELECT c_mktsegment FROM cm WHERE NOT is_test)"""
+_GUARD = """SELECT c_custkey, 'c_mktsegment' AS feature, 'unseen_category' AS problem, c_mktsegment AS value
+FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT c_custkey, 'c_acctbal', 'null_value', NULL FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT NULL, 'c_rating', 'missing_column', NULL"""
 
 
 @q("score_guard", _GUARD)
 def score_guard_q(spark, base):
-    from estima.operators.split import split_train_test
-    c = split_train_test(scan_table(spark, base, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"]),
-                         ["c_custkey"])
-    model = pipeline_fit(c.where(~F.col("is_test")), ["c_mktsegment", "c_name"], "c_acctbal", "ridge")
-    return R.score_guard(model, c.where(F.col("is_test")), ["c_custkey"])
+    """All customers against a model that never saw one segment; negative balances are taken
+    as missing, and one column of the model isn't there."""
+    c = scan_table(spark, base, "customer", ["c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"])
+    seen = c.where(F.col("c_mktsegment") != "BUILDING").withColumn("c_rating", F.col("c_custkey") % 7)
+    model = pipeline_fit(seen, ["c_mktsegment", "c_acctbal", "c_rating"], "c_nationkey", "ridge")
+    rows = c.select("c_custkey", "c_mktsegment", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("c_acctbal"))
+    return R.score_guard(model, rows, ["c_custkey"])
 
 
 # ----------------------------------------------------------------- registry
 
-@q("model_metadata")
+@q("model_metadata", "WITH " + S.RIDGE_LI + f"""
+SELECT 'ridge' AS model_name, 'charge' AS target_feature, 'l_extendedprice' AS features,
+       {S.rs('1 - sum((charge - prediction) * (charge - prediction)) / (count(*) * var_pop(charge))')} AS r2 FROM te""")
 def model_metadata_q(spark, base):
-    return model_metadata(spark, "ridge", ["l_extendedprice"], "charge", 0.99)
+    """What is recorded of the fitted model, its r2 on the test rows; the dates and versions left out."""
+    r2 = V.r2(lineitem_test_predictions(spark, base), "charge").first()["r2"]
+    m = model_metadata(spark, "ridge", ["l_extendedprice"], "charge", r2)
+    m = m.select("model_name", "target_feature", F.concat_ws(",", "features").alias("features"), F.col("r2").cast("double").alias("r2"))
+    return rsig(m, "r2")
 
 
 @q("model_save", _PRED.replace(", l_returnflag, l_linestatus", ""))
@@ -469,7 +469,7 @@ def model_save_q(spark, base):
     path = scratch(spark, "model")
     model_save(ridge_lineitem(spark, base), model_metadata(spark, "ridge", ["l_extendedprice"], "charge", None), path)
     b = model_load(spark, path)
-    te = lineitem_frame(spark, base).where(F.col("is_test")).select(*LI_KEY, "l_extendedprice", "charge")
+    te = lineitem_frame(spark, base).select(*LI_KEY, "l_extendedprice", "charge")
     return rsig(R.predict(b.model, te), "prediction")
 
 
@@ -484,7 +484,7 @@ def model_load_q(spark, base):
 
 @q("score_sink", _PRED.replace(", l_returnflag, l_linestatus", "").replace(", charge,", ","))
 def score_sink_q(spark, base):
-    te = lineitem_frame(spark, base).where(F.col("is_test")).select(*LI_KEY, "l_extendedprice")
+    te = lineitem_frame(spark, base).select(*LI_KEY, "l_extendedprice")
     path = scratch(spark, "scored")
     score_sink(R.predict(ridge_lineitem(spark, base), te), path)
     return rsig(spark.read.parquet(path), "prediction")
@@ -496,12 +496,11 @@ def score_sink_q(spark, base):
 def score_stream_q(spark, base):
     """Score lineitem as a file stream (every file the folder holds, then stop)
     with the fitted ridge; the sink is read back as a table."""
-    from estima.functions.hashing import hash_bucket
     from estima.streaming import start_scoring
     schema = scan_table(spark, base, "lineitem").schema
     # a glob path: the table may be a single file, and a file source wants a folder or a pattern
     stream = (spark.readStream.schema(schema).parquet(f"{base.rstrip('/')}/lineitem.parque[t]")
-              .where(hash_bucket(LI_KEY, 100) < 20).select(*LI_KEY, "l_extendedprice"))
+              .select(*LI_KEY, "l_extendedprice"))
     out = scratch(spark, "stream-out")
     q_ = start_scoring(ridge_lineitem(spark, base), stream, out, available_now=True)
     q_.awaitTermination()

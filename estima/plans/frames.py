@@ -44,7 +44,7 @@ def doc_labels(spark: SparkSession, base: str) -> DataFrame:
 
 def fitted(name: str, spark: SparkSession, base: str, build) -> PipelineModel:
     """Fit once per (session, data, name); fits are deterministic."""
-    key = (id(spark), base, name)
+    key = (spark.sparkContext.applicationId, base, name)
     if key not in _MODELS:
         _MODELS[key] = build()
     return _MODELS[key]
@@ -66,8 +66,13 @@ def ridge_orders(spark: SparkSession, base: str) -> PipelineModel:
     return fitted("ridge_orders", spark, base, build)
 
 
-def lineitem_test_predictions(spark: SparkSession, base: str) -> DataFrame:
+def lineitem_predictions(spark: SparkSession, base: str) -> DataFrame:
+    """Every lineitem row with its prediction: what a scoring run or a report covers."""
     from estima.operators.score import predict
-    te = lineitem_frame(spark, base).where(F.col("is_test")).select(*LI_KEY, "l_extendedprice", "charge",
-                                                                     "l_returnflag", "l_linestatus")
-    return predict(ridge_lineitem(spark, base), te)
+    rows = lineitem_frame(spark, base).select(*LI_KEY, "l_extendedprice", "charge", "l_returnflag", "l_linestatus", "is_test")
+    return predict(ridge_lineitem(spark, base), rows)
+
+
+def lineitem_test_predictions(spark: SparkSession, base: str) -> DataFrame:
+    """The test rows only: what an evaluation covers."""
+    return lineitem_predictions(spark, base).where(F.col("is_test")).drop("is_test")

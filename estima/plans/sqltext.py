@@ -37,8 +37,9 @@ tr AS (SELECT * FROM lm WHERE NOT is_test),
 st AS (SELECT avg(l_extendedprice) AS mx, stddev_pop(l_extendedprice) AS sx, count(*) AS n,
               avg(charge) AS my, covar_pop(l_extendedprice, charge) AS cxy FROM tr),
 cf AS (SELECT mx, sx, my AS b0, cxy / sx * n / (n + 1e0) AS b1 FROM st),
-te AS (SELECT lm.*, cf.b0 + cf.b1 * ((lm.l_extendedprice - cf.mx) / cf.sx) AS prediction
-       FROM lm, cf WHERE lm.is_test)"""
+al AS (SELECT lm.*, cf.b0 + cf.b1 * ((lm.l_extendedprice - cf.mx) / cf.sx) AS prediction
+       FROM lm, cf),
+te AS (SELECT * FROM al WHERE is_test)"""
 
 OM = f"""om AS (
   SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority,
