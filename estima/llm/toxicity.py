@@ -49,8 +49,12 @@ SAMPLE_BYTES = 32_000
 FIT_WORDS = 12_000
 #: Insults that are also learned with one character put in or replaced.
 DISGUISED = 150
+#: Share of toxic documents that probabilities are fitted for.
+TOXIC_SHARE = 0.2
 #: Margin below which even the best word of a toxic document is no witness.
 WITNESS = -0.5
+#: Characters whose words a task holds at a time.
+SLICE = 2_000_000
 #: Words in a task's cache.
 CACHE_WORDS = 300_000
 FLOOR = -3.0
@@ -102,12 +106,11 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, flo
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
     room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # characters left in the word
-    powers = [np.uint64(0x100000001B3) ** np.uint64(k) for k in range(4)]
     for offsets in _OFFSETS:
         at = np.flatnonzero(room > offsets[-1])
         h = codes[at] + np.uint64(len(offsets))
         for k, o in enumerate(offsets[1:], 1):
-            h = _mix(h * np.uint64(0x100000001B3) + codes[at + o] * powers[k])
+            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[at + o] + np.uint64(k))
         yield owner[at], h, DECAY ** (offsets[-1] + 1)
 
 
@@ -174,10 +177,11 @@ def summary(margins: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Weights and intercept (last) of a logistic fit to softened targets, both classes at equal weight."""
+    """Weights and intercept (last) of a logistic fit to softened targets. Toxic documents have the
+    weight TOXIC_SHARE in all, whatever their share of the sample."""
     n1, n0 = y.sum(), (1 - y).sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(y > 0, 0.5 / max(n1, 1), 0.5 / max(n0, 1)) * len(y)
+    weight = np.where(y > 0, TOXIC_SHARE / max(n1, 1), (1 - TOXIC_SHARE) / max(n0, 1)) * len(y)
     a = np.hstack([x, np.ones((len(x), 1))])
     keep = ridge * np.eye(a.shape[1])
     w = np.zeros(a.shape[1])
@@ -360,6 +364,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     return fit([t for t, _ in sample], [v for _, v in sample])
 
 
+def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """``texts`` in runs of about SLICE characters: words are held for one run at a time."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= SLICE or i + 1 == len(texts):
+            yield texts[first:i + 1]
+            first, size = i + 1, 0
+
+
 def scores(machine: Machine):
     """Pandas UDF: probability that a text is toxic."""
     state = machine.__dict__
@@ -369,15 +383,17 @@ def scores(machine: Machine):
         own = Machine(**state)
         cache: dict[str, float] = {}
         for batch in batches:
-            bags = [words_of(t) if t else set() for t in batch]
-            fresh = list(set().union(*bags) - cache.keys()) if bags else []
-            if len(cache) + len(fresh) > CACHE_WORDS:
-                cache = {}
-                fresh = list(set().union(*bags))
-            if fresh:
-                cache.update(zip(fresh, own.margins(fresh).tolist(), strict=True))
-            rows = [summary(np.fromiter(map(cache.__getitem__, b), float, len(b))) for b in bags]
-            yield pd.Series(own.probability(np.stack(rows)) if rows else [], dtype=float)
+            out = [np.zeros(0)]
+            for texts in _slices(batch.tolist()):
+                bags = [words_of(t) if t else set() for t in texts]
+                words = set().union(*bags)
+                if len(cache) + len(words) > CACHE_WORDS:
+                    cache.clear()
+                fresh = [w for w in words if w not in cache]
+                if fresh:
+                    cache.update(zip(fresh, own.margins(fresh).tolist(), strict=True))
+                out.append(own.probability(np.stack([summary(np.fromiter(map(cache.__getitem__, b), float, len(b))) for b in bags])))
+            yield pd.Series(np.concatenate(out))
 
     return score
 
