@@ -33,9 +33,10 @@ class RidgeRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
     """Least squares with an L2 penalty ``alpha * ||w||^2`` and a free intercept.
 
     Spark's objective is ``1/(2n) SSE + regParam/2 ||w||^2`` with the label scaled
-    by its population std inside the normal-equation solver, so the equivalent
-    is ``regParam = alpha * std_pop(y) / n``; both are measured per fit (per fold
-    in cross-validation) in one aggregate."""
+    by its std, so the equivalent is ``regParam = alpha * std(y) / n``: the population
+    std inside the normal-equation solver, the sample std in the iterative solver that
+    takes over beyond its limit of slots. Both are measured per fit (per fold in
+    cross-validation) in one aggregate, so the objective is the same at every width."""
 
     alpha = Param(Params._dummy(), "alpha", "L2 penalty weight", typeConverter=TypeConverters.toFloat)
 
@@ -57,12 +58,13 @@ class RidgeRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
         from pyspark.ml.stat import Summarizer
         y = F.col(self.getLabelCol())
         # one pass: label count and spread, and which slots vary at all
-        st = df.agg(F.count(y).alias("n"), F.stddev_pop(y).alias("sy"),
+        st = df.agg(F.count(y).alias("n"), F.stddev_pop(y).alias("sy"), F.stddev_samp(y).alias("ss"),
                     Summarizer.variance(F.col(self.getFeaturesCol())).alias("var")).first()
-        n, sy = st["n"], st["sy"] or 0.0
-        reg = self.getAlpha() * sy / n if n else 0.0
         k = _vector_width(df, self.getFeaturesCol())
         keep = [i for i, v in enumerate(st["var"].toArray()) if v > 0] if st["var"] is not None else []
+        normal = len(keep or range(k)) <= NORMAL_SOLVER_MAX_SLOTS
+        n, spread = st["n"], st["sy" if normal else "ss"] or 0.0
+        reg = self.getAlpha() * spread / n if n else 0.0
         feats = self.getFeaturesCol()
         slicer = None
         if 0 < len(keep) < k:
@@ -73,7 +75,7 @@ class RidgeRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
         lr = LinearRegression(featuresCol=feats, labelCol=self.getLabelCol(),
                               predictionCol=self.getPredictionCol(), regParam=reg,
                               elasticNetParam=0.0, standardization=False, fitIntercept=True,
-                              solver="normal" if len(keep or range(k)) <= NORMAL_SOLVER_MAX_SLOTS else "l-bfgs")
+                              solver="normal" if normal else "l-bfgs", tol=1e-14, maxIter=2000)
         model = lr.fit(df)
         return PipelineModel(stages=[slicer, model]) if slicer is not None else model
 

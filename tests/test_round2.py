@@ -98,3 +98,21 @@ def test_a_restarted_stream_goes_on(spark, tmp_dir):
         query = start_scoring(model, stream, out, available_now=True)
         query.awaitTermination()
     assert sorted(r["x"] for r in spark.read.parquet(out).collect()) == [0.0, 1.0, 2.0, 10.0, 11.0, 12.0]
+
+
+@pytest.mark.parametrize("categories", [1000, 4200])
+def test_ridge_has_one_objective_at_every_width(spark, categories):
+    import numpy as np
+
+    from estima.operators.importance import named_weights
+    from estima.operators.models import pipeline_fit
+    rng = np.random.default_rng(categories)
+    n = 4 * categories
+    c = np.concatenate([np.arange(categories), rng.integers(0, categories, n - categories)])
+    y = rng.normal(size=categories)[c] * 30 + rng.normal(size=n)
+    df = spark.createDataFrame([(f"k{a:05d}", float(b)) for a, b in zip(c, y, strict=True)], "c string, y double")
+    got = {r["category"]: r["weight"] for r in named_weights(pipeline_fit(df, ["c"], "y"), spark).collect()}
+    count, mean = np.bincount(c), np.bincount(c, weights=y) / np.bincount(c)
+    base = (count * mean / (count + 1)).sum() / (count / (count + 1)).sum()
+    want = count * (mean - base) / (count + 1)
+    assert max(abs(got[f"k{i:05d}"] - want[i]) for i in range(categories)) < 1e-5  # weights are near 100
