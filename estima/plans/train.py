@@ -10,18 +10,20 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estima.operators import evaluate as ev
 from estima.operators.columns import split_roles, validate_columns
 from estima.operators.importance import rank_features
 from estima.operators.models import ALIASES, complete_rows
-from estima.operators.profile import high_variation, no_variation
-from estima.operators.quality import check_empty
+from estima.operators.profile import high_variation, no_variation, profile_numeric
+from estima.operators.quality import (QualityError, check_empty, check_header, check_mixed_types, check_readable,
+                                      missing_by_column)
 from estima.operators.score import predict
 from estima.operators.split import split_train_test
 from estima.operators.training import train_expert
+from estima.sources.csv import na_normalise, read_csv_text, scan_csv, sniff_delimiter
 from estima.sources.registry import default_model_dir, model_metadata, model_save
 
 
@@ -36,6 +38,7 @@ class TrainResult:
     weights: DataFrame | None = None
     ranking: DataFrame | None = None
     predictions: DataFrame | None = None
+    profile: DataFrame | None = None
     extra: dict = field(default_factory=dict)
 
     def metadata(self) -> DataFrame:
@@ -97,4 +100,30 @@ def train(df: DataFrame, target: str, key_cols: Sequence[str], features: Sequenc
     metrics = ev.significance_notes(ev.metrics(preds, target))
     return TrainResult(model=model, algorithm=algorithm, features=list(features), target=target,
                        metrics=metrics, flags=flags, weights=weights, ranking=ranking, predictions=preds,
-                       extra={"data": data})
+                       profile=profile_numeric(data.drop("is_test", *key_cols)) if expert else None, extra={"data": data})
+
+
+def checked_csv(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = False,
+                allow_missing: bool = False) -> DataFrame:
+    """Typed read of a CSV file or folder after all input checks: rows, header cells, malformed
+    rows, missing cells, columns that mix numbers and words. The first violated check raises
+    :class:`QualityError` and names what it found (``allow_missing`` skips the missing cells)."""
+    sep = sep or sniff_delimiter(spark, path)
+    blank = check_header(spark, path, sep).limit(5).collect()
+    if blank:
+        raise QualityError(f"blank header cells: {[(r['file_path'], r['position']) for r in blank]}")
+    check_readable(spark, path, sep=sep, strict=True, multi_line=multi_line)
+    text = read_csv_text(spark, path, sep, multi_line)
+    check_empty(text, strict=True)
+    if not allow_missing:
+        missing = {r["column"]: r["n_missing"] for r in missing_by_column(text).where("n_missing > 0").collect()}
+        if missing:
+            raise QualityError(f"missing cells: {missing}")
+    check_mixed_types(na_normalise(text), strict=True)
+    return scan_csv(spark, path, sep, multi_line=multi_line)
+
+
+def train_csv(spark: SparkSession, path: str, target: str, key_cols: Sequence[str], sep: str | None = None,
+              multi_line: bool = False, allow_missing: bool = False, **options) -> TrainResult:
+    """:func:`train` on a CSV file or folder that passes all input checks."""
+    return train(checked_csv(spark, path, sep, multi_line, allow_missing), target, key_cols, **options)

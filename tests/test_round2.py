@@ -116,3 +116,19 @@ def test_ridge_has_one_objective_at_every_width(spark, categories):
     base = (count * mean / (count + 1)).sum() / (count / (count + 1)).sum()
     want = count * (mean - base) / (count + 1)
     assert max(abs(got[f"k{i:05d}"] - want[i]) for i in range(categories)) < 1e-5  # weights are near 100
+
+
+def test_checked_load_and_training_from_csv(spark, tmp_dir):
+    from estima.plans import checked_csv, score, train_csv
+    rows = "".join(f"{i},{'ab'[i % 2]},{i % 7}.5,{3 * (i % 7) + (i % 2)}\n" for i in range(120))
+    path = write(tmp_dir, "ok.csv", "id,kind,size,price\n" + rows)
+    result = train_csv(spark, path, "price", ["id"], features=["size", "kind"], algorithm="ridge", expert=True)
+    assert result.metrics.first()["r2"] > 0.9
+    assert {r["column"] for r in result.profile.collect()} == {"size", "price"}
+    model = result.save(os.path.join(tmp_dir, "models"))
+    scored, problems = score(spark, model, spark.createDataFrame([(1, 2.0)], "id int, size double"), ["id"])
+    assert scored is None and [r["problem"] for r in problems.collect() if r["feature"] == "kind"] == ["missing_column"]
+    for text, found in (("id,,size\n1,a,2\n", "header"), ("id,kind\n1,a\n2\n3,b,c,d\n4,x\n", "malformed"), ("id,kind\n", "empty"),
+                        ("id,kind\n1,#N/A\n2,b\n", "missing"), ("id,kind\n1,a\n2,7\n", "mix")):
+        with pytest.raises(Q.QualityError, match=found):
+            checked_csv(spark, write(tmp_dir, f"{found}.csv", text))
