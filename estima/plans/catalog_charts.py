@@ -62,19 +62,17 @@ def residual_hist_auto_q(spark, base):
 _KDE = "WITH " + S.RIDGE_LI + f""",
 v AS (SELECT charge - prediction AS v FROM al),
 ks AS (SELECT count(*) AS n, min(v) AS mn, max(v) AS mx, stddev_samp(v) * pow(CAST(count(*) AS DOUBLE), -0.2e0) AS bw FROM v),
-pb AS (SELECT CAST(least(floor((v - mn) * (1024 / (mx - mn))), 1023) AS INTEGER) AS b, count(*) AS nb, avg(v) AS c FROM v, ks GROUP BY 1),
-pts AS (SELECT pb.nb, ks.n, ks.bw, ks.mn, ks.mx, pb.c, CAST(p AS INTEGER) AS point
-        FROM pb, ks, range(200) t(p)),
-d AS (SELECT point, mn + point * ((mx - mn) / 199) AS x, n, mn, mx,
-             sum(nb * exp(-0.5e0 * ((mn + point * ((mx - mn) / 199) - c) / bw) * ((mn + point * ((mx - mn) / 199) - c) / bw)))
+d AS (SELECT CAST(p AS INTEGER) AS point, mn + p * ((mx - mn) / 199) AS x, n, mn, mx,
+             sum(exp(-0.5e0 * ((mn + p * ((mx - mn) / 199) - v) / bw) * ((mn + p * ((mx - mn) / 199) - v) / bw)))
              / (n * bw * sqrt(2 * pi())) AS density
-      FROM pts GROUP BY point, n, bw, mn, mx)
-SELECT point, {S.rs('x')} AS x, {S.rs('density')} AS density, {S.rs('density * n * ((mx - mn) / 20)')} AS count FROM d"""
+      FROM v, ks, range(200) t(p) GROUP BY p, n, bw, mn, mx)
+SELECT point, {S.rs('x')} AS x, {S.rs('density', 4)} AS density, {S.rs('density * n * ((mx - mn) / 20)', 4)} AS count FROM d"""
 
 
 @q("residual_density", _KDE)
 def residual_density_q(spark, base):
-    return rsig(D.residual_density(_preds(spark, base), "charge"), "x", "density", "count")
+    """Against the plain sum over all rows, without bins."""
+    return rsig(rsig(D.residual_density(_preds(spark, base), "charge"), "x"), "density", "count", digits=4)
 
 
 @q("residual_vs_predicted", "WITH " + S.RIDGE_LI + f""",
