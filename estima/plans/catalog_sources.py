@@ -67,11 +67,11 @@ def check_empty_q(spark, base):
     return Q.check_empty(scan_table(spark, base, "lineitem"))
 
 
-_MISSING_SQL = S.DL + """
-SELECT doc_id, 'quality' AS column, 5 AS position, 'null' AS kind FROM dl WHERE quality IS NULL
-UNION ALL
-SELECT doc_id, 'toxic', 6, CASE WHEN toxic = '' THEN 'blank' ELSE 'na' END FROM dl
-WHERE toxic = '' OR toxic IN (""" + S.NA_LIST + ")"
+_DL_TEXT = {2: "text", 3: "lang", 4: "source", 6: "quality", 7: "toxic"}  # position: text column
+_MISSING_SQL = S.DL + "\n" + "\nUNION ALL\n".join([
+    *[f"SELECT doc_id, '{c}' AS column, {i} AS position, CASE WHEN {c} IS NULL THEN 'null' WHEN {c} = '' THEN 'blank' ELSE 'na' END AS kind "
+      f"FROM dl WHERE {c} IS NULL OR {c} = '' OR {c} IN ({S.NA_LIST})" for i, c in _DL_TEXT.items()],
+    "SELECT doc_id, 'n_chars', 5, 'null' FROM dl WHERE n_chars IS NULL"])
 
 
 @q("check_missing_cells", "WITH " + _MISSING_SQL)
@@ -86,7 +86,7 @@ _MBC = "WITH " + S.DL + "\n" + "\nUNION ALL\n".join(
     + f"count(*) FILTER (WHERE {c} IS NULL) AS n_null, "
     + (f"count(*) FILTER (WHERE {c} = '' OR {c} IN ({S.NA_LIST}) OR {c} IS NULL) AS n_missing FROM dl"
        if t == "s" else f"count(*) FILTER (WHERE {c} IS NULL) AS n_missing FROM dl")
-    for i, (c, t) in enumerate([("doc_id", "n"), ("lang", "s"), ("source", "s"), ("n_chars", "n"),
+    for i, (c, t) in enumerate([("doc_id", "n"), ("text", "s"), ("lang", "s"), ("source", "s"), ("n_chars", "n"),
                                 ("quality", "s"), ("toxic", "s")], start=1))
 
 
@@ -100,7 +100,7 @@ _MIXED = "WITH " + S.DL + "\n" + "\nUNION ALL\n".join(
     f"count(try_cast(CASE WHEN {c} <> '' THEN {c} END AS DOUBLE)) AS n_numeric, "
     f"count(try_cast(CASE WHEN {c} <> '' THEN {c} END AS DOUBLE)) > 0 AND "
     f"count(try_cast(CASE WHEN {c} <> '' THEN {c} END AS DOUBLE)) < count(CASE WHEN {c} <> '' THEN {c} END) AS mixed FROM dl"
-    for c in ["lang", "source", "quality", "toxic"])
+    for c in _DL_TEXT.values())
 
 
 @q("check_mixed_types", _MIXED)
@@ -124,23 +124,29 @@ def infer_types_q(spark, base):
     return CSV.infer_types(o.select(*[F.col(c).cast("string").alias(c) for c in _ORD_COLS]))
 
 
-@q("na_normalise", "WITH " + S.DL + f"""
-SELECT doc_id, quality, CASE WHEN toxic IN ({S.NA_LIST}) OR toxic = '' THEN NULL ELSE toxic END AS toxic FROM dl""")
+@q("na_normalise", "WITH " + S.DL + " SELECT doc_id, " + ", ".join(
+    f"CASE WHEN {c} IN ({S.NA_LIST}) OR {c} = '' THEN NULL ELSE {c} END AS {c}" for c in _DL_TEXT.values()) + ", n_chars FROM dl")
 def na_normalise_q(spark, base):
-    return CSV.na_normalise(doc_labels(spark, base).select("doc_id", "quality", "toxic"))
+    return CSV.na_normalise(doc_labels(spark, base))
 
 
-@q("check_header", "SELECT CAST(NULL AS VARCHAR) AS file_path, 0 AS position, 0 AS n_columns WHERE false")
+@q("check_header", "SELECT 3 AS position, 5 AS n_columns UNION ALL SELECT 5, 5")
 def check_header_q(spark, base):
-    path = _write_csv(scan_table(spark, base, "part"), scratch(spark, "part-hdr"))
-    return Q.check_header(spark, path)
+    """Files of parts whose third and fifth header cells are blank."""
+    part = scan_table(spark, base, "part").select("p_partkey", "p_name", F.col("p_brand").alias(" "), "p_size", F.col("p_type").alias("  "))
+    path = scratch(spark, "part-hdr")
+    part.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return Q.check_header(spark, path).select("position", "n_columns").distinct()
 
 
-@q("check_readable", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_malformed FROM orders")
+@q("check_readable", """SELECT count(*) AS n_rows, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS n_malformed FROM orders""")
 def check_readable_q(spark, base):
-    path = _write_csv(scan_table(spark, base, "orders"), scratch(spark, "orders-rd"))
-    return Q.check_readable(spark, path).agg(F.sum("n_rows").alias("n_rows"),
-                                             F.sum("n_malformed").alias("n_malformed"))
+    """Orders written without quoting, every seventh key with one cell too many."""
+    orders = scan_table(spark, base, "orders").withColumn("o_orderpriority", F.concat("o_orderpriority", F.when(
+        F.col("o_orderkey") % 7 == 0, F.lit(",more")).otherwise(F.lit(""))))
+    path = scratch(spark, "orders-rd")
+    orders.write.option("header", True).option("quote", "\u0000").csv(path)
+    return Q.check_readable(spark, path, sep=",").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_malformed").alias("n_malformed"))
 
 
 # ----------------------------------------------------------------- columns

@@ -35,10 +35,10 @@ def orders_frame(spark: SparkSession, base: str) -> DataFrame:
 
 
 def doc_labels(spark: SparkSession, base: str) -> DataFrame:
-    d = scan_table(spark, base, "documents", ["doc_id", "lang", "source", "n_chars"])
+    d = scan_table(spark, base, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
     lab = scan_table(spark, base, "labels", ["doc_id", "quality", "toxic"])
     j = d.join(lab, "doc_id", "left")
-    return j.select("doc_id", "lang", "source", "n_chars", F.col("quality").cast("string").alias("quality"),
+    return j.select("doc_id", "text", "lang", "source", "n_chars", F.col("quality").cast("string").alias("quality"),
                     F.coalesce(F.col("toxic").cast("string"), F.lit("#N/A")).alias("toxic"))
 
 

@@ -57,7 +57,7 @@ w AS (SELECT CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS slot,
       FROM g, b)"""
 
 DL = """dl AS (
-  SELECT d.doc_id, d.lang, d.source, d.n_chars, CAST(l.quality AS VARCHAR) AS quality,
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(l.quality AS VARCHAR) AS quality,
          coalesce(CAST(l.toxic AS VARCHAR), '#N/A') AS toxic
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
