@@ -45,9 +45,10 @@ def utf8_bytes(c: Column) -> Column:
     return F.coalesce(F.octet_length(c).cast("long"), F.lit(0).cast("long"))
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, rows: int, count: str) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, rows: int, count: str, small: int = 0) -> DataFrame:
     """``left`` left-joined with ``right`` (one row per ``key``; column ``count``: how many
-    rows of ``left`` have the key), safe when one key holds a large share of ``left``.
+    rows of ``left`` have the key), safe when one key holds a large share of ``left``. Up to
+    ``small`` rows (for narrow rows only) all of ``left`` would fit a task: a plain join then.
 
     The hot keys (``count`` >= rows / HOT_SHARE) are at most HOT_SHARE, so their rows of
     ``right`` are broadcast; the rest is a shuffle join whose largest group is small.
@@ -55,6 +56,8 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, rows: int, count: s
     least = max(2, -(-rows // HOT_SHARE))
     extra = [c for c in right.columns if c not in (key, count)]
     right = right.where(F.col(key).isNotNull())
+    if rows <= small:
+        return left.join(right.select(key, *extra), key, "left").select(*left.columns, *extra)
     hot = right.where(F.col(count) >= least).select(F.col(key).alias("__hot"), *[F.col(c).alias(f"__{c}") for c in extra])
     got = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
     is_hot = F.col("__hot").isNotNull()

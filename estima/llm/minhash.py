@@ -13,7 +13,7 @@ Bands of registers give buckets. Links are only made by verifying the multisets
 
 1. Each document of a bucket against the bucket's hub; a pair met in many buckets is
    verified once. Components of these links follow.
-2. Buckets that still hold documents of different components: every document against every
+2. Buckets whose other documents are of different components: every document against every
    document of another component, inside tasks, block by block. A block's links are reported
    as a forest, which keeps all of its components. Only documents outside a bucket's largest
    component make blocks of their own, so a big group costs one pass per such block.
@@ -47,7 +47,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 #: Documents signed together, by their shingles; documents in a verified block.
-CHUNK = 150_000
+CHUNK = 100_000
 BLOCK = 800
 CACHE_WORDS = 400_000
 
@@ -256,7 +256,8 @@ def _verified_hubs(pairs: DataFrame, elements: DataFrame, threshold: float) -> D
 
 
 def _within_buckets(members: DataFrame, elements: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between different components inside buckets. ``members``: bucket, k, component."""
+    """Links (a, b) between different components inside buckets. ``members``: bucket, k, component,
+    without the buckets' hubs."""
     per = members.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("k") % 1_000_000_007).alias("s1"),
                                                      F.sum(F.xxhash64("k", F.lit(1)) % 998_244_353).alias("s2"))
     per = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max("n").alias("largest"),
@@ -304,14 +305,16 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int
     signed = _bands(texts, bands, rows)
     nodes = signed.where(F.size("bands") > 0).dropDuplicates(["k"])
     places = written(nodes.select("k", F.explode("bands").alias("bucket")), "minhash-places")
-    shared = places.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("hub")).where("n > 1")
+    shared = places.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("hub")).where("n > 1").withColumn("size", F.col("n"))
     members = written(join_unique(places, shared, "bucket", places.count(), "n").where(F.col("hub").isNotNull()), "minhash-members")
     pairs = written(members.where("k != hub").select("k", "hub").distinct(), "minhash-pairs")
     wanted = members.select("k").distinct()
     elements = _elements(texts.join(wanted, "k", "left_semi").dropDuplicates(["k"]))
     links = written(_verified_hubs(pairs, elements, threshold).select(F.col("k").alias("a"), F.col("hub").alias("b")), "minhash-links")
     known = written(components(links, "a", "b"), "minhash-components")
-    labelled = members.join(known, F.col("k") == F.col("node"), "left").select(
+    # every pair with a hub is verified already, so what is left is among the others
+    rest = members.where("k != hub and size > 2")
+    labelled = rest.join(known, F.col("k") == F.col("node"), "left").select(
         "bucket", "k", F.coalesce("component", "k").alias("component"))
     more = written(_within_buckets(written(labelled, "minhash-labelled"), elements, threshold), "minhash-links")
     if not more.isEmpty():
