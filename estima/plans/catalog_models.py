@@ -220,10 +220,17 @@ def named_weights_q(spark, base):
     return rsig(I.named_weights(ridge_orders(spark, base), spark), "weight")
 
 
-@q("sort_abs_weight", "WITH " + S.RIDGE_OR + f" SELECT slot, slot_name, {S.rs('weight')} AS weight FROM w")
+def _in_order(df):
+    """The rows with their place in the frame's order (one row per slot or feature)."""
+    rows = [(i, *r) for i, r in enumerate(df.collect(), 1)]
+    return df.sparkSession.createDataFrame(rows, "position long, " + ", ".join(f"{c} {t}" for c, t in df.dtypes))
+
+
+@q("sort_abs_weight", "WITH " + S.RIDGE_OR + f""" SELECT slot, slot_name, {S.rs('weight')} AS weight,
+   row_number() OVER (ORDER BY abs(weight) DESC, slot) AS position FROM w""")
 def sort_abs_weight_q(spark, base):
-    return rsig(I.sort_abs_weight(I.named_weights(ridge_orders(spark, base), spark)).select("slot", "slot_name", "weight"),
-                "weight")
+    w = I.named_weights(ridge_orders(spark, base), spark).orderBy("slot_name")
+    return rsig(_in_order(I.sort_abs_weight(w).select("slot", "slot_name", "weight")), "weight")
 
 
 @q("importance_by_feature", "WITH " + S.RIDGE_OR + f" SELECT feature, {S.rs('sum(abs(weight))')} AS importance FROM w GROUP BY feature")
@@ -246,9 +253,9 @@ def importance_share_q(spark, base):
     return I.importance_share(_slot_importance(spark, base)).select("feature", "importance_pct")
 
 
-@q("sort_importance", _SHARE)
+@q("sort_importance", "SELECT *, row_number() OVER (ORDER BY importance_pct DESC, feature) AS position FROM (" + _SHARE + ")")
 def sort_importance_q(spark, base):
-    return I.sort_importance(I.importance_share(_slot_importance(spark, base))).select("feature", "importance_pct")
+    return _in_order(I.sort_importance(I.importance_share(_slot_importance(spark, base)), "importance_pct").select("feature", "importance_pct"))
 
 
 @q("top_k_features", "WITH " + S.RIDGE_OR + " SELECT slot_name AS feature FROM w ORDER BY abs(weight) DESC, slot_name LIMIT 2")
