@@ -175,4 +175,4 @@ def test_inline_parsing_edge_cases(spark):
     from estima.sources.inline import inline_source
     req = spark.createDataFrame([(1, "a:1,a:2,b:x:y"), (2, "junk,b:,a:3.5"), (3, "")], "id int, r string")
     got = {r.id: (r.a, r.b) for r in inline_source(req, "r", {"a": "double", "b": "string"}, keep=["id"]).collect()}
-    assert got == {1: (1.0, "x:y"), 2: (3.5, ""), 3: (None, None)}
+    assert got == {1: (2.0, "x:y"), 2: (3.5, ""), 3: (None, None)}
