@@ -40,8 +40,8 @@ NEAR = 2
 SAMPLE_DOCS = 6000
 HIDDEN = 24
 #: Tokens handled at a time and distinct tokens in a task's table.
-CHUNK_TOKENS = 300_000
-CACHE_TOKENS = 400_000
+CHUNK_TOKENS = 150_000
+CACHE_TOKENS = 250_000
 #: Buckets in a block, and tables added in one group.
 BLOCK = 512
 TOGETHER = 128

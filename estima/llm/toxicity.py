@@ -43,20 +43,20 @@ DECAY = 0.7
 LANDMARKS = 288
 TABLE_BITS = 20
 #: Documents of each class in the fitted sample, and the bytes up to which a text can be in it.
-SAMPLE_DOCS = 2500
-SAMPLE_BYTES = 32_000
+SAMPLE_DOCS = 2000
+SAMPLE_BYTES = 24_000
 #: Words of each class in a fit.
-FIT_WORDS = 12_000
+FIT_WORDS = 10_000
 #: Insults that are also learned with one character put in or replaced.
 DISGUISED = 150
 #: Share of toxic documents that probabilities are fitted for.
-TOXIC_SHARE = 0.2
+TOXIC_SHARE = 0.15
 #: Margin below which even the best word of a toxic document is no witness.
 WITNESS = -0.5
 #: Characters whose words a task holds at a time.
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: Words in a task's cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 FLOOR = -3.0
 #: Log ratio from which a piece makes its words first positives.
 FAVOUR = 1.2
@@ -360,8 +360,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0,
           per_class: int = SAMPLE_DOCS) -> Machine:
+    import gc
     sample = labelled_sample(docs, labels, label, modulus, held, per_class)
-    return fit([t for t, _ in sample], [v for _, v in sample])
+    machine = fit([t for t, _ in sample], [v for _, v in sample])
+    del sample
+    gc.collect()  # the driver goes on for long with little else to collect
+    return machine
 
 
 def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
