@@ -60,6 +60,38 @@ def test_duplicates_equal_brute_force(spark, cell, monkeypatch):
         assert got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"]
 
 
+def scattered(n=900, dim=16, seed=5):
+    """Vectors without clusters, and for a third of them a partner a little above or below the threshold."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(n // 3):
+        away = rng.normal(size=dim)
+        away -= (away @ x[i]) * x[i]
+        cosine = rng.uniform(0.925, 0.945)
+        x[n // 2 + i] = cosine * x[i] + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away)
+    return x
+
+
+def links_and_brute_force(spark, x, whole, part, monkeypatch, shard=40):
+    monkeypatch.setattr(embed_dedup, "SHARD", shard)
+    searched = embed_dedup._searched
+    monkeypatch.setattr(embed_dedup, "_searched", lambda *a: searched(*a, whole=whole, part=part))
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.duplicate_vectors(rows).collect())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.93
+    np.fill_diagonal(hit, False)
+    comp = components([(int(a), int(b)) for a, b in zip(*np.nonzero(hit), strict=True)], range(len(x)))
+    return got, [(i, int(hit[i].sum()), comp[i], comp[i] == i) for i in range(len(x))]
+
+
+@pytest.mark.parametrize("part", [30, 3000])
+def test_a_label_over_the_cell_limit_loses_no_link(spark, part, monkeypatch):
+    got, want = links_and_brute_force(spark, scattered(), 800, part, monkeypatch)
+    assert got == want
+
+
 def test_duplicates_of_nothing(spark):
     assert embed_dedup.duplicate_vectors(rows_of(spark, planted(), np.zeros(400)).limit(0)).count() == 0
 
