@@ -92,6 +92,14 @@ def test_a_label_over_the_cell_limit_loses_no_link(spark, part, monkeypatch):
     assert got == want
 
 
+def test_single_pairs_beside_a_hot_group_are_found(spark, monkeypatch):
+    x = scattered(n=800, seed=8)
+    rng = np.random.default_rng(1)
+    hot = x[0] + rng.normal(size=(400, 16)) * 0.02  # most of the links are within this group
+    got, want = links_and_brute_force(spark, np.vstack([x, hot]), 1000, 3000, monkeypatch, shard=10)
+    assert got == want
+
+
 def test_duplicates_of_nothing(spark):
     assert embed_dedup.duplicate_vectors(rows_of(spark, planted(), np.zeros(400)).limit(0)).count() == 0
 
