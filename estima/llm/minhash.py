@@ -297,9 +297,9 @@ def _within_buckets(members: DataFrame, elements: DataFrame, threshold: float, b
     return work.groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary")
 
 
-def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, component: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id (smallest doc_id of its class),
-    k (md5 of the text, null for a null text)."""
+    k (md5 of the text, null for a null text); with ``component`` also the class's key."""
     keyed = docs.select("doc_id", F.unhex(F.md5(F.col("text"))).alias("k"), "text")
     texts = keyed.where(F.col("k").isNotNull()).select("k", "text")
     signed = _bands(texts, bands, rows)
@@ -320,26 +320,28 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int
     if not more.isEmpty():
         stars = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
         known = written(components(stars.unionByName(more), "a", "b"), "minhash-components")
-    return classes(keyed.select("doc_id", "k"), known)
+    return classes(keyed.select("doc_id", "k"), known, component)
 
 
-def classes(keyed: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, class_id, k from the documents' keys and the components of keys."""
+def classes(keyed: DataFrame, known: DataFrame, component: bool = False) -> DataFrame:
+    """doc_id, class_id, k (``component``: and the smallest k of the class, which no other class has,
+    whatever the ids) from the documents' keys and the components of keys."""
+    more = ["component"] if component else []
     per = keyed.where(F.col("k").isNotNull()).groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     per = per.join(known, F.col("k") == F.col("node"), "left").select("k", "first", "n", F.coalesce("component", "k").alias("component"))
     per = written(per, "minhash-keys")
     tops = per.groupBy("component").agg(F.min("first").alias("class_id"), F.count("*").alias("m"))
     per = join_unique(per, tops, "component", per.count(), "m")
-    got = join_unique(keyed, per.select("k", "class_id", "n"), "k", keyed.count(), "n")
-    return got.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "k")
+    got = join_unique(keyed, per.select("k", "class_id", "n", *more), "k", keyed.count(), "n")
+    return got.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "k", *more)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of each class the rows with the smallest doc_id; of equal rows among these one."""
-    found = duplicate_classes(docs.select("doc_id", "text"), threshold)
-    # the class's own document: its id and its text, so that a repeated id does not bring others along
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("k").isNotNull()).groupBy("class_id").agg(F.min("k").alias("__k"))
-    kept = kept.withColumnRenamed("class_id", "__id")
+    """Of each class the row with the smallest doc_id (nulls last), then the smallest key of the text;
+    of equal rows one. Rows without a text are all kept. Ids may repeat or be null."""
+    found = duplicate_classes(docs.select("doc_id", "text"), threshold, component=True).where(F.col("k").isNotNull())
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"),
+                                                         F.col("k").alias("__k"))).alias("first")).select("first.__id", "first.__k")
     some = docs.where(F.col("text").isNotNull()).withColumn("__key", F.unhex(F.md5(F.col("text"))))
     out = some.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left_semi")
     out = out.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)

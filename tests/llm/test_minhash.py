@@ -129,3 +129,11 @@ def test_odd_rows(spark):
     assert sorted(got, key=str) == sorted([(1, 1), (1, 1), (None, 1), (2, 2)], key=str)
     assert minhash.keep_one(rows).count() == 2
     assert minhash.duplicate_classes(rows.limit(0)).count() == 0 and minhash.keep_one(rows.limit(0)).count() == 0
+
+
+def test_classes_of_one_id_and_without_ids_are_kept_apart(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[1]), (3, texts[1] + " more"), (None, texts[2]), (None, texts[3]), (None, texts[3]), (None, "no"), (None, None)]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, "no"), (None, None)]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
