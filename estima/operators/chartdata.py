@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,6 +169,23 @@ def residual_vs_predicted(df: DataFrame, label: str, key_cols: Sequence[str],
                     (F.col("residual") - fitted).alias("detrended"))
 
 
+def _bins(pts: DataFrame, n: int, mn: float, mx: float, prebins: int) -> Bucketizer:
+    """``prebins`` bins of equal width over ``__x``; a bin with more than 4 / ``prebins`` of the rows
+    is split until none holds more, unless all its rows have one value."""
+    inner = {mn + (mx - mn) * (i / prebins) for i in range(1, prebins)} - {mn}
+    while True:
+        bins = Bucketizer(splits=[-math.inf, *sorted(inner), math.inf], inputCol="__x", outputCol="b")
+        full = bins.transform(pts.select("__x")).groupBy("b").agg(
+            F.count(F.lit(1)).alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi")).where(
+            (F.col("n") > 4 * n / prebins) & (F.col("n") > 1) & (F.col("lo") < F.col("hi"))).collect()
+        if not full:
+            return bins
+        for r in full:
+            pieces = max(2, math.ceil(r["n"] * prebins / n))
+            cuts = {r["lo"] + (r["hi"] - r["lo"]) * (i / pieces) for i in range(1, pieces)} | {math.nextafter(r["lo"], math.inf), r["hi"]}
+            inner |= {c for c in cuts if r["lo"] < c <= r["hi"]}
+
+
 def lowess_trend(df: DataFrame, x: str, y: str, points: int = 100, frac: float = 2.0 / 3.0,
                  iterations: int = 3, prebins: int = 1024) -> DataFrame:
     """Robust locally weighted linear trend of ``y`` on ``x`` (the LOWESS of a
@@ -175,7 +193,8 @@ def lowess_trend(df: DataFrame, x: str, y: str, points: int = 100, frac: float =
     ``iterations`` bisquare robustness passes) at ``points`` grid points.
 
     Work is on pre-binned sums (count, and robustness-weighted sum w, wx, wy, wxx,
-    wxy per x-bin), so each local fit costs points x bins, not points x rows.
+    wxy per x-bin), so each local fit costs points x bins, not points x rows. Bins are
+    narrower where many rows are (:func:`_bins`), so an extreme x changes no other fit.
     Each robustness pass reads the rows once for their residuals against the
     current trend (interpolated from the grid, shipped as a literal array), takes
     the exact median |residual| (distributed), and re-bins with the new weights.
@@ -189,12 +208,16 @@ def lowess_trend(df: DataFrame, x: str, y: str, points: int = 100, frac: float =
         return spark.createDataFrame([], "point int, x double, trend double")
     step = (mx - mn) / max(points - 1, 1) if mx > mn else 0.0
     grid = [mn + i * step for i in range(points)]
-    span = (mx - mn) if mx > mn else 1.0
-    xb = F.least(F.floor((F.col("__x") - F.lit(mn)) * (prebins / span)), F.lit(prebins - 1)).cast("int")
+    bins = _bins(pts, n, mn, mx, prebins)
+    # sums are taken from the median, so that they keep their digits beside an extreme x
+    mid = order_statistics(pts, ["__x"], (0.5,)).first()["value"]
+    z = F.col("__x") - F.lit(mid)
     robust = F.lit(1.0)
     trend = None
     for it in range(iterations + 1):
         if trend is not None:
+            if trend[0] is None:
+                break  # no row has weight anywhere
             arr = F.array(*[F.lit(float(t)) for t in trend])
             if step > 0:
                 j = F.least(F.greatest(F.floor((F.col("__x") - F.lit(mn)) / F.lit(step)), F.lit(0)),
@@ -209,13 +232,13 @@ def lowess_trend(df: DataFrame, x: str, y: str, points: int = 100, frac: float =
                 break  # residuals (almost all) zero: the fit is already exact
             u = e / F.lit(6.0 * mad)
             robust = F.when(F.abs(u) < 1, F.pow(1 - u * u, 2)).otherwise(F.lit(0.0))
-        binned = (pts.select(xb.alias("b"), "__x", "__y", robust.alias("__r"))
+        binned = (bins.transform(pts).select("b", z.alias("__x"), "__y", robust.alias("__r"))
                   .groupBy("b").agg(F.count(F.lit(1)).alias("nb"), F.avg("__x").alias("cx"),
                                     F.sum("__r").alias("w"), F.sum(F.col("__r") * F.col("__x")).alias("wx"),
                                     F.sum(F.col("__r") * F.col("__y")).alias("wy"),
                                     F.sum(F.col("__r") * F.col("__x") * F.col("__x")).alias("wxx"),
                                     F.sum(F.col("__r") * F.col("__x") * F.col("__y")).alias("wxy")))
-        trend = _local_fits(binned, grid, n, frac)
+        trend = _local_fits(binned, [g - mid for g in grid], n, frac)
     return spark.createDataFrame([(i, float(g), float(t) if t is not None else None)
                                   for i, (g, t) in enumerate(zip(grid, trend))],
                                  "point int, x double, trend double")
@@ -224,8 +247,10 @@ def lowess_trend(df: DataFrame, x: str, y: str, points: int = 100, frac: float =
 def _local_fits(binned: DataFrame, grid: list, n: int, frac: float) -> list:
     """Weighted local linear fits at the grid points over binned sums: the
     neighbourhood radius is the distance covering ceil(frac n) rows (by count);
-    weights are tricube(distance / radius) times the bins' robustness sums. The
-    grid has a fixed, small size, so the fits come back as a list."""
+    weights are tricube(distance / radius) times the bins' robustness sums. Where all rows
+    within the radius lie on it they count alike; a point without any weight takes
+    its value from the points beside it. The grid has a fixed, small size, so the fits
+    come back as a list."""
     # every bin meets every grid point: the grid is a fixed literal array, exploded per bin
     gp = F.explode(F.array(*[F.struct(F.lit(i).alias("point"), F.lit(float(v)).alias("g"))
                              for i, v in enumerate(grid)])).alias("__gp")
@@ -238,15 +263,25 @@ def _local_fits(binned: DataFrame, grid: list, n: int, frac: float) -> list:
     j = pairs.join(radius, "point")
     u = F.when(F.col("h") > 0, F.col("d") / F.col("h")).otherwise(F.lit(0.0))
     t = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
+    j = j.withColumn("__t", t).withColumn("__in", F.sum(F.col("__t") * F.col("w")).over(Window.partitionBy("point")))
+    t = F.when(F.col("__in") > 0, F.col("__t")).otherwise((F.col("d") <= F.col("h")).cast("double"))
     s = (j.withColumn("t", t).groupBy("point", "g").agg(
         F.sum(F.col("t") * F.col("w")).alias("W"), F.sum(F.col("t") * F.col("wx")).alias("WX"),
         F.sum(F.col("t") * F.col("wy")).alias("WY"), F.sum(F.col("t") * F.col("wxx")).alias("WXX"),
         F.sum(F.col("t") * F.col("wxy")).alias("WXY")))
     den = F.col("W") * F.col("WXX") - F.col("WX") * F.col("WX")
-    slope = F.when(den != 0, (F.col("W") * F.col("WXY") - F.col("WX") * F.col("WY")) / den).otherwise(F.lit(0.0))
+    slope = F.when(den > 1e-12 * F.col("W") * F.col("WXX"), (F.col("W") * F.col("WXY") - F.col("WX") * F.col("WY")) / den).otherwise(F.lit(0.0))
     icpt = F.when(F.col("W") > 0, (F.col("WY") - slope * F.col("WX")) / F.col("W"))
     fits = {r["point"]: r["trend"] for r in s.select("point", (icpt + slope * F.col("g")).alias("trend")).collect()}
-    return [fits.get(i) for i in range(len(grid))]
+    known = [i for i in range(len(grid)) if fits.get(i) is not None]
+
+    def value(i: int) -> float:
+        left, right = max((p for p in known if p <= i), default=None), min((p for p in known if p >= i), default=None)
+        if left is None or right is None or left == right:
+            return fits[right if left is None else left]
+        return fits[left] + (fits[right] - fits[left]) * (i - left) / (right - left)
+
+    return [value(i) for i in range(len(grid))] if known else [None] * len(grid)
 
 
 def performance_report(df: DataFrame, label: str, key_cols: Sequence[str], prediction: str = "prediction",

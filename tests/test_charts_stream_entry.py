@@ -124,3 +124,24 @@ def test_lowess_close_to_brute_force_and_robust(spark):
     assert np.abs(got.trend.values - ref_clean).max() < 0.1  # outliers discounted
     plain = D.lowess_trend(df, "x", "y", points=40, iterations=0).orderBy("point").toPandas()
     assert np.abs(plain.trend.values - ref_clean).max() > 0.3  # a single pass is pulled up
+
+
+def test_lowess_with_one_extreme_x(spark):
+    rng = np.random.default_rng(4)
+    for far in (1e6, -1e6):
+        x = np.append(rng.uniform(0, 10, 2000), far)
+        y = np.append(3 * x[:-1] + rng.normal(0, 0.2, 2000), 5.0)
+        df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+        got = D.lowess_trend(df, "x", "y", points=20, iterations=0).orderBy("point").toPandas()
+        want = _np_lowess_grid(x, y, got.x.values, iterations=0)
+        near = np.argmin(np.abs(got.x.values - 5))  # the grid point in the mass
+        assert got.trend.notna().all()
+        assert abs(got.trend.values[near] - want[near]) < 0.05 * (1 + abs(want[near]))
+        robust = D.lowess_trend(df, "x", "y", points=20)
+        assert robust.where("trend is null").count() == 0
+
+
+def test_lowess_on_one_value_and_another(spark):
+    df = spark.createDataFrame(pd.DataFrame({"x": [1.0] * 90 + [5.0] * 10, "y": [2.0, 4.0] * 45 + [7.0] * 10}))
+    got = D.lowess_trend(df, "x", "y", points=5).orderBy("point").toPandas()
+    assert got.trend.notna().all() and abs(got.trend.values[0] - 3.0) < 1e-9
