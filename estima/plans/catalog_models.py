@@ -340,6 +340,14 @@ def grid_search_q(spark, base):
     return rsig(table, "mean_r2")
 
 
+@q("grid_search_models")
+def grid_search_models_q(spark, base):
+    """The whole search: all grid points of the three models on all features."""
+    lf = lineitem_frame(spark, base).where(~F.col("is_test"))
+    table, _ = grid_search(lf, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"], "charge", LI_KEY)
+    return rsig(table, "mean_r2")
+
+
 # ----------------------------------------------------------------- evaluation
 
 def _seg_metrics(spark, base):

@@ -132,3 +132,22 @@ def test_checked_load_and_training_from_csv(spark, tmp_dir):
                         ("id,kind\n1,#N/A\n2,b\n", "missing"), ("id,kind\n1,a\n2,7\n", "mix")):
         with pytest.raises(Q.QualityError, match=found):
             checked_csv(spark, write(tmp_dir, f"{found}.csv", text))
+
+
+def test_grid_search_is_registered_over_all_models(monkeypatch):
+    from types import SimpleNamespace
+
+    from estima.operators.tuning import DEFAULT_GRIDS, _points
+    from estima.plans import catalog, catalog_models
+    seen = {}
+
+    def search(df, features, target, key_cols, models=tuple(DEFAULT_GRIDS), **more):
+        seen.update(features=features, points=sum(len(_points(DEFAULT_GRIDS[m])) for m in models), more=more)
+        return None, None
+
+    monkeypatch.setattr(catalog_models, "grid_search", search)
+    monkeypatch.setattr(catalog_models, "lineitem_frame", lambda *a: SimpleNamespace(where=lambda c: None))
+    monkeypatch.setattr(catalog_models, "rsig", lambda *a: None)
+    monkeypatch.setattr(catalog_models, "F", SimpleNamespace(col=lambda c: True))
+    catalog.QUERIES["grid_search_models"](None, "")
+    assert len(seen["features"]) == 6 and seen["points"] == 8 and not seen["more"]
