@@ -319,6 +319,15 @@ def permutation_importance_q(spark, base):
     return rsig(out, "importance_mean", "importance")
 
 
+@q("permutation_importance_features")
+def permutation_importance_features_q(spark, base):
+    """Importance of every feature of a ridge model on all features."""
+    lf, features = lineitem_frame(spark, base), [*TREE_FEATURES, "l_linestatus"]
+    model = pipeline_fit(lf.where(~F.col("is_test")), features, "charge", "ridge")
+    out = I.permutation_importance(model, lf.where(F.col("is_test")), features, "charge", LI_KEY, repeats=10)
+    return rsig(out, "importance_mean", "importance")
+
+
 _GRID_SQL = "WITH " + S.LM + f""",
 d AS (SELECT *, CAST({S.bucket("concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, 'fold')", 3)} AS INTEGER) AS fold FROM lm WHERE NOT is_test),
 a AS (SELECT * FROM (VALUES (0.5e0, '{{"alpha": 0.5}}'), (1e0, '{{"alpha": 1.0}}'), (2e0, '{{"alpha": 2.0}}')) t(alpha, params)),

@@ -151,3 +151,9 @@ def test_grid_search_is_registered_over_all_models(monkeypatch):
     monkeypatch.setattr(catalog_models, "F", SimpleNamespace(col=lambda c: True))
     catalog.QUERIES["grid_search_models"](None, "")
     assert len(seen["features"]) == 6 and seen["points"] == 8 and not seen["more"]
+
+
+def test_importance_of_several_features_sums_to_one(spark):
+    from estima.plans import catalog
+    got = {r["feature"]: r["importance"] for r in catalog.QUERIES["permutation_importance_features"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == 6 and abs(sum(got.values()) - 1) < 1e-4 and max(got, key=got.get) == "l_extendedprice"
