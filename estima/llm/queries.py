@@ -111,3 +111,60 @@ def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every document, with inclusion scores."""
     from estima.llm.segment import sampled_segmentations
     return sampled_segmentations(table(spark, sf_dir, "documents"), k=2, ids=False)
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents: proofs by descent, and an audit with tampered texts."""
+    from estima.llm.merkle import merkle_proofs
+    return merkle_proofs(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql(height: int = 7) -> str:
+    """SQL of op13: ``height`` levels within a source and over the sources, up to 16 ** height nodes."""
+    def field(c: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    first = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    # the table of crc32, bit by bit
+    steps = ["SELECT i, i AS c FROM range(256) t(i)"]
+    for _ in range(8):
+        steps.append(f"SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END AS c FROM ({steps[-1]})")
+    sql = [f"crc AS (SELECT list(CAST(c AS BIGINT) ORDER BY i) AS t FROM ({steps[-1]}))",
+           "ids AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)",
+           """crcs AS (SELECT doc_id, xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+             lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS crc FROM ids, crc)""",
+           f"""leaves AS (SELECT d.doc_id, d.source AS tree, sha256({first} || {field('text')}) AS leaf,
+             CASE WHEN c.crc % 5 = 0 THEN sha256({first} || {field(lower)}) END AS altered FROM documents d LEFT JOIN crcs c USING (doc_id))""",
+           """placed AS (SELECT *, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n, row_number() OVER () AS row_id
+             FROM leaves WINDOW w AS (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf))""",
+           "n0 AS (SELECT tree, idx, leaf AS digest, n AS left_over FROM placed)"]
+    for k in range(height):
+        sql.append(f"""r{k} AS (SELECT tree, idx // 16 AS run, list(digest ORDER BY idx) AS kids, left_over FROM n{k}
+          GROUP BY tree, idx // 16, left_over)""")
+        sql.append(f"""n{k + 1} AS (SELECT tree, run AS idx, CASE WHEN left_over = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS digest,
+          (left_over + 15) // 16 AS left_over FROM r{k})""")
+    sql.append(f"""p0 AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS idx, count(*) OVER () AS left_over
+      FROM n{height})""")
+    sql.append("t0 AS (SELECT idx, subroot AS digest, left_over FROM p0)")
+    for k in range(height):
+        sql.append(f"s{k} AS (SELECT idx // 16 AS run, list(digest ORDER BY idx) AS kids, left_over FROM t{k} GROUP BY idx // 16, left_over)")
+        sql.append(f"""t{k + 1} AS (SELECT run AS idx, CASE WHEN left_over = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS digest,
+          (left_over + 15) // 16 AS left_over FROM s{k})""")
+    sql.append("f0 AS (SELECT l.*, p.subroot, p.idx AS place, '' AS proof, coalesce(altered, leaf) AS fold FROM placed l JOIN p0 p ON l.tree IS NOT DISTINCT FROM p.tree)")
+    at = 0
+    for prefix, on, place in (("r", "f.tree IS NOT DISTINCT FROM r.tree AND", "idx"), ("s", "", "place")):
+        for k in range(height):
+            pos = f"((f.{place} // {16 ** k}) % 16)"
+            left, right = f"array_to_string(kids[1:{pos}], '')", f"array_to_string(kids[{pos} + 2:], '')"
+            sql.append(f"""f{at + 1} AS (SELECT f.* REPLACE (CASE WHEN left_over = 1 THEN proof ELSE proof || {left} || {right} END AS proof,
+              CASE WHEN left_over = 1 THEN fold ELSE sha256({left} || fold || {right}) END AS fold)
+              FROM f{at} f JOIN {prefix}{k} r ON {on} f.{place} // {16 ** (k + 1)} = r.run)""")
+            at += 1
+    return "WITH " + ",\n".join(sql) + f"""
+SELECT doc_id, leaf, subroot, t.digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = t.digest AS verified
+FROM f{at}, t{height} t"""
+
+
+ORACLE["op13_merkle"] = _merkle_sql()
