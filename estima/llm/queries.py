@@ -168,3 +168,30 @@ FROM f{at}, t{height} t"""
 
 
 ORACLE["op13_merkle"] = _merkle_sql()
+
+
+@query
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item, by dual trees."""
+    from estima.llm.ranking import ranked_documents
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLE["op12_ranking"] = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+n AS (SELECT r, len(terms) AS n FROM d WHERE len(terms) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM n),
+i AS MATERIALIZED (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS terms FROM benchmark),
+it AS (SELECT i, item_id, term, count(*) AS reps FROM (SELECT i, item_id, unnest(terms) AS term FROM i) GROUP BY ALL),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM (SELECT r, doc_id, unnest(terms) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sc AS (SELECT i, item_id, tf.r, doc_id, CAST(sum(reps * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length)))) AS BIGINT) AS score
+  FROM it JOIN tf USING (term) JOIN df USING (term) JOIN n ON n.r = tf.r, s GROUP BY i, item_id, tf.r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM sc WHERE score > 0)
+WHERE rank <= 20
+"""
