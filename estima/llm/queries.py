@@ -170,6 +170,13 @@ FROM f{at}, t{height} t"""
 ORACLE["op13_merkle"] = _merkle_sql()
 
 
+@query
+def op11_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability by a log-frequency Bloom filter; crc32 mod 7 = 2 is held out."""
+    from estima.llm.lm import language_model_scores
+    return language_model_scores(table(spark, sf_dir, "documents"), modulus=7, held=2)
+
+
 @query
 def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of every benchmark item, by dual trees."""

@@ -61,9 +61,8 @@ def test_equals_scoring_every_pair(spark, tables):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, items)
 
 
-def test_blocks_of_items_give_the_same(spark, tables, monkeypatch):
+def test_blocks_of_items_give_the_same(spark, tables):
     docs, items = tables
-    monkeypatch.setattr(ranking, "TREE", 50)
     got = ranking.ranked_documents(spark.createDataFrame(docs[:300], DOCS), spark.createDataFrame(items[:12], ITEMS), k=3, most=5)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs[:300], items[:12], k=3)
 
