@@ -20,7 +20,10 @@ columns are ignored by :func:`find_pii` and kept by :func:`redact`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import operator
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estima.llm.common import join_unique, written
@@ -45,17 +48,24 @@ SHAPES = {
 ROUNDS, CONFIDENCE, SUPPORT, SHRINK = 3, 0.9, 8, 0.5
 
 
+#: Code points of a piece of text.
+CUT = 1024
 #: Running sums are taken in blocks of so many matches: an array grows by copying.
 BLOCK = 64
 
 
-def _running(values: Column, start: Column) -> Column:
-    """``start``, start + v1, start + v1 + v2, ...: the sum before each value."""
+def _running(values: Column, start: Column, then: Callable[[Column, Column], Column] = operator.add) -> Column:
+    """``start``, start + v1, start + v1 + v2, ...: what ``then`` makes of the values before each."""
     first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(values, first, lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+    return F.aggregate(values, first, lambda acc, v: F.struct(then(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
                        lambda acc: acc["out"])
 
 
+def _blocks(values: Column, kind: str) -> Column:
+    return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(1), F.size(values), F.lit(BLOCK)), lambda i: F.slice(values, i, BLOCK))).otherwise(
+        F.array().cast(f"array<array<{kind}>>"))
+
+
 def _located(docs: DataFrame, text: str, searches: dict[str, tuple[str, Column]]) -> DataFrame:
     """For each search (name: pattern, condition) a column ``name``: the matches in the column
     ``text`` as an array of structs (start, hit). Each step is a projection of its own, as its
@@ -68,11 +78,9 @@ def _located(docs: DataFrame, text: str, searches: dict[str, tuple[str, Column]]
     out = step(out, "gap", lambda n: F.when(F.size(c("hit", n)) > 0, F.transform(F.split(text, searches[n][0], -1), lambda x: F.length(x))).otherwise(
         F.array().cast(numbers)))
     out = step(out, "step", lambda n: F.zip_with(c("gap", n), c("hit", n), lambda g, h: g + F.coalesce(F.length(h), F.lit(0))))
-    blocks = lambda n: F.when(F.size(c("hit", n)) > 0, F.transform(
-        F.sequence(F.lit(1), F.size(c("step", n)), F.lit(BLOCK)), lambda i: F.slice(c("step", n), i, BLOCK))).otherwise(F.array().cast("array<array<int>>"))
-    out = step(out, "block", blocks)
+    out = step(out, "block", lambda n: _blocks(F.when(F.size(c("hit", n)) > 0, c("step", n)).otherwise(F.array().cast(numbers)), "int"))
     out = step(out, "from", lambda n: _running(F.transform(c("block", n), lambda b: F.aggregate(b, F.lit(0), lambda x, y: x + y)), F.lit(0)))
-    out = step(out, "at", lambda n: F.flatten(F.zip_with(c("block", n), c("from", n), _running)))
+    out = step(out, "at", lambda n: F.flatten(F.zip_with(c("block", n), c("from", n), lambda b, at: _running(b, at))))
     found = lambda n: F.zip_with(F.zip_with(c("at", n), c("gap", n), lambda a, g: a + g), c("hit", n),
                                  lambda a, h: F.struct(a.alias("start"), h.alias("hit")))
     out = out.select("*", *[F.filter(found(n), lambda x: x["hit"].isNotNull()).alias(n) for n in names])
@@ -133,17 +141,35 @@ def _searched(docs: DataFrame, text: str) -> DataFrame:
 
 def _edges(found: DataFrame) -> DataFrame:
     """Occurrences of candidates: row, token, start, end, kind (of the seed that starts in it, else
-    null), covered (a base span overlaps it), pattern."""
-    one = found.where(F.size("candidates") > 0).select("row", "seeds", F.explode("candidates").alias("c")).select("row", "seeds", "c.*").where("token != ''")
-    overlap = F.filter("seeds", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    begins = F.try_element_at(F.filter("seeds", lambda s: (s["start"] >= F.col("start")) & (s["start"] < F.col("end"))), F.lit(1))
-    # a token inside an identifier of several words is neither a seed nor free
-    one = one.withColumn("covered", F.size(overlap) > 0).withColumn("__seed", begins).withColumn("kind", F.col("__seed.kind"))
+    null), covered (a base span overlaps it), pattern.
+
+    Seeds and candidates of a text are laid out side by side and swept in the order of their places,
+    forwards for what began before a candidate and backwards for what begins in it: a text with many
+    identifiers costs a sort, not all pairs of them."""
+    none = lambda kind: F.lit(None).cast(kind)
+    begins = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.hit").alias("hit"))
+    there = F.size("candidates") > 0
+    seeds = found.where(there & (F.size("seeds") > 0)).select("row", F.explode("seeds").alias("s")).select(
+        "row", F.col("s.start").alias("start"), F.lit(1).alias("seed"), F.col("s.kind").alias("order"), F.col("s.end").alias("reach"), begins.alias("begins"),
+        none("string").alias("token"), none("int").alias("end"), none("string").alias("before"), none("string").alias("after"))
+    tokens = found.where(there).select("row", F.explode("candidates").alias("c")).where("c.token != ''").select(
+        "row", F.col("c.start").alias("start"), F.lit(0).alias("seed"), F.lit(0).alias("order"), none("int").alias("reach"),
+        none("struct<start:int,kind:int,hit:string>").alias("begins"), F.col("c.token").alias("token"), F.col("c.end").alias("end"),
+        F.col("c.before").alias("before"), F.col("c.after").alias("after"))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    forwards = Window.partitionBy("row").orderBy("start", "seed").rowsBetween(*so_far)  # a seed at the same place is not before
+    backwards = Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("seed").desc(), F.col("order").desc()).rowsBetween(*so_far)
+    one = seeds.unionByName(tokens).withColumn("__reach", F.max("reach").over(forwards)).withColumn("__next", F.last("begins", True).over(backwards))
+    one = one.where("seed = 0")
+    inside = F.coalesce(F.col("__next.start") < F.col("end"), F.lit(False))
+    one = one.withColumn("covered", inside | F.coalesce(F.col("__reach") > F.col("start"), F.lit(False)))
+    one = one.withColumn("kind", F.when(inside, F.col("__next.kind")))
     # a seed's surface is all of it, not only the token that it starts in
-    one = one.withColumn("token", F.coalesce("__seed.hit", "token"))
-    one = one.where(~F.col("covered") | F.col("kind").isNotNull()).drop("seeds", "__seed")
+    one = one.withColumn("token", F.when(inside, F.col("__next.hit")).otherwise(F.col("token")))
+    # a token inside an identifier of several words is neither a seed nor free
+    one = one.where(~F.col("covered") | F.col("kind").isNotNull())
     patterns = F.array(F.concat(F.col("before"), F.lit("\t")), F.concat(F.col("before"), F.lit("\t"), F.coalesce("after", F.lit(""))))
-    return one.withColumn("pattern", F.explode(patterns)).drop("before", "after")
+    return one.select("row", "token", "start", "end", "kind", "covered", F.explode(patterns).alias("pattern"))
 
 
 def _scored(edges: DataFrame, rounds: int) -> DataFrame:
@@ -212,7 +238,7 @@ def _written_out(spans: Column) -> Column:
 def find_pii(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, counts of base identifiers, base_sha256, spans, n_discovered."""
     got = _with_extra(docs, [F.col("doc_id")], False, rounds, confidence, support)
-    every = F.array_sort(F.array_union("spans", "extra"))
+    every = F.array_sort(F.concat("spans", "extra"))
     counts = [F.size(F.array_remove(F.transform("spans", lambda s: s["kind"] == F.lit(k)), F.lit(False))).cast("long").alias(f"n_{kind}")
               for k, kind in enumerate(KINDS)]
     return got.select("doc_id", *counts, F.sha2(_written_out(F.col("spans")), 256).alias("base_sha256"),
@@ -225,17 +251,23 @@ def redact(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE
     got = _with_extra(docs, names, True, rounds, confidence, support)
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("__text")
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        # a span that overlaps the one before only adds what lies beyond it
-        cut = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
-                       F.when(s["start"] >= acc["at"], F.get(marks, s["kind"])).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), cut.alias("out"))
-
-    every = F.array_sort(F.array_union("spans", "extra"))
-    clean = F.aggregate(every, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    clean = F.when(F.size(every) > 0, clean).otherwise(text)
+    # where the spans before each end; a span that overlaps one before only adds what lies beyond it
+    got = got.withColumn("__every", F.array_sort(F.concat("spans", "extra")))
+    got = got.withColumn("__block", _blocks(F.transform("__every", lambda s: s["end"]), "int"))
+    got = got.withColumn("__from", _running(F.transform("__block", F.array_max), F.lit(0), F.greatest))
+    got = got.withColumn("__at", F.flatten(F.zip_with("__block", "__from", lambda b, at: _running(b, at, F.greatest))))
+    # a substring counts from the text's start, so long texts are cut up first
+    got = got.withColumn("__cut", F.when(F.size("__every") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))))
+
+    def between(a: Column, b: Column) -> Column:
+        first = F.floor(a / CUT).cast("int")
+        near = F.slice("__cut", first + 1, F.floor(b / CUT).cast("int") - first + 1)
+        return F.when(a < b, F.substring(F.array_join(near, ""), a - first * CUT + 1, b - a)).otherwise(F.lit(""))
+
+    pieces = F.zip_with("__every", "__at", lambda s, at: F.concat(
+        between(at, s["start"]), F.when(s["start"] >= at, F.get(marks, s["kind"])).otherwise(F.lit(""))))
+    rest = between(F.array_max(F.transform("__every", lambda s: s["end"])), F.length(text))
+    clean = F.when(F.size("__every") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
     fields = dict(docs.dtypes)
     out = [clean.alias(c) if c == "text" else (F.length(clean).cast(fields[c]).alias(c) if c == "n_chars" else F.col(f"__in{i}").alias(c))
            for i, c in enumerate(docs.columns)]

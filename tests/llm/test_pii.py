@@ -98,3 +98,16 @@ def test_overlapping_spans_are_cut_once(spark, text, want):
     rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = redact(rows).first()["text"]
     assert want not in got and "[CARD]" in got
+
+
+def test_a_text_of_very_many_identifiers(spark):
+    """50,000 identifiers in one text: positions, candidates and the cleaned text stay linear."""
+    n = 50_000
+    text = " ".join(f"word u{i}@mail.example.com ," for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    [row] = find_pii(docs).collect()
+    assert row["n_email"] == n and row["n_discovered"] == 0
+    first = text.index(f"u{n - 1}@")
+    assert row["spans"].endswith(f"email:{first}:{first + len(str(n)) + len("u@mail.example.com")}")
+    [clean] = redact(docs).collect()
+    assert clean["text"] == " ".join(["word [EMAIL] ,"] * n)
