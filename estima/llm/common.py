@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +39,43 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give back what this process holds but no longer uses: a reused Python worker would keep the
+    most that any of its tasks has needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``fn`` over a task's batches, and then :func:`release`."""
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+    return run
+
+
 def crc32_text(c: Column) -> Column:
     """crc32 of the value written as text; a null counts as the empty text."""
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
+def least_hashes(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """About ``most`` rows (never more), those whose hash of ``keys`` is smallest: the same rows however the
+    table is split. Only rows below a threshold of the hash are sorted, so no task hands up ``most`` rows of its own."""
+    total = rows.count()
+    share = (most + 4 * most**0.5 + 16) / max(1, total)
+    at = F.xxhash64(*keys)
+    if share < 1:
+        rows = rows.where(at < F.lit(int(-(1 << 63) + share * (1 << 64))))
+    return rows.orderBy(at, *keys).limit(most)
+
+
 def utf8_bytes(c: Column) -> Column:
     """UTF-8 bytes of a text; a null has none."""
     return F.coalesce(F.octet_length(c).cast("long"), F.lit(0).cast("long"))

@@ -36,6 +36,8 @@ CENTROIDS = 64
 SAMPLE = 10_000
 AUDIT_QUERIES = 128
 RECALL = 0.97
+#: Room for the rounding of a matrix product of unit vectors.
+SLACK = 1e-9
 #: Entries in a part of a region.
 PART = 4000
 
@@ -109,12 +111,14 @@ def _best(query: np.ndarray, query_row: np.ndarray, entries: np.ndarray, entry_r
         s[query_row[a:a + 256, None] == entry_row[None, :]] = -np.inf
         if allowed is not None:
             s[~allowed[a:a + 256]] = -np.inf
-        for r in s:
-            # everything at least as good as the k-th, so that a tie is decided by the id
-            floor = np.partition(r, len(r) - k)[len(r) - k] if len(r) > k else -np.inf
+        for n, r in enumerate(s):
+            # the product only shortlists, with room for its rounding: it adds up in another order for each shape
+            floor = np.partition(r, len(r) - k)[len(r) - k] - SLACK if len(r) > k else -np.inf
             at = np.flatnonzero((r >= floor) & (r > -np.inf))
-            at = at[np.lexsort((entry_id[at], -r[at]))][:k]
-            yield at, r[at]
+            # equal vectors get equal scores here, so that a tie is decided by the id
+            score = (entries[at] * query[a + n]).sum(axis=1)
+            best = np.lexsort((entry_id[at], -score))[:k]
+            yield at[best], score[best]
 
 
 def _ids(column: pa.Array) -> np.ndarray:

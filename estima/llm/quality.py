@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estima.llm.common import crc32_text, written
+from estima.llm.common import crc32_text, least_hashes, written
 
 BUCKETS = 1 << 13
 DIMENSIONS = 40
@@ -254,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     known = known.join(docs.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
     picked = []
     for v in (0, 1):
-        picked += known.where(F.col("__label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
+        picked += least_hashes(known.where(F.col("__label") == v), per_class, "doc_id").collect()
     if not picked:
         return vectors, fit(np.zeros((0, 2 * DIMENSIONS)), np.zeros(0))
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in picked], known.select("doc_id", "__label").schema)

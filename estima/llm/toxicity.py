@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estima.llm.common import crc32_text
+from estima.llm.common import crc32_text, least_hashes
 
 ORDERS = (3, 4)
 SPAN = 6
@@ -348,7 +348,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     known = known.join(usable, F.col("doc_id") == F.col("__id"), "left_semi")
     picked = []
     for v in (0, 1):
-        rows = known.where(F.col("__label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
+        rows = least_hashes(known.where(F.col("__label") == v), per_class, "doc_id").collect()
         picked += [(r["doc_id"], r["__label"]) for r in rows]
     if not picked:
         return []

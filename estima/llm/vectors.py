@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from estima.llm.common import least_hashes
+
 
 def usable(c: Column) -> Column:
     """True for a vector that is not null, empty or zero and has only finite components."""
@@ -28,7 +30,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def sampled(rows: DataFrame, key: str, column: str, dim: int, most: int) -> np.ndarray:
     """At most ``most`` unit vectors, chosen by a hash of the key, on the driver."""
-    got = rows.orderBy(F.xxhash64(key, column)).select(column).limit(most).collect()
+    got = least_hashes(rows.select(key, column), most, key, column).select(column).collect()
     return unit(np.array([r[0] for r in got], np.float64).reshape(-1, dim)) if got else np.zeros((0, dim))
 
 

@@ -140,6 +140,24 @@ def test_ties_go_to_the_smaller_id(spark):
     assert neighbours.nearest_neighbours(rows.limit(0)).count() == 0
 
 
+def test_copies_in_several_parts_go_by_id(spark, monkeypatch):
+    """200 copies of each vector, dealt out to parts: scores of copies are equal, so the ids decide."""
+    monkeypatch.setattr(neighbours, "PART", 300)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 24))
+    of = rng.permutation(np.repeat(np.arange(12), 200))
+    ids = rng.permutation(2400)
+    rows = spark.createDataFrame([(int(i), base[b].tolist(), 0) for i, b in zip(ids, of, strict=True)], "vec_id long, embedding array<double>, label int")
+    got = {}
+    for r in neighbours.nearest_neighbours(rows, centroids=4, recall=1.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    copies = {int(i): b for i, b in zip(ids, of, strict=True)}
+    for q in range(0, 2400, 50):
+        want = sorted(i for i, b in copies.items() if b == copies[q] and i != q)[:5]
+        assert [v for _, v, _ in sorted(got[q])] == want
+        assert len({s for _, _, s in got[q]}) == 1
+
+
 def test_the_walk_is_in_order():
     rng = np.random.default_rng(0)
     index = neighbours.MultiIndex(rng.normal(size=(7, 3)), rng.normal(size=(5, 3)))
