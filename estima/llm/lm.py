@@ -38,15 +38,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estima.llm.common import crc32_text, written
+from estima.llm.common import crc32_text, release, tidy, written
 
 #: Weight of a word's own probability beside its counts after a word.
 PRIOR = 4.0
 #: Bits an event sets; a probe errs with 2 ** -PROBES.
 PROBES = 6
 #: Tokens of a chunk, and of the corpus for each segment.
-CHUNK = 1 << 20
-SEGMENT = 1 << 21
+CHUNK = 1 << 19
+SEGMENT = 1 << 20
+#: Keys probed at a time.
+SLICE = 1 << 16
 #: A filter that is proven to have at most so many bytes is broadcast.
 SENT_BYTES = 256 << 20
 
@@ -121,15 +123,16 @@ class Chunk:
         table = np.frombuffer(digests, np.uint8).reshape(-1, 12)
         self.high = np.ascontiguousarray(table[:, :8]).view(np.uint64).ravel()
         self.low = np.ascontiguousarray(table[:, 8:]).view(np.uint32).ravel()
-        self.doc = np.repeat(np.arange(len(self.length)), self.length)
+        self.doc = np.repeat(np.arange(len(self.length), dtype=np.int32), self.length)
         self.counted = ~self.held[self.doc]
         # distinct words in the order of their keys, and each word's place there
         self.order = np.lexsort((self.low, self.high))
-        self.place = np.empty(len(self.order), np.int64)
-        self.place[self.order] = np.arange(len(self.order))
+        self.place = np.empty(len(self.order), np.int32)
+        self.place[self.order] = np.arange(len(self.order), dtype=np.int32)
         # the word before each token
-        self.before = np.concatenate([[1], self.ids[:-1]]) if len(self.ids) else self.ids
-        self.before[(np.cumsum(self.length) - self.length)] = 1
+        self.before = np.empty_like(self.ids)
+        self.before[1:] = self.ids[:-1]
+        self.before[np.cumsum(self.length) - self.length] = 1
 
     def words(self) -> np.ndarray:
         """How often training documents hold each distinct word, in order; the start mark once a document."""
@@ -223,20 +226,19 @@ def filter_bits(key: np.ndarray, level: np.ndarray, probes: int = PROBES) -> byt
 
 
 def probe(key: np.ndarray, begin: np.ndarray | int, bits: np.ndarray | int, data: np.ndarray, probes: int = PROBES) -> np.ndarray:
-    """Quantised counts of ``key`` read from filters that begin at bit ``begin`` of ``data``."""
+    """Quantised counts of ``key`` read from filters of ``bits`` bits that begin at bit ``begin`` of ``data``."""
     out = np.zeros(len(key), np.uint8)
-    one = np.ndim(bits) == 0
-    alive = np.arange(len(key)) if one and bits else np.zeros(0, np.int64) if one else np.flatnonzero(bits)
-    level = 0
-    while len(alive):
-        level += 1
-        hit = np.ones(len(alive), bool)
-        b, n = (begin, bits) if one else (begin[alive], bits[alive])
-        for at in _places(key[alive], level, n, probes):
-            at = at.astype(np.int64) + b
-            hit &= (data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        alive = alive[hit]
-        out[alive] = level
+    begin, bits = (np.broadcast_to(np.asarray(x, np.int64), key.shape) for x in (begin, bits))
+    for a in range(0, len(key), SLICE):
+        alive, level = a + np.flatnonzero(bits[a:a + SLICE]), 0
+        while len(alive):
+            level += 1
+            hit = np.ones(len(alive), bool)
+            for at in _places(key[alive], level, bits[alive], probes):
+                at = at.astype(np.int64) + begin[alive]
+                hit &= (data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            alive = alive[hit]
+            out[alive] = level
     return out
 
 
@@ -276,13 +278,15 @@ def _merged(order: int, exact: bool, read: bool, probes: int):
             if read:
                 out.append((1 + order, segment, chunk, None, found[at].tobytes()))
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        del by, key, new, inverse, own, total, keys, counts
+        release()
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)],
                         names=["kind", "segment", "chunk", "words", "data"])
     return run
 
 
 def merged_segments(chunks: DataFrame, order: int, segments: int, read: bool, probes: int = PROBES) -> DataFrame:
-    rows = chunks.select("chunk", *_CHUNK).mapInArrow(_handed_out(order, segments), "segment long, chunk long, keys binary, counts binary")
+    rows = chunks.select("chunk", *_CHUNK).mapInArrow(tidy(_handed_out(order, segments)), "segment long, chunk long, keys binary, counts binary")
     return written(rows.groupBy("segment").applyInArrow(_merged(order, order == 1, read, probes), "kind int, segment long, chunk long, words long, data binary"),
                    f"lm-segments-{order}")
 
@@ -331,10 +335,12 @@ def _scored(kind: pa.DataType, tokens: int, words: int, segments: int, sent):
             before = count[c.before]
             p = (np.minimum(EXPECTED[two][at], before) + PRIOR * p) / (before + PRIOR)
             sums = [np.bincount(c.doc, weights=x, minlength=len(c.length)) for x in (known > 0, np.log10((known + 1) / (tokens + words + 1)), np.log10(p))]
+            del pair, at, key, count, before
             parts.append(pa.table([
                 left.column("doc_id")[i].values.cast(kind), pa.array(c.held), pa.array(c.length), pa.array(sums[0].astype(np.int64)),
                 pa.array(np.full(len(c.length), tokens)), pa.array(sums[1]), pa.array(sums[2])],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        release()
         return pa.concat_tables(parts) if parts else pa.schema(list(zip(_SCORES, (kind, *_TYPES), strict=True))).empty_table()
     return run
 
@@ -350,7 +356,7 @@ def language_model_scores(docs: DataFrame, modulus: int = 7, held: int = 2, prob
     spark = docs.sparkSession
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     rows = docs.select("doc_id", (crc32_text(F.col("doc_id")) % modulus == held).alias("held"), F.col("text").cast("binary").alias("text"))
-    chunks = written(rows.mapInArrow(_chunks(chunk), f"doc_id array<{kind}>, held array<boolean>, length array<long>, ids binary, digests binary")
+    chunks = written(rows.mapInArrow(tidy(_chunks(chunk)), f"doc_id array<{kind}>, held array<boolean>, length array<long>, ids binary, digests binary")
                      .withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
     counted = F.aggregate(F.zip_with("length", "held", lambda n, h: F.when(h, 0).otherwise(n)), F.lit(0).cast("long"), lambda a, n: a + n)
     docs_counted = F.size(F.filter("held", lambda h: ~h))
