@@ -22,6 +22,18 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch handed to a Python worker, unless the session sets its own.
+BATCH_BYTES = 4 << 20
+_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of few bytes: a batch is held several times over, as the
+    JVM's buffers, as Arrow and as Python strings. A size that the user has set stays."""
+    if spark.conf.get(_PER_BATCH, None) == spark.sparkContext._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(_PER_BATCH, None):
+        spark.conf.set(_PER_BATCH, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read back.
 
@@ -29,10 +41,26 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     reads take single columns. The schema is passed on, so an empty table is read back too.
     """
     folder = shared_folder(df.sparkSession, tag)
+    _FOLDERS.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Folders of :func:`written` that are still there, in the order in which they were named.
+_FOLDERS: list[str] = []
+
+
+def folders_so_far() -> int:
+    return len(_FOLDERS)
+
+
+def drop_written(spark: SparkSession, first: int = 0) -> None:
+    """Remove what :func:`written` has left since there were ``first`` folders: for a caller whose
+    result is stored elsewhere."""
+    while len(_FOLDERS) > first:
+        drop_folder(spark, _FOLDERS.pop())
+
+
 def drop_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder that :func:`shared_folder` named."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

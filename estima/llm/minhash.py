@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estima.llm.common import HOT_SHARE, join_unique, written
+from estima.llm.common import HOT_SHARE, join_unique, tidy, written
 from estima.llm.graph import components
 
 SHINGLE = 5
@@ -218,7 +218,7 @@ def _bands(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                                                  ["k", "bands"])
                 at += len(there)
 
-    return written(docs.mapInArrow(sign, "k binary, bands array<long>"), "minhash-bands")
+    return written(docs.mapInArrow(tidy(sign), "k binary, bands array<long>"), "minhash-bands")
 
 
 def _elements(docs: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def _elements(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([shingler.elements(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())],
                                              ["k", "elements"])
 
-    return written(docs.mapInArrow(run, "k binary, elements binary"), "minhash-elements")
+    return written(docs.mapInArrow(tidy(run), "k binary, elements binary"), "minhash-elements")
 
 
 def _alike(threshold: float):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estima.llm.common import numbered, written
+from estima.llm.common import numbered, tidy, written
 
 WINDOW = 1024
 END_ID = 0
@@ -103,7 +103,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, window: int, end_id:
                 ["__row", "doc_id", "tokens", "full", "tail_len", "tail_crc", "tail"])
 
     schema = f"__row long, doc_id {kind}, tokens long, full array<long>, tail_len int, tail_crc long, tail binary"
-    return written(rows.mapInArrow(run, schema), "pack-tokens")
+    return written(rows.mapInArrow(tidy(run), schema), "pack-tokens")
 
 
 # ---- combinations and their counts ---------------------------------------------------

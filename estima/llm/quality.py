@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estima.llm.common import crc32_text, least_hashes, written
+from estima.llm.common import crc32_text, least_hashes, release, tidy, written
 
 BUCKETS = 1 << 13
 DIMENSIONS = 40
@@ -138,7 +138,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Word vector of each bucket, from all of ``docs``; BUCKETS x DIMENSIONS numbers reach the driver."""
-    parts = written(docs.select("text").mapInArrow(_blocks, "block int, sums binary")
+    parts = written(docs.select("text").mapInArrow(tidy(_blocks), "block int, sums binary")
                     .withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)), "quality-sums")
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
@@ -268,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
                                               pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "__label", "x"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = (sample.mapInArrow(vectorise, f"doc_id {kind}, __label int, x binary")
+    rows = (sample.mapInArrow(tidy(vectorise), f"doc_id {kind}, __label int, x binary")
             .groupBy("doc_id", "__label").agg(F.min("x").alias("x")).collect())
     rows.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
@@ -283,6 +283,8 @@ def scores(vectors: np.ndarray, net: Network):
         tokens = Tokens()
         for batch in batches:
             yield pd.Series(net.probability(pooled(tokens, vectors, batch.tolist()).astype(float)))
+        del tokens
+        release()
 
     return score
 

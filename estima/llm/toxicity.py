@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estima.llm.common import crc32_text, least_hashes
+from estima.llm.common import crc32_text, least_hashes, release
 
 ORDERS = (3, 4)
 SPAN = 6
@@ -58,8 +58,6 @@ SLICE = 1_000_000
 #: Words in a task's cache.
 CACHE_WORDS = 200_000
 FLOOR = -3.0
-#: Log ratio from which a piece makes its words first positives.
-FAVOUR = 1.2
 
 _SENTENCE = re.compile(r"(?<=[.!?\n])\s+|\n+")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’…–—"
@@ -244,28 +242,6 @@ def disguised(word: str) -> list[str]:
     return out
 
 
-def favoured(words: list[str], toxic: list[np.ndarray], clean: list[np.ndarray]) -> np.ndarray:
-    """For each word the largest log ratio of the shares of toxic and clean documents that hold one
-    of its pieces of four characters; pieces in less than three toxic documents do not count."""
-    marked = ["\x02" + w + "\x03" for w in words]
-    pieces = [[m[i:i + 4] for i in range(max(1, len(m) - 3))] for m in marked]
-    number: dict[str, int] = {}
-    flat = np.fromiter((number.setdefault(p, len(number)) for ps in pieces for p in ps), np.int64)
-    count = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    start = np.cumsum(count) - count
-    df = []
-    for docs in (toxic, clean):
-        total = np.zeros(len(number), np.int64)
-        for d in docs:
-            if len(d):
-                n = count[d]
-                total[np.unique(flat[np.repeat(start[d] - (np.cumsum(n) - n), n) + np.arange(n.sum())])] += 1
-        df.append(total)
-    ratio = np.log((df[0] + 0.5) / (len(toxic) + 1)) - np.log((df[1] + 0.5) / (len(clean) + 1))
-    ratio[df[0] < 3] = 0
-    return np.maximum.reduceat(ratio[flat], start) if len(words) else np.zeros(0)
-
-
 def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 3) -> Machine:
     """Fit on labelled documents (see the module's text)."""
     y = np.array(labels, float)
@@ -398,6 +374,8 @@ def scores(machine: Machine):
                     cache.update(zip(fresh, own.margins(fresh).tolist(), strict=True))
                 out.append(own.probability(np.stack([summary(np.fromiter(map(cache.__getitem__, b), float, len(b))) for b in bags])))
             yield pd.Series(np.concatenate(out))
+        cache.clear()
+        release()
 
     return score
 
