@@ -33,8 +33,8 @@ DELIMITERS = (",", ";", "\t", "|")
 _INT_PATTERN = r"^[+-]?[0-9]+$"
 #: How a number is written: digits with a point and an exponent, or an infinity.
 NUMBER_PATTERN = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[iI]nf(?:inity)?)$"
-#: Bytes in which a header must end, and different headers that are looked at in one folder.
-_MAX_HEADER_BYTES, _MAX_HEADERS = 1 << 24, 100
+#: Bytes in which a header must end.
+_MAX_HEADER_BYTES = 1 << 24
 
 
 def sniff_delimiter(spark: SparkSession, path: str, n_lines: int = 20,
@@ -65,7 +65,25 @@ def _reader(spark: SparkSession, sep: str, multi_line: bool):
 
 
 def header_cells(sep: str):
-    """mapInPandas body: the header cells of each listed file, in order."""
+    """mapInPandas body: the header cells of each listed file, in order. A header ends at the first
+    line break outside quotes; one that doesn't end within the limit raises."""
+    limit = _MAX_HEADER_BYTES
+
+    def header(stream) -> bytes:
+        head, at, quoted = b"", 0, False
+        while True:
+            while (end := head.find(b"\n", at)) >= 0:
+                quoted ^= head.count(b'"', at, end) % 2 == 1
+                if not quoted:
+                    return head[:end]
+                at = end + 1
+            if len(head) >= limit:
+                raise ValueError(f"the header doesn't end within {limit} bytes")
+            chunk = stream.read(1 << 16)
+            if not chunk:
+                return head
+            head += chunk
+
     def run(batches):
         import csv
         import io
@@ -74,18 +92,12 @@ def header_cells(sep: str):
         import pyarrow.fs as pafs
         for pdf in batches:
             out = []
-            for path in pdf["path"]:
+            for file_path in pdf["file_path"]:
                 # the library knows the object store under one scheme
-                fs, inner = pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
-                head = b""
+                fs, inner = pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", file_path))
                 with fs.open_input_stream(inner) as f:  # compression detected from the name
-                    while b"\n" not in head and len(head) < _MAX_HEADER_BYTES:
-                        chunk = f.read(1 << 16)
-                        if not chunk:
-                            break
-                        head += chunk
-                line = head.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", "replace").lstrip("\ufeff")
-                out.append((path, next(csv.reader(io.StringIO(line), delimiter=sep), []) if line else []))
+                    line = header(f).rstrip(b"\r").decode("utf-8", "replace").lstrip("\ufeff")
+                out.append((file_path, next(csv.reader(io.StringIO(line, newline=""), delimiter=sep), []) if line else []))
             yield pd.DataFrame(out, columns=["file_path", "cells"])
     return run
 
@@ -93,7 +105,7 @@ def header_cells(sep: str):
 def headers(spark: SparkSession, path: str, sep: str) -> DataFrame:
     """``(file_path, cells)``: the header of each file. Files are listed without reading
     them; each task then reads the first line of its files."""
-    files = spark.read.format("binaryFile").load(path).select("path")
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file_path"))
     return files.mapInPandas(header_cells(sep), "file_path string, cells array<string>")
 
 
@@ -101,28 +113,32 @@ def read_csv_text(spark: SparkSession, path: str, sep: str | None = None,
                   multi_line: bool = False) -> DataFrame:
     """All columns as text, header row taken as names; no inference pass.
 
-    In a folder, files with the same names in another order are read by name; files with
-    other names raise ``ValueError``."""
+    In a folder, files with the same names in another order are read by name, in one scan of all
+    files whatever the number of orders: cells are read by position, and each file's header says
+    which is which. Any file with other names raises ``ValueError``."""
     sep = sep or sniff_delimiter(spark, path)
     plain = _reader(spark, sep, multi_line).option("inferSchema", False)
     if spark.read.format("binaryFile").load(path).select("path").limit(2).count() < 2:
         return plain.csv(path)
-    kinds = (headers(spark, path, sep).where(F.size("cells") > 0).groupBy("cells")
-             .agg(F.min("file_path").alias("example"), F.count("*").alias("n"))
-             .orderBy(F.col("n").desc(), "example").limit(_MAX_HEADERS).collect())
-    if len(kinds) <= 1:
-        return plain.csv(path)
-    names = kinds[0]["cells"]
-    for k in kinds[1:]:
-        if sorted(k["cells"]) != sorted(names) or len(set(k["cells"])) < len(k["cells"]):
-            raise ValueError(f"{k['example']} has other columns than {kinds[0]['example']}: {k['cells']}, {names}")
-    listed = headers(spark, path, sep)
-    out = None
-    for k in kinds:
-        paths = [r["file_path"] for r in listed.where(F.col("cells") == F.lit(k["cells"])).select("file_path").collect()]
-        one = _reader(spark, sep, multi_line).option("inferSchema", False).csv(paths).select(*[F.col(_q(c)) for c in names])
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = headers(spark, path, sep).where(F.size("cells") > 0).persist()
+    try:
+        kinds = found.groupBy("cells").agg(F.min("file_path").alias("example"), F.count("*").alias("n")).orderBy(F.col("n").desc(), "example").limit(2).collect()
+        if len(kinds) <= 1:
+            return plain.csv(path)
+        names = kinds[0]["cells"]
+        alike = F.sort_array("cells") == F.sort_array(F.array(*[F.lit(c) for c in names]))
+        odd = found.where(~alike | (F.size(F.array_distinct("cells")) < F.size("cells"))).orderBy("file_path").first()
+        if odd is not None:
+            raise ValueError(f"{odd['file_path']} has other columns than {kinds[0]['example']}: {odd['cells']}, {names}")
+    finally:
+        found.unpersist()
+    cells = [f"__c{i}" for i in range(len(names))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
+    rows = _reader(spark, sep, multi_line).schema(schema).csv(path).select(F.array(*cells).alias("__cells"), F.col("_metadata.file_path").alias("__file"))
+    # one narrow row a file; a file that holds most rows is split as any skewed join side
+    order = headers(spark, path, sep).select(F.col("file_path").alias("__file"), F.col("cells").alias("__names"))
+    met = rows.join(order, "__file")
+    return met.select(*[F.get("__cells", F.array_position("__names", F.lit(c)).cast("int") - 1).alias(c) for c in names])
 
 
 def na_normalise(df: DataFrame, columns: Sequence[str] | None = None,

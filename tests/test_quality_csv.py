@@ -105,3 +105,40 @@ def test_check_header_gzip(spark, tmp_dir):
         f.write("x,,z\n1,2,3\n")
     got = [(r["position"], r["n_columns"]) for r in Q.check_header(spark, f"{tmp_dir}/gz", ",").collect()]
     assert got == [(2, 3)]
+
+
+def write(folder, name, text):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w", newline="") as f:
+        f.write(text)
+
+
+def test_a_folder_of_very_many_header_orders_loses_no_file(spark, tmp_dir):
+    import itertools
+    names = ["a", "b", "c", "d", "e"]
+    folder = os.path.join(tmp_dir, "orders with blanks")
+    for i, order in enumerate(itertools.islice(itertools.permutations(names), 115)):
+        write(folder, f"f {i}.csv", ",".join(order) + "\n" + ",".join(f"{c}{i}" for c in order) + "\n")
+    rows = CSV.read_csv_text(spark, folder)
+    assert sorted(rows.columns) == names
+    assert sorted(tuple(r[c] for c in names) for r in rows.collect()) == sorted(tuple(f"{c}{i}" for c in names) for i in range(115))
+    write(folder, "z last.csv", "a,b,c,d,other\n1,2,3,4,5\n")
+    with pytest.raises(ValueError, match="z%20last.csv|z last.csv"):
+        CSV.read_csv_text(spark, folder)
+
+
+def test_a_header_ends_outside_quotes(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "quoted")
+    write(folder, "1.csv", '"a\nb",c\n1,2\n')
+    write(folder, "2.csv", 'c,"a\nb"\n2,1\n')
+    assert [r["cells"] for r in CSV.headers(spark, folder, ",").orderBy("file_path").collect()] == [["a\nb", "c"], ["c", "a\nb"]]
+    rows = CSV.read_csv_text(spark, folder, ",", multi_line=True)
+    assert [tuple(r) for r in rows.select("c", "`a\nb`").collect()] == [("2", "1"), ("2", "1")]
+
+
+def test_a_header_beyond_the_limit_raises(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(CSV, "_MAX_HEADER_BYTES", 1000)
+    folder = os.path.join(tmp_dir, "long")
+    write(folder, "1.csv", ",".join(f"name{i}" for i in range(40_000)) + "\n")
+    with pytest.raises(Exception, match="doesn't end within"):
+        CSV.headers(spark, folder, ",").collect()
