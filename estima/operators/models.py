@@ -2,7 +2,7 @@
 
 ``ridge`` and ``lasso`` are Spark's ``LinearRegression`` with the penalty scaled
 to the least-squares objective of the reference (sum of squares + alpha * ||w||);
-``xgboost`` maps to Spark's gradient-boosted trees with the same defaults,
+``xgboost`` boosts on the second order of the loss (:mod:`estima.operators.boosting`),
 ``random_forest`` to Spark's forest. Fitting is Spark ML's own distributed work
 (Gram matrix by tree aggregation for ridge, binned histograms for trees).
 """
@@ -11,32 +11,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import keyword_only
+from pyspark import SparkContext, keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from estima.operators.boosting import BoostedTrees
 from estima.operators.columns import split_roles, validate_columns
-from estima.operators.encode import FEATURES_COL, preprocess
+from estima.operators.encode import FEATURES_COL, O_PREFIX, preprocess
+from estima.operators.ridge import RidgeStatistics
 
 LABEL_COL = "__label"
-# The normal-equation solver handles up to this many slots (Spark's limit).
-NORMAL_SOLVER_MAX_SLOTS = 4096
 
 
 class RidgeRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
                       DefaultParamsReadable, DefaultParamsWritable):
-    """Least squares with an L2 penalty ``alpha * ||w||^2`` and a free intercept.
-
-    Spark's objective is ``1/(2n) SSE + regParam/2 ||w||^2`` with the label scaled
-    by its std, so the equivalent is ``regParam = alpha * std(y) / n``: the population
-    std inside the normal-equation solver, the sample std in the iterative solver that
-    takes over beyond its limit of slots. Both are measured per fit (per fold in
-    cross-validation) in one aggregate, so the objective is the same at every width."""
+    """Least squares with an L2 penalty ``alpha * ||w||^2`` and a free intercept, solved from
+    sufficient statistics with the widest one-hot block eliminated: one way for any width."""
 
     alpha = Param(Params._dummy(), "alpha", "L2 penalty weight", typeConverter=TypeConverters.toFloat)
 
@@ -53,31 +48,46 @@ class RidgeRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
     def getAlpha(self):
         return self.getOrDefault(self.alpha)
 
-    def _fit(self, df: DataFrame):
-        from pyspark.ml.feature import VectorSlicer
-        from pyspark.ml.stat import Summarizer
-        y = F.col(self.getLabelCol())
-        # one pass: label count and spread, and which slots vary at all
-        st = df.agg(F.count(y).alias("n"), F.stddev_pop(y).alias("sy"), F.stddev_samp(y).alias("ss"),
-                    Summarizer.variance(F.col(self.getFeaturesCol())).alias("var")).first()
-        k = _vector_width(df, self.getFeaturesCol())
-        keep = [i for i, v in enumerate(st["var"].toArray()) if v > 0] if st["var"] is not None else []
-        normal = len(keep or range(k)) <= NORMAL_SOLVER_MAX_SLOTS
-        n, spread = st["n"], st["sy" if normal else "ss"] or 0.0
-        reg = self.getAlpha() * spread / n if n else 0.0
+    def statistics(self, df: DataFrame) -> RidgeStatistics:
         feats = self.getFeaturesCol()
-        slicer = None
-        if 0 < len(keep) < k:
-            # a constant slot gets no penalty in Spark's solver and makes the system
-            # singular; its least-squares weight is 0, so fit on the varying slots only
-            slicer = VectorSlicer(inputCol=feats, outputCol="__varying", indices=keep)
-            df, feats = slicer.transform(df), "__varying"
-        lr = LinearRegression(featuresCol=feats, labelCol=self.getLabelCol(),
-                              predictionCol=self.getPredictionCol(), regParam=reg,
-                              elasticNetParam=0.0, standardization=False, fitIntercept=True,
-                              solver="normal" if normal else "l-bfgs", tol=1e-14, maxIter=2000)
-        model = lr.fit(df)
-        return PipelineModel(stages=[slicer, model]) if slicer is not None else model
+        return RidgeStatistics(df, feats, self.getLabelCol(), _vector_width(df, feats), widest_block(df, feats))
+
+    def model(self, intercept: float, weights) -> LinearRegressionModel:
+        return linear_model(intercept, weights, self.getFeaturesCol(), self.getLabelCol(), self.getPredictionCol())
+
+    def _fit(self, df: DataFrame):
+        stats = self.statistics(df)
+        try:
+            return self.model(*stats.fits([self.getAlpha()])[0])
+        finally:
+            stats.release()
+
+
+def linear_model(intercept: float, weights, features_col: str = FEATURES_COL, label_col: str = LABEL_COL,
+                 prediction_col: str = "prediction") -> LinearRegressionModel:
+    """A linear model of given weights as Spark ML's own model (scores, saves and loads as one)."""
+    from pyspark.ml.common import _py2java
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.util import _jvm
+    uid = LinearRegression().uid
+    vector = _py2java(SparkContext._active_spark_context, Vectors.dense(weights))
+    made = LinearRegressionModel(_jvm().org.apache.spark.ml.regression.LinearRegressionModel(uid, vector, float(intercept)))
+    made._resetUid(uid)
+    made._set(featuresCol=features_col, labelCol=label_col, predictionCol=prediction_col)
+    made._transfer_params_to_java()
+    return made
+
+
+def widest_block(df: DataFrame, col: str) -> tuple[int, int] | None:
+    """First slot and size of the widest one-hot block of an assembled vector: its blocks follow each
+    other in the order of the one-hot columns beside it. None without them: all slots count as narrow."""
+    meta = {c: df.schema[c].metadata.get("ml_attr", {}) for c in df.columns}
+    at = min((a["idx"] for a in meta[col].get("attrs", {}).get("binary", [])), default=0)
+    sizes = [m["num_attrs"] for c, m in meta.items() if c.startswith(O_PREFIX) and "num_attrs" in m]
+    if at + sum(sizes) != _vector_width(df, col) or not sizes:
+        return None
+    widest = max(sizes)
+    return at + sum(sizes[:sizes.index(widest)]), widest
 
 
 def _vector_width(df: DataFrame, col: str) -> int:
@@ -111,7 +121,7 @@ _TREE_EXEC = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 5
 def make_regressor(algorithm: str, **params):
     """Estimator for an algorithm name; unknown names raise ``ValueError``.
 
-    ridge: alpha 1.0. xgboost: 100 rounds, depth 6, step 0.3, squared loss.
+    ridge: alpha 1.0. xgboost: 100 rounds, depth 6, step 0.3, leaf penalty 1, squared loss.
     random_forest: 100 trees, seed 0, every feature considered at each split;
     Spark trees need a depth bound (default 8 here; at most 30)."""
     name = ALIASES.get(algorithm, algorithm)
@@ -120,10 +130,9 @@ def make_regressor(algorithm: str, **params):
     if name == "lasso":
         return lasso(float(params.get("alpha", 1.0)))
     if name == "xgboost":
-        return GBTRegressor(featuresCol=FEATURES_COL, labelCol=LABEL_COL, lossType="squared",
-                            maxIter=int(params.get("n_estimators", 100)), maxDepth=int(params.get("max_depth", 6)),
-                            stepSize=float(params.get("learning_rate", 0.3)), seed=0,
-                            maxBins=int(params.get("max_bins", 64)), **_TREE_EXEC)
+        return BoostedTrees(featuresCol=FEATURES_COL, labelCol=LABEL_COL, rounds=int(params.get("n_estimators", 100)),
+                            depth=int(params.get("max_depth", 6)), rate=float(params.get("learning_rate", 0.3)),
+                            penalty=float(params.get("reg_lambda", 1.0)), bins=int(params.get("max_bins", 256)))
     if name == "random_forest":
         return RandomForestRegressor(featuresCol=FEATURES_COL, labelCol=LABEL_COL,
                                      numTrees=int(params.get("n_estimators", 100)), seed=0,
@@ -157,7 +166,9 @@ def pipeline_fit(df: DataFrame, features: Sequence[str], target: str, algorithm:
     from pyspark import StorageLevel
     validate_columns(df, [*features, target])
     num, cat = split_roles(df, features)
-    data = complete_rows(df.select(*features, target), [*features, target])
+    # the boosting learns where missing values go; the others leave such rows out
+    boosting = ALIASES.get(algorithm, algorithm) == "xgboost"
+    data = complete_rows(df.select(*features, target), [target] if boosting else [*features, target])
     if persist and not df.isStreaming:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -172,15 +183,8 @@ def regressor_stage(model: PipelineModel):
 
 
 def linear_terms(model: PipelineModel, width: int) -> tuple[float, list[float]]:
-    """Intercept and per-slot coefficients of a fitted linear pipeline (slots
-    dropped as constant in training carry 0)."""
+    """Intercept and per-slot coefficients of a fitted linear pipeline."""
     reg = regressor_stage(model)
-    if isinstance(reg, PipelineModel):
-        slicer, lr = reg.stages
-        coef = [0.0] * width
-        for i, w in zip(slicer.getIndices(), lr.coefficients.toArray()):
-            coef[i] = float(w)
-        return float(lr.intercept), coef
     return float(reg.intercept), [float(w) for w in reg.coefficients.toArray()]
 
 

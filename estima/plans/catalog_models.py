@@ -20,7 +20,7 @@ from estima.sources.registry import model_load, model_metadata, model_save, scor
 from estima.sources.tables import scan_table
 
 SEG = ["l_returnflag", "l_linestatus"]
-TREE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
+TREE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 # ----------------------------------------------------------------- encoding
 
@@ -141,6 +141,31 @@ def pipeline_fit_q(spark, base):
     return spark.createDataFrame(_terms(m), "term string, value double")
 
 
+# ridge on one number and a one-hot block of every order (more categories than a normal-equation solver takes): the
+# block is diagonal and goes, the two equations left have a closed form
+_WIDE = "WITH " + S.LM + f""",
+z AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s, avg(charge) AS my FROM lm),
+r AS (SELECT l_orderkey AS k, (l_quantity - m) / s AS x, charge - my AS y FROM lm, z),
+c AS (SELECT k, count(*) AS n, sum(x) AS x, sum(y) AS y FROM r GROUP BY k),
+a AS (SELECT sum(n - n * n / (n + 1e0)) AS a00, sum(x - n * x / (n + 1e0)) AS a01, sum(y - n * y / (n + 1e0)) AS b0,
+             sum(x * x / (n + 1e0)) AS e11, sum(x * y / (n + 1e0)) AS e1 FROM c),
+f AS (SELECT a00, a01, b0, sum(r.x * r.x) - any_value(e11) + 1 AS a11, sum(r.x * r.y) - any_value(e1) AS b1 FROM a, r GROUP BY a00, a01, b0),
+w AS (SELECT (b0 * a11 - b1 * a01) / (a00 * a11 - a01 * a01) AS w0, (b1 * a00 - b0 * a01) / (a00 * a11 - a01 * a01) AS w1 FROM f)
+SELECT CAST(k AS VARCHAR) AS category, n, round((y - n * w0 - x * w1) / (n + 1e0), 3) AS weight, round(w0 + my, 3) AS intercept, {S.rs('w1')} AS l_quantity
+FROM c, w, z"""
+
+
+@q("ridge_wide", _WIDE)
+def ridge_wide_q(spark, base):
+    """Ridge of charge on l_quantity and one category an order, weights as a DataFrame."""
+    from estima.operators.ridge import wide_ridge
+    lf = lineitem_frame(spark, base)
+    intercept, numbers, weights = wide_ridge(lf, "l_orderkey", ["l_quantity"], "charge")
+    out = weights.select("category", "n", F.round("weight", 3).alias("weight"), F.round(F.lit(intercept), 3).alias("intercept"),
+                         F.lit(numbers["l_quantity"]).alias("l_quantity"))
+    return rsig(out, "l_quantity")
+
+
 def _tree_metrics(spark, base, algorithm, **params):
     lf = lineitem_frame(spark, base)
     m = pipeline_fit(lf.where(~F.col("is_test")), TREE_FEATURES, "charge", algorithm, **params)
@@ -153,6 +178,37 @@ def boosted_trees_q(spark, base):
     return _tree_metrics(spark, base, "xgboost")
 
 
+def _rounds_sql() -> str:
+    """One boosting round of depth 1 and of depth 2 on three numbers: the best cut by the second-order gain
+    over all cuts of all values, per node."""
+    xs = ["l_quantity", "l_discount", "l_tax"]
+    sql = ["lx AS (SELECT *, 0.5e0 - charge AS g, 0 AS n0 FROM lm)"]
+    for level in (0, 1):
+        long = " UNION ALL ".join(f"SELECT n{level} AS node, {i} AS f, CAST({c} AS DOUBLE) AS v, g FROM lx{level or ''} WHERE NOT is_test" for i, c in enumerate(xs))
+        value = "CASE f " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(xs)) + " END"
+        sql += [f"h{level} AS (SELECT node, f, v, sum(g) AS g, count(*) AS n FROM ({long}) GROUP BY node, f, v)",
+                f"""c{level} AS (SELECT node, f, v, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER p AS gt, sum(n) OVER p AS nt FROM h{level}
+                  WINDOW w AS (PARTITION BY node, f ORDER BY v ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY node, f))""",
+                f"""s{level} AS (SELECT node, f, v FROM (SELECT *, row_number() OVER (PARTITION BY node
+                  ORDER BY gl * gl / (nl + 1) + (gt - gl) * (gt - gl) / (nt - nl + 1) DESC, f, v) AS k FROM c{level} WHERE nl < nt) WHERE k = 1)""",
+                f"""lx{level + 1} AS (SELECT lx{level or ''}.*, CASE WHEN s.node IS NULL THEN 2 * n{level} WHEN {value} <= s.v THEN 2 * n{level} ELSE 2 * n{level} + 1 END AS n{level + 1}
+                  FROM lx{level or ''} LEFT JOIN s{level} s ON s.node = n{level})""",
+                f"""p{level + 1} AS (SELECT n{level + 1} AS node, 0.5e0 - 0.3e0 * sum(g) / (count(*) + 1) AS p FROM lx{level + 1} WHERE NOT is_test GROUP BY 1)"""]
+    return "WITH " + S.LM + ",\n" + ",\n".join(sql) + f"""
+SELECT {LI_KEY_SQL}, {S.rs('p1.p')} AS depth_1, {S.rs('p2.p')} AS depth_2 FROM lx2 JOIN p1 ON p1.node = n1 JOIN p2 ON p2.node = n2"""
+
+
+@q("boosted_rounds", _rounds_sql())
+def boosted_rounds_q(spark, base):
+    """One round of depth 1 and of depth 2, scored on all rows."""
+    lf, xs = lineitem_frame(spark, base), ["l_quantity", "l_discount", "l_tax"]
+    out = lf
+    for depth in (1, 2):
+        m = pipeline_fit(lf.where(~F.col("is_test")), xs, "charge", "xgboost", n_estimators=1, max_depth=depth)
+        out = R.predict(m, out).withColumnRenamed("prediction", f"depth_{depth}")
+    return rsig(out.select(*LI_KEY, "depth_1", "depth_2"), "depth_1", "depth_2")
+
+
 @q("random_forest")
 def random_forest_q(spark, base):
     return _tree_metrics(spark, base, "random_forest")
@@ -161,7 +217,7 @@ def random_forest_q(spark, base):
 @q("lasso")
 def lasso_q(spark, base):
     tr = lineitem_frame(spark, base).where(~F.col("is_test"))
-    m = pipeline_fit(tr, ["l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag"], "charge", "lasso")
+    m = pipeline_fit(tr, TREE_FEATURES, "charge", "lasso")
     return spark.createDataFrame(_terms(m), "term string, value double")
 
 
@@ -322,7 +378,7 @@ def permutation_importance_q(spark, base):
 @q("permutation_importance_features")
 def permutation_importance_features_q(spark, base):
     """Importance of every feature of a ridge model on all features."""
-    lf, features = lineitem_frame(spark, base), [*TREE_FEATURES, "l_linestatus"]
+    lf, features = lineitem_frame(spark, base), TREE_FEATURES
     model = pipeline_fit(lf.where(~F.col("is_test")), features, "charge", "ridge")
     out = I.permutation_importance(model, lf.where(F.col("is_test")), features, "charge", LI_KEY, repeats=10)
     return rsig(out, "importance_mean", "importance")

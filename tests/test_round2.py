@@ -100,14 +100,14 @@ def test_a_restarted_stream_goes_on(spark, tmp_dir):
     assert sorted(r["x"] for r in spark.read.parquet(out).collect()) == [0.0, 1.0, 2.0, 10.0, 11.0, 12.0]
 
 
-@pytest.mark.parametrize("categories", [1000, 4200])
+@pytest.mark.parametrize("categories", [1000, 4200, 50_000])
 def test_ridge_has_one_objective_at_every_width(spark, categories):
     import numpy as np
 
     from estima.operators.importance import named_weights
     from estima.operators.models import pipeline_fit
     rng = np.random.default_rng(categories)
-    n = 4 * categories
+    n = (4 if categories < 50_000 else 2) * categories
     c = np.concatenate([np.arange(categories), rng.integers(0, categories, n - categories)])
     y = rng.normal(size=categories)[c] * 30 + rng.normal(size=n)
     df = spark.createDataFrame([(f"k{a:05d}", float(b)) for a, b in zip(c, y, strict=True)], "c string, y double")
@@ -115,7 +115,64 @@ def test_ridge_has_one_objective_at_every_width(spark, categories):
     count, mean = np.bincount(c), np.bincount(c, weights=y) / np.bincount(c)
     base = (count * mean / (count + 1)).sum() / (count / (count + 1)).sum()
     want = count * (mean - base) / (count + 1)
-    assert max(abs(got[f"k{i:05d}"] - want[i]) for i in range(categories)) < 1e-5  # weights are near 100
+    assert max(abs(got[f"k{i:05d}"] - want[i]) for i in range(categories)) < 1e-9 * 100  # weights are near 100
+
+
+def test_ridge_eliminates_only_the_widest_block(spark):
+    """Numbers, a wide and a narrow block, a constant slot: the dense normal equations; the same by DataFrame."""
+    import numpy as np
+
+    from estima.operators.models import linear_terms, pipeline_fit
+    from estima.operators.ridge import wide_ridge
+    rng = np.random.default_rng(9)
+    n, wide = 3000, 1100
+    a, k, c, one = rng.normal(size=n) * 7 + 50, rng.integers(0, wide, n), rng.integers(0, 4, n), np.full(n, 3.0)
+    y = 1e6 + 5 * a + rng.normal(size=wide)[k] * 40 + c * 10 + rng.normal(size=n)
+    df = spark.createDataFrame([(float(p), f"k{q:04d}", f"c{r}", 3.0, float(t)) for p, q, r, t in zip(a, k, c, y, strict=True)], "a double, k string, c string, one double, y double")
+    hot = lambda v: (v[:, None] == np.unique(v)[None, :]).astype(float)
+
+    def dense(*columns):
+        x = np.column_stack(columns)
+        w = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + 2.0 * np.eye(x.shape[1]), (x - x.mean(0)).T @ (y - y.mean()))
+        return y.mean() - x.mean(0) @ w, w
+
+    z = (a - a.mean()) / a.std()
+    intercept, want = dense(z, one * 0, hot(k), hot(c))
+    got = linear_terms(pipeline_fit(df, ["a", "one", "k", "c"], "y", "ridge", alpha=2.0), len(want))
+    assert abs(got[0] - intercept) < 1e-9 * 1e6
+    np.testing.assert_allclose(got[1], want, rtol=1e-9, atol=1e-7)
+    intercept, want = dense(z, hot(k))
+    b0, numbers, weights = wide_ridge(df, "k", ["a"], "y", alpha=2.0)
+    assert abs(b0 - intercept) < 1e-9 * 1e6 and abs(numbers["a"] - want[0]) < 1e-7
+    np.testing.assert_allclose([r["weight"] for r in weights.orderBy("category").collect()], want[1:], atol=1e-7)
+
+
+def test_one_fit_scores_all_its_prefixes(spark):
+    """A search fits once a family; a prefix scores as the same trees scored on their own."""
+    import numpy as np
+
+    from estima.operators.models import pipeline_fit, regressor_stage
+    from estima.operators.tuning import families, grid_search, nested_scores, prefix
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(240, 2))
+    df = spark.createDataFrame([(i, float(a), float(b), float(3 * a + b * b)) for i, (a, b) in enumerate(x)], "id int, a double, b double, y double")
+    assert [len(f) for f in families("random_forest", [{"n_estimators": 3, "max_depth": d} for d in (2, 3)] + [{"n_estimators": 5, "max_depth": 2}], {})] == [2, 1]
+    model = pipeline_fit(df, ["a", "b"], "y", "random_forest", n_estimators=6)
+    data = df
+    for stage in model.stages[:-1]:
+        data = stage.transform(data)
+    short = prefix(regressor_stage(model), 2)
+    each = [t.transform(data.select("features")).select("prediction").collect() for t in regressor_stage(model).trees[:2]]
+    np.testing.assert_allclose([r["prediction"] for r in short.transform(data).select("prediction").collect()],
+                               [(p["prediction"] + q["prediction"]) / 2 for p, q in zip(*each, strict=True)])
+    for algo, key, values in (("ridge", "alpha", (0.5, 2.0)), ("xgboost", "n_estimators", (2, 6))):
+        family = [({key: v}, {key: v}) for v in values]
+        together = nested_scores(algo, family, data, data)
+        for one, (_, point, r2) in zip(family, together, strict=True):
+            assert abs(nested_scores(algo, [one], data, data)[0][2] - r2) < 1e-12
+    table, best = grid_search(df, ["a", "b"], "y", ["id"], grids={"ridge": {"alpha": [1.0, 2.0]}, "xgboost": {"n_estimators": [2, 20]},
+                                                                  "random_forest": {"n_estimators": [2, 5]}})
+    assert table.count() == 6 and best is not None and {r["model"] for r in table.where("is_best").collect()} == {"ridge", "xgboost", "random_forest"}
 
 
 def test_checked_load_and_training_from_csv(spark, tmp_dir):
