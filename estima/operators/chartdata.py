@@ -17,8 +17,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from estima.operators.columns import split_roles
 from estima.operators.profile import order_statistics, unpivot
 
+#: Bins that are all listed; of more bins only those with values are.
+MOST_LISTED = 1_000_000
+
 
 def scalars(one_row: DataFrame) -> dict:
     """Columns of a one-row aggregate as scalar subqueries (no join; Catalyst
@@ -42,35 +46,59 @@ def _ranges(long: DataFrame, keys: Sequence[str]) -> DataFrame:
 def bin_index(value, lo, hi, bins) -> "F.Column":
     """0-based equal-width bin of ``value`` in [lo, hi] with the last bin closed."""
     nb = bins if isinstance(bins, Column) else F.lit(bins)
-    return F.least(F.floor((value - lo) * (nb / (hi - lo))), nb - 1).cast("int")
+    return F.least(F.floor((value - lo) * (nb / (hi - lo))), nb - 1).cast("long" if isinstance(bins, int) and bins > 2**31 - 1 else "int")
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int | str = 30) -> DataFrame:
     """Equal-width histograms of numeric columns stacked as
     ``(column, bin, lo, hi, count)``, every bin listed (zero counts included).
-    ``bins`` may be an int or a column name holding a per-column bin count."""
+    ``bins``: their number, or ``auto`` for each column's own (:func:`auto_bins`). Of more than
+    ``MOST_LISTED`` bins only those with values are listed."""
+    if bins == "auto":
+        out = None
+        for c in columns:
+            one = histogram(df, [c], auto_bins(df, c))
+            out = one if out is None else out.unionByName(one)
+        return out if out is not None else histogram(df, [], 1)
     long = unpivot(df, columns)
-    rng = _ranges(long, ["column"])
-    if isinstance(bins, int):
-        rng = rng.withColumn("bins", F.lit(bins))
-    rng = F.broadcast(rng)  # one row per column
-    nb = F.col("bins")
+    rng = F.broadcast(_ranges(long, ["column"]))  # one row per column
+    nb = F.lit(bins)
     counts = (long.join(rng, "column")
-              .select("column", bin_index(F.col("value"), F.col("lo"), F.col("hi"), nb).alias("bin"))
-              .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count")))
-    grid = rng.select("column", "lo", "hi", "bins", F.explode(F.sequence(F.lit(0), nb - 1)).alias("bin"))
-    width = (F.col("hi") - F.col("lo")) / F.col("bins")
-    return (grid.join(counts, ["column", "bin"], "left")
-            .select("column", "bin", (F.col("lo") + F.col("bin") * width).alias("lo"),
-                    (F.col("lo") + (F.col("bin") + 1) * width).alias("hi"),
-                    F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
+              .select("column", "lo", "hi", bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin"))
+              .groupBy("column", "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("count")))
+    if bins <= MOST_LISTED:
+        grid = rng.select("column", "lo", "hi", F.explode(F.sequence(F.lit(0), nb - 1)).alias("bin"))
+        counts = grid.join(counts.drop("lo", "hi"), ["column", "bin"], "left")
+    width = (F.col("hi") - F.col("lo")) / nb
+    return counts.select("column", "bin", (F.col("lo") + F.col("bin") * width).alias("lo"),
+                         (F.col("lo") + (F.col("bin") + 1) * width).alias("hi"),
+                         F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Counts of every value of text columns, ``(column, value, count)``: their bars in a chart. Missing
+    values are not counted; a value that most rows have is counted in part by each task."""
+    return unpivot(df, columns, value_type="string").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
+def column_charts(df: DataFrame, columns: Sequence[str] | None = None, bins: int | str = 30) -> DataFrame:
+    """The chart of every column as ``(column, value, bin, lo, hi, count)``: bins of numbers, values of texts."""
+    numeric, text = split_roles(df, list(columns) if columns is not None else df.columns)
+    bars = value_counts(df, text).select("column", "value", F.lit(None).cast("int").alias("bin"), F.lit(None).cast("double").alias("lo"),
+                                         F.lit(None).cast("double").alias("hi"), "count")
+    return histogram(df, numeric, bins).select("column", F.lit(None).cast("string").alias("value"), "bin", "lo", "hi", "count").unionByName(bars)
+
+
+def _finite(c: str) -> Column:
+    """A value that can be drawn: neither missing nor NaN nor infinite."""
+    return F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
 
 
 def binned_2d(df: DataFrame, x: str, y: str, bins_x: int = 50, bins_y: int = 50) -> DataFrame:
     """Scatter as counts on a ``bins_x`` x ``bins_y`` grid:
-    ``(x_bin, y_bin, x_lo, x_hi, y_lo, y_hi, count)``, non-empty cells only."""
+    ``(x_bin, y_bin, x_lo, x_hi, y_lo, y_hi, count)``, non-empty cells only. A pair with a missing, NaN or infinite value is no point."""
     pts = df.select(F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")) \
-        .where(F.col("__x").isNotNull() & F.col("__y").isNotNull())
+        .where(_finite("__x") & _finite("__y"))
     r = pts.agg(F.min("__x").alias("xmn"), F.max("__x").alias("xmx"),
                 F.min("__y").alias("ymn"), F.max("__y").alias("ymx"))
     sx, sy = F.col("xmn") == F.col("xmx"), F.col("ymn") == F.col("ymx")
@@ -111,11 +139,12 @@ def residual_hist(df: DataFrame, label: str, prediction: str = "prediction", bin
 def auto_bins(df: DataFrame, column: str) -> int:
     """numpy's ``bins='auto'``: the narrower of Sturges and Freedman-Diaconis
     widths (Sturges when the IQR is 0); quartiles are exact."""
-    st = df.agg(F.count(F.col(column)).alias("n"), F.min(column).alias("mn"), F.max(column).alias("mx")).first()
+    x = F.when(_finite(column), F.col(column).cast("double"))
+    st = df.agg(F.count(x).alias("n"), F.min(x).alias("mn"), F.max(x).alias("mx")).first()
     n, ptp = st["n"], (st["mx"] - st["mn"]) if st["n"] else 0.0
     if not n or ptp == 0:
         return 1
-    q = {r["prob"]: r["value"] for r in order_statistics(df, [column], (0.25, 0.75)).collect()}
+    q = {r["prob"]: r["value"] for r in order_statistics(df.where(_finite(column)), [column], (0.25, 0.75)).collect()}
     sturges = ptp / (math.log2(n) + 1.0)
     fd = 2.0 * (q[0.75] - q[0.25]) * n ** (-1.0 / 3.0)
     width = min(fd, sturges) if fd > 0 else sturges
@@ -136,13 +165,18 @@ def residual_density(df: DataFrame, label: str, prediction: str = "prediction",
     count, mean and variance, which leaves a relative error of third order in the bin's
     width (about 1e-6); only bins with values exist, and the cost is grid x bins. ``count`` scales the
     density to the ``count_bins`` histogram (density x n x bin width).
-    Result ``(point, x, density, count)``."""
-    r = residuals(df, label, prediction).select(F.col("residual").alias("value")).where(F.col("value").isNotNull())
+    Result ``(point, x, density, count)``. Missing, NaN and infinite residuals don't count; where
+    all residuals are one value, all mass is there: one point with that value, an infinite density and
+    all rows as its count."""
+    r = residuals(df, label, prediction).select(F.col("residual").alias("value")).where(_finite("residual"))
     st = r.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"),
                F.stddev_samp("value").alias("sd"))
     st = st.select("n", "mn", "mx", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
     # four numbers used in two stages: fetched once (one small job), then literals
     one = st.first()
+    if not one["bw"] or not math.isfinite(one["bw"]):
+        rows = [(0, one["mn"], math.inf, float(one["n"]))] if one["n"] else []
+        return df.sparkSession.createDataFrame(rows, "point int, x double, density double, count double")
     n, mn, mx, bw = (F.lit(one[c]) for c in ("n", "mn", "mx", "bw"))
     pb = (r.select(F.floor((F.col("value") - mn) / (bw / per_bandwidth)).alias("b"), "value").groupBy("b")
           .agg(F.count(F.lit(1)).alias("nb"), F.avg("value").alias("c"), F.var_pop("value").alias("s")))
@@ -170,20 +204,13 @@ def residual_vs_predicted(df: DataFrame, label: str, key_cols: Sequence[str],
 
 
 def _bins(pts: DataFrame, n: int, mn: float, mx: float, prebins: int) -> Bucketizer:
-    """``prebins`` bins of equal width over ``__x``; a bin with more than 4 / ``prebins`` of the rows
-    is split until none holds more, unless all its rows have one value."""
-    inner = {mn + (mx - mn) * (i / prebins) for i in range(1, prebins)} - {mn}
-    while True:
-        bins = Bucketizer(splits=[-math.inf, *sorted(inner), math.inf], inputCol="__x", outputCol="b")
-        full = bins.transform(pts.select("__x")).groupBy("b").agg(
-            F.count(F.lit(1)).alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi")).where(
-            (F.col("n") > 4 * n / prebins) & (F.col("n") > 1) & (F.col("lo") < F.col("hi"))).collect()
-        if not full:
-            return bins
-        for r in full:
-            pieces = max(2, math.ceil(r["n"] * prebins / n))
-            cuts = {r["lo"] + (r["hi"] - r["lo"]) * (i / pieces) for i in range(1, pieces)} | {math.nextafter(r["lo"], math.inf), r["hi"]}
-            inner |= {c for c in cuts if r["lo"] < c <= r["hi"]}
+    """Bins over ``__x``: of equal width, and cut at ``prebins`` exact quantiles, so that no bin holds more
+    than that share of the rows; a value that more rows have is a bin of its own."""
+    inner = {mn + (mx - mn) * (i / prebins) for i in range(1, prebins)}
+    for r in order_statistics(pts, ["__x"], [i / prebins for i in range(1, prebins)]).collect():
+        inner |= {r["value"], math.nextafter(r["value"], math.inf)}
+    inner = sorted(c for c in inner if mn < c <= mx)
+    return Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="__x", outputCol="b")
 
 
 def lowess_trend(df: DataFrame, x: str, y: str, points: int = 100, frac: float = 2.0 / 3.0,
@@ -200,7 +227,7 @@ def lowess_trend(df: DataFrame, x: str, y: str, points: int = 100, frac: float =
     the exact median |residual| (distributed), and re-bins with the new weights.
     Result ``(point, x, trend)``."""
     pts = df.select(F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")) \
-        .where(F.col("__x").isNotNull() & F.col("__y").isNotNull())
+        .where(_finite("__x") & _finite("__y"))
     one = pts.agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("mn"), F.max("__x").alias("mx")).first()
     n, mn, mx = one["n"], one["mn"], one["mx"]
     spark = df.sparkSession
