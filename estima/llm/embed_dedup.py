@@ -1,21 +1,25 @@
-"""Near-duplicate vectors, all pairs exactly (operator 5).
+"""Near-duplicate vectors over a robust-pruned flat graph (operator 5).
 
 Vectors of one label (and length) are compared by cosine. Equal vectors are one node with a
 weight. Then:
 
-1. A label of at most ``whole`` nodes is one cell, compared whole.
-2. The nodes of a bigger label have their nearest centroid (fitted on a bounded sample) as home
-   shard. A node goes to every shard that may hold a partner: two nodes with the cosine of the
-   threshold are at most ``sqrt(2 - 2 threshold)`` apart, so a partner can only be homed where
-   the node is no farther than that beyond the plane between the two centroids. The nodes that
-   two shards may have to link meet in one cell; no pair is left out.
-3. A shard over the part limit is dealt out to parts, and every part meets every part.
-4. In a cell all pairs are compared in single precision, those near the threshold again in
-   double precision, each pair once. A task returns one count per node and the pairs of a
-   spanning forest, never all pairs of a group.
-
-Data that no centroids tell apart send every node to every shard; the work is then the square of
-the label, as that of any comparison that loses nothing.
+1. Overlapping shards: every node goes to the shards of its ``overlap`` nearest centroids
+   (fitted on a bounded sample); a shard over the size limit is dealt out to parts.
+2. In each part a flat graph is built: nodes are inserted in batches, each batch is searched
+   from the part's medoid, and what the search saw is robustly pruned (a neighbour goes when a
+   kept one is much nearer to it); reverse edges are pruned again when a list is full.
+3. The adjacency lists that a node has from its shards are united, and edges lead both ways.
+4. Search: a label that fits one cell is searched as a whole, a bigger one by shard (a shard
+   over the cell limit by pieces, every query against every piece). Each node greedily searches
+   the united graph from the medoids and its own list, then expands its range: as long as it knows a node within
+   the range that it has not expanded, it expands it.
+5. Found pairs are verified in double precision. Two nodes that share several cells count in
+   the smallest of them. A task returns one count per node and the pairs of a spanning forest,
+   never all pairs of a group.
+6. Audit: the links of a bounded number of nodes, drawn from every stratum of found links, are
+   counted by brute force over all vectors, after each search. If a link of any of them is
+   missing, the search is repeated with a wider beam and overlap; if it still is, the graph can't
+   be trusted with these vectors, and all pairs are compared (:mod:`estima.llm.embed_exact`).
 
 Defined cases: vectors without a label, and those that are null, empty, zero or hold null or
 non-finite components, link with nothing; equal rows are linked with each other; a null id
@@ -33,63 +37,163 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estima.llm.common import join_unique, written
+from estima.llm.common import join_unique, least_hashes, written
+from estima.llm.embed_exact import exact_links
 from estima.llm.graph import components
 from estima.llm.minhash import classes
-from estima.llm.vectors import k_means, matrix, sampled, unit, usable
+from estima.llm.vectors import k_means, matrix, nearest, sampled, unit, usable
 
 THRESHOLD = 0.93
-#: Nodes a shard is meant to have, the most in a part, and the most of a label compared whole.
+#: Nodes a shard is meant to have, the most in a part, and the most in a searched cell.
 SHARD, PART, CELL = 2000, 3000, 12_000
 #: Centroids at most; a bounded codebook.
 MOST_CENTROIDS = 4096
 SAMPLE = 20_000
-#: Rows compared at a time.
-BLOCK = 512
-
-
-# ---- in a cell -----------------------------------------------------------------------
-
-def linked(x: np.ndarray, y: np.ndarray | None, threshold: float, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray]]:
-    """Per block of the unit rows ``x``: its first row, and which pairs (row, row of ``y``) have a cosine
-    >= threshold; without ``y`` the pairs with later rows of ``x``. The values don't depend on the blocks."""
-    near = x.astype(np.float32)
-    other, far = (x, near) if y is None else (y, y.astype(np.float32))
-    doubt = max(1e-3, x.shape[1] * 2.0**-22)  # more than single precision is off
-    for a in range(0, len(x), block):
-        s = near[a:a + block] @ far.T
-        hit = s >= threshold + doubt
-        rows, cols = np.nonzero(~hit & (s >= threshold - doubt))
-        for b in range(0, len(rows), 100_000):
-            r, c = rows[b:b + 100_000], cols[b:b + 100_000]
-            hit[r, c] = np.einsum("nd,nd->n", x[a + r], other[c]) >= threshold
-        if y is None:
-            hit &= np.arange(len(x)) > np.arange(a, a + len(hit))[:, None]
-        yield a, hit
-
-
-def cell_links(x: np.ndarray, y: np.ndarray | None, wx: np.ndarray, wy: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Weighted link counts of the rows of ``x`` and of ``y``, and a spanning forest of the links, its
-    nodes numbered through ``x`` and then ``y``. Without ``y`` the links within ``x``."""
-    shift = 0 if y is None else len(x)
-    nx, ny = np.zeros(len(x), np.int64), np.zeros(0 if y is None else len(y), np.int64)
-    label = np.arange(shift + (len(x) if y is None else len(y)))
-    forest = []
-    for a, hit in linked(x, y, threshold):
-        with_hits = np.flatnonzero(hit.any(axis=1))
-        if not len(with_hits):
+DEGREE, BEAM, ALPHA = 20, 24, 1.2
+#: Similarity below the threshold at which a range search still expands a node.
+SLACK = 0.08
+#: Nodes audited in each stratum (by links found: from 0, 1, 2, 4, 16, 64 on), and searches before all pairs are compared.
+AUDIT, STRATA, ROUNDS = 160, (0, 1, 2, 4, 16, 64), 2
+
+
+# ---- the graph -----------------------------------------------------------------------
+
+def robust_prune(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+    """Pruned lists (nodes x degree, -1: none). ``candidates``: rows of node numbers, -1: none."""
+    candidates = np.sort(candidates, axis=1)
+    candidates[:, 1:][candidates[:, 1:] == candidates[:, :-1]] = -1
+    candidates[candidates == nodes[:, None]] = -1
+    c = x[candidates]  # nodes x candidates x dim
+    far = 1 - np.einsum("nd,ncd->nc", x[nodes], c)
+    far[candidates < 0] = np.inf
+    out = np.full((len(nodes), degree), -1, np.int64)
+    n = np.arange(len(nodes))
+    for r in range(degree):
+        best = np.argmin(far, axis=1)
+        there = np.isfinite(far[n, best])
+        if not there.any():
+            break
+        out[there, r] = candidates[n, best][there]
+        to_best = 1 - np.einsum("nd,ncd->nc", c[n, best], c)
+        # squared distances on the sphere are twice these; alpha applies to distances
+        far[(alpha**2 * to_best <= far) & there[:, None]] = np.inf
+        far[n, best] = np.inf
+    return out
+
+
+def compact(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Padded lists as (offsets, neighbours)."""
+    there = lists >= 0
+    return np.concatenate([[0], np.cumsum(there.sum(axis=1))]), lists[there]
+
+
+def both_ways(rows: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges and their reverses as (offsets, neighbours): nobody is left without a way in."""
+    code = np.unique(np.concatenate([rows * n + ends, ends * n + rows]))
+    code = code[code // n != code % n]
+    return np.searchsorted(code // n, np.arange(n + 1)), code % n
+
+
+def greedy(x: np.ndarray, queries: np.ndarray, lists: tuple[np.ndarray, np.ndarray], entry: np.ndarray, beam: int, reach: float | None = None,
+           own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Greedy search of all ``queries`` together: yields, per round, query numbers, the nodes they
+    saw for the first time and the similarities. They start at the nodes ``entry`` and, if the
+    queries are nodes themselves (``own``), at their own lists. After ``beam`` expansions a query goes on only
+    while it knows a node within ``reach`` that it has not expanded."""
+    q, n = len(queries), len(x)
+    offsets, ends = lists
+    sim = np.full((q, n), -np.inf, np.float32)  # of nodes seen and not yet expanded
+    seen = np.zeros((q, n), bool)
+    start = queries @ x[entry].T
+    sim[:, entry] = start
+    seen[:, entry] = True
+    who, what = np.meshgrid(np.arange(q), entry, indexing="ij")
+    yield who.ravel(), what.ravel(), start.ravel()
+    if own is not None:
+        sim[np.arange(q), own] = np.inf  # expanded first
+        seen[np.arange(q), own] = True
+    active, step = np.arange(q), 0
+    while len(active):
+        step += 1
+        best = np.argmax(sim[active], axis=1)
+        value = sim[active, best]
+        go = value > (-np.inf if step <= beam else np.inf if reach is None else reach)
+        active, best = active[go], best[go]
+        if not len(active):
+            return
+        sim[active, best] = -np.inf
+        first, count = offsets[best], offsets[best + 1] - offsets[best]
+        rows = np.repeat(active, count)
+        near = ends[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(rows))]
+        ok = ~seen[rows, near]
+        rows, near = rows[ok], near[ok]
+        if len(rows):
+            # a list has no node twice, so (row, node) is new here
+            seen[rows, near] = True
+            s = np.einsum("nd,nd->n", queries[rows], x[near])
+            sim[rows, near] = s
+            yield rows, near, s
+
+
+def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, batch: int = 256) -> tuple[np.ndarray, int]:
+    """Lists of a robust-pruned flat graph of the rows of ``x`` and its medoid."""
+    n = len(x)
+    medoid = int(np.argmax(x @ x.mean(axis=0)))
+    lists = np.full((n, degree), -1, np.int64)
+    rng = np.random.Generator(np.random.PCG64(n))
+    if n <= degree + 1:
+        for i in range(n):
+            lists[i, : n - 1] = [j for j in range(n) if j != i]
+        return lists, medoid
+    # random lists to start with; a list has no node twice
+    start = np.sort(rng.integers(0, n, (n, degree // 2)), axis=1)
+    start[:, 1:][start[:, 1:] == start[:, :-1]] = -1
+    lists[:, : degree // 2] = start
+    for alpha in (1.0, ALPHA):
+        order = rng.permutation(n)
+        for a in range(0, n, batch):
+            nodes = order[a:a + batch]
+            seen = list(greedy(x, x[nodes], compact(lists), np.array([medoid]), beam))
+            rows, what, sim = (np.concatenate([s[k] for s in seen]) for k in range(3))
+            # the most similar nodes seen by each
+            most = 3 * degree
+            o = np.lexsort((-sim, rows))
+            rows, what = rows[o], what[o]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            candidates = np.full((len(nodes), most), -1, np.int64)
+            ok = rank < most
+            candidates[rows[ok], rank[ok]] = what[ok]
+            lists[nodes] = robust_prune(x, nodes, np.hstack([candidates, lists[nodes]]), degree, alpha)
+            # reverse edges, pruned together with what the other end has
+            back = np.repeat(nodes, degree)
+            ends = lists[nodes].ravel()
+            back, ends = back[ends >= 0], ends[ends >= 0]
+            o = np.argsort(ends, kind="stable")
+            back, ends = back[o], ends[o]
+            rank = np.arange(len(ends)) - np.searchsorted(ends, ends)
+            others, first = np.unique(ends, return_index=True)
+            for low in range(0, int(rank.max()) + 1 if len(rank) else 0, degree):
+                ok = (rank >= low) & (rank < low + degree)
+                extra = np.full((len(others), degree), -1, np.int64)
+                extra[np.searchsorted(others, ends[ok]), rank[ok] - low] = back[ok]
+                lists[others] = robust_prune(x, others, np.hstack([lists[others], extra]), degree, alpha)
+    return lists, medoid
+
+
+def linked(x: np.ndarray, exact: np.ndarray, lists: tuple[np.ndarray, np.ndarray], entry: np.ndarray, queries: np.ndarray, threshold: float,
+           beam: int, own: bool = False, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per block of ``queries`` (exact unit rows; ``own``: they are the nodes): first query, and pairs
+    (query in block, node) of cosine >= threshold; ``x`` is ``exact`` in single precision."""
+    for a in range(0, len(queries), block):
+        q = queries[a:a + block]
+        hits = [(r[keep], w[keep]) for r, w, s in greedy(x, q.astype(np.float32), lists, entry, beam, threshold - SLACK, np.arange(a, a + len(q)) if own else None)
+                if (keep := s >= threshold - 1e-3).any()]
+        if not hits:
             continue
-        hit = hit[with_hits]
-        nx[a + with_hits] += hit @ (wx if y is None else wy)
-        (nx if y is None else ny)[:] += wx[a + with_hits] @ hit
-        for i, row in zip((a + with_hits).tolist(), hit, strict=True):
-            ends = np.flatnonzero(row) + shift
-            ends = ends[label[ends] != label[i]]
-            if len(ends):
-                groups, first = np.unique(label[ends], return_index=True)
-                forest += [(i, int(j)) for j in ends[first]]
-                label[np.isin(label, groups)] = label[i]
-    return nx, ny, forest
+        rows, nodes = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+        sure = np.concatenate([np.einsum("nd,nd->n", q[rows[b:b + 100_000]], exact[nodes[b:b + 100_000]]) >= threshold
+                               for b in range(0, len(rows), 100_000)])
+        yield a, rows[sure], nodes[sure]
 
 
 # ---- on Spark ------------------------------------------------------------------------
@@ -102,85 +206,159 @@ def _nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     key = F.unhex(F.md5(F.concat_ws(",", group, v.cast("array<string>"))))
     rows = vectors.select(F.col(id_col).alias("doc_id"), F.when(ok, key).alias("k"), F.when(ok, group).alias("group"), F.when(ok, v).alias("v"))
     nodes = rows.where(F.col("k").isNotNull()).groupBy("k").agg(F.first("group").alias("group"), F.first("v").alias("v"), F.count("*").alias("w"))
-    return rows.select("doc_id", "k"), written(nodes, "embed-nodes")
-
-
-def reach(x: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The home shard of each unit row, and which shards (rows x shards) may be the home of a
-    row with a cosine >= threshold to it."""
-    score = x @ centroids.T - 0.5 * (centroids**2).sum(axis=1)
-    home = np.argmax(score, axis=1)
-    length = (centroids**2).sum(axis=1)
-    between = np.sqrt(np.maximum(0, length[home][:, None] + length - 2 * centroids[home] @ centroids.T))
-    # a partner u homed at c has score(u, c) >= score(u, home), and the difference changes by at
-    # most the distance of the rows times that of the centroids
-    most = math.sqrt(max(0.0, 2 - 2 * threshold))
-    return home, score[np.arange(len(x)), home][:, None] - score <= (most + 1e-6) * between + 1e-6
+    return rows.select("doc_id", "k"), written(nodes, "graph-nodes")
 
 
-def _assigned(nodes: DataFrame, centroids: np.ndarray, dim: int, threshold: float) -> DataFrame:
-    """Nodes with ``home`` and ``shards``: those that may hold a partner, the home included."""
+def _assigned(nodes: DataFrame, centroids: np.ndarray, overlap: int, dim: int) -> DataFrame:
+    """Nodes with ``shards``: the numbers of their nearest centroids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                rows = batch.slice(a, 1000)
-                home, there = reach(unit(matrix(rows.column("v"), dim)), centroids, threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(home, pa.int32()), pa.array([np.flatnonzero(t).tolist() for t in there], pa.list_(pa.int32()))],
-                    [*rows.schema.names, "home", "shards"])
-    return nodes.mapInArrow(run, "k binary, `group` string, v array<double>, w long, home int, shards array<int>")
-
-
-def _dealt(nodes: DataFrame, dim: int, threshold: float, centroids: np.ndarray, part: int) -> DataFrame:
-    """The nodes of big labels in cells: cell (text), left (bool), inner (the cell's pairs are those
-    within its left side), k, v, w."""
-    assigned = written(_assigned(nodes, centroids, dim, threshold), "embed-assigned")
-    place = lambda shard: F.concat_ws("/", F.col("group"), F.col(shard))
-    sizes = assigned.groupBy(place("home").alias("place")).agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    visits = assigned.select("*", F.explode("shards").alias("shard")).select("*", place("shard").alias("place"))
-    counts = assigned.select("group", F.explode("shards").alias("shard")).groupBy(place("shard").alias("place")).agg(F.count("*").alias("n"))
-    sizes = written(counts.join(sizes, "place"), "embed-sizes")  # shards that are nobody's home go
-    homes = assigned.groupBy(place("home").alias("place")).agg(F.count("*").alias("n"))
-    homes = homes.join(sizes.select("place", F.col("parts").alias("own_parts")), "place")
-    visits = join_unique(visits, sizes, "place", sizes.agg(F.sum("n")).first()[0], "n").where(F.col("parts").isNotNull())
-    visits = visits.withColumn("place", place("home"))
-    visits = join_unique(visits, homes, "place", assigned.count(), "n")
-    visits = visits.withColumn("own", F.pmod(F.xxhash64("k"), F.col("own_parts")).cast("int"))
-    # the part meets each part of the shard; in the home shard, part i stands left of part j > i
-    met = visits.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("met"))
-    at, to = F.struct(F.col("home").alias("s"), F.col("own").alias("p")), F.struct(F.col("shard").alias("s"), F.col("met").alias("p"))
-    lo, hi = F.least(at, to), F.greatest(at, to)
-    return met.select(F.concat_ws("/", "group", lo["s"], lo["p"], hi["s"], hi["p"]).alias("cell"), (at <= to).alias("left"),
-                      (at == to).alias("inner"), "k", "v", "w")
-
-
-def _searched(nodes: DataFrame, dim: int, threshold: float, whole: int = CELL, part: int = PART) -> DataFrame:
+            at = nearest(unit(matrix(batch.column("v"), dim)), centroids, overlap) if batch.num_rows else np.zeros((0, overlap), int)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.tolist(), pa.list_(pa.int32()))], [*batch.schema.names, "shards"])
+    return nodes.mapInArrow(run, "k binary, `group` string, v array<double>, w long, shards array<int>")
+
+
+def _graph(placed: DataFrame, dim: int) -> DataFrame:
+    """Per part: k, near (keys of neighbours), medoid (bool). ``placed``: place, part, k, v."""
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        k = group["k"].tolist()
+        lists, medoid = build(unit(np.stack(group["v"].to_numpy())).astype(np.float32))
+        return pd.DataFrame({"k": k, "near": [[k[j] for j in r if j >= 0] for r in lists], "medoid": np.arange(len(k)) == medoid})
+    return placed.groupBy("place", "part").applyInPandas(run, "k binary, near array<binary>, medoid boolean")
+
+
+def _searched(nodes: DataFrame, dim: int, threshold: float, centroids: np.ndarray, overlap: int, beam: int, whole: int = CELL,
+              part: int = PART) -> DataFrame:
     """Counts (k, n) and forest links (k, other) of the nodes of one length, in one written table."""
-    labels = written(nodes.groupBy("group").agg(F.count("*").alias("n")), "embed-labels")
-    largest = labels.agg(F.max("n")).first()[0]
-    cells = nodes.select(F.col("group").alias("cell"), F.lit(True).alias("left"), F.lit(True).alias("inner"), "k", "v", "w")
-    if largest > whole:
-        sized = join_unique(nodes, labels.withColumn("in_label", F.col("n")), "group", nodes.count(), "n")
-        big = sized.where(F.col("in_label") > whole).drop("in_label")
-        centroids = k_means(sampled(big, "k", "v", dim, SAMPLE), min(MOST_CENTROIDS, max(1, math.ceil(largest / SHARD))))
-        small = sized.where(F.col("in_label") <= whole)
-        cells = small.select(F.col("group").alias("cell"), F.lit(True).alias("left"), F.lit(True).alias("inner"), "k", "v", "w").unionByName(
-            _dealt(big, dim, threshold, centroids, part))
+    assigned = written(_assigned(nodes, centroids, min(overlap, len(centroids)), dim), "graph-assigned")
+    total = assigned.count()
+    # a place: a label's shard. Its size tells the number of parts
+    placed = assigned.select("*", F.explode("shards").alias("shard")).withColumn("place", F.concat_ws("/", "group", "shard"))
+    sizes = placed.groupBy("place").agg(F.count("*").alias("n"), F.first("group").alias("__group"))
+    labels = assigned.groupBy("group").agg(F.count("*").alias("in_label"))
+    sizes = written(sizes.join(labels, F.col("__group") == F.col("group")).select("place", "n", F.col("n").alias("members"), "in_label"), "graph-sizes")
+    placed = join_unique(placed, sizes, "place", total * overlap, "n")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("k"), F.ceil(F.col("members") / part)).cast("int"))
+    placed = written(placed, "graph-placed")
+    graph = _graph(placed.select("place", "part", "k", "v"), dim)
+    lists = graph.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("medoid").alias("medoid"))
+    lists = written(lists, "graph-lists")
+
+    # cells: the label if it fits, else the shard; pieces of a shard that doesn't fit are groups of its parts
+    small = F.col("in_label") <= whole
+    pieces = F.when(small, 1).otherwise(F.ceil(F.col("members") / whole)).cast("int")
+    piece = F.when(small, 0).otherwise(F.floor(F.col("part") * pieces / F.ceil(F.col("members") / part))).cast("int")
+    cells = placed.select("k", "v", "w", "group", F.when(small, F.col("group")).otherwise(F.col("place")).alias("cell"),
+                          pieces.alias("pieces"), piece.alias("piece"), "shards", small.alias("whole")).dropDuplicates(["k", "cell"])
+    cells = cells.join(lists, "k")
+    # a piece is a graph (target); the nodes of every piece ask it, one piece (asker) in a task
+    every = F.sequence(F.lit(0), F.col("pieces") - 1)
+    graph_side = cells.select("cell", F.col("piece").alias("target"), F.explode(every).alias("asker"), F.lit(True).alias("graph"),
+                              "k", "v", "w", "near", "medoid", "shards", "whole")
+    other = cells.where("pieces > 1").select("cell", F.explode(every).alias("target"), F.col("piece").alias("asker"), F.lit(False).alias("graph"),
+                                             "k", "v", "w", F.lit(None).cast("array<binary>").alias("near"), "medoid", "shards", "whole")
+    work = graph_side.unionByName(other.where("target != asker"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        inner = bool(group["inner"].iloc[0])
-        a, b = (group, None) if inner else (group[group["left"]], group[~group["left"]])
-        if not len(a) or b is not None and not len(b):
+        g = group[group["graph"]].reset_index(drop=True)
+        others = group[~group["graph"]].reset_index(drop=True)
+        same = int(group["target"].iloc[0]) == int(group["asker"].iloc[0])
+        asks = g if same else others
+        if not len(g) or not len(asks):
             return pd.DataFrame({"k": [], "n": [], "other": []})
-        x, wx = unit(np.stack(a["v"].to_numpy())), a["w"].to_numpy(np.int64)
-        y, wy = (None, wx[:0]) if b is None else (unit(np.stack(b["v"].to_numpy())), b["w"].to_numpy(np.int64))
-        nx, ny, forest = cell_links(x, y, wx, wy, threshold)
-        keys, n = a["k"].tolist() + ([] if b is None else b["k"].tolist()), np.concatenate([nx, ny])
+        exact = unit(np.stack(g["v"].to_numpy()))
+        x = exact.astype(np.float32)
+        at = {k: i for i, k in enumerate(g["k"])}
+        near = [[at[j] for j in r if j in at] for r in g["near"]]
+        lists = both_ways(np.repeat(np.arange(len(g)), [len(r) for r in near]), np.array([j for r in near for j in r], np.int64), len(g))
+        entry = np.flatnonzero(g["medoid"].to_numpy(bool))
+        entry = entry if len(entry) else np.array([int(np.argmax(x @ x.mean(axis=0)))])
+        queries = exact if same else unit(np.stack(asks["v"].to_numpy()))
+        keys, gk, w = asks["k"].tolist(), g["k"].tolist(), g["w"].to_numpy(np.int64)
+        whole_cell = bool(group["whole"].iloc[0])
+        mine = -1 if whole_cell else int(str(group["cell"].iloc[0]).rpartition("/")[2])
+        aset, gset = [set(s) for s in asks["shards"]], [set(s) for s in g["shards"]]
+        n = np.zeros(len(asks), np.int64)
+        top: dict[bytes, bytes] = {}
+
+        def find(k: bytes) -> bytes:
+            while top.get(k, k) != k:
+                top[k] = top.get(top[k], top[k])
+                k = top[k]
+            return k
+
+        joined = []
+        for first, rows, nodes in linked(x, exact, lists, entry, queries, threshold, beam, own=same):
+            if same:
+                ok = nodes != rows + first
+                rows, nodes = rows[ok], nodes[ok]
+            if not whole_cell:  # a pair counts in the smallest cell that has both
+                ok = np.array([min(aset[first + a] & gset[b]) == mine for a, b in zip(rows.tolist(), nodes.tolist(), strict=True)], bool)
+                rows, nodes = rows[ok], nodes[ok]
+            np.add.at(n, rows + first, w[nodes])
+            for a, b in zip(rows.tolist(), nodes.tolist(), strict=True):
+                p, q = find(keys[first + a]), find(gk[b])
+                if p != q:
+                    top[p] = q
+                    joined.append((keys[first + a], gk[b]))
         hit = np.flatnonzero(n)
-        return pd.DataFrame({"k": [keys[i] for i in hit] + [keys[i] for i, _ in forest], "n": n[hit].tolist() + [0] * len(forest),
-                             "other": [None] * len(hit) + [keys[j] for _, j in forest]})
+        return pd.DataFrame({"k": [keys[i] for i in hit] + [a for a, _ in joined], "n": n[hit].tolist() + [0] * len(joined),
+                             "other": [None] * len(hit) + [b for _, b in joined]})
+
+    return written(work.groupBy("cell", "target", "asker").applyInPandas(run, "k binary, n long, other binary"), "graph-found")
+
+
+def audited(nodes: DataFrame, found: DataFrame, dim: int, threshold: float) -> tuple[int, int, int]:
+    """(nodes with a missing link, links found, true links) of a bounded number of nodes of every stratum."""
+    counts = found.where("other is null").groupBy("k").agg(F.sum("n").alias("n"))
+    known = written(nodes.select("k", "group").join(counts, "k", "left").select("k", "group", F.coalesce("n", F.lit(0)).alias("n")), "graph-counts")
+    sample = {}
+    for low, high in zip(STRATA, (*STRATA[1:], None), strict=True):
+        stratum = known.where(F.col("n") >= low) if high is None else known.where((F.col("n") >= low) & (F.col("n") < high))
+        sample |= {r["k"]: r for r in least_hashes(stratum, AUDIT, "k").collect()}
+    if not sample:
+        return 0, 0, 0
+    keys = list(sample)
+    ids = nodes.sparkSession.createDataFrame([(k,) for k in keys], "k binary")  # bounded by the strata
+    vectors = {r["k"]: r["v"] for r in nodes.join(F.broadcast(ids), "k", "left_semi").select("k", "v").collect()}
+    q = unit(np.array([vectors[k] for k in keys], np.float64).reshape(-1, dim))
+    groups = np.array([sample[k]["group"] for k in keys])
+    place = {k: i for i, k in enumerate(keys)}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(keys), np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                x = unit(matrix(part.column("v"), dim))
+                s = q @ x.T
+                hit = s >= threshold
+                rows, cols = np.nonzero(np.abs(s - threshold) < 1e-9)  # a matrix product is not exact
+                hit[rows, cols] = np.einsum("nd,nd->n", q[rows], x[cols]) >= threshold
+                hit &= groups[:, None] == np.array(part.column("group").to_pylist())[None, :]
+                for j, k in enumerate(part.column("k").to_pylist()):
+                    if k in place:
+                        hit[place[k], j] = False
+                total += hit @ part.column("w").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(total)], ["k", "true"])
+
+    true = {r["k"]: r["true"] for r in nodes.mapInArrow(scan, "k binary, true long").groupBy("k").agg(F.sum("true").alias("true")).collect()}
+    got = {k: sample[k]["n"] for k in keys}
+    return sum(got[k] < true[k] for k in keys), sum(min(got[k], true[k]) for k in keys), sum(true.values())
+
 
-    return written(cells.groupBy("cell").applyInPandas(run, "k binary, n long, other binary"), "embed-found")
+def graph_links(nodes: DataFrame, dim: int, threshold: float, rounds: int = ROUNDS) -> tuple[DataFrame, tuple[int, int, int]]:
+    """Counts and forest links of the nodes of one length by the graph, and what its last audit found."""
+    largest = nodes.groupBy("group").count().agg(F.max("count")).first()[0]
+    centroids = k_means(sampled(nodes, "k", "v", dim, SAMPLE), min(MOST_CENTROIDS, max(1, math.ceil(largest / SHARD))))
+    overlap, beam = 2, BEAM
+    for _ in range(rounds):
+        found = _searched(nodes, dim, threshold, centroids, overlap, beam)
+        audit = audited(nodes, found, dim, threshold)
+        if not audit[0]:
+            break
+        overlap, beam = overlap + 2, 2 * beam
+    return found, audit
 
 
 def duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -190,11 +368,13 @@ def duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     found = None
     for dim in sorted(r["d"] for r in nodes.select(F.size("v").alias("d")).distinct().collect()):
         own = nodes.where(F.size("v") == dim)
-        got = _searched(own, dim, threshold)
+        got, audit = graph_links(own, dim, threshold)
+        if audit[0]:
+            got = exact_links(own, dim, threshold)
         found = got if found is None else found.unionByName(got)
     if found is None:
         return keyed.select(F.col("doc_id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    known = written(components(found.where("other is not null"), "k", "other"), "embed-components")
+    known = written(components(found.where("other is not null"), "k", "other"), "graph-components")
     counts = found.where("other is null").groupBy("k").agg(F.sum("n").alias("found"))
     per = nodes.select("k", "w").join(counts, "k", "left").select("k", "w", (F.col("w") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"))
     out = classes(keyed, known)

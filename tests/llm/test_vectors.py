@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from estima.llm import embed_dedup, neighbours
+from estima.llm import embed_dedup, embed_exact, neighbours
 
 
 def planted(n=400, dim=16, seed=3):
@@ -51,10 +51,9 @@ def test_duplicates_equal_brute_force(spark, cell, monkeypatch):
     np.fill_diagonal(hit, False)
     want = hit.sum(axis=1)
     links = np.array([got[i]["n_links"] for i in range(len(x))])
-    assert (links <= want).all() and links.sum() >= 0.97 * want.sum()
-    if (links == want).all():
-        comp = components([(int(a), int(b)) for a, b in zip(*np.nonzero(hit), strict=True)], range(len(x)))
-        assert all(got[i]["component_id"] == comp[i] and got[i]["kept"] == (comp[i] == i) for i in range(len(x)))
+    assert links.tolist() == want.tolist()
+    comp = components([(int(a), int(b)) for a, b in zip(*np.nonzero(hit), strict=True)], range(len(x)))
+    assert all(got[i]["component_id"] == comp[i] and got[i]["kept"] == (comp[i] == i) for i in range(len(x)))
     assert [got[1050]["n_links"], got[1051]["n_links"], got[1051]["component_id"]] == [1, 1, 1050]
     for i in [*range(1000, 1000 + len(ODD)), 2000]:
         assert got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"]
@@ -73,31 +72,56 @@ def scattered(n=900, dim=16, seed=5):
     return x
 
 
-def links_and_brute_force(spark, x, whole, part, monkeypatch, shard=40):
-    monkeypatch.setattr(embed_dedup, "SHARD", shard)
-    searched = embed_dedup._searched
-    monkeypatch.setattr(embed_dedup, "_searched", lambda *a: searched(*a, whole=whole, part=part))
-    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.duplicate_vectors(rows).collect())
+def truth(x):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = u @ u.T >= 0.93
     np.fill_diagonal(hit, False)
     comp = components([(int(a), int(b)) for a, b in zip(*np.nonzero(hit), strict=True)], range(len(x)))
-    return got, [(i, int(hit[i].sum()), comp[i], comp[i] == i) for i in range(len(x))]
+    return hit, [(i, int(hit[i].sum()), comp[i], comp[i] == i) for i in range(len(x))]
 
 
-@pytest.mark.parametrize("part", [30, 3000])
-def test_a_label_over_the_cell_limit_loses_no_link(spark, part, monkeypatch):
-    got, want = links_and_brute_force(spark, scattered(), 800, part, monkeypatch)
-    assert got == want
-
-
-def test_single_pairs_beside_a_hot_group_are_found(spark, monkeypatch):
+def skewed():
     x = scattered(n=800, seed=8)
     rng = np.random.default_rng(1)
     hot = x[0] + rng.normal(size=(400, 16)) * 0.02  # most of the links are within this group
-    got, want = links_and_brute_force(spark, np.vstack([x, hot]), 1000, 3000, monkeypatch, shard=10)
-    assert got == want
+    return np.vstack([x, hot])
+
+
+def frame(spark, x):
+    return spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+
+
+@pytest.mark.parametrize("make", [scattered, skewed])
+def test_links_equal_brute_force_whatever_the_graph_misses(spark, make, monkeypatch):
+    """Unclustered vectors, and single pairs beside a hot group, in small shards and pieces."""
+    x = make()
+    monkeypatch.setattr(embed_dedup, "SHARD", 200)
+    searched, exact = embed_dedup._searched, embed_dedup.exact_links
+    monkeypatch.setattr(embed_dedup, "_searched", lambda *a: searched(*a, whole=300, part=150))
+    monkeypatch.setattr(embed_dedup, "exact_links", lambda *a: exact(*a, whole=300, part=100))
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.duplicate_vectors(frame(spark, x)).collect())
+    assert got == truth(x)[1]
+
+
+def test_the_graph_alone_and_its_audit(spark, monkeypatch):
+    """Clustered vectors: the graph finds at least nine tenths of the links, and the audit sees what it misses."""
+    monkeypatch.setattr(embed_dedup, "SHARD", 100)
+    x = planted(n=600, seed=6)
+    nodes = embed_dedup._nodes(frame(spark, x), "vec_id", "embedding", "label")[1]
+    found, (_, got, true) = embed_dedup.graph_links(nodes, 16, 0.93)
+    assert true and got >= 0.9 * true
+    lost = found.where("other is not null")
+    missing, got, true = embed_dedup.audited(nodes, lost, 16, 0.93)
+    assert missing and got == 0 and true > 0
+
+
+@pytest.mark.parametrize("part", [30, 3000])
+def test_all_pairs_lose_no_link(spark, part, monkeypatch):
+    monkeypatch.setattr(embed_exact, "SHARD", 40)
+    x = scattered()
+    nodes = embed_dedup._nodes(frame(spark, x), "vec_id", "embedding", "label")[1]
+    found = embed_exact.exact_links(nodes, 16, 0.93, 800, part)
+    assert found.where("other is null").agg({"n": "sum"}).first()[0] == truth(x)[0].sum()
 
 
 def test_duplicates_of_nothing(spark):
