@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estima.llm.common import drop_folder, drop_written, folders_so_far, shared_folder, small_batches
+from estima.llm.common import drop_folder, drop_written, folders_so_far, release, shared_folder, small_batches
 from estima.llm.minhash import keep_one
 from estima.llm.packing import pack_documents
 from estima.llm.pii import redact
@@ -23,6 +23,7 @@ from estima.session import ensure_checkpoint_dir
 def _ready(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
     small_batches(spark)
+    release()  # what the stage before has left in the driver
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:

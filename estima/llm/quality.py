@@ -272,7 +272,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
             .groupBy("doc_id", "__label").agg(F.min("x").alias("x")).collect())
     rows.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
-    return vectors, fit(x, np.array([r["__label"] for r in rows]))
+    net = fit(x, np.array([r["__label"] for r in rows]))
+    del rows, x
+    release()
+    return vectors, net
 
 
 def scores(vectors: np.ndarray, net: Network):

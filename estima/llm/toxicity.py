@@ -336,11 +336,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0,
           per_class: int = SAMPLE_DOCS) -> Machine:
-    import gc
     sample = labelled_sample(docs, labels, label, modulus, held, per_class)
     machine = fit([t for t, _ in sample], [v for _, v in sample])
     del sample
-    gc.collect()  # the driver goes on for long with little else to collect
+    release()  # the driver goes on for long with little else to collect
     return machine
 
 
