@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import SparkContext, keyword_only
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import LinearRegressionModel, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from estima.operators.boosting import BoostedTrees
 from estima.operators.columns import split_roles, validate_columns
 from estima.operators.encode import FEATURES_COL, O_PREFIX, preprocess
-from estima.operators.ridge import RidgeStatistics
+from estima.operators.lasso import LassoRegression
+from estima.operators.ridge import RidgeStatistics, linear_model, vector_width
 
 LABEL_COL = "__label"
 
@@ -50,7 +51,7 @@ class RidgeRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
 
     def statistics(self, df: DataFrame) -> RidgeStatistics:
         feats = self.getFeaturesCol()
-        return RidgeStatistics(df, feats, self.getLabelCol(), _vector_width(df, feats), widest_block(df, feats))
+        return RidgeStatistics(df, feats, self.getLabelCol(), vector_width(df, feats), widest_block(df, feats))
 
     def model(self, intercept: float, weights) -> LinearRegressionModel:
         return linear_model(intercept, weights, self.getFeaturesCol(), self.getLabelCol(), self.getPredictionCol())
@@ -63,49 +64,18 @@ class RidgeRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
             stats.release()
 
 
-def linear_model(intercept: float, weights, features_col: str = FEATURES_COL, label_col: str = LABEL_COL,
-                 prediction_col: str = "prediction") -> LinearRegressionModel:
-    """A linear model of given weights as Spark ML's own model (scores, saves and loads as one)."""
-    from pyspark.ml.common import _py2java
-    from pyspark.ml.linalg import Vectors
-    from pyspark.ml.util import _jvm
-    uid = LinearRegression().uid
-    vector = _py2java(SparkContext._active_spark_context, Vectors.dense(weights))
-    made = LinearRegressionModel(_jvm().org.apache.spark.ml.regression.LinearRegressionModel(uid, vector, float(intercept)))
-    made._resetUid(uid)
-    made._set(featuresCol=features_col, labelCol=label_col, predictionCol=prediction_col)
-    made._transfer_params_to_java()
-    return made
-
-
 def widest_block(df: DataFrame, col: str) -> tuple[int, int] | None:
     """First slot and size of the widest one-hot block of an assembled vector: its blocks follow each
     other in the order of the one-hot columns beside it. None without them: all slots count as narrow."""
     meta = {c: df.schema[c].metadata.get("ml_attr", {}) for c in df.columns}
     at = min((a["idx"] for a in meta[col].get("attrs", {}).get("binary", [])), default=0)
     sizes = [m["num_attrs"] for c, m in meta.items() if c.startswith(O_PREFIX) and "num_attrs" in m]
-    if at + sum(sizes) != _vector_width(df, col) or not sizes:
+    if at + sum(sizes) != vector_width(df, col) or not sizes:
         return None
     widest = max(sizes)
     return at + sum(sizes[:sizes.index(widest)]), widest
 
 
-def _vector_width(df: DataFrame, col: str) -> int:
-    """Slots of an assembled vector column, from its ML metadata (no data read)."""
-    meta = df.schema[col].metadata.get("ml_attr", {})
-    if "num_attrs" in meta:
-        return int(meta["num_attrs"])
-    first = df.select(col).first()
-    return first[0].size if first is not None else 0
-
-
-def lasso(alpha: float = 1.0, max_iter: int = 1000) -> LinearRegression:
-    """L1-penalised least squares ``1/(2n) SSE + alpha ||w||_1`` (same scale in both)."""
-    return LinearRegression(featuresCol=FEATURES_COL, labelCol=LABEL_COL, regParam=alpha,
-                            elasticNetParam=1.0, standardization=False, fitIntercept=True,
-                            maxIter=max_iter, tol=1e-9)
-
-
 # The reference's algorithm names and their library defaults.
 ALGORITHMS = ("ridge", "xgboost", "random_forest")
 ALIASES = {"randomforest": "random_forest", "gbt": "xgboost", "boosted_trees": "xgboost"}
@@ -128,7 +98,7 @@ def make_regressor(algorithm: str, **params):
     if name == "ridge":
         return RidgeRegression(alpha=float(params.get("alpha", 1.0)))
     if name == "lasso":
-        return lasso(float(params.get("alpha", 1.0)))
+        return LassoRegression(alpha=float(params.get("alpha", 1.0)), featuresCol=FEATURES_COL, labelCol=LABEL_COL)
     if name == "xgboost":
         return BoostedTrees(featuresCol=FEATURES_COL, labelCol=LABEL_COL, rounds=int(params.get("n_estimators", 100)),
                             depth=int(params.get("max_depth", 6)), rate=float(params.get("learning_rate", 0.3)),

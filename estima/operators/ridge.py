@@ -18,7 +18,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,30 @@ def entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, slot, value
 
 
+def linear_model(intercept: float, weights, features_col: str, label_col: str,
+                 prediction_col: str = "prediction") -> LinearRegressionModel:
+    """A linear model of given weights as Spark ML's own model (scores, saves and loads as one)."""
+    from pyspark.ml.common import _py2java
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.util import _jvm
+    uid = LinearRegression().uid
+    vector = _py2java(SparkContext._active_spark_context, Vectors.dense(weights))
+    made = LinearRegressionModel(_jvm().org.apache.spark.ml.regression.LinearRegressionModel(uid, vector, float(intercept)))
+    made._resetUid(uid)
+    made._set(featuresCol=features_col, labelCol=label_col, predictionCol=prediction_col)
+    made._transfer_params_to_java()
+    return made
+
+
+def vector_width(df: DataFrame, col: str) -> int:
+    """Slots of an assembled vector column, from its ML metadata (no data read)."""
+    meta = df.schema[col].metadata.get("ml_attr", {})
+    if "num_attrs" in meta:
+        return int(meta["num_attrs"])
+    first = df.select(col).first()
+    return first[0].size if first is not None else 0
+
+
 class RidgeStatistics:
     """Sums of one table of (vector, target); ``wide``: first slot and size of the widest block."""
 

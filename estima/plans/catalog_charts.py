@@ -45,12 +45,13 @@ _CHART_TEXT = ["l_returnflag", "l_linestatus"]
 
 
 @q("column_charts", "\nUNION ALL\n".join(
-    f"(SELECT column, CAST(NULL AS VARCHAR) AS value, bin, lo, hi, count FROM (WITH {_hist_sql('lineitem', c, '30', c)}))" for c in LI_NUM)
-    + "".join(f"\nUNION ALL SELECT '{c}', {c}, NULL, NULL, NULL, count(*) FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c}" for c in _CHART_TEXT))
+    f"(SELECT \"column\", CAST(NULL AS VARCHAR) AS value, bin, lo, hi, count FROM (WITH {_hist_sql('lineitem', c, '30', c)}))" for c in LI_NUM)
+    + "".join(f"\nUNION ALL SELECT '{c}', {c}, -1, 0e0, 0e0, count(*) FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c}" for c in _CHART_TEXT))
 def column_charts_q(spark, base):
     """Every column's chart: bins of numbers, value counts of texts."""
     columns = [*LI_NUM, *_CHART_TEXT]
-    return rsig(D.column_charts(scan_table(spark, base, "lineitem", columns), columns), "lo", "hi")
+    out = D.column_charts(scan_table(spark, base, "lineitem", columns), columns)
+    return rsig(out.fillna({"bin": -1, "lo": 0.0, "hi": 0.0}), "lo", "hi")
 
 
 @q("residual_hist_20", "WITH " + S.RIDGE_LI + ", " + _hist_sql("al", "charge - prediction", "20", "residual"))

@@ -134,11 +134,26 @@ def ridge_two_features_q(spark, base):
     return rsig(spark.createDataFrame(_terms(m), "term string, value double"), "value")
 
 
-@q("pipeline_fit")
+_Z = ["l_extendedprice", "l_quantity"]
+_HOT = [("l_returnflag", v) for v in "ANR"] + [("l_linestatus", v) for v in "FO"]
+_ZST = "zs AS (SELECT avg(charge) AS my, " + ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(["l_extendedprice", "l_quantity", "l_discount", "l_tax"])) \
+    + " FROM lm WHERE NOT is_test),\nzt AS (SELECT lm.*, charge - my AS yc, " \
+    + ", ".join(f"({c} - m{i}) / s{i} AS z{i}" for i, c in enumerate(["l_extendedprice", "l_quantity", "l_discount", "l_tax"])) + " FROM lm, zs WHERE NOT is_test)"
+
+
+# two numbers and two one-hot blocks: all eight normal equations, solved in SQL
+_PIPELINE = "WITH " + S.LM + ",\n" + _ZST + ",\n" + S.normal_equations(
+    ["z0", "z1", *[f"CAST({c} = '{v}' AS INTEGER)" for c, v in _HOT]], "yc", "zt", 1.0) + ",\n" + S.solve(8, "ne") + """
+SELECT term, round(value, 4) AS value FROM (
+SELECT 'intercept' AS term, w0 + my AS value FROM gj, zs""" + "".join(
+    f" UNION ALL SELECT '{n}', w{i} FROM gj" for i, n in enumerate([*_Z, *[f"{c}_{v}" for c, v in _HOT]], 1)) + ")"
+
+
+@q("pipeline_fit", _PIPELINE)
 def pipeline_fit_q(spark, base):
     tr = lineitem_frame(spark, base).where(~F.col("is_test"))
     m = pipeline_fit(tr, ["l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus"], "charge", "ridge")
-    return spark.createDataFrame(_terms(m), "term string, value double")
+    return spark.createDataFrame(_terms(m), "term string, value double").withColumn("value", F.round("value", 4))
 
 
 # ridge on one number and a one-hot block of every order (more categories than a normal-equation solver takes): the
@@ -251,6 +266,43 @@ def train_plan_q(spark, base):
     return res.metrics.select("n", "mae", "r2", "p_value", "score", "grade")
 
 
+# four numbers: with the signs of their weights, the subgradient conditions are linear equations. The SQL solves
+# them for the signs of the plain covariances and keeps the result only if its weights have these signs
+_LASSO4 = "WITH " + S.LM + ",\n" + _ZST + """,
+cv AS (SELECT """ + ", ".join(f"covar_pop(z{i}, z{j}) AS a{i}_{j}" for i in range(4) for j in range(4)) + ", " + ", ".join(
+    f"sign(covar_pop(z{i}, yc)) AS s{i}, covar_pop(z{i}, yc) - sign(covar_pop(z{i}, yc)) * 1e0 AS b{i}" for i in range(4)) + """ FROM zt),
+""" + S.solve(4, "cv") + """
+SELECT term, round(value, 4) AS value FROM (SELECT 'intercept' AS term, my AS value FROM zs
+""" + "".join(f"UNION ALL SELECT '{c}', CASE WHEN sign(w{i}) = s{i} THEN w{i} END FROM gj, cv\n" for i, c in enumerate(
+    ["l_extendedprice", "l_quantity", "l_discount", "l_tax"])) + ")"
+
+
+@q("lasso_numbers", _LASSO4)
+def lasso_numbers_q(spark, base):
+    """Lasso on all four numbers."""
+    tr = lineitem_frame(spark, base).where(~F.col("is_test"))
+    m = pipeline_fit(tr, ["l_extendedprice", "l_quantity", "l_discount", "l_tax"], "charge", "lasso")
+    return spark.createDataFrame(_terms(m), "term string, value double").withColumn("value", F.round("value", 4))
+
+
+@q("lasso_certificate", """SELECT f AS slot_name, true AS holds FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) t(f)
+UNION ALL SELECT DISTINCT 'l_returnflag_' || l_returnflag, true FROM lineitem
+UNION ALL SELECT DISTINCT 'l_linestatus_' || l_linestatus, true FROM lineitem""")
+def lasso_certificate_q(spark, base):
+    """The optimality conditions of the lasso over all features, measured on the training rows: all hold."""
+    from estima.operators.lasso import certificate
+    from estima.operators.models import LABEL_COL, linear_terms
+    tr = lineitem_frame(spark, base).where(~F.col("is_test"))
+    m = pipeline_fit(tr, TREE_FEATURES, "charge", "lasso")
+    data = tr
+    for stage in m.stages[:-1]:
+        data = stage.transform(data)
+    names = E.slot_names(m, spark)
+    b0, w = linear_terms(m, names.count())
+    got = certificate(data, w, b0, 1.0, "features", LABEL_COL)
+    return got.join(names, "slot").select("slot_name", (F.col("violation") < 1e-6).alias("holds"))
+
+
 _LASSO1 = "WITH " + S.RIDGE_LI + f""",
 lc AS (SELECT cf.b0, st.cxy / st.sx AS c FROM st, cf)
 SELECT 'intercept' AS term, {S.rs('b0', 4)} AS value FROM lc

@@ -92,3 +92,28 @@ def metrics_select(y: str, p: str, seg: list[str]) -> str:
   FROM (SELECT {segs}count(*) AS n, avg(abs({y} - {p})) AS mae, sum(({y} - {p}) * ({y} - {p})) AS sse,
                var_pop({y}) AS vy, avg({y}) AS my, avg({p}) AS mp, var_samp({y}) AS sy, var_samp({p}) AS sp
         FROM __SRC__ {('GROUP BY ' + ', '.join(seg)) if seg else ''}))"""
+
+
+def solve(n: int, source: str, name: str = "gj") -> str:
+    """CTEs that solve the linear system of the one-row ``source`` (columns a0_0 ... and b0 ...) by elimination
+    in order; the last one, ``name``, has the solution as w0 ... ."""
+    out, at = [], source
+    for k in range(n):
+        cells = []
+        for i in range(n):
+            for j in range(k + 1, n):
+                cells.append(f"a{i}_{j} / a{k}_{k} AS a{i}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} * (a{k}_{j} / a{k}_{k}) AS a{i}_{j}")
+            cells.append(f"b{i} / a{k}_{k} AS b{i}" if i == k else f"b{i} - a{i}_{k} * (b{k} / a{k}_{k}) AS b{i}")
+        out.append(f"{name}{k} AS (SELECT {', '.join(cells)} FROM {at})")
+        at = f"{name}{k}"
+    out.append(f"{name} AS (SELECT {', '.join(f'b{i} AS w{i}' for i in range(n))} FROM {at})")
+    return ",\n".join(out)
+
+
+def normal_equations(columns: list[str], target: str, source: str, penalty: float, name: str = "ne") -> str:
+    """CTE of the normal equations of ``target`` on ones and ``columns`` (expressions over ``source``), with
+    ``penalty`` on all but the intercept."""
+    x = ["1e0", *columns]
+    cells = [f"sum(({p}) * ({q})){f' + {penalty}' if i == j > 0 else ''} AS a{i}_{j}" for i, p in enumerate(x) for j, q in enumerate(x)]
+    cells += [f"sum(({p}) * ({target})) AS b{i}" for i, p in enumerate(x)]
+    return f"{name} AS (SELECT {', '.join(cells)} FROM {source})"
