@@ -11,8 +11,8 @@ weight. Then:
 3. The adjacency lists that a node has from its shards are united, and edges lead both ways.
 4. Search: a label that fits one cell is searched as a whole, a bigger one by shard (a shard
    over the cell limit by pieces, every query against every piece). Each node greedily searches
-   the united graph from the medoids and its own list, then expands its range: as long as it knows a node within
-   the range that it has not expanded, it expands it.
+   the united graph from the medoids and its own list and expands its range: every node it knows within
+   the range, until there is none it has not expanded.
 5. Found pairs are verified in double precision. Two nodes that share several cells count in
    the smallest of them. A task returns one count per node and the pairs of a spanning forest,
    never all pairs of a group.
@@ -45,11 +45,13 @@ from estima.llm.vectors import k_means, matrix, nearest, sampled, unit, usable
 
 THRESHOLD = 0.93
 #: Nodes a shard is meant to have, the most in a part, and the most in a searched cell.
-SHARD, PART, CELL = 2000, 3000, 12_000
+SHARD, PART, CELL = 2000, 6000, 12_000
 #: Centroids at most; a bounded codebook.
 MOST_CENTROIDS = 4096
 SAMPLE = 20_000
 DEGREE, BEAM, ALPHA = 20, 24, 1.2
+#: Nodes whose neighbours are looked at together.
+EXPANDED = 50_000
 #: Similarity below the threshold at which a range search still expands a node.
 SLACK = 0.08
 #: Nodes audited in each stratum (by links found: from 0, 1, 2, 4, 16, 64 on), and searches before all pairs are compared.
@@ -98,8 +100,8 @@ def greedy(x: np.ndarray, queries: np.ndarray, lists: tuple[np.ndarray, np.ndarr
            own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Greedy search of all ``queries`` together: yields, per round, query numbers, the nodes they
     saw for the first time and the similarities. They start at the nodes ``entry`` and, if the
-    queries are nodes themselves (``own``), at their own lists. After ``beam`` expansions a query goes on only
-    while it knows a node within ``reach`` that it has not expanded."""
+    queries are nodes themselves (``own``), at their own lists. A query expands
+    every node within ``reach``, and ``beam`` of the others, the best first."""
     q, n = len(queries), len(x)
     offsets, ends = lists
     sim = np.full((q, n), -np.inf, np.float32)  # of nodes seen and not yet expanded
@@ -112,27 +114,41 @@ def greedy(x: np.ndarray, queries: np.ndarray, lists: tuple[np.ndarray, np.ndarr
     if own is not None:
         sim[np.arange(q), own] = np.inf  # expanded first
         seen[np.arange(q), own] = True
+
+    def expanded(rows: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The neighbours of the nodes that their queries see for the first time, and the similarities."""
+        first, count = offsets[nodes], offsets[nodes + 1] - offsets[nodes]
+        who = np.repeat(rows, count)
+        near = ends[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(who))]
+        ok = ~seen[who, near]
+        code = np.unique(who[ok] * n + near[ok])
+        who, near = code // n, code % n
+        seen[who, near] = True
+        s = np.einsum("nd,nd->n", queries[who], x[near])
+        sim[who, near] = s
+        return who, near, s
+
     active, step = np.arange(q), 0
-    while len(active):
+    while True:
+        while reach is not None:
+            # the range grows by all nodes in it at once, so a round is a step outwards, whatever a group holds
+            rows, nodes = np.nonzero(sim > reach)
+            if not len(rows):
+                break
+            sim[rows, nodes] = -np.inf
+            for a in range(0, len(rows), EXPANDED):
+                yield expanded(rows[a:a + EXPANDED], nodes[a:a + EXPANDED])
+        if step == beam:
+            return
+        # the beam is for finding the way: what is in the range costs none of it
         step += 1
         best = np.argmax(sim[active], axis=1)
-        value = sim[active, best]
-        go = value > (-np.inf if step <= beam else np.inf if reach is None else reach)
+        go = sim[active, best] > -np.inf
         active, best = active[go], best[go]
         if not len(active):
             return
         sim[active, best] = -np.inf
-        first, count = offsets[best], offsets[best + 1] - offsets[best]
-        rows = np.repeat(active, count)
-        near = ends[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(rows))]
-        ok = ~seen[rows, near]
-        rows, near = rows[ok], near[ok]
-        if len(rows):
-            # a list has no node twice, so (row, node) is new here
-            seen[rows, near] = True
-            s = np.einsum("nd,nd->n", queries[rows], x[near])
-            sim[rows, near] = s
-            yield rows, near, s
+        yield expanded(active, best)
 
 
 def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, batch: int = 256) -> tuple[np.ndarray, int]:
