@@ -137,49 +137,49 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     """Mean R^2 drop when one feature is shuffled, over ``repeats`` shuffles,
     divided by the sum of those means: ``(feature, importance_mean, importance)``.
 
-    All (feature, repeat) copies are built in one plan: each feature's values are
-    ranked by md5(key|feature|seed|repeat) with the bucketed rank, joined back on
-    rank to the rows ranked by md5(key), scored by one ``transform`` and reduced
-    by one grouped R^2 aggregate. Work is rows x features x repeats, as in any
-    permutation importance."""
+    The rows are ranked once, by md5(key). Each (feature, repeat) has a keyed bijection of the ranks
+    (:mod:`estima.functions.bijection`): a row sends its value to the rank that the bijection names, and
+    only that value travels. Every rank gets one value per (feature, repeat), meets its row in one join, and
+    the copies are made, scored by one ``transform`` and reduced by one grouped R^2 aggregate."""
+    from pyspark import StorageLevel
+
+    from estima.functions.bijection import keys, permuted
     from estima.functions.hashing import hash_hex
+    from estima.operators.evaluate import metrics
     from estima.operators.split import hash_rank, prefix_digits
     spark = df.sparkSession
     base = complete_rows(df.select(*key_cols, *features, target), [*features, target])
-    if digits is None:
-        digits = prefix_digits(base.count())
-    base = hash_rank(base.withColumn("__ha", hash_hex(key_cols)), "__ha", tie_cols=key_cols,
-                     rank_col="__ra", digits=digits).drop("__ha")
+    n = base.count()
+    base = hash_rank(base.withColumn("__ha", hash_hex(key_cols)), "__ha", tie_cols=key_cols, rank_col="__ra",
+                     digits=prefix_digits(n) if digits is None else digits).drop("__ha")
     # read three times below (receivers, donors, baseline): persist the ranked rows
-    from pyspark import StorageLevel
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    # (feature, repeat) pairs: a fixed, small replication factor applied by explode
-    fr = F.explode(F.array(*[F.struct(F.lit(f).alias("__f"), F.lit(r).alias("__r"))
-                             for f in features for r in range(repeats)])).alias("__fr")
-    num, cat = split_roles(df, features)
-    val_struct = F.struct(*[F.col(c).cast("double").alias(c) if c in num else F.col(c).cast("string").alias(c)
-                            for c in features])
-    # one row per (row, feature, repeat) carrying the donor ordering hash
-    donors = base.select(*key_cols, val_struct.alias("__v"), fr).select("*", "__fr.*").drop("__fr")
-    donors = donors.withColumn("__hb", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key_cols],
-                                                           F.col("__f"), F.lit(str(seed)), F.col("__r").cast("string"))))
-    donors = hash_rank(donors, "__hb", partition_cols=["__f", "__r"], tie_cols=key_cols,
-                       rank_col="__rb", digits=digits).select("__f", "__r", "__rb", "__v")
-    recv = base.select("*", fr).select("*", "__fr.*").drop("__fr")
-    j = recv.join(donors, (recv["__f"] == donors["__f"]) & (recv["__r"] == donors["__r"])
-                  & (recv["__ra"] == donors["__rb"])).drop(donors["__f"]).drop(donors["__r"])
-    cols = [F.when(F.col("__f") == F.lit(c), F.col("__v")[c]).otherwise(F.col(c)).alias(c) for c in features]
-    permuted = j.select(*key_cols, "__f", "__r", *cols, target)
-    from estima.operators.evaluate import metrics
-    scored = model.transform(permuted)
-    drops = metrics(scored, target, "prediction", ["__f", "__r"]).select("__f", "__r", "r2")
-    baseline = metrics(model.transform(base), target).select("r2").scalar()
-    mean_drop = (drops.withColumn("__drop", baseline - F.col("r2"))
-                 .groupBy("__f").agg(F.avg("__drop").alias("importance_mean")))
-    total = F.sum("importance_mean").over(Window.partitionBy())
-    result = mean_drop.select(F.col("__f").alias("feature"), "importance_mean",
-                              (F.col("importance_mean") / total).alias("importance"))
-    # one row per feature: materialise it, then release the persisted rows
-    rows = result.collect()
-    base.unpersist()
+    try:
+        num, _ = split_roles(df, features)
+        # one key for each (feature, repeat): a fixed, small replication factor applied by explode
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.lit(r).alias("r"), F.array(*[F.lit(k).cast("long") for k in keys(f"{f}|{seed}|{r}")]).alias("k"))
+                                   for i, f in enumerate(features) for r in range(repeats)])).alias("__e")
+        number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+        for i, f in enumerate(features):
+            at = F.col("__e.f") == i
+            number = F.when(at, F.col(f).cast("double")).otherwise(number) if f in num else number
+            text = text if f in num else F.when(at, F.col(f).cast("string")).otherwise(text)
+        sent = base.select("__ra", *features, each).select(permuted(F.col("__ra") - 1, n, F.col("__e.k")).alias("__to"), F.struct(
+            F.col("__e.f").alias("f"), F.col("__e.r").alias("r"), number.alias("number"), text.alias("text")).alias("__got"))
+        # as many values as there are (feature, repeat) pairs
+        sent = sent.groupBy("__to").agg(F.collect_list("__got").alias("__got"))
+        met = base.join(sent, F.col("__ra") - 1 == F.col("__to")).select(*key_cols, *features, target, F.explode("__got").alias("__g"))
+        cols = [F.when(F.col("__g.f") == i, F.col("__g.number") if f in num else F.col("__g.text")).otherwise(
+            F.col(f).cast("double" if f in num else "string")).alias(f) for i, f in enumerate(features)]
+        copies = met.select(*key_cols, F.col("__g.f").alias("__f"), F.col("__g.r").alias("__r"), *cols, target)
+        drops = metrics(model.transform(copies), target, "prediction", ["__f", "__r"]).select("__f", "__r", "r2")
+        baseline = metrics(model.transform(base), target).select("r2").scalar()
+        mean_drop = (drops.withColumn("__drop", baseline - F.col("r2"))
+                     .groupBy("__f").agg(F.avg("__drop").alias("importance_mean")))
+        total = F.sum("importance_mean").over(Window.partitionBy())
+        name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("__f") + 1)
+        result = mean_drop.select(name.alias("feature"), "importance_mean", (F.col("importance_mean") / total).alias("importance"))
+        rows = result.collect()  # one row per feature
+    finally:
+        base.unpersist()
     return spark.createDataFrame(rows, "feature string, importance_mean double, importance double")

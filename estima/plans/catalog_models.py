@@ -409,15 +409,35 @@ def select_rfe_q(spark, base):
     return I.select_rfe(tr, "charge", 2, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"])
 
 
-_PERM_SQL = "WITH " + S.RIDGE_LI + f""",
-base AS (SELECT *, row_number() OVER (ORDER BY md5({S.LI_KEY_SQL}), {LI_KEY_SQL}) AS ra FROM te),
-donor AS (SELECT r, l_extendedprice AS xv, row_number() OVER (PARTITION BY r ORDER BY md5(concat_ws('|', {LI_KEY_SQL}, 'l_extendedprice', '0', r)), {LI_KEY_SQL}) AS rb
-          FROM te, range(10) t(r)),
-perm AS (SELECT donor.r, base.charge, cf.b0 + cf.b1 * ((donor.xv - cf.mx) / cf.sx) AS prediction
-         FROM base JOIN donor ON base.ra = donor.rb, cf),
-r2p AS (SELECT r, 1 - sum((charge - prediction) * (charge - prediction)) / (count(*) * var_pop(charge)) AS r2 FROM perm GROUP BY r),
-r2b AS (SELECT 1 - sum((charge - prediction) * (charge - prediction)) / (count(*) * var_pop(charge)) AS r2 FROM te)
-SELECT 'l_extendedprice' AS feature, {S.rs('avg(r2b.r2 - r2p.r2)')} AS importance_mean, 1e0 AS importance FROM r2p, r2b"""
+def _perm_sql(model: str, parts: dict[str, str], repeats: int = 10) -> str:
+    """Permutation importance of a linear model: ``model`` ends with te (the test rows with prediction),
+    ``parts`` has each feature's share of the prediction as an expression over te. Values go where the
+    keyed bijection sends their rank."""
+    from estima.functions.bijection import keys
+    rows = ", ".join(f"({i}, {r}, {', '.join(map(str, keys(f'{f}|0|{r}')))})" for i, f in enumerate(parts) for r in range(repeats))
+    share = "CASE f " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(parts.values())) + " END"
+    names = "CASE f " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(parts)) + " END"
+    return f"""{model},
+base AS (SELECT *, row_number() OVER (ORDER BY md5({S.LI_KEY_SQL}), {LI_KEY_SQL}) - 1 AS ra, count(*) OVER () AS n FROM te),
+ks AS (SELECT * FROM (VALUES {rows}) t(f, r, {', '.join(f'k{i}' for i in range(8))})),
+go AS (SELECT f, r, ra AS x, n, {share} AS v, {', '.join(f'k{i}' for i in range(8))} FROM base, ks),
+gone AS ({S.walked('go', 'n')}),
+perm AS (SELECT gone.f, gone.r, base.charge, base.prediction - {share} + gone.v AS prediction FROM gone JOIN base ON base.ra = gone.x),
+r2p AS (SELECT f, r, 1 - sum((charge - prediction) * (charge - prediction)) / (count(*) * var_pop(charge)) AS r2 FROM perm GROUP BY f, r),
+r2b AS (SELECT 1 - sum((charge - prediction) * (charge - prediction)) / (count(*) * var_pop(charge)) AS r2 FROM te),
+im AS (SELECT f, avg(r2b.r2 - r2p.r2) AS m FROM r2p, r2b GROUP BY f)
+SELECT {names} AS feature, {S.rs('m')} AS importance_mean, {S.rs('m / sum(m) OVER ()')} AS importance FROM im"""
+
+
+_PERM_SQL = _perm_sql("WITH " + S.RIDGE_LI, {"l_extendedprice": "(prediction - (SELECT b0 FROM cf))"})
+_ALL_HOT = {c: [(i, v) for i, (d, v) in enumerate(_HOT, 5) if d == c] for c in ("l_returnflag", "l_linestatus")}
+_ALL_X = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+_PERM_PARTS = {c: f"w{i + 1} * ({c} - m{i}) / s{i}" for i, c in enumerate(_ALL_X)} | {
+    c: f"CASE {c} " + " ".join(f"WHEN '{v}' THEN w{i}" for i, v in slots) + " ELSE 0 END" for c, slots in _ALL_HOT.items()}
+_PERM_ALL_SQL = _perm_sql("WITH " + S.LM + ",\n" + _ZST + ",\n" + S.normal_equations(
+    ["z0", "z1", "z2", "z3", *[f"CAST({c} = '{v}' AS INTEGER)" for c, v in _HOT]], "yc", "zt", 1.0) + ",\n" + S.solve(10, "ne") + f""",
+te AS (SELECT lm.*, zs.*, gj.*, my + w0 + {' + '.join(_PERM_PARTS.values())} AS prediction FROM lm, zs, gj WHERE is_test)""",
+    {c: _PERM_PARTS[c] for c in TREE_FEATURES})
 
 
 @q("permutation_importance", _PERM_SQL)
@@ -427,7 +447,7 @@ def permutation_importance_q(spark, base):
     return rsig(out, "importance_mean", "importance")
 
 
-@q("permutation_importance_features")
+@q("permutation_importance_features", _PERM_ALL_SQL)
 def permutation_importance_features_q(spark, base):
     """Importance of every feature of a ridge model on all features."""
     lf, features = lineitem_frame(spark, base), TREE_FEATURES

@@ -117,3 +117,17 @@ def normal_equations(columns: list[str], target: str, source: str, penalty: floa
     cells = [f"sum(({p}) * ({q})){f' + {penalty}' if i == j > 0 else ''} AS a{i}_{j}" for i, p in enumerate(x) for j, q in enumerate(x)]
     cells += [f"sum(({p}) * ({target})) AS b{i}" for i, p in enumerate(x)]
     return f"{name} AS (SELECT {', '.join(cells)} FROM {source})"
+
+
+def walked(source: str, n: str, walks: int = 8) -> str:
+    """SELECT over ``source`` (columns x: a rank, k0 ... k7: a key, n rows) with ``x`` where the keyed bijection
+    sends it, a and b being the sides of the least rectangle."""
+    mix = lambda x, i: f"((({x} + k{2 * i}) * ({x} + k{2 * i})) % 2147483647 * k{2 * i + 1}) % 2147483647"
+    sql = f"SELECT *, CAST(floor(sqrt({n} - 1)) AS BIGINT) + 1 AS a FROM {source}"
+    sql = f"SELECT *, ({n} + a - 1) // a AS b, false AS done FROM ({sql})"
+    for _ in range(1 + walks):
+        sql = f"SELECT * REPLACE (CAST(x AS BIGINT) AS x), x // b AS l, x % b AS h FROM ({sql})"
+        for i in range(4):
+            sql = f"SELECT * REPLACE ((l + {mix('h', i)}) % a AS l) FROM ({sql})" if i % 2 == 0 else f"SELECT * REPLACE ((h + {mix('l', i)}) % b AS h) FROM ({sql})"
+        sql = f"SELECT * EXCLUDE (l, h) REPLACE (CASE WHEN done THEN x ELSE l * b + h END AS x, done OR l * b + h < {n} AS done) FROM ({sql})"
+    return sql
