@@ -69,6 +69,16 @@ def segment_of(key: np.ndarray, segments: int) -> np.ndarray:
 
 # ---- chunks --------------------------------------------------------------------------
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, compressed: the upper planes are nearly empty."""
+    return pa.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32).ravel()
+
+
 class _Numbers(dict):
     """Numbers of tokens in the order they are met."""
 
@@ -86,7 +96,7 @@ def _chunks(size: int):
             digests = b"".join([xxhash.xxh3_128_digest(t)[:12] for t in known])
             return pa.RecordBatch.from_arrays([
                 pa.array([docs], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([length], pa.list_(pa.int64())),
-                pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([digests], pa.binary())], names)
+                pa.array([_packed(np.concatenate(ids))], pa.binary()), pa.array([digests], pa.binary())], names)
 
         def fresh() -> tuple:
             known = _Numbers()
@@ -119,7 +129,7 @@ class Chunk:
 
     def __init__(self, held: list[bool], length: list[int], ids: bytes, digests: bytes):
         self.held, self.length = np.array(held, bool), np.array(length, np.int64)
-        self.ids = np.frombuffer(ids, np.int32)
+        self.ids = _unpacked(ids, int(self.length.sum()))
         table = np.frombuffer(digests, np.uint8).reshape(-1, 12)
         self.high = np.ascontiguousarray(table[:, :8]).view(np.uint64).ravel()
         self.low = np.ascontiguousarray(table[:, 8:]).view(np.uint32).ravel()

@@ -93,6 +93,8 @@ def test_counts_are_coded_whole():
     assert lm._decoded(lm._coded(n), len(n)).tolist() == n.tolist()
     key = np.array([0, 1, 2**48 - 1], np.uint64)
     assert lm._unpack(lm._pack(key)).tolist() == key.tolist()
+    ids = np.array([0, 1, 255, 256, 70_000, 2**31 - 1], np.int32)
+    assert lm._unpacked(lm._packed(ids), len(ids)).tolist() == ids.tolist()
 
 
 def test_nothing_to_learn_from(spark):
