@@ -32,7 +32,7 @@ HEADLINE = [
     "permute_column",         # bucketed global ranks + join
     "permutation_importance",  # 10 shuffles, one scoring job
     "grid_search",            # 3-fold CV over the ridge grid
-    "random_forest",          # 20 trees depth 8, test metrics
+    "random_forest",          # 100 trees depth 8, test metrics
 ]
 
 

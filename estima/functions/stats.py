@@ -34,11 +34,6 @@ def round_sig(x, digits: int = 6) -> Column:
             .when(k >= 0, up).otherwise(down))
 
 
-def safe_ratio(num, den) -> Column:
-    """num/den with null (not an ANSI error) when den is 0 or null."""
-    return F.try_divide(_c(num), _c(den))
-
-
 def sample_skewness(n, g1, var_pop) -> Column:
     """Bias-corrected skewness G1 from Spark's population g1.
 

@@ -1,9 +1,4 @@
-"""Cell-level tests for blank and "not available" text."""
-
-from __future__ import annotations
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+"""Texts that count as not available."""
 
 # The text tokens that the usual CSV reader (pandas ``read_csv``
 # defaults) turns into a missing value. Matching is exact and case-sensitive.
@@ -12,12 +7,3 @@ NA_TOKENS = (
     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
     "n/a", "nan", "null",
 )
-
-
-def is_blank(c: Column) -> Column:
-    """Empty text cell ('' exactly, as the CSV module sees it)."""
-    return c == F.lit("")
-
-
-def is_na_token(c: Column, tokens=NA_TOKENS) -> Column:
-    return c.isin(list(tokens))

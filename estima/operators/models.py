@@ -76,8 +76,7 @@ def widest_block(df: DataFrame, col: str) -> tuple[int, int] | None:
     return at + sum(sizes[:sizes.index(widest)]), widest
 
 
-# The reference's algorithm names and their library defaults.
-ALGORITHMS = ("ridge", "xgboost", "random_forest")
+# Other names of the algorithms.
 ALIASES = {"randomforest": "random_forest", "gbt": "xgboost", "boosted_trees": "xgboost"}
 
 

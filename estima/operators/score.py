@@ -15,18 +15,13 @@ from pyspark.sql import functions as F
 
 from estima.operators.columns import append_prediction
 from estima.operators.encode import category_labels, fitted_roles, known_categories
-from estima.operators.models import LABEL_COL, scoring_model
+from estima.operators.models import scoring_model
 from estima.sources.inline import inline_source
 
-# One-hot slots of a model are bounded by the linear solver (4,096); tree models
-# may have more, so the broadcast is guarded by this row bound.
+# A model may have any number of one-hot slots: up to this bound its categories are broadcast.
 _MAX_BROADCAST_CATEGORIES = 200_000
 
 
-def _scorer(model: PipelineModel, df: DataFrame) -> PipelineModel:
-    return model if LABEL_COL in df.columns else scoring_model(model)
-
-
 def predict(model: PipelineModel, df: DataFrame, prediction_col: str = "prediction") -> DataFrame:
     """Input columns plus ``prediction`` (the model's own stages, no label needed)."""
     m = scoring_model(model)
