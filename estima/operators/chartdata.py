@@ -11,6 +11,7 @@ subqueries where they are used once.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -203,14 +204,12 @@ def residual_vs_predicted(df: DataFrame, label: str, key_cols: Sequence[str],
                     (F.col("residual") - fitted).alias("detrended"))
 
 
-def _bins(pts: DataFrame, n: int, mn: float, mx: float, prebins: int) -> Bucketizer:
-    """Bins over ``__x``: of equal width, and cut at ``prebins`` exact quantiles, so that no bin holds more
-    than that share of the rows; a value that more rows have is a bin of its own."""
-    inner = {mn + (mx - mn) * (i / prebins) for i in range(1, prebins)}
-    for r in order_statistics(pts, ["__x"], [i / prebins for i in range(1, prebins)]).collect():
-        inner |= {r["value"], math.nextafter(r["value"], math.inf)}
-    inner = sorted(c for c in inner if mn < c <= mx)
-    return Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="__x", outputCol="b")
+def _bins(pts: DataFrame, mn: float, mx: float, prebins: int) -> Bucketizer:
+    """Bins over ``__x`` cut at ``prebins`` exact quantiles, so that no bin holds more than that share
+    of the rows; a value that more rows have (several quantiles are it) is a bin of its own."""
+    at = [r["value"] for r in order_statistics(pts, ["__x"], [i / prebins for i in range(1, prebins)]).collect()]
+    inner = set(at) | {math.nextafter(v, math.inf) for v, n in Counter(at).items() if n > 1}
+    return Bucketizer(splits=[-math.inf, *sorted(c for c in inner if mn < c <= mx), math.inf], inputCol="__x", outputCol="b")
 
 
 def lowess_trend(df: DataFrame, x: str, y: str, points: int = 100, frac: float = 2.0 / 3.0,
@@ -235,7 +234,7 @@ def lowess_trend(df: DataFrame, x: str, y: str, points: int = 100, frac: float =
         return spark.createDataFrame([], "point int, x double, trend double")
     step = (mx - mn) / max(points - 1, 1) if mx > mn else 0.0
     grid = [mn + i * step for i in range(points)]
-    bins = _bins(pts, n, mn, mx, prebins)
+    bins = _bins(pts, mn, mx, prebins)
     # sums are taken from the median, so that they keep their digits beside an extreme x
     mid = order_statistics(pts, ["__x"], (0.5,)).first()["value"]
     z = F.col("__x") - F.lit(mid)
