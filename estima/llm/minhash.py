@@ -37,10 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from estima.llm.common import HOT_SHARE, join_unique, tidy, written
+from estima.llm.common import HOT_SHARE, join_matched, join_unique, tidy, written
 from estima.llm.graph import components
 
 SHINGLE = 5
@@ -257,18 +257,21 @@ def _verified_hubs(pairs: DataFrame, elements: DataFrame, threshold: float) -> D
 
 def _within_buckets(members: DataFrame, elements: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between different components inside buckets. ``members``: bucket, k, component,
-    without the buckets' hubs."""
+    without the buckets' hubs; ``held``, if it is there, says how many rows the bucket has."""
+    if "held" not in members.columns:
+        members = members.withColumn("held", F.count("*").over(Window.partitionBy("bucket")))
     per = members.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("k") % 1_000_000_007).alias("s1"),
-                                                     F.sum(F.xxhash64("k", F.lit(1)) % 998_244_353).alias("s2"))
+                                                     F.sum(F.xxhash64("k", F.lit(1)) % 998_244_353).alias("s2"), F.max("held").alias("held"))
     per = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max("n").alias("largest"),
-                                    F.max_by("component", F.struct("n", "component")).alias("major"),
+                                    F.max_by("component", F.struct("n", "component")).alias("major"), F.max("held").alias("held"),
                                     F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).where("parts > 1")
     # buckets of different bands with the same members are one
     per = written(per.groupBy("size", "s1", "s2").agg(F.min("bucket").alias("bucket"), F.first("major").alias("major"),
-                                                      F.first("largest").alias("largest")), "minhash-mixed")
-    total = members.count()
-    rows = join_unique(members, per.select("bucket", "size", "largest", "major"), "bucket", total, "size", )
-    rows = rows.where(F.col("largest").isNotNull())
+                                                      F.first("largest").alias("largest"), F.min_by("held", "bucket").alias("held")), "minhash-mixed")
+    # only rows of these buckets go on; a big bucket's rows stay where they are, whether it is one of these or not
+    many = max(2, -(-members.count() // HOT_SHARE))
+    hot, cold = (per.where(c).select("bucket", "largest", "major") for c in (F.col("held") >= many, F.col("held") < many))
+    rows = members.where(F.col("held") >= many).join(F.broadcast(hot), "bucket").unionByName(members.where(F.col("held") < many).join(cold, "bucket")).drop("held")
     sizes = per.select(F.col("bucket").alias("b2"), "size")
     big = F.broadcast(sizes.where(F.col("size") > block))  # at most members / block rows, each over block
     rows = rows.join(big, F.col("bucket") == F.col("b2"), "left").drop("b2")
@@ -306,7 +309,7 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int
     nodes = signed.where(F.size("bands") > 0).dropDuplicates(["k"])
     places = written(nodes.select("k", F.explode("bands").alias("bucket")), "minhash-places")
     shared = places.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("hub")).where("n > 1").withColumn("size", F.col("n"))
-    members = written(join_unique(places, shared, "bucket", places.count(), "n").where(F.col("hub").isNotNull()), "minhash-members")
+    members = written(join_matched(places, written(shared, "minhash-shared"), "bucket", places.count(), "n"), "minhash-members")
     pairs = written(members.where("k != hub").select("k", "hub").distinct(), "minhash-pairs")
     wanted = members.select("k").distinct()
     elements = _elements(texts.join(wanted, "k", "left_semi").dropDuplicates(["k"]))
@@ -315,7 +318,7 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int
     # every pair with a hub is verified already, so what is left is among the others
     rest = members.where("k != hub and size > 2")
     labelled = rest.join(known, F.col("k") == F.col("node"), "left").select(
-        "bucket", "k", F.coalesce("component", "k").alias("component"))
+        "bucket", "k", F.coalesce("component", "k").alias("component"), (F.col("size") - 1).alias("held"))
     more = written(_within_buckets(written(labelled, "minhash-labelled"), elements, threshold), "minhash-links")
     if not more.isEmpty():
         stars = known.select(F.col("node").alias("a"), F.col("component").alias("b"))

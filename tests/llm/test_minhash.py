@@ -137,3 +137,15 @@ def test_classes_of_one_id_and_without_ids_are_kept_apart(spark):
     kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     want = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, "no"), (None, None)]
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_rows_without_a_match_make_no_rows_of_a_join(spark):
+    from pyspark.sql import functions as F
+
+    from estima.llm.common import join_matched, join_unique
+    left = spark.createDataFrame([(1 if i < 50 else i, i) for i in range(200)] + [(None, 7)], "bucket long, k long")
+    right = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("hub")).where("n > 1 or bucket = 60")
+    got = join_matched(left, right, "bucket", 201, "n")
+    assert "Left" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = join_unique(left, right, "bucket", 201, "n").where("hub is not null")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 51
