@@ -122,17 +122,50 @@ def summed(bins: np.ndarray, gradient: np.ndarray, at: np.ndarray, nodes: np.nda
 
 
 class Here:
-    """Rows inside one task."""
+    """Rows inside one task. The rows' nodes are kept and go on by one level at a time."""
 
     def __init__(self, bins: np.ndarray, target: np.ndarray, first: np.ndarray, base: float):
-        self.bins, self.target, self.first, self.missing = bins, target, first, np.diff(first) - 1
+        self.bins, self.target, self.first, self.missing = np.ascontiguousarray(bins.T), target, first, np.diff(first) - 1
         self.predicted = np.full(len(target), base)
+        self.at = np.zeros(len(target), np.int64)
 
     def histogram(self, tree: Tree, nodes: np.ndarray) -> np.ndarray:
-        return summed(self.bins, self.predicted - self.target, tree.leaves(self.bins, self.missing), nodes, self.first)
+        if nodes[0] == 0:
+            self.at[:] = 0
+            self.gradient = self.predicted - self.target
+        else:
+            self._down(tree)
+        place = np.full(len(tree.slot), -1, np.int64)
+        place[nodes] = np.arange(len(nodes)) * self.first[-1]
+        base, gradient, bins = place[self.at], self.gradient, self.bins
+        if (base < 0).any():
+            ok = np.flatnonzero(base >= 0)
+            base, gradient, bins = base[ok], gradient[ok], bins[:, ok]
+        width = int(self.first[-1])
+        out = np.zeros((len(nodes), width, 2))
+        key = np.empty(len(base), np.int64)
+        for s in range(len(self.first) - 1):
+            np.add(base, bins[s], out=key, casting="unsafe")
+            a, b = self.first[s], self.first[s + 1]
+            size = len(nodes) * width
+            # a key is the bin within its node's own room
+            out[:, a:b, 0] = np.bincount(key, weights=gradient, minlength=size).reshape(len(nodes), width)[:, :b - a]
+            out[:, a:b, 1] = np.bincount(key, minlength=size).reshape(len(nodes), width)[:, :b - a]
+        return out
+
+    def _down(self, tree: Tree) -> None:
+        """One step of every row whose node is cut."""
+        slot = tree.slot[self.at]
+        for s in np.unique(slot[slot >= 0]).tolist():
+            rows = np.flatnonzero(slot == s)
+            at, b = self.at[rows], self.bins[s][rows]
+            left = np.where(b == self.missing[s], tree.missing_left[at], b <= tree.cut[at])
+            self.at[rows] = 2 * at + 2 - left
 
     def add(self, tree: Tree) -> None:
-        self.predicted += tree.value[tree.leaves(self.bins, self.missing)]
+        while (tree.slot[self.at] >= 0).any():
+            self._down(tree)
+        self.predicted += tree.value[self.at]
 
 
 _BLOCK = pa.schema([(n, pa.binary()) for n in ("bins", "target", "predicted")])

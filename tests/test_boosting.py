@@ -104,3 +104,29 @@ def test_nothing_to_learn_from(spark):
     same = frame(spark, np.ones((4, 3)), np.full(4, 2.0))
     got = predicted(pipeline_fit(same, ["a", "b"], "y", "xgboost", n_estimators=1), same)
     np.testing.assert_allclose(got, 0.5 + 0.3 * 4 * 1.5 / 5)
+
+
+def test_rows_in_a_task_go_on_by_one_level(monkeypatch):
+    """Rows keep their node: no level starts at the root again, and the trees are those of the plain sums."""
+    from estima.operators import boosting as B
+    r = np.random.default_rng(3)
+    first = np.array([0, 9, 12, 20])
+    bins = np.stack([r.integers(0, n, 700) for n in (9, 3, 8)], 1).astype(np.uint16)
+    y = bins[:, 0] * 1.5 + (bins[:, 2] % 3) + r.normal(size=700)
+
+    class Plain(B.Here):
+        def __init__(self, *args):
+            super().__init__(*args)
+            self.rows = bins
+
+        def histogram(self, tree, nodes):
+            return B.summed(self.rows, self.predicted - self.target, tree.leaves(self.rows, self.missing), nodes, self.first)
+
+        def add(self, tree):
+            self.predicted += tree.value[tree.leaves(self.rows, self.missing)]
+
+    want = B.boosted(Plain(bins, y, first, 0.5), 4, 4, 0.3, 1.0, 1.0)
+    monkeypatch.delattr(B.Tree, "leaves")
+    got = B.boosted(B.Here(bins, y, first, 0.5), 4, 4, 0.3, 1.0, 1.0)
+    for a, b in zip(got, want, strict=True):
+        assert (a.slot == b.slot).all() and (a.cut == b.cut).all() and (a.value == b.value).all()
