@@ -116,11 +116,14 @@ def order_statistics(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     # small groups: one exact grouped percentile, fully distributed
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     small_keys = base.where(F.col("n") <= collect_limit).select(*quoted)
+    if base.count() <= _MAX_BROADCAST_STATES:  # so that the values of large groups don't travel
+        small_keys = F.broadcast(small_keys)
     small = (join_on_keys(long, small_keys, keys).groupBy(*quoted).agg(F.percentile(F.col("value"), wanted).alias("__q"))
              .select(*quoted, F.posexplode("__q").alias("__i", "value"))
              .select(*quoted, F.element_at(wanted, F.col("__i") + 1).alias("prob"), "value"))
     large = base.where(F.col("n") > collect_limit)
-    if large.isEmpty():
+    held = large.count()
+    if not held:
         return small
 
     # the two ranks around each quantile
@@ -129,7 +132,7 @@ def order_statistics(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     asked = asked.select(*quoted, "prob", "__h", F.floor("__h").cast("long").alias("__r0"),
                          F.least(F.floor("__h").cast("long") + 1, F.col("n") - 1).alias("__r1"))
     ranks = asked.select(*quoted, F.explode(F.array("__r0", "__r1")).alias("rank")).distinct()
-    found = _refine(long, large, ranks, keys, buckets)
+    found = _refine(long, large, ranks, keys, buckets, held)
     at0 = found.select(*quoted, F.col("rank").alias("__r0"), F.col("value").alias("__v0"))
     at1 = found.select(*quoted, F.col("rank").alias("__r1"), F.col("value").alias("__v1"))
     got = join_on_keys(join_on_keys(asked, at0, [*keys, "__r0"]), at1, [*keys, "__r1"])
@@ -139,10 +142,13 @@ def order_statistics(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     return small.unionByName(got.select(*quoted, "prob", value.alias("value")))
 
 
-def _refine(long: DataFrame, large: DataFrame, ranks: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """``(keys, rank, value)`` of the wanted ranks of the large groups (see ``order_statistics``)."""
+def _refine(long: DataFrame, large: DataFrame, ranks: DataFrame, keys: list[str], buckets: int, groups: int) -> DataFrame:
+    """``(keys, rank, value)`` of the wanted ranks of the ``groups`` large groups (see ``order_statistics``)."""
     quoted = [F.col(_q(k)) for k in keys]
-    code = join_on_keys(long, large.select(*quoted), keys).groupBy(*quoted, _monotone_code(F.col("value")).alias("__b")).agg(
+    names = large.select(*quoted)
+    if groups <= _MAX_BROADCAST_STATES:  # else a shuffle would bring all values of a group to one task
+        names = F.broadcast(names)
+    code = join_on_keys(long, names, keys).groupBy(*quoted, _monotone_code(F.col("value")).alias("__b")).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"))
     targets = _bin_of_rank(code, ranks.withColumn("below", F.lit(0).cast("long")), keys, "__b")
     targets = targets.select(*quoted, "rank", "below", F.col("mn").alias("__lo"), F.col("mx").alias("__hi")).checkpoint(eager=True)

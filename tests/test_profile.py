@@ -154,3 +154,24 @@ def test_null_group_is_a_group(spark, limit):
     assert got == {None: 3.0, "a": 4.5}
     prof = {r["g"]: r["median"] for r in P.profile_numeric(df, ["x"], groups=["g"]).collect()}
     assert prof == {None: 3.0, "a": 4.5}
+
+
+def test_values_of_large_groups_do_not_meet_in_one_task(spark):
+    """Whatever the size of the keys is estimated as, the values are not shuffled by their column's name."""
+    from estima.operators import profile
+    rows = spark.range(2000).selectExpr("cast(id as double) a", "cast(id % 7 as double) b")
+    held, real = [], profile.join_on_keys
+
+    def noted(left, right, keys, how="inner"):
+        out = real(left, right, keys, how)
+        if left.columns == ["column", "value"]:
+            held.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    profile.join_on_keys = noted
+    try:
+        got = {r["column"]: r["value"] for r in profile.order_statistics(rows, ["a", "b"], (0.5,), collect_limit=100).collect()}
+    finally:
+        profile.join_on_keys = real
+    assert got == {"a": 999.5, "b": 3.0}
+    assert held and all("strategy=broadcast" in p for p in held)
