@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from estima.operators.columns import split_roles
 from estima.operators.encode import slot_names
-from estima.operators.models import complete_rows, pipeline_fit, regressor_stage
+from estima.operators.models import complete_rows, pipeline_fit, regressor_stage, spread
 
 
 def model_weights(model: PipelineModel, spark) -> DataFrame:
@@ -114,7 +114,7 @@ def select_rfe(df: DataFrame, target: str, n_features: int = 10, features: Seque
         num, cat = split_roles(df.drop(target))
         features = num + cat
     feats = list(features)
-    data = complete_rows(df.select(*feats, target), [*feats, target]).persist(StorageLevel.MEMORY_AND_DISK)
+    data = spread(complete_rows(df.select(*feats, target), [*feats, target]).persist(StorageLevel.MEMORY_AND_DISK))
     spark = df.sparkSession
     try:
         while True:

@@ -169,3 +169,18 @@ def test_boolean_feature_and_lookalike_names(spark):
     imp = {r.feature: r.importance for r in I.importance_by_feature(
         I.named_weights(m, spark).withColumn("weight", F.abs("weight"))).collect()}
     assert set(imp) == {"flag", "Size", "Size2"}
+
+
+def test_rows_of_one_task_are_dealt_over_all_cores(spark, monkeypatch):
+    from estima.operators import models as mod
+    monkeypatch.setattr(mod, "SPREAD_ROWS", 1000)
+    rows = spark.range(4000).coalesce(1).selectExpr("cast(id % 50 as double) x", "cast(id as double) y").persist()
+    even = mod.spread(rows)
+    held = [r["count"] for r in even.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) == spark.sparkContext.defaultParallelism and max(held) <= 2 * min(held)
+    assert even.agg(F.sum("y")).first()[0] == 3999 * 2000
+    assert mod.spread(even) is even
+    even.unpersist()
+    few = spark.range(999).coalesce(1).persist()
+    assert mod.spread(few) is few
+    few.unpersist()
