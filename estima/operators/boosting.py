@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estima.operators.profile import order_statistics
-from estima.operators.ridge import entries
+from estima.operators.ridge import entries, handed
 
 #: Cells (rows x slots) that one task boosts by itself.
 TASK_CELLS = 8_000_000
@@ -288,8 +288,8 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Def
     def _fit(self, df: DataFrame) -> BoostedTreesModel:
         of = lambda p: self.getOrDefault(p)
         feats = self.getFeaturesCol()
-        rows = df.select(F.col(feats).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y")).where("y is not null")
         cuts = cut_points(df, feats, of("bins"))
+        rows = df.select(handed(feats, len(cuts)).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y")).where("y is not null")
         first = np.concatenate([[0], np.cumsum([len(c) + 2 for c in cuts])]).astype(np.int64)
         base, settings = of("base"), [of(p) for p in ("rounds", "depth", "rate", "penalty", "least")]
         size = 50_000 // max(1, len(cuts)) + 1

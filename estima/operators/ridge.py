@@ -19,22 +19,34 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkContext, StorageLevel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Categories whose sums travel as one row.
 BLOCK = 1024
+#: Slots up to which a vector is handed to Python as a plain array.
+MOST_DENSE = 256
+
+
+def handed(features: str, slots: int) -> Column:
+    """A vector column as it goes to Python: a narrow one as a plain array, since Spark hands over the
+    fields of a vector row by row at some ten times the cost; a wide one as it is, so that it stays sparse."""
+    return vector_to_array(F.col(features)) if slots <= MOST_DENSE else F.col(features)
 
 
 def entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, slot, value) of the entries of an ML vector column, dense rows and sparse ones."""
-    kind, indices, values = (column.field(i) for i in (0, 2, 3))
+    """(row, slot, value) of the entries of a column from :func:`handed`: arrays, or ML vectors, dense rows and sparse ones."""
+    plain = pa.types.is_list(column.type)
+    kind, indices, values = (None, None, column) if plain else (column.field(i) for i in (0, 2, 3))
     size = np.diff(values.offsets.to_numpy()) if len(values) else np.zeros(0, np.int64)
     size = np.where(values.is_valid().to_numpy(zero_copy_only=False), size, 0)
     row = np.repeat(np.arange(len(column)), size)
     value = np.asarray(values.flatten().to_numpy(zero_copy_only=False), float)
     slot = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    if plain:
+        return row, slot, value
     sparse = (kind.to_numpy(zero_copy_only=False) == 0)[row]
     slot[sparse] = indices.flatten().to_numpy(zero_copy_only=False)
     return row, slot, value
@@ -73,7 +85,7 @@ class RidgeStatistics:
         self.narrow = np.array([i for i in range(slots) if not self.first <= i < self.first + self.size], np.int64)
         r = df.agg(F.count(label).alias("n"), F.avg(F.col(label).cast("double")).alias("mean")).first()
         self.n, self.mean = r["n"], r["mean"] or 0.0
-        sums = df.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y")).mapInArrow(self._sums(), "part int, data binary")
+        sums = df.select(handed(features, slots).alias("x"), F.col(label).cast("double").alias("y")).mapInArrow(self._sums(), "part int, data binary")
         self.sums = sums.groupBy("part").applyInArrow(self._added, "part int, data binary").persist(StorageLevel.MEMORY_AND_DISK)
         own = self.sums.where("part < 0").collect()  # the narrow system
         width = len(self.narrow) + 1
