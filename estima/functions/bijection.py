@@ -13,6 +13,8 @@ import hashlib
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,3 +59,36 @@ def permuted(rank: Column, n: int, key: Column | Sequence[int]) -> Column:
     if not walks:
         return first
     return F.aggregate(F.sequence(F.lit(1), F.lit(walks)), first, lambda x, _: F.when(x >= n, step(x)).otherwise(x))
+
+
+def permuted_each(rank: Column, n: int, each: Sequence[Sequence[int]]) -> Column:
+    """Where ``rank`` goes under each key of ``each``, as an array: :func:`permuted` on whole batches of ranks,
+    which sends only the few values beyond n on their walk."""
+    a, b = sides(n)
+    walks = min(a * b - n, MOST_WALKS)
+
+    def step(x: np.ndarray, k: Sequence[int]) -> np.ndarray:
+        mixed = lambda v, i: ((v + k[2 * i]) ** 2 % PRIME * k[2 * i + 1]) % PRIME
+        left, right = x // b, x % b
+        left = (left + mixed(right, 0)) % a
+        right = (right + mixed(left, 1)) % b
+        left = (left + mixed(right, 2)) % a
+        right = (right + mixed(left, 3)) % b
+        return left * b + right
+
+    def to(ranks: pa.Array) -> pa.Array:
+        x = np.asarray(ranks.to_numpy(zero_copy_only=False), np.int64)
+        out = np.empty((len(x), len(each)), np.int64)
+        for j, k in enumerate(each):
+            at = step(x, k)
+            for _ in range(walks):
+                beyond = np.flatnonzero(at >= n)
+                if not len(beyond):
+                    break
+                at[beyond] = step(at[beyond], k)
+            out[:, j] = at
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(each), pa.int32()), pa.array(out.ravel()))
+
+    # the annotations tell Spark that whole Arrow arrays come and go
+    to.__annotations__ = {"ranks": pa.Array, "return": pa.Array}
+    return F.arrow_udf(to, "array<bigint>")(rank.cast("long"))

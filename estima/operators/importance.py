@@ -143,7 +143,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     the copies are made, scored by one ``transform`` and reduced by one grouped R^2 aggregate."""
     from pyspark import StorageLevel
 
-    from estima.functions.bijection import keys, permuted
+    from estima.functions.bijection import keys, permuted_each
     from estima.functions.hashing import hash_hex
     from estima.operators.evaluate import metrics
     from estima.operators.split import hash_rank, prefix_digits
@@ -152,26 +152,27 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     n = base.count()
     base = hash_rank(base.withColumn("__ha", hash_hex(key_cols)), "__ha", tie_cols=key_cols, rank_col="__ra",
                      digits=prefix_digits(n) if digits is None else digits).drop("__ha")
-    # read three times below (receivers, donors, baseline): persist the ranked rows
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    # read three times below (receivers, donors, baseline): persist the ranked rows, dealt over all cores
+    base = spread(base.persist(StorageLevel.MEMORY_AND_DISK))
     try:
         num, _ = split_roles(df, features)
         # one key for each (feature, repeat): a fixed, small replication factor applied by explode
-        each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.lit(r).alias("r"), F.array(*[F.lit(k).cast("long") for k in keys(f"{f}|{seed}|{r}")]).alias("k"))
-                                   for i, f in enumerate(features) for r in range(repeats)])).alias("__e")
+        each = [keys(f"{f}|{seed}|{r}") for f in features for r in range(repeats)]
+        sent = base.select(*features, permuted_each(F.col("__ra") - 1, n, each).alias("__at"))
+        sent = sent.select(*features, F.posexplode("__at").alias("__p", "__to"))
         number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
         for i, f in enumerate(features):
-            at = F.col("__e.f") == i
+            at = F.floor(F.col("__p") / repeats) == i
             number = F.when(at, F.col(f).cast("double")).otherwise(number) if f in num else number
             text = text if f in num else F.when(at, F.col(f).cast("string")).otherwise(text)
-        sent = base.select("__ra", *features, each).select(permuted(F.col("__ra") - 1, n, F.col("__e.k")).alias("__to"), F.struct(
-            F.col("__e.f").alias("f"), F.col("__e.r").alias("r"), number.alias("number"), text.alias("text")).alias("__got"))
+        sent = sent.select("__to", F.struct(F.col("__p").alias("p"), number.alias("number"), text.alias("text")).alias("__got"))
         # as many values as there are (feature, repeat) pairs
         sent = sent.groupBy("__to").agg(F.collect_list("__got").alias("__got"))
-        met = base.join(sent, F.col("__ra") - 1 == F.col("__to")).select(*key_cols, *features, target, F.explode("__got").alias("__g"))
-        cols = [F.when(F.col("__g.f") == i, F.col("__g.number") if f in num else F.col("__g.text")).otherwise(
+        met = base.select("__ra", *features, target).join(sent, F.col("__ra") - 1 == F.col("__to")).select(*features, target, F.explode("__got").alias("__g"))
+        met = met.select(*features, target, "__g.*").withColumn("__f", F.floor(F.col("p") / repeats).cast("int")).withColumn("__r", F.col("p") % repeats)
+        cols = [F.when(F.col("__f") == i, F.col("number") if f in num else F.col("text")).otherwise(
             F.col(f).cast("double" if f in num else "string")).alias(f) for i, f in enumerate(features)]
-        copies = met.select(*key_cols, F.col("__g.f").alias("__f"), F.col("__g.r").alias("__r"), *cols, target)
+        copies = met.select("__f", "__r", *cols, target)
         drops = metrics(model.transform(copies), target, "prediction", ["__f", "__r"]).select("__f", "__r", "r2")
         baseline = metrics(model.transform(base), target).select("r2").scalar()
         mean_drop = (drops.withColumn("__drop", baseline - F.col("r2"))
