@@ -14,11 +14,13 @@ import math
 from collections import Counter
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estima.operators.columns import split_roles
+from estima.operators.models import spread
 from estima.operators.profile import order_statistics, unpivot
 
 #: Bins that are all listed; of more bins only those with values are.
@@ -141,11 +143,16 @@ def auto_bins(df: DataFrame, column: str) -> int:
     """numpy's ``bins='auto'``: the narrower of Sturges and Freedman-Diaconis
     widths (Sturges when the IQR is 0); quartiles are exact."""
     x = F.when(_finite(column), F.col(column).cast("double"))
-    st = df.agg(F.count(x).alias("n"), F.min(x).alias("mn"), F.max(x).alias("mx")).first()
-    n, ptp = st["n"], (st["mx"] - st["mn"]) if st["n"] else 0.0
-    if not n or ptp == 0:
-        return 1
-    q = {r["prob"]: r["value"] for r in order_statistics(df.where(_finite(column)), [column], (0.25, 0.75)).collect()}
+    # the search for the quartiles reads the values several times
+    values = df.select(x.alias("value")).where("value is not null").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        st = values.agg(F.count("value").alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx")).first()
+        n, ptp = st["n"], (st["mx"] - st["mn"]) if st["n"] else 0.0
+        if not n or ptp == 0:
+            return 1
+        q = {r["prob"]: r["value"] for r in order_statistics(values, ["value"], (0.25, 0.75)).collect()}
+    finally:
+        values.unpersist()
     sturges = ptp / (math.log2(n) + 1.0)
     fd = 2.0 * (q[0.75] - q[0.25]) * n ** (-1.0 / 3.0)
     width = min(fd, sturges) if fd > 0 else sturges
@@ -204,10 +211,9 @@ def residual_vs_predicted(df: DataFrame, label: str, key_cols: Sequence[str],
                     (F.col("residual") - fitted).alias("detrended"))
 
 
-def _bins(pts: DataFrame, mn: float, mx: float, prebins: int) -> Bucketizer:
-    """Bins over ``__x`` cut at ``prebins`` exact quantiles, so that no bin holds more than that share
+def _bins(at: list[float], mn: float, mx: float) -> Bucketizer:
+    """Bins over ``__x`` cut at the exact quantiles ``at``, so that no bin holds more than the share between two
     of the rows; a value that more rows have (several quantiles are it) is a bin of its own."""
-    at = [r["value"] for r in order_statistics(pts, ["__x"], [i / prebins for i in range(1, prebins)]).collect()]
     inner = set(at) | {math.nextafter(v, math.inf) for v, n in Counter(at).items() if n > 1}
     return Bucketizer(splits=[-math.inf, *sorted(c for c in inner if mn < c <= mx), math.inf], inputCol="__x", outputCol="b")
 
@@ -227,16 +233,29 @@ def lowess_trend(df: DataFrame, x: str, y: str, points: int = 100, frac: float =
     Result ``(point, x, trend)``."""
     pts = df.select(F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")) \
         .where(_finite("__x") & _finite("__y"))
+    # every pass of the quantiles and of the fits reads the two numbers, not the rows that they come from
+    pts = spread(pts.persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        return _trend(pts, points, frac, iterations, prebins)
+    finally:
+        pts.unpersist()
+
+
+def _trend(pts: DataFrame, points: int, frac: float, iterations: int, prebins: int) -> DataFrame:
+    """:func:`lowess_trend` of persisted finite pairs (``__x``, ``__y``)."""
     one = pts.agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("mn"), F.max("__x").alias("mx")).first()
     n, mn, mx = one["n"], one["mn"], one["mx"]
-    spark = df.sparkSession
+    spark = pts.sparkSession
     if not n:
         return spark.createDataFrame([], "point int, x double, trend double")
     step = (mx - mn) / max(points - 1, 1) if mx > mn else 0.0
     grid = [mn + i * step for i in range(points)]
-    bins = _bins(pts, mn, mx, prebins)
+    shares = [i / prebins for i in range(1, prebins)]
+    base = spark.createDataFrame([("__x", n, mn, mx)], "column string, n long, lo double, hi double")
+    cuts = {r["prob"]: r["value"] for r in order_statistics(pts, ["__x"], sorted({*shares, 0.5}), base=base).collect()}
+    bins = _bins([cuts[p] for p in shares], mn, mx)
     # sums are taken from the median, so that they keep their digits beside an extreme x
-    mid = order_statistics(pts, ["__x"], (0.5,)).first()["value"]
+    mid = cuts[0.5]
     z = F.col("__x") - F.lit(mid)
     robust = F.lit(1.0)
     trend = None
@@ -314,7 +333,6 @@ def performance_report(df: DataFrame, label: str, key_cols: Sequence[str], predi
                        path: str | None = None) -> dict[str, DataFrame]:
     """All chart tables of the model report; written as parquet under
     ``path/<chart>`` when a path is given (the reference writes a two-page PDF)."""
-    from pyspark import StorageLevel
     if path:  # every chart reads it, so it is kept until all are written
         df = df.select(*dict.fromkeys([*key_cols, label, prediction])).persist(StorageLevel.MEMORY_AND_DISK)
     detrended = residual_vs_predicted(df, label, key_cols, prediction)

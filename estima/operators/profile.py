@@ -70,6 +70,22 @@ def _monotone_code(v):
             .when(v > 0, exponent).otherwise(-exponent))
 
 
+#: Bits that tell all values of one code apart: 52 of a double, and two as codes are cut by a rounded logarithm.
+_FINEST = 54
+
+
+def _cell(v, bits: int):
+    """The number, rising with the value, of its cell where the values of one code are cut into 2^bits equal ones."""
+    if not bits:
+        return F.lit(0).cast("long")
+    exponent = F.floor(F.log2(F.abs(v))).cast("int")
+    half = F.floor(exponent / 2)
+    # by powers of two in two steps, which neither round nor overflow
+    share = F.abs(v) * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - exponent) - 1
+    number = F.floor(share * float(2**bits)).cast("long")
+    return F.when((v == 0) | (F.abs(v) == float("inf")), F.lit(0).cast("long")).when(v > 0, number).otherwise(-number)
+
+
 def _bin_of_rank(hist: DataFrame, targets: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
     """For each target (keys, rank, below) the bin of ``hist`` (keys, code, n, mn, mx) that holds the
     rank; a bracket has at most ``buckets`` (or the number of codes) bins."""
@@ -95,8 +111,9 @@ def order_statistics(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
       values of one group, here bounded by ``collect_limit``.
     * Larger groups are refined. The first pass bins the values by sign and binary
       exponent (the infinities have bins of their own); each further pass splits the
-      bracket that holds a wanted rank into ``buckets`` equal bins, whose count, min
-      and max come from one grouped aggregate over the values inside the bracket. A
+      bracket that holds a wanted rank into ``buckets`` equal bins (of a power of two), whose
+      count, min and max come from one grouped aggregate over the values inside the bracket. A
+      value finds its bracket by the number of its cell, one lookup however many brackets are open. A
       bracket whose min equals its max is the value. Inside one binade doubles are
       evenly spaced, 2^52 of them, so 7 passes end it for any data. Brackets and
       their choice stay in DataFrames; the driver reads one number a pass.
@@ -148,28 +165,29 @@ def _refine(long: DataFrame, large: DataFrame, ranks: DataFrame, keys: list[str]
     names = large.select(*quoted)
     if groups <= _MAX_BROADCAST_STATES:  # else a shuffle would bring all values of a group to one task
         names = F.broadcast(names)
-    code = join_on_keys(long, names, keys).groupBy(*quoted, _monotone_code(F.col("value")).alias("__b")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"))
-    targets = _bin_of_rank(code, ranks.withColumn("below", F.lit(0).cast("long")), keys, "__b")
-    targets = targets.select(*quoted, "rank", "below", F.col("mn").alias("__lo"), F.col("mx").alias("__hi")).checkpoint(eager=True)
-    done = []
+    v, state = F.col("value"), [*keys, "__code", "__cell"]
+    coded = join_on_keys(long, names, keys).withColumn("__code", _monotone_code(v))
+    code = coded.groupBy(*quoted, "__code").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"))
+    targets = _bin_of_rank(code, ranks.withColumn("below", F.lit(0).cast("long")), keys, "__code")
+    targets = targets.select(*quoted, "__code", F.lit(0).cast("long").alias("__cell"), "rank", "below",
+                             F.col("mn").alias("__lo"), F.col("mx").alias("__hi")).checkpoint(eager=True)
+    done, bits, step = [], 0, max(1, (buckets - 1).bit_length())
     while True:
         done.append(targets.where(F.col("__lo") == F.col("__hi")).select(*quoted, "rank", F.col("__lo").alias("value")))
         targets = targets.where(F.col("__lo") < F.col("__hi"))
-        brackets = targets.select(*quoted, "__lo", "__hi").distinct()
+        brackets = targets.select(*[F.col(_q(k)) for k in state]).distinct()
         held = brackets.count()
         if not held:
             break
         if held <= _MAX_BROADCAST_STATES:  # one row per open bracket: size known
             brackets = F.broadcast(brackets)
-        v, lo, hi = F.col("value"), F.col("__lo"), F.col("__hi")
-        # a bracket is of one sign, so its width neither overflows nor vanishes
-        place = F.least(F.floor((v - lo) / (hi - lo) * buckets), F.lit(buckets - 1)).cast("int")
-        state = [*keys, "__lo", "__hi"]
-        hist = (join_on_keys(long, brackets, keys).where((v >= lo) & (v <= hi)).groupBy(*[F.col(_q(k)) for k in state], place.alias("__b"))
+        # a value's cell is a function of the value alone, so it meets its own bracket, not all of its column's
+        more = min(bits + step, _FINEST)
+        hist = (join_on_keys(coded.withColumn("__cell", _cell(v, bits)), brackets, state).groupBy(*[F.col(_q(k)) for k in state], _cell(v, more).alias("__b"))
                 .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx")))
         targets = _bin_of_rank(hist, targets, state, "__b").select(
-            *quoted, "rank", "below", F.col("mn").alias("__lo"), F.col("mx").alias("__hi")).checkpoint(eager=True)
+            *quoted, "__code", F.col("__b").alias("__cell"), "rank", "below", F.col("mn").alias("__lo"), F.col("mx").alias("__hi")).checkpoint(eager=True)
+        bits = more
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

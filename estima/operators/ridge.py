@@ -33,7 +33,7 @@ MOST_DENSE = 256
 def handed(features: str, slots: int) -> Column:
     """A vector column as it goes to Python: a narrow one as a plain array, since Spark hands over the
     fields of a vector row by row at some ten times the cost; a wide one as it is, so that it stays sparse."""
-    return vector_to_array(F.col(features)) if slots <= MOST_DENSE else F.col(features)
+    return F.when(F.col(features).isNotNull(), vector_to_array(features)) if slots <= MOST_DENSE else F.col(features)
 
 
 def entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -32,3 +33,23 @@ def test_bijections_of_whole_batches_are_the_ones_of_the_expression(spark):
         each = [keys(f"x|0|{r}") for r in range(3)]
         rows = spark.range(n).select(F.array(*[permuted(F.col("id"), n, k) for k in each]).alias("a"), permuted_each(F.col("id"), n, each).alias("b")).collect()
         assert all(r["a"] == r["b"] for r in rows)
+
+
+def test_many_quantiles_meet_one_bracket_a_value(spark):
+    from estima.operators import profile as P
+    rng = np.random.default_rng(3)
+    near = np.nextafter(8.0, 0) - np.arange(40) * 2.0**-50  # where the logarithm rounds to the next whole number
+    x = np.concatenate([rng.normal(0, 1e4, 3000), 1e9 + rng.random(2000), -near, near, [5e-324, -5e-324, 1.7e308, -1.7e308, 0.0, 8.0]])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    probs = [i / 256 for i in range(257)]
+    for buckets in (1024, 6):
+        got = {r["prob"]: r["value"] for r in P.order_statistics(df, ["x"], probs, buckets=buckets, collect_limit=0).collect()}
+        assert np.array([got[p] for p in probs]) == pytest.approx(np.quantile(x, probs), rel=1e-12)
+    # the bracket is looked up by equality
+    v = F.col("x")
+    cells = df.select("x", P._monotone_code(v).alias("c"), *[P._cell(v, b).alias(f"b{b}") for b in (10, 20, 54)]).collect()
+    order = sorted(cells, key=lambda r: r["x"])
+    for b in (10, 20, 54):
+        codes = [(r["c"], r[f"b{b}"]) for r in order]
+        assert codes == sorted(codes)
+    assert all(p["x"] == q["x"] for p, q in zip(order, order[1:]) if (p["c"], p["b54"]) == (q["c"], q["b54"]))
