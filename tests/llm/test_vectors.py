@@ -1,5 +1,7 @@
 """Neighbours and near-duplicate vectors against brute force, edge cases."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -124,6 +126,41 @@ def test_all_pairs_lose_no_link(spark, part, monkeypatch):
     assert found.where("other is null").agg({"n": "sum"}).first()[0] == truth(x)[0].sum()
 
 
+def test_building_prunes_a_node_few_times(monkeypatch):
+    """A list is pruned again when it is full, not with every edge that leads back to it."""
+    prune, pruned = embed_dedup.robust_prune, []
+    monkeypatch.setattr(embed_dedup, "robust_prune", lambda x, nodes, *a: pruned.append(len(nodes)) or prune(x, nodes, *a))
+    x = scattered(n=2000).astype(np.float32)
+    lists, _ = embed_dedup.build(x)
+    assert sum(pruned) < 8 * len(x)
+    assert lists.shape == (2000, embed_dedup.DEGREE) and (lists >= 0).any(axis=1).all()
+    for i, r in enumerate(lists):
+        r = r[r >= 0]
+        assert len(set(r.tolist())) == len(r) and i not in r
+
+
+def test_a_search_holds_the_nodes_it_sees():
+    """64 queries over 60,000 nodes on a ring: each sees its neighbourhood, whatever the number of nodes."""
+    n, queries = 60_000, np.arange(64) * 900
+    angle = 2 * np.pi * np.arange(n) / n
+    x = np.stack([np.cos(angle), np.sin(angle)], axis=1).astype(np.float32)
+    lists = embed_dedup.both_ways(np.arange(n), (np.arange(n) + 1) % n, n)
+    tracemalloc.start()
+    seen = list(embed_dedup.greedy(x, x[queries], lists, np.array([0]), 3, 0.999999, queries))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * len(queries) * n
+    met = {(int(a), int(b)) for r, w, _ in seen for a, b in zip(r, w, strict=True)}
+    assert len(met) == sum(len(r) for r, _, _ in seen)  # each once
+    reach = (x[queries] @ x.T > 0.999999 + 1e-6).nonzero()
+    assert all((int(a), int(b)) in met for a, b in zip(*reach, strict=True) if b != queries[a])
+
+
+def test_the_smallest_shard_of_both():
+    a, b = np.array([[3, 1], [4, 2], [5, 6]], np.int32), np.array([[1, 3], [2, 7], [1, 2]], np.int32)
+    assert embed_dedup.least_common(a, b).tolist() == [1, 2, np.iinfo(np.int32).max]
+
+
 def test_duplicates_of_nothing(spark):
     assert embed_dedup.duplicate_vectors(rows_of(spark, planted(), np.zeros(400)).limit(0)).count() == 0
 
