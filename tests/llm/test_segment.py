@@ -96,3 +96,16 @@ def test_decoding_and_splitting_in_bulk_equal_the_plain_way(vocabulary):
     ids = list(range(300, 900))
     assert segment.decode_bytes(vocabulary, np.array(ids)) == b"".join(vocabulary.bytes[i] for i in ids)[1:]
     assert segment.decode_bytes(vocabulary, []) == b"" and gc.isenabled()
+
+
+def test_the_query_returns_the_segmentations_themselves(spark, tmp_dir, vocabulary):
+    import zlib
+
+    from estima.llm.queries import op9_segmentations
+    texts = {1: "Some plain words.\nAnd more", 2: "", 3: None, 4: "日本 x", 5: "a"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_dir}/documents.parquet")
+    got = op9_segmentations(spark, tmp_dir).collect()
+    assert {r["doc_id"] for r in got} == set(texts)
+    for r in got:
+        assert segment.decode(vocabulary, r["ids"]) == (texts[r["doc_id"]] or "") and len(r["ids"]) == r["n_ids"]
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
