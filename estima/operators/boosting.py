@@ -31,8 +31,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estima.operators.profile import order_statistics
-from estima.operators.ridge import entries, handed
+from estima.operators.cuts import cut_points, row_table
+from estima.operators.ridge import handed
 
 #: Cells (rows x slots) that one task boosts by itself.
 TASK_CELLS = 8_000_000
@@ -227,31 +227,6 @@ def boosted(rows: Here | There, rounds: int, depth: int, rate: float, penalty: f
     return trees
 
 
-def cut_points(df: DataFrame, features: str, bins: int) -> list[np.ndarray]:
-    """Ascending cuts of each slot: a value goes to the bin after the last cut that it is not below."""
-    meta = df.schema[features].metadata.get("ml_attr", {})
-    attrs = meta.get("attrs", {})
-    slots = meta.get("num_attrs") or (len(df.select(vector_to_array(features).alias("a")).head(1)[0]["a"]) if df.head(1) else 0)
-    binary = {a["idx"] for a in attrs.get("binary", [])}
-    wide = df.select(vector_to_array(features).alias("__a"))
-    out = [np.array([0.5])] * slots
-    numbers = [i for i in range(slots) if i not in binary]
-    wide = df.select(vector_to_array(features).alias("__a")).select(*[F.nanvl(F.get("__a", F.lit(i)), F.lit(None)).alias(f"x{i}") for i in numbers])
-    many = []
-    for i in numbers:
-        few = sorted(r[0] for r in wide.select(f"x{i}").na.drop().distinct().limit(bins + 1).collect())
-        out[i] = np.array([(a + b) / 2 for a, b in zip(few, few[1:], strict=False)])
-        if len(few) > bins:
-            many.append(f"x{i}")
-    if many:
-        at: dict[str, set] = {c: set() for c in many}
-        for r in order_statistics(wide, many, [k / bins for k in range(1, bins)]).collect():  # bins a slot
-            at[r["column"]].add(r["value"])
-        for c in many:
-            out[int(c[1:])] = np.array(sorted(at[c]))
-    return out
-
-
 def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(x.shape, np.uint16)
     for s, c in enumerate(cuts):
@@ -259,13 +234,6 @@ def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _table(column: pa.Array, slots: int) -> np.ndarray:
-    row, slot, value = entries(column)
-    x = np.zeros((len(column), slots))
-    x[row, slot] = value
-    return x
-
-
 class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
     """Boosting of regression trees on the second order of the squared loss (see the module's text)."""
 
@@ -299,7 +267,7 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Def
                 for a in range(0, batch.num_rows, size):
                     part = batch.slice(a, size)
                     y = np.ascontiguousarray(part.column("y").to_numpy(zero_copy_only=False))
-                    bins = binned(_table(pa.concat_arrays([part.column("x")]), len(cuts)), cuts)
+                    bins = binned(row_table(pa.concat_arrays([part.column("x")]), len(cuts)), cuts)
                     yield pa.RecordBatch.from_pylist([{"bins": bins.tobytes(), "target": y.tobytes(), "predicted": np.full(len(y), base).tobytes()}],
                                                      schema=_BLOCK)
 

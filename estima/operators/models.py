@@ -15,7 +15,7 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.ml.regression import LinearRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from estima.operators.boosting import BoostedTrees
 from estima.operators.columns import split_roles, validate_columns
 from estima.operators.encode import FEATURES_COL, O_PREFIX, preprocess
+from estima.operators.forest import RandomForest
 from estima.operators.lasso import LassoRegression
 from estima.operators.ridge import RidgeStatistics, linear_model, vector_width
 
@@ -103,11 +104,11 @@ def make_regressor(algorithm: str, **params):
                             depth=int(params.get("max_depth", 6)), rate=float(params.get("learning_rate", 0.3)),
                             penalty=float(params.get("reg_lambda", 1.0)), bins=int(params.get("max_bins", 256)))
     if name == "random_forest":
-        return RandomForestRegressor(featuresCol=FEATURES_COL, labelCol=LABEL_COL,
-                                     numTrees=int(params.get("n_estimators", 100)), seed=0,
-                                     featureSubsetStrategy="all", maxDepth=int(params.get("max_depth", 8)),
-                                     maxBins=int(params.get("max_bins", 64)),
-                                     subsamplingRate=float(params.get("subsample", 1.0)), **_TREE_EXEC)
+        return RandomForest(featuresCol=FEATURES_COL, labelCol=LABEL_COL,
+                            numTrees=int(params.get("n_estimators", 100)), seed=0,
+                            featureSubsetStrategy="all", maxDepth=int(params.get("max_depth", 8)),
+                            maxBins=int(params.get("max_bins", 64)),
+                            subsamplingRate=float(params.get("subsample", 1.0)), **_TREE_EXEC)
     raise ValueError(f"Unknown algorithm: {algorithm}")
 
 
