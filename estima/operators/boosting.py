@@ -9,19 +9,22 @@ learning rate.
 Bins are cut once, before the first round: between all distinct values of a slot that has at
 most ``bins`` of them (then every cut an exact search would try is there), else at exact
 quantiles; 0/1 slots have one cut. A table of at most ``TASK_CELLS`` binned cells is boosted inside
-one task, as a round there costs no job; a larger one stays where it is, each task sums its own
-rows and the sums are added by (node block). Both ways run the same code on the same histograms.
+one task, as a round there costs no job. Of a larger one, rows with the same bins become one with
+their number and the sum of their targets, which is all that g and h need. If it is still larger it stays
+where it is: each task sums its own rows and the driver adds the sums, one job a level, without SQL,
+whose plans and metrics the driver would keep. All ways run the same code on the same histograms.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel, keyword_only
+from pyspark import RDD, StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
@@ -36,6 +39,8 @@ from estima.operators.ridge import handed
 
 #: Cells (rows x slots) that one task boosts by itself.
 TASK_CELLS = 8_000_000
+#: Cells of a block of a larger table.
+BLOCK_CELLS = 8_000_000
 #: Rounds after which the predictions so far are cut off from their lineage.
 CUT_EVERY = 20
 #: A cut must gain more than this.
@@ -124,23 +129,28 @@ def summed(bins: np.ndarray, gradient: np.ndarray, at: np.ndarray, nodes: np.nda
 class Here:
     """Rows inside one task. The rows' nodes are kept and go on by one level at a time."""
 
-    def __init__(self, bins: np.ndarray, target: np.ndarray, first: np.ndarray, base: float):
+    def __init__(self, bins: np.ndarray, target: np.ndarray, first: np.ndarray, base: float | np.ndarray, count: np.ndarray | None = None):
+        """``count``: rows that are one here, their targets added up (None: each is its own)."""
         self.bins, self.target, self.first, self.missing = np.ascontiguousarray(bins.T), target, first, np.diff(first) - 1
-        self.predicted = np.full(len(target), base)
+        self.predicted, self.count = np.zeros(len(target)) + base, count
         self.at = np.zeros(len(target), np.int64)
 
     def histogram(self, tree: Tree, nodes: np.ndarray) -> np.ndarray:
         if nodes[0] == 0:
             self.at[:] = 0
-            self.gradient = self.predicted - self.target
+            self.gradient = (self.predicted if self.count is None else self.predicted * self.count) - self.target
         else:
             self._down(tree)
+        return self.sums(tree, nodes)
+
+    def sums(self, tree: Tree, nodes: np.ndarray) -> np.ndarray:
         place = np.full(len(tree.slot), -1, np.int64)
         place[nodes] = np.arange(len(nodes)) * self.first[-1]
-        base, gradient, bins = place[self.at], self.gradient, self.bins
+        base, gradient, count, bins = place[self.at], self.gradient, self.count, self.bins
         if (base < 0).any():
             ok = np.flatnonzero(base >= 0)
             base, gradient, bins = base[ok], gradient[ok], bins[:, ok]
+            count = None if count is None else count[ok]
         width = int(self.first[-1])
         out = np.zeros((len(nodes), width, 2))
         key = np.empty(len(base), np.int64)
@@ -150,7 +160,7 @@ class Here:
             size = len(nodes) * width
             # a key is the bin within its node's own room
             out[:, a:b, 0] = np.bincount(key, weights=gradient, minlength=size).reshape(len(nodes), width)[:, :b - a]
-            out[:, a:b, 1] = np.bincount(key, minlength=size).reshape(len(nodes), width)[:, :b - a]
+            out[:, a:b, 1] = np.bincount(key, weights=count, minlength=size).reshape(len(nodes), width)[:, :b - a]
         return out
 
     def _down(self, tree: Tree) -> None:
@@ -169,54 +179,53 @@ class Here:
 
 
 _BLOCK = pa.schema([(n, pa.binary()) for n in ("bins", "target", "predicted")])
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            y = np.frombuffer(r["target"])
-            yield r, np.frombuffer(r["bins"], np.uint16).reshape(len(y), -1), y, np.frombuffer(r["predicted"])
+_CELLS = pa.schema([(n, pa.binary()) for n in ("bins", "count", "target")])
 
 
 class There:
-    """Rows in a DataFrame of blocks (bins, target, predicted as bytes)."""
+    """Rows in an RDD of blocks: (bins, targets, predictions, counts)."""
 
-    def __init__(self, blocks: DataFrame, first: np.ndarray, base: float):
-        self.first, self.rounds = first, 0
-        self.blocks = blocks
+    def __init__(self, blocks: RDD, first: np.ndarray):
+        self.first, self.rounds, self.blocks, self.old = first, 0, blocks, []
 
     def histogram(self, tree: Tree, nodes: np.ndarray) -> np.ndarray:
-        first, missing = self.first, np.diff(self.first) - 1
+        first, level = self.first, int(np.log2(nodes[0] + 1))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(blocks: Iterator[tuple]) -> Iterator[np.ndarray]:
             total = np.zeros((len(nodes), first[-1], 2))
-            for _, bins, y, p in _unpacked(batches):
-                total += summed(bins, p - y, tree.leaves(bins, missing), nodes, first)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(nodes)), pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], ["node", "sums"])
-
-        def add(group: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x) for x in sorted(group.column("sums").to_pylist()))
-            return pa.table({"node": group.column("node").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
-
-        got = self.blocks.mapInArrow(run, "node int, sums binary").groupBy("node").applyInArrow(add, "node int, sums binary").collect()
-        out = np.zeros((len(nodes), first[-1], 2))
-        for r in got:
-            out[r["node"]] = np.frombuffer(r["sums"]).reshape(-1, 2)
+            for bins, target, predicted, count in blocks:
+                here = Here(bins.T, target, first, predicted, count)
+                here.gradient = predicted * count - target
+                for _ in range(level):
+                    here._down(tree)
+                total += here.sums(tree, nodes)
+            yield total
+
+        out = sum(self.blocks.mapPartitions(run).collect())  # bins of one level a task, added in the tasks' order
+        self.release()
         return out
 
     def add(self, tree: Tree) -> None:
-        missing, old = np.diff(self.first) - 1, self.blocks
+        first = self.first
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for r, bins, _, p in _unpacked(batches):
-                new = p + tree.value[tree.leaves(bins, missing)]
-                yield pa.RecordBatch.from_pylist([r | {"predicted": new.tobytes()}], schema=_BLOCK)
+        def run(block: tuple) -> tuple:
+            bins, target, predicted, count = block
+            here = Here(bins.T, target, first, predicted, count)
+            here.add(tree)
+            return bins, target, here.predicted, count
 
         self.rounds += 1
-        self.blocks = old.mapInArrow(run, "bins binary, target binary, predicted binary")
-        self.blocks = self.blocks.checkpoint() if self.rounds % CUT_EVERY == 0 else self.blocks.persist(StorageLevel.MEMORY_AND_DISK)
-        self.blocks.count()
-        old.unpersist()
+        self.old.append(self.blocks)
+        # made by the first job of the next round
+        self.blocks = self.blocks.map(run).persist(StorageLevel.MEMORY_AND_DISK)
+        if self.rounds % CUT_EVERY == 0:
+            self.blocks.checkpoint()
+            self.blocks.count()
+
+    def release(self) -> None:
+        """The blocks of rounds before."""
+        while self.old:
+            self.old.pop().unpersist()
 
 
 def boosted(rows: Here | There, rounds: int, depth: int, rate: float, penalty: float, least: float) -> list[Tree]:
@@ -283,12 +292,69 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Def
                 return pa.table({"trees": [json.dumps([_plain(t, cuts) for t in boosted(here, *settings)])]})
             trees = json.loads(table.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(run, "trees string").first()["trees"])
         else:
-            there = There(table.persist(StorageLevel.MEMORY_AND_DISK), first, base)
-            trees = [_plain(t, cuts) for t in boosted(there, *settings)]
-            there.blocks.unpersist()
+            trees = self._many(rows, cuts, first, base, settings)
         return BoostedTreesModel(trees=json.dumps(trees), base=base, slots=len(cuts), featuresCol=feats, labelCol=self.getLabelCol(), predictionCol=self.getPredictionCol())
 
 
+    def _many(self, rows: DataFrame, cuts: list[np.ndarray], first: np.ndarray, base: float, settings: list) -> list[dict]:
+        """The trees of a table that is too large for one task as it is."""
+        slots = len(cuts)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    bins = binned(row_table(pa.concat_arrays([batch.column("x")]), slots), cuts)
+                    ends = np.arange(len(bins) + 1, dtype=np.int32) * (2 * slots)
+                    yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(ends), pa.py_buffer(bins)]), batch.column("y")], ["bins", "y"])
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for batch in chain(batches, [None]):
+                if batch is not None:
+                    held.append(batch)
+                    size += batch.num_rows
+                if size and (batch is None or size * slots >= BLOCK_CELLS):
+                    t = pa.Table.from_batches(held)
+                    data = b"".join(chain.from_iterable(c.to_pylist() for c in t.column("bins").chunks))
+                    bins = np.frombuffer(data, np.uint16).reshape(-1, slots)
+                    order = np.lexsort(bins.T)  # whatever way the rows have come
+                    yield pa.RecordBatch.from_pylist([{"bins": np.ascontiguousarray(bins[order].T).tobytes()} | {
+                        c: t.column(c).to_numpy().astype(float)[order].tobytes() for c in ("count", "target")}], schema=_CELLS)
+                    held, size = [], 0
+
+        cells = rows.mapInArrow(cut, "bins binary, y double").groupBy("bins").agg(F.count("y").alias("count"), F.sum("y").alias("target"))
+        cells = cells.mapInArrow(pack, "bins binary, count binary, target binary").persist(StorageLevel.MEMORY_AND_DISK)
+
+        def block(r) -> tuple:
+            target = np.frombuffer(r["target"])
+            return np.frombuffer(r["bins"], np.uint16).reshape(slots, -1), target, np.full(len(target), base), np.frombuffer(r["count"])
+
+        try:
+            n = (cells.agg(F.sum(F.length("target"))).first()[0] or 0) // 8
+            if n * slots <= self.getOrDefault("cells"):
+                def run(group: pa.Table) -> pa.Table:
+                    parts = sorted(group.to_pylist(), key=lambda r: r["bins"])
+                    bins, target, predicted, count = (np.concatenate(x, axis=-1) for x in zip(*map(block, parts), strict=True))
+                    here = Here(bins.T, target, first, predicted, count)
+                    return pa.table({"trees": [json.dumps([_plain(t, cuts) for t in boosted(here, *settings)])]})
+                return json.loads(cells.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(
+                    lambda g: run(g.drop_columns(["all"])), "trees string").first()["trees"])
+            def merged(some: Iterator) -> Iterator[tuple]:
+                if got := [block(r) for r in some]:
+                    yield tuple(np.concatenate(x, axis=-1) for x in zip(*got, strict=True))
+
+            # a round is many short jobs: few tasks, a block each
+            tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n * slots // BLOCK_CELLS))
+            there = There(cells.rdd.coalesce(tasks).mapPartitions(merged).persist(StorageLevel.MEMORY_AND_DISK), first)
+            try:
+                return [_plain(t, cuts) for t in boosted(there, *settings)]
+            finally:
+                there.release()
+                there.blocks.unpersist()
+        finally:
+            cells.unpersist()
+
+
 def _plain(tree: Tree, cuts: list[np.ndarray]) -> dict:
     """A tree with its cuts as values: what is below goes left."""
     inner = np.flatnonzero(tree.slot >= 0)

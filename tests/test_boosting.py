@@ -130,3 +130,31 @@ def test_rows_in_a_task_go_on_by_one_level(monkeypatch):
     got = B.boosted(B.Here(bins, y, first, 0.5), 4, 4, 0.3, 1.0, 1.0)
     for a, b in zip(got, want, strict=True):
         assert (a.slot == b.slot).all() and (a.cut == b.cut).all() and (a.value == b.value).all()
+
+
+def test_rows_of_the_same_bins_are_one(spark, data):
+    """Large tables: with equal rows counted once, in one task or across tasks, the trees are those of all rows."""
+    x, y = data
+    df = frame(spark, np.concatenate([x, x, x[:50]]), np.concatenate([y, y + 1, y[:50]])).withColumn("a", F.round("a", 1)).persist()
+    here = pipeline_fit(df, ["a", "b"], "y", "xgboost", n_estimators=4, max_depth=3)
+    for cells in (df.select("a", "b").distinct().count() * 2, 0):
+        assert cells < df.count() * 2
+        pipe = model_pipeline(["a", "b"], [], "y", "xgboost", n_estimators=4, max_depth=3)
+        pipe.getStages()[-1]._set(cells=cells)
+        np.testing.assert_allclose(predicted(pipe.fit(df), df), predicted(here, df), rtol=1e-9)
+
+
+def test_the_driver_keeps_no_plan_of_a_round(spark, data):
+    x, y = data
+    df = frame(spark, x, y).persist()
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def plans(rounds):
+        pipe = model_pipeline(["a", "b"], [], "y", "xgboost", n_estimators=rounds, max_depth=3)
+        pipe.getStages()[-1]._set(cells=0)
+        before = store.executionsCount()
+        pipe.fit(df)
+        return store.executionsCount() - before
+
+    plans(1)
+    assert plans(2) == plans(9)
