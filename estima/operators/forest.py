@@ -408,7 +408,8 @@ def spark_model(estimator: RandomForestRegressor, spark, grown: list[tuple[Tree,
 
     names = {p.name for p in estimator.params}
     trees = [(i, meta("DecisionTreeRegressionModel", f"{estimator.uid}_{i}", names - {"numTrees", "featureSubsetStrategy", "subsamplingRate", "bootstrap"}), 1.0) for i in range(len(grown))]
-    table = pa.Table.from_pylist([n for i, (tree, ends) in enumerate(grown) for n in _nodes(i, tree, ends, cuts, mean)], schema=_NODES)
+    # tree by tree: the nodes of all as Python objects would fill the driver
+    table = pa.Table.from_batches([pa.RecordBatch.from_pylist(_nodes(i, tree, ends, cuts, mean), schema=_NODES) for i, (tree, ends) in enumerate(grown)])
     try:
         spark.createDataFrame([(meta("RandomForestRegressionModel", estimator.uid, names, numFeatures=len(cuts), numTrees=len(grown)),)], "value string").coalesce(1).write.text(f"{path}/metadata")
         spark.createDataFrame(trees, "_1 int, _2 string, _3 double").write.parquet(f"{path}/treesMetadata")
